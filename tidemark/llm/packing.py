@@ -15,9 +15,11 @@ leaves a handful of sequences partly filled, out of thousands.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from tidemark.llm.bytewise import lists, ragged
 from tidemark.llm.scratch import Scratch
 
 GROUP = 1 << 14
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,14 +45,25 @@ class Capacity:
     rule: str = "norm"
 
 
+#: One run of Latin letters, then perhaps one run of marks: one or two units for the
+#: tokenizer's splitter, whatever stands beside them.
+_PLAIN = re.compile(r"[A-Za-zßàáâäçèéêëíîïñóôöùúûüÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ]+([-.,;:!?%&#$*|]+)?")
+
+
 class WordEncoder:
-    """Ids of words by a ``tokenizers`` file, with a table of those met so far."""
+    """Ids of words by a ``tokenizers`` file, with a table of those met so far.
+
+    New plain words are encoded many to a string; the ids that end a unit (``</w>``)
+    tell the words apart again. Other words are encoded one by one."""
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -58,32 +71,51 @@ class WordEncoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start = np.zeros(1 << 15, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if len(self.place) + len(new) > self.most and self.place:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        if not new:
-            return
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        flat = np.array([i for x in ids for i in x], np.uint32)
+    def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         first = len(self.place)
-        while self.used + len(flat) > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(new) + 1 > len(self.start):
+        while first + len(words) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[first + 1 : first + 1 + len(new)] = self.used + np.cumsum([len(x) for x in ids])
-        self.used += len(flat)
-        self.place.update(zip(new, range(first, first + len(new)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[first + 1 : first + 1 + len(words)] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        """``words``: distinct, none of them known."""
+        plain, units, other = [], [], []
+        for w in words:
+            m = _PLAIN.fullmatch(t := w.decode())
+            if m:
+                plain.append((w, t))
+                units.append(1 + (m[1] is not None))
+            else:
+                other.append((w, t))
+        if plain:
+            joined = [" ".join([t for _, t in plain[i : i + 256]]) for i in range(0, len(plain), 256)]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closes[ids])[np.cumsum(units) - 1] + 1
+            self._add([w for w, _ in plain], ids, np.diff(ends, prepend=0))
+        if other:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)]
+            self._add([w for w, _ in other], np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n+1 bounds of each."""
         split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        self.learn(words)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(split))
+        at = list(map(self.place.get, words))
+        gaps = [i for i, k in enumerate(at) if k is None]
+        if gaps:
+            new = list(dict.fromkeys([words[i] for i in gaps]))
+            if self.place and len(self.place) + len(new) > self.most:
+                self.clear()
+                new, gaps = list(dict.fromkeys(words)), range(len(words))
+            self.learn(new)
+            for i in gaps:
+                at[i] = self.place[words[i]]
+        at = np.array(at, np.int64)
         counts = self.start[at + 1] - self.start[at]
         owner, place = ragged(counts)
         ends = np.concatenate([[0], np.cumsum(counts)])
