@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash, substring
+from tidemark.llm import linededup, packing, simhash, substring
 from tidemark.llm.scratch import Scratch
 
 
@@ -24,6 +24,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), tokenizer_path())
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,7 +40,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_packing": op4_packing, "op7_simhash": op7_simhash, "op9_substring": op9_substring}
+    return {"op4_packing": op4_packing, "op5_linededup": op5_linededup, "op7_simhash": op7_simhash, "op9_substring": op9_substring}
 
 
 def oracle_sql() -> dict[str, str]:
