@@ -22,6 +22,7 @@ a shorter line is one shingle). The stages:
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 #: agree between runs.
 MINS = 16
 BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in range(4)] for i in range(4)]
-MAP_WORDS = 8
+#: Shingles hashed in one row, and 64-bit words of a set's bitmap.
+STEP, MAP_WORDS = 4, 64
 #: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -65,9 +67,11 @@ def _shingles(raw: Column) -> Column:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """(lh, raw) to (lh, i, h), a row for each shingle."""
-    every = lines.select("lh", "raw", F.explode(F.sequence(F.lit(1), _shingle_count(F.col("raw")))).alias("i"))
-    return every.select("lh", "i", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    """(lh, raw) to (lh, n, h0, h1, ...): a row for each STEP shingles of the n; the last row
+    repeats the last shingle as often as it needs."""
+    n = _shingle_count(F.col("raw"))
+    every = lines.select("lh", "raw", n.alias("n"), F.explode(F.sequence(F.lit(1), n, F.lit(STEP))).alias("i"))
+    return every.select("lh", "n", *[F.xxhash64(F.substring("raw", F.least(F.col("i") + j, F.col("n")), F.lit(SHINGLE))).alias(f"h{j}") for j in range(STEP)])
 
 
 def _sized(table: DataFrame, width: int) -> DataFrame:
@@ -78,18 +82,17 @@ def _sized(table: DataFrame, width: int) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(lh, occurs, bands) per distinct line."""
     raw = lines.select(F.xxhash64("line").alias("lh"), F.col("line").cast("binary").alias("raw"))
-    minima = [F.min(F.col("h").bitwiseXOR(_long(c))).alias(f"m{k}") for k, c in enumerate(_constants())]
-    sketch = _hashed(raw).groupBy("lh").agg(F.count("*").alias("rows"), F.max("i").alias("n"), *minima)
+    minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(_long(c)) for j in range(STEP)])).alias(f"m{k}") for k, c in enumerate(_constants())]
+    sketch = _hashed(raw).groupBy("lh").agg(F.count("*").alias("rows"), F.max("n").alias("n"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in enumerate(BANDS)])
-    return sketch.select("lh", F.expr("rows div n").alias("occurs"), bands.alias("bands"))
+    return sketch.select("lh", F.expr(f"rows div ((n + {STEP - 1}) div {STEP})").alias("occurs"), bands.alias("bands"))
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
     """(lh, n, b0, b1, ...): the number of shingles and a bitmap of their set."""
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    word = F.expr(f"shiftright(h, 6) & {MAP_WORDS - 1}")
-    maps = [F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(MAP_WORDS)]
-    return _hashed(texts).groupBy("lh").agg(F.max("i").alias("n"), *maps)
+    bits = lambda k: [F.expr(f"if((shiftright(h{j}, 6) & {MAP_WORDS - 1}) = {k}, shiftleft(1L, cast(h{j} & 63 as int)), 0L)") for j in range(STEP)]
+    maps = [F.bit_or(reduce(Column.bitwiseOR, bits(k))).alias(f"b{k}") for k in range(MAP_WORDS)]
+    return _hashed(texts).groupBy("lh").agg(F.max("n").alias("n"), *maps)
 
 
 def _side(maps: DataFrame, x: str) -> DataFrame:
@@ -108,8 +111,10 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = lambda x: texts.select(F.col("lh").alias(x), F.col("raw").alias(f"raw_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     sets = both.select("a", "b", _shingles(F.col("raw_a")).alias("s"), _shingles(F.col("raw_b")).alias("t"))
-    sizes = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("k"), F.size(F.array_union("s", "t")).alias("u"))
-    return sizes.where(F.col("k") >= SIMILARITY * F.col("u") - 1e-9).select("a", "b")
+    common = sets.select("a", "b", "s", "t", F.size(F.array_intersect("s", "t")).alias("k"))
+    enough = lambda union: F.col("k") >= SIMILARITY * union - 1e-9
+    # without repeats the lengths give the union's size; with repeats they bound it
+    return common.where(F.when(enough(F.size("s") + F.size("t") - F.col("k")), True).otherwise(enough(F.size(F.array_union("s", "t"))))).select("a", "b")
 
 
 def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
