@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, packing, simhash, substring
+from tidemark.llm import decontaminate, htmlextract, langid, linededup, neighbours, packing, quality, simhash, substring, urlfilter
 from tidemark.llm.scratch import Scratch
 
 
@@ -14,6 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of op6: host and start of the path, to allow or to block.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op1_htmlextract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), declared_col="lang", host_col="source")
+    return found.select("doc_id", "lang_id", "lang_score", "lang_accepted")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op3"))
+    return found.drop("text_hash")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -29,6 +47,15 @@ def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document a page shows, whose id is the number in its address."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("good"))
+    shown = F.nullif(F.regexp_extract(urlfilter.path_of(F.col("url")), r"/([0-9]+)(?:[/.]|$)", 1), F.lit(""))
+    found = urlfilter.judge(pages, labels, RULES, Scratch(spark, "op6"), key=shown)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,8 +66,23 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op8"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op4_packing": op4_packing, "op5_linededup": op5_linededup, "op7_simhash": op7_simhash, "op9_substring": op9_substring}
+    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours)
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
