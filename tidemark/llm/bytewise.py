@@ -49,7 +49,7 @@ class Hashed:
         return mix(raw + (ends - starts).astype(U64) * U64(0x9FB21C651E98DF25))
 
 
-def pieces(array: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+def pieces(array: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """Consecutive slices of a string array of about ``most`` bytes; a longer text is a slice of its own."""
     _, ends = buffers(array)
     at, n = 0, len(array)

@@ -9,8 +9,8 @@ a shorter line is one shingle). The stages:
 2. Banding. Each band is a hash of four minima; lines that share a band are candidates.
    At a similarity of just 0.8 a pair misses all bands 4.5 times in a hundred, at 0.85
    1.5 times, at 0.9 0.3 times.
-3. Links. In a bucket every line is compared with the bucket's most frequent one. Then
-   components are formed, and only where lines of a bucket are still in different
+3. Links. Every line is compared with the most frequent line of its buckets (in buckets of
+   two, with the other). Then components are formed, and only where lines of a bucket are still in different
    components are the pairs across components compared, so a bucket of copies costs a
    row a line and no pairs. A comparison first bounds the similarity from above by
    bitmaps of the two sets (each bit that differs stands for a shingle of one side
@@ -119,7 +119,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each line hash that isn't its component's least, with that least."""
-    rows = sketch.select("lh", "occurs", F.explode("bands").alias("band"))
+    rows = sketch.select("lh", "occurs", F.posexplode("bands").alias("k", "band"))
     buckets = rows.groupBy("band").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), F.count("*").alias("n"))
     buckets = scratch.keep(buckets.where("n > 1"), "buckets")
     scratch.release()
@@ -127,26 +127,30 @@ def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataF
     crowd = scratch.keep(rows.join(_sized(buckets.where("n > 2").select("band"), 8), "band"), "crowd")
     # the centre of a larger bucket: the least of its most frequent lines
     top = crowd.groupBy("band").agg(F.max("occurs").alias("occurs"))
-    centres = crowd.join(top, ["band", "occurs"]).groupBy("band").agg(F.min("lh").alias("centre"))
-    spokes = crowd.join(centres, "band").where("lh != centre").select(F.least("lh", "centre").alias("a"), F.greatest("lh", "centre").alias("b"))
+    centres = crowd.join(top, ["band", "occurs"]).groupBy("band").agg(F.min("lh").alias("centre"), F.max("occurs").alias("often"))
+    spokes = crowd.join(centres, "band").where("lh != centre").groupBy("lh").agg(F.max(F.struct("often", "centre")).alias("s")).select("lh", "s.centre")
+    spokes = spokes.select(F.least("lh", "centre").alias("a"), F.greatest("lh", "centre").alias("b"))
     pairs = scratch.keep(couples.union(spokes).distinct(), "pairs")
     wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted")
     texts = lines.select(F.xxhash64("line").alias("lh"), "line").join(_sized(wanted, 8), "lh", "left_semi")
     texts = texts.groupBy("lh").agg(F.min("line").alias("line")).select("lh", F.col("line").cast("binary").alias("raw"))
     texts = scratch.keep(texts, "texts")
-    maps = scratch.keep(bitmaps(texts), "maps")
+    bands = sketch.select("lh", "bands").join(_sized(wanted, 8), "lh", "left_semi")
+    maps = scratch.keep(bitmaps(texts).join(bands, "lh"), "maps")
     scratch.release()
-    near = pairs.join(_side(maps, "a"), "a").join(_side(maps, "b"), "b").where(_may_be_similar()).select("a", "b")
+    plain = maps.drop("bands")
+    near = pairs.join(_side(plain, "a"), "a").join(_side(plain, "b"), "b").where(_may_be_similar()).select("a", "b")
     links = scratch.keep(similar(near, texts), "links")
     roots = components(links, scratch)
     # what is left: pairs across components of one bucket that were not compared
-    placed = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "lh", F.coalesce("root", "lh").alias("root"))
+    placed = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "k", "lh", F.coalesce("root", "lh").alias("root"))
     shares = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     mixed = shares.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     mixed = scratch.keep(placed.join(mixed.select("band", F.col("top.root").alias("main")), "band").join(maps, "lh"), "mixed")
     strays = _side(mixed.where("root != main"), "a").withColumnRenamed("band_a", "band")
     others = _side(mixed, "b").withColumnRenamed("band_b", "band")
-    across = strays.join(others, "band").where("root_a != root_b and (root_b = main_b or a < b)").where(_may_be_similar())
+    first = F.coalesce(*[F.when(F.col("bands_a")[j] == F.col("bands_b")[j], F.lit(j)) for j in range(len(BANDS))])  # a pair comes from one band only
+    across = strays.join(others, "band").where("root_a != root_b and (root_b = main_b or a < b)").where(_may_be_similar() & (first == F.col("k_a")))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.keep(similar(across.join(pairs, ["a", "b"], "left_anti"), texts), "more-links")
     scratch.release()

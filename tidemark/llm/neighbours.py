@@ -126,6 +126,11 @@ def search(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, query_id
         cuts = np.flatnonzero(np.diff(leaf[by])) + 1
         for own in np.split(by, cuts):
             q, rows = active[own], leaves[leaf[own[0]]]
+            # a quick product, right but for rounding, tells which queries gain nothing here
+            rough = queries[q] @ vectors[rows].T
+            q = q[rough.max(axis=1) >= best[q, -1] - 1e-9 * (1 + np.abs(rough).max(axis=1))]
+            if not len(q):
+                continue
             scores = np.einsum("qd,pd->qp", queries[q], vectors[rows])
             names = np.broadcast_to(ids[rows], scores.shape)
             scores = np.where(names == query_ids[q][:, None], -np.inf, scores)
