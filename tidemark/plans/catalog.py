@@ -1,17 +1,560 @@
-"""The registry of the engine's own queries and their reference SQL."""
+"""The registry of the engine's own queries, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions import text as T
+from tidemark.functions import vectors as V
+from tidemark.operators import changes as C
+from tidemark.operators import reports as R
+from tidemark.operators import rewrite as W
+from tidemark.operators import search as S
+from tidemark.sources import tables as B
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+KINDS = "['text','text','pdf','docx','image','archive','disk-image','text']"
+EXTS = "['.txt','.md','.pdf','.docx','.png','.zip','.iso','.html']"
+FILES = f"""files AS (SELECT doc_id AS file_id, '/' || source || '/' || lang || '/doc_' || doc_id || {EXTS}[doc_id % 8 + 1] AS path, source AS folder, {EXTS}[doc_id % 8 + 1] AS ext, n_chars AS size_bytes,
+ {B.NOW}::DOUBLE - (doc_id % 500) * 86400.0::DOUBLE AS mtime, {KINDS}[doc_id % 8 + 1] AS kind, CASE WHEN doc_id % 8 = 4 THEN substr(text, 1, 100) ELSE '' END AS ocr_text, doc_id % 16 = 4 AS ocr_used, text FROM documents)"""
+CHUNKS = """split AS (SELECT doc_id AS file_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+ counted AS (SELECT file_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE CAST(ceil((len(w) - 200) / 160.0) AS INT) + 1 END AS k FROM split),
+ chunks AS (SELECT file_id, CAST(i AS INT) AS ordinal, array_to_string(w[i * 160 + 1 : i * 160 + 200], ' ') AS text FROM (SELECT file_id, w, unnest(range(k)) AS i FROM counted))"""
+VECTORS = """vectors AS (SELECT vec_id, vec_id // 4 AS file_id, CAST(vec_id % 4 AS INT) AS ordinal, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'image' END AS space, embedding::DOUBLE[] AS vec FROM embeddings)"""
+CHANGES = """changes AS (SELECT event_id, ts, '/u/' || user_id AS path, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'changed' END AS kind FROM events)"""
+ASKED = [(1, "the of and with", ["image"]), (2, "der die und nicht", ["doc"]), (3, "que de la los", []), (4, "est pour dans doc_12", ["image", "doc"])]
+RANGE = (B.NOW - 200 * 86400.0, B.NOW - 100 * 86400.0)
+QUERIES = "queries(query_id, query, kinds) AS (VALUES " + ", ".join(f"({i}, '{q}', {k!r}::VARCHAR[])" for i, q, k in ASKED) + ")"
+
+
+def query(sql: str | None = None):
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = B.vectors(spark, sf_dir).select(F.col("vec_id").alias("v"), F.col("vec").alias("query_vec"))
+    rows = spark.createDataFrame(ASKED, "query_id int, query string, kinds array<string>").join(vec, F.col("query_id") == F.col("v")).drop("v")
+    return rows.withColumn("date_from", F.when(F.col("query_id") == 2, RANGE[0])).withColumn("date_to", F.when(F.col("query_id") == 2, RANGE[1]))
+
+
+# --- sources -------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages")
+def src_plain_text(s, d):
+    return B.read(s, d, "pages").select("page_id", F.length("html").alias("n_chars"), F.md5("html").alias("digest"))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 20 AS real_text FROM documents")
+def src_ocr_gate(s, d):
+    return B.read(s, d, "documents").select("doc_id", T.has_real_text(F.col("text")).alias("real_text"))
+
+
+@query(f"WITH {FILES} SELECT file_id, CASE WHEN ext IN ('.txt','.md','.html') THEN 'text' WHEN ext = '.pdf' THEN 'pdf' WHEN ext = '.docx' THEN 'docx' ELSE 'other' END AS reader, CASE WHEN ext = '.zip' THEN 'archive' WHEN ext = '.iso' THEN 'disk-image' END AS binary_kind FROM files")
+def src_dispatch(s, d):
+    return B.files(s, d).select("file_id", T.text_kind(F.col("path")).alias("reader"), T.binary_kind(F.col("path")).alias("binary_kind"))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS n FROM files WHERE ext IN ('.txt','.md','.pdf','.docx','.png','.zip','.iso','.html')")
+def src_folder_scan(s, d):
+    return B.files(s, d).where(T.suffix(F.col("path")).isin(T.INDEXABLE)).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, lower('/home/' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '/OneDrive/x' WHEN p_partkey % 3 = 1 THEN '/iCloud' ELSE '/local' END) AS path, p_partkey % 3 < 2 AS synced FROM part")
+def src_cloud_synced(s, d):
+    key = F.col("p_partkey") % 3
+    path = F.concat(F.lit("/home/"), "p_name", F.when(key == 0, "/OneDrive/x").when(key == 1, "/iCloud").otherwise("/local"))
+    return B.read(s, d, "part").select("p_partkey", F.lower(path).alias("path"), T.is_cloud_synced(path).alias("synced"))
+
+
+@query(f"WITH {FILES} SELECT file_id, sha1(path) || '.jpg' AS thumbnail FROM files WHERE kind = 'image'")
+def src_thumbnail_name(s, d):
+    return B.files(s, d).where("kind = 'image'").select("file_id", F.concat(F.sha1("path"), F.lit(".jpg")).alias("thumbnail"))
+
+
+@query("SELECT p_partkey, p_name || ' by ' || p_brand || ' audio recording, ' || CASE WHEN p_size * 97 >= 3600 THEN printf('%d:%02d:%02d', p_size * 97 // 3600, p_size * 97 % 3600 // 60, p_size * 97 % 60) ELSE printf('%d:%02d', p_size * 97 // 60, p_size * 97 % 60) END AS label FROM part")
+def src_media_label(s, d):
+    return B.read(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" by "), "p_brand", F.lit(" audio recording, "), T.duration(F.col("p_size") * 97)).alias("label"))
+
+
+@query()
+def src_name_tokens(s, d):
+    return B.files(s, d).select("file_id", T.name_tokens(F.col("path")).alias("tokens"))
+
+
+# --- changes to tables ---------------------------------------------------------------------
+
+
+@query(f"""WITH {FILES}, news AS (SELECT file_id + 5000000 AS file_id, CASE WHEN file_id % 20 = 0 THEN path ELSE path || '.new' END AS path, 'moved' AS folder, size_bytes + 7 AS size_bytes FROM files WHERE file_id % 10 = 0)
+ SELECT CAST(f.file_id AS BIGINT) AS file_id, f.path, f.folder, f.size_bytes FROM files f WHERE f.path NOT IN (SELECT path FROM news) UNION ALL SELECT coalesce(f.file_id, n.file_id), n.path, coalesce(f.folder, n.folder), n.size_bytes FROM news n LEFT JOIN files f ON f.path = n.path""")
+def dml_upsert_files(s, d):
+    base = B.files(s, d).select("file_id", "path", "folder", "ext", "size_bytes")
+    path = F.when(F.col("file_id") % 20 == 0, F.col("path")).otherwise(F.concat("path", F.lit(".new")))
+    news = base.where("file_id % 10 = 0").select((F.col("file_id") + 5000000).alias("file_id"), path.alias("path"), F.lit("moved").alias("folder"), "ext", (F.col("size_bytes") + 7).alias("size_bytes"))
+    return C.upsert_files(base, news).drop("ext")
+
+
+@query(f"WITH {CHUNKS} SELECT file_id, ordinal, md5(text) AS digest FROM chunks WHERE file_id % 7 <> 0 UNION ALL SELECT file_id, 0, md5('new ' || file_id) FROM (SELECT DISTINCT file_id FROM chunks WHERE file_id % 7 = 0)")
+def dml_replace_chunks(s, d):
+    base = B.chunks(s, d)
+    news = base.where("file_id % 7 = 0").select("file_id").distinct().select("file_id", F.lit(0).alias("ordinal"), F.concat(F.lit("new "), F.col("file_id").cast("string")).alias("text"))
+    return C.replace_chunks(base, news).select("file_id", "ordinal", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {FILES}, {CHUNKS} SELECT count(*) AS chunks, count(DISTINCT c.file_id) AS files FROM chunks c JOIN files f USING (file_id) WHERE f.folder <> 'src3'")
+def dml_delete_file(s, d):
+    files = B.files(s, d)
+    left = C.delete(files, files.where("folder = 'src3'"), "file_id")
+    return B.chunks(s, d).join(left.select("file_id"), "file_id", "left_semi").agg(F.count("*").alias("chunks"), F.countDistinct("file_id").alias("files"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def dml_last_writer(s, d):
+    return C.last_writer(B.read(s, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query(f"WITH {VECTORS} SELECT space, count(*) AS n FROM vectors WHERE file_id % 5 <> 0 GROUP BY space")
+def dml_delete_vectors(s, d):
+    rows = B.vectors(s, d)
+    return C.delete(rows, rows.where("file_id % 5 = 0").select("file_id").distinct(), "file_id").groupBy("space").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHUNKS} SELECT file_id, count(*) AS n FROM chunks WHERE file_id % 9 = 0 GROUP BY file_id")
+def dml_orphan_chunks(s, d):
+    return C.orphans(B.chunks(s, d), B.files(s, d).where("file_id % 9 <> 0")).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FILES}, {VECTORS} SELECT v.vec_id FROM vectors v WHERE v.file_id NOT IN (SELECT file_id FROM files WHERE kind = 'text')")
+def dml_orphan_vectors(s, d):
+    return C.orphans(B.vectors(s, d), B.files(s, d).where("kind = 'text'")).select("vec_id")
+
+
+@query(f"WITH {FILES} SELECT file_id FROM files WHERE NOT (folder = 'src5' AND file_id % 3 = 0)")
+def dml_remove_missing(s, d):
+    files = B.files(s, d)
+    return C.delete(files, files.where("folder = 'src5'").join(files.where("file_id % 3 <> 0").select("path"), "path", "left_anti"), "path").select("file_id")
+
+
+@query(f"WITH {FILES}, {CHUNKS} SELECT (SELECT count(*) FROM files WHERE file_id % 4 = 0) AS stale, (SELECT count(*) FROM chunks WHERE file_id % 4 = 0) AS orphans")
+def dml_reconcile(s, d):
+    files = B.files(s, d)
+    return C.reconcile(files, files.where("file_id % 4 <> 0"), B.chunks(s, d))
+
+
+@query(f"WITH {FILES} SELECT file_id FROM files WHERE file_id % 6 IN (0, 1, 2)")
+def dml_needs_index(s, d):
+    files = B.files(s, d)
+    listing = files.select("file_id", "path", (F.col("mtime") + F.when(F.col("file_id") % 6 == 0, 1.0).otherwise(0.0)).alias("mtime"), (F.col("size_bytes") + F.when(F.col("file_id") % 6 == 1, 1).otherwise(0)).alias("size_bytes"))
+    return C.needs_index(listing, files.where("file_id % 6 <> 2")).select("file_id")
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, round(list_max(list_transform(vec, lambda x: abs(x))), 6) AS scale, list_sum(list_transform(vec, lambda x: CAST(round_even(x / list_max(list_transform(vec, lambda y: abs(y))) * 127, 0) AS BIGINT) )) AS total FROM vectors")
+def dml_quantise(s, d):
+    quant, scale = V.quantise(F.col("vec"))
+    return B.vectors(s, d).select("vec_id", F.round(scale, 6).alias("scale"), F.aggregate(quant, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT c_custkey, c_mktsegment || CASE WHEN r > 1 THEN ' (' || (r - 1) || ')' ELSE '' END || '.txt' AS dest FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS r FROM customer)")
+def dml_move_names(s, d):
+    rows = B.read(s, d, "customer").withColumn("ext", F.lit(".txt"))
+    return C.free_names(rows, "c_nationkey", "c_mktsegment", "ext", "c_custkey").select("c_custkey", "dest")
+
+
+# --- filters -------------------------------------------------------------------------------
+
+
+@query(f"WITH {FILES} SELECT file_id FROM (SELECT file_id, CASE WHEN file_id % 11 = 0 THEN '/x/~$a' || ext WHEN file_id % 13 = 0 THEN '/x/a.xyz' ELSE path END AS p FROM files) WHERE p NOT LIKE '/x/%'")
+def flt_should_process(s, d):
+    path = F.when(F.col("file_id") % 11 == 0, F.concat(F.lit("/x/~$a"), "ext")).when(F.col("file_id") % 13 == 0, "/x/a.xyz").otherwise(F.col("path"))
+    return B.files(s, d).where(T.should_process(path)).select("file_id")
+
+
+@query(f"WITH {FILES} SELECT file_id, path, size_bytes FROM files WHERE folder = 'src7' ORDER BY size_bytes DESC, file_id")
+def flt_list_files(s, d):
+    return B.files(s, d).where("folder = 'src7'").select("file_id", "path", "size_bytes").orderBy(F.desc("size_bytes"), "file_id")
+
+
+@query(f"WITH {FILES} SELECT file_id, size_bytes >= 5000 AS large, ({B.NOW} - mtime) > 365 * 86400 AS stale, kind IN ('archive','disk-image') AND ({B.NOW} - mtime) > 180 * 86400 AS old_archive, ocr_text <> '' OR ocr_used AS has_ocr FROM files")
+def flt_report_flags(s, d):
+    age = F.lit(B.NOW) - F.col("mtime")
+    return B.files(s, d).select("file_id", (F.col("size_bytes") >= 5000).alias("large"), (age > 365 * 86400).alias("stale"), (F.col("kind").isin("archive", "disk-image") & (age > 180 * 86400)).alias("old_archive"), ((F.col("ocr_text") != "") | F.col("ocr_used")).alias("has_ocr"))
+
+
+@query(f"WITH {FILES}, {QUERIES} SELECT file_id, query_id, round(CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END + CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 3) AS penalty FROM files, queries")
+def flt_soft_filters(s, d):
+    rows = B.files(s, d).crossJoin(F.broadcast(asked(s, d).select("query_id", "kinds", "date_from", "date_to")))
+    return rows.select("file_id", "query_id", F.round(S.penalties(F.col("kind"), F.col("mtime"), F.col("kinds"), F.col("date_from"), F.col("date_to")), 3).alias("penalty"))
+
+
+@query(f"WITH {FILES}, roots(root) AS (VALUES ('/src1'), ('/src1/en'), ('/src12')) SELECT file_id, root FROM files, roots WHERE path = root OR starts_with(path, root || '/')")
+def flt_watched_root(s, d):
+    roots = F.broadcast(s.createDataFrame([("/src1",), ("/src1/en",), ("/src12",)], "root string"))
+    return B.files(s, d).join(roots, (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit("/")))).select("file_id", "root")
+
+
+@query(f"WITH {FILES} SELECT file_id, 'doc_' || file_id || ext AS name, ext AS suffix FROM files")
+def flt_base_name(s, d):
+    return B.files(s, d).select("file_id", T.base_name(F.col("path")).alias("name"), T.suffix(F.col("path")).alias("suffix"))
+
+
+@query(f"WITH {FILES} SELECT file_id, path, size_bytes, 'large' AS reason FROM files WHERE size_bytes >= 5000 ORDER BY size_bytes DESC, file_id LIMIT 10")
+def flt_actionable(s, d):
+    return B.files(s, d).where("size_bytes >= 5000").orderBy(F.desc("size_bytes"), "file_id").limit(10).select("file_id", "path", "size_bytes", F.lit("large").alias("reason"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true ELSE false END AS loopback FROM pages")
+def flt_loopback(s, d):
+    host = F.when(F.col("page_id") % 6 == 0, "127.0.0.5").when(F.col("page_id") % 3 == 0, "LOCALHOST").otherwise(F.regexp_extract("url", "://([^/?#]*)", 1))
+    return B.read(s, d, "pages").select("page_id", T.is_loopback(host).alias("loopback"))
+
+
+@query("SELECT conv_id, turn, substr(trim(text), 1, 200) AS q FROM conversations WHERE role = 'user' AND trim(text) <> ''")
+def flt_valid_query(s, d):
+    return B.read(s, d, "conversations").where("role = 'user' and trim(text) != ''").select("conv_id", "turn", F.substring(F.trim("text"), 1, 200).alias("q"))
+
+
+# --- joins ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {FILES}, {CHUNKS} SELECT f.kind, count(*) AS chunks, count(DISTINCT f.file_id) AS files FROM chunks c JOIN files f USING (file_id) GROUP BY f.kind")
+def jn_chunks_files(s, d):
+    return B.chunks(s, d).join(B.files(s, d), "file_id").groupBy("kind").agg(F.count("*").alias("chunks"), F.countDistinct("file_id").alias("files"))
+
+
+@query(f"WITH {FILES}, {VECTORS} SELECT f.folder, v.space, count(*) AS n FROM vectors v JOIN files f USING (file_id) GROUP BY ALL")
+def jn_vectors_files(s, d):
+    return B.vectors(s, d).join(B.files(s, d), "file_id").groupBy("folder", "space").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.doc_id AS a, min(b.doc_id) AS first_copy FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id")
+def jn_first_copy(s, d):
+    docs = B.read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_copy"))
+    return docs.join(first, "h").where("first_copy < doc_id").select(F.col("doc_id").alias("a"), "first_copy")
+
+
+# --- aggregates ----------------------------------------------------------------------------
+
+
+@query(f"WITH {FILES}, {CHUNKS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM files WHERE kind = 'image') AS images, (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM files) AS bytes")
+def agg_stats(s, d):
+    one = B.files(s, d).agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "image").alias("images"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    return one.crossJoin(B.chunks(s, d).agg(F.count("*").alias("chunks"))).select("files", "chunks", "images", "bytes")
+
+
+for _name, _by, _top in (("agg_by_kind", "kind", None), ("agg_by_extension", "ext", 10), ("agg_by_folder", "folder", 10)):
+    _QUERIES[_name] = lambda s, d, by=_by, top=_top: R.breakdown(B.files(s, d), by, top)
+    _SQL[_name] = f"WITH {FILES} SELECT {_by}, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM files GROUP BY {_by} ORDER BY bytes DESC, {_by}" + (f" LIMIT {_top}" if _top else "")
+
+
+@query(f"WITH {FILES} SELECT folder, kind, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM files GROUP BY folder, kind")
+def agg_folder_kinds(s, d):
+    return B.files(s, d).groupBy("folder", "kind").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+
+
+@query(f"WITH {FILES}, {VECTORS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE ocr_text <> '' OR ocr_used) AS ocr_files, (SELECT count(*) FROM vectors) AS vectors, (SELECT CAST(sum(len(vec) * 4) AS BIGINT) FROM vectors) AS vector_bytes")
+def agg_composition(s, d):
+    one = B.files(s, d).agg(F.count("*").alias("files"), F.count_if((F.col("ocr_text") != "") | F.col("ocr_used")).alias("ocr_files"))
+    return one.crossJoin(B.vectors(s, d).agg(F.count("*").alias("vectors"), F.sum(F.size("vec") * 4).alias("vector_bytes")))
+
+
+_DUPES = "dup AS (SELECT file_id, size_bytes, sha256(text) AS digest, CAST(row_number() OVER (PARTITION BY size_bytes, sha256(text) ORDER BY file_id) > 1 AS INT) AS copy, count(*) OVER (PARTITION BY size_bytes, sha256(text)) AS n FROM files WHERE size_bytes > 0)"
+
+
+@query(f"WITH {FILES}, {_DUPES} SELECT file_id, size_bytes, digest, copy FROM dup WHERE n > 1")
+def agg_duplicates(s, d):
+    return R.duplicates(_with_text(s, d))
+
+
+def _with_text(s, d):
+    return B.files(s, d).select("file_id", "size_bytes").join(B.read(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text"), "file_id")
+
+
+@query(f"""WITH {FILES}, {_DUPES}, one AS (SELECT 0 AS position, 'large' AS reason, count(*) AS files, coalesce(sum(size_bytes), 0) AS bytes FROM files WHERE size_bytes >= 5000 UNION ALL SELECT 1, 'stale', count(*), coalesce(sum(size_bytes), 0) FROM files WHERE {B.NOW} - mtime > 365 * 86400
+ UNION ALL SELECT 2, 'archives', count(*), coalesce(sum(size_bytes), 0) FROM files WHERE kind IN ('archive','disk-image') AND {B.NOW} - mtime > 180 * 86400 UNION ALL SELECT 3, 'duplicates', count(*), coalesce(sum(size_bytes), 0) FROM dup WHERE n > 1 AND copy = 1) SELECT position, reason, files, CAST(bytes AS BIGINT) AS bytes FROM one WHERE files > 0""")
+def agg_cards(s, d):
+    return R.cards(B.files(s, d), R.duplicates(_with_text(s, d)), B.NOW, 5000)
+
+
+_QUANTILE = "CASE WHEN len(a) = 1 THEN a[1] ELSE (a[greatest(least({i} * (len(a) + 1) // 20, len(a) - 1), 1)] * (20 - ({i} * (len(a) + 1) - 20 * greatest(least({i} * (len(a) + 1) // 20, len(a) - 1), 1))) + a[greatest(least({i} * (len(a) + 1) // 20, len(a) - 1), 1) + 1] * ({i} * (len(a) + 1) - 20 * greatest(least({i} * (len(a) + 1) // 20, len(a) - 1), 1))) / 20 END"
+_P = f"CAST(len(a) AS INT) AS n, round({_QUANTILE.format(i=10)}, 1) AS p50, round({_QUANTILE.format(i=19)}, 1) AS p95"
+
+
+@query(f"SELECT {_P} FROM (SELECT list(value ORDER BY value) AS a FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100))")
+def agg_latency(s, d):
+    return R.latency(B.read(s, d, "events").select(F.col("value").alias("ms"), "ts", "event_id"))
+
+
+@query(f"SELECT backend, {_P} FROM (SELECT backend, list(value ORDER BY value) AS a FROM (SELECT event_type AS backend, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100 GROUP BY backend)")
+def agg_latency_backend(s, d):
+    return R.latency(B.read(s, d, "events").select(F.col("value").alias("ms"), "ts", "event_id", F.col("event_type").alias("backend")), by="backend")
+
+
+@query("SELECT event_type, a[CAST(round_even(0.5 * (len(a) - 1), 0) AS INT) + 1] AS p50, a[CAST(round_even(0.95 * (len(a) - 1), 0) AS INT) + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS a FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 200 GROUP BY event_type)")
+def agg_nearest_rank(s, d):
+    first = B.read(s, d, "events").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("r <= 200")
+    a = first.groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("a"))
+    return a.select("event_type", *[F.get("a", F.bround(q * (F.size("a") - 1)).cast("int")).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))])
+
+
+_EXACT = f"""{VECTORS}, ranked AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20)"""
+
+
+def _ranked(s, d):
+    own = B.read(s, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(0).alias("ordinal"), F.col("embedding").cast("array<double>").alias("vec"))
+    hits = S.cosine(own, own.where("file_id < 20").select(F.col("file_id").alias("query_id"), F.col("vec").alias("query_vec")))
+    return S.top_k(hits, 50, F.desc(F.round("score", 9)), F.asc("file_id"))
+
+
+@query(f"WITH {_EXACT} SELECT query_id, sum(CAST(vec_id % 3 <> 0 AS INT)) / 10.0::DOUBLE AS recall FROM ranked WHERE rank <= 10 GROUP BY query_id")
+def agg_recall(s, d):
+    truth = _ranked(s, d).where("rank <= 10").groupBy("query_id").agg(F.collect_set("file_id").alias("truth"))
+    got = truth.select("query_id", "truth", F.filter("truth", lambda x: x % 3 != 0).alias("got"))
+    return got.select("query_id", (F.size(F.array_intersect("got", "truth")) / 10.0).alias("recall"))
+
+
+@query(f"WITH {_EXACT}, hit AS (SELECT r.query_id, min(r.rank) AS rank FROM ranked r JOIN embeddings q ON q.vec_id = r.query_id WHERE r.vec_id <> r.query_id AND r.label = q.label AND r.rank <= 50 GROUP BY r.query_id) SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(rank <= 3 AS INT)), 6) AS top3 FROM hit")
+def agg_mrr(s, d):
+    label = B.read(s, d, "embeddings").select("vec_id", "label")
+    rows = _ranked(s, d).where("file_id != query_id").join(label.select(F.col("vec_id").alias("file_id"), "label"), "file_id").join(F.broadcast(label.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))), "query_id")
+    hit = rows.where("label = own").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return hit.agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.round(F.avg((F.col("rank") <= 3).cast("int")), 6).alias("top3"))
+
+
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(f"WITH {CHUNKS}, tok AS (SELECT file_id, ordinal, {_TOK} AS t FROM chunks) SELECT term, count(*) AS df, (SELECT count(*) FROM tok) AS n, (SELECT round(avg(len(t)), 6) FROM tok) AS avg_len FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY term")
+def agg_bm25_stats(s, d):
+    tok = B.chunks(s, d).select(T.tokens(F.col("text")).alias("t"))
+    df = tok.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(tok.agg(F.count("*").alias("n"), F.round(F.avg(F.size("t")), 6).alias("avg_len"))))
+
+
+# --- windows and ranking ---------------------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS} SELECT file_id, ordinal, md5(text) AS digest FROM chunks")
+def w_chunks(s, d):
+    return B.chunks(s, d).select("file_id", "ordinal", F.md5("text").alias("digest"))
+
+
+@query("SELECT user_id, min(h) AS first_hour, count(*) AS hours FROM (SELECT user_id, h, h - row_number() OVER (PARTITION BY user_id ORDER BY h) AS island FROM (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events)) GROUP BY user_id, island HAVING count(*) >= 2")
+def w_islands(s, d):
+    hours = B.read(s, d, "events").select("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).distinct()
+    island = F.col("h") - F.row_number().over(Window.partitionBy("user_id").orderBy("h"))
+    return hours.withColumn("island", island).groupBy("user_id", "island").agg(F.min("h").alias("first_hour"), F.count("*").alias("hours")).where("hours >= 2").drop("island")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS mean, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM events")
+def w_rolling(s, d):
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
+    return B.read(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 4).alias("mean"), F.count("*").over(w).alias("n"))
+
+
+# --- search ----------------------------------------------------------------------------------
+
+_BM25 = rf"""terms AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM queries) GROUP BY ALL),
+ ctok AS (SELECT file_id, ordinal, {_TOK} AS t FROM chunks), cpost AS (SELECT file_id, ordinal, len, term, count(*) AS tf FROM (SELECT file_id, ordinal, len(t) AS len, unnest(t) AS term FROM ctok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+ cstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ctok), cdf AS (SELECT term, count(*) AS df FROM cpost GROUP BY term),
+ cscore AS (SELECT query_id, file_id, ordinal, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM cpost JOIN cdf USING (term) JOIN terms USING (term), cstat GROUP BY ALL)"""
+
+
+@query(f"WITH {QUERIES}, {CHUNKS}, {_BM25} SELECT query_id, file_id, ordinal, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id, ordinal) AS rank FROM cscore) WHERE rank <= 36")
+def sr_keyword_topk(s, d):
+    hits = S.bm25(B.chunks(s, d), ["file_id", "ordinal"], "text", asked(s, d))
+    return S.top_k(hits, 36, F.desc(F.round("score", 9)), F.asc("file_id"), F.asc("ordinal")).withColumn("score", F.round("score", 6))
+
+
+_DENSE = f"{VECTORS}, dense AS (SELECT q.query_id, v.file_id, v.ordinal, v.space, list_cosine_similarity(v.vec, e.vec) AS score FROM queries q JOIN vectors e ON e.vec_id = q.query_id, vectors v)"
+
+
+@query(f"WITH {QUERIES}, {_DENSE} SELECT query_id, file_id, ordinal, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id, ordinal) AS rank FROM dense WHERE space = 'text') WHERE rank <= 24")
+def sr_vector_topk(s, d):
+    hits = S.cosine(B.vectors(s, d).where("space = 'text'"), asked(s, d))
+    return S.top_k(hits, 24, F.desc(F.round("score", 9)), F.asc("file_id"), F.asc("ordinal")).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {QUERIES}, {_DENSE} SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY max(round(score, 9)) DESC, file_id) AS rank FROM dense GROUP BY query_id, file_id")
+def w_first_per_file(s, d):
+    hits = S.cosine(B.vectors(s, d), asked(s, d)).withColumn("score", F.round("score", 9))
+    return S.first_per_file(hits).select("query_id", "file_id", "rank")
+
+
+def _cut(source: str, k: int, order: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS cut FROM ({source})) WHERE cut <= {k}"
+
+
+def _list(source: str) -> str:
+    return f"SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, file_id) AS rank FROM ({source}) GROUP BY query_id, file_id"
+
+
+_NAME = r"""ftok AS (SELECT file_id, regexp_extract_all(lower(concat_ws(' ', path, ocr_text)), '[\p{L}\p{N}]+') AS t FROM files), fpost AS (SELECT file_id, len, term, count(*) AS tf FROM (SELECT file_id, len(t) AS len, unnest(t) AS term FROM ftok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+ fstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ftok), fdf AS (SELECT term, count(*) AS df FROM fpost GROUP BY term),
+ fscore AS (SELECT query_id, file_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM fpost JOIN fdf USING (term) JOIN terms USING (term), fstat GROUP BY ALL)"""
+_HYBRID = f"""WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, {_DENSE},
+ l1 AS ({_list(_cut("SELECT * FROM cscore", 36, "score DESC, file_id, ordinal"))}), l2 AS (SELECT query_id, file_id, cut AS rank FROM ({_cut("SELECT * FROM fscore", 36, "score DESC, file_id")})),
+ l3 AS ({_list(_cut("SELECT * FROM dense WHERE space = 'text'", 24, "score DESC, file_id, ordinal"))}), l4 AS ({_list(_cut("SELECT * FROM dense WHERE space = 'image'", 12, "score DESC, file_id, ordinal"))}),
+ fused AS (SELECT query_id, file_id, sum(1.0 / (60 + rank)) AS rrf, CASE WHEN max(dn) = 1 AND min(dn) = 0 THEN 'both' WHEN max(dn) = 1 THEN 'semantic' ELSE 'keyword' END AS matched_via FROM (SELECT *, 0 AS dn FROM l1 UNION ALL SELECT *, 0 FROM l2 UNION ALL SELECT *, 1 FROM l3 UNION ALL SELECT *, 1 FROM l4) GROUP BY query_id, file_id),
+ scored AS (SELECT query_id, file_id, path, kind, matched_via, rrf, round(rrf + CASE WHEN ({B.NOW} - mtime) / 86400.0 < 30 THEN greatest(0.10 * (1 - ({B.NOW} - mtime) / 86400.0 / 30.0), 0) ELSE 0 END * 0.05 / 0.10 - CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END - CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 4) AS score FROM fused JOIN files USING (file_id) JOIN queries USING (query_id))
+ SELECT query_id, file_id, path, kind, matched_via, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(rrf, 9) DESC, file_id) AS rank FROM scored) WHERE rank <= 12"""
+
+
+@query(_HYBRID)
+def sr_hybrid(s, d):
+    return S.hybrid(asked(s, d), B.files(s, d), B.chunks(s, d), B.vectors(s, d), B.NOW).drop("rrf")
+
+
+@query(f"WITH {FILES} SELECT file_id, round(CASE WHEN ({B.NOW} - mtime) / 86400.0 < 30 THEN 0.10 * (1 - ({B.NOW} - mtime) / 86400.0 / 30.0) ELSE 0 END, 6) AS boost FROM files")
+def sr_recency(s, d):
+    return B.files(s, d).select("file_id", F.round(S.recency(F.col("mtime"), B.NOW), 6).alias("boost"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, lower(text) || CASE conv_id % 4 WHEN 0 THEN ' last month' WHEN 1 THEN ' in March' WHEN 2 THEN ' open the invoice' ELSE ' photo' END AS t FROM conversations WHERE role = 'user')
+ SELECT conv_id, turn, contains(lower(t), 'invoice') AS has_doc, contains(lower(t), 'photo') OR contains(lower(t), 'pen') AS has_image FROM q WHERE NOT regexp_matches(lower(t), 'picture|image|screenshot|pic|drawing|document|pdf|notes|report|bill')""")
+def sr_kind_hints(s, d):
+    tail = F.get(F.array(*map(F.lit, [" last month", " in March", " open the invoice", " photo"])), (F.col("conv_id") % 4).cast("int"))
+    rows = B.read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lower("text"), tail).alias("t")).where("not lower(t) rlike 'picture|image|screenshot|pic|drawing|document|pdf|notes|report|bill'")
+    return rows.select("conv_id", "turn", F.array_contains(W.kinds(F.col("t")), "doc").alias("has_doc"), F.array_contains(W.kinds(F.col("t")), "image").alias("has_image"))
+
+
+@query("""SELECT o_orderkey, CAST(epoch(CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate) - INTERVAL 1 MONTH ELSE date_trunc('year', o_orderdate) + INTERVAL 2 MONTH END) AS DOUBLE) AS date_from,
+ CAST(epoch(CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('year', o_orderdate) + INTERVAL 3 MONTH END) AS DOUBLE) AS date_to FROM orders""")
+def sr_date_phrase(s, d):
+    text = F.when(F.col("o_orderkey") % 2 == 0, "bills from last month in May").otherwise("invoices of March")
+    return B.read(s, d, "orders").select("o_orderkey", W.date_range(text, F.col("o_orderdate").cast("date")).alias("r")).select("o_orderkey", "r.*")
+
+
+@query()
+def sr_expanded_terms(s, d):
+    return B.read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", W.expanded_terms(F.concat(F.lit("error invoice "), F.substring("text", 1, 200))).alias("terms"))
+
+
+_SNIP = "CASE WHEN hit IS NULL THEN substr(text, 1, 220) ELSE (CASE WHEN greatest(p - 81, 0) > 0 THEN '…' ELSE '' END) || substr(text, CAST(greatest(p - 81, 0) + 1 AS INT), CAST(least(p - 1 + 160, length(text)) - greatest(p - 81, 0) AS INT)) || (CASE WHEN least(p - 1 + 160, length(text)) < length(text) THEN '…' ELSE '' END) END"
+
+
+@query(f"WITH h AS (SELECT doc_id, text, list_filter(['zukeit', 'with', 'pour'], lambda t: contains(lower(text), t))[1] AS hit FROM documents), p AS (SELECT *, instr(lower(text), hit) AS p FROM h) SELECT doc_id, {_SNIP} AS snippet FROM p")
+def sr_snippet(s, d):
+    return B.read(s, d, "documents").select("doc_id", T.snippet(F.col("text"), F.array(*map(F.lit, ["zukeit", "with", "pour"]))).alias("snippet"))
+
+
+@query("SELECT doc_id, len(string_split(replace(text, ' the ', ' <mark>the</mark> '), '<mark>')) - 1 AS marks FROM documents")
+def sr_mark_split(s, d):
+    marked = F.replace(F.col("text"), F.lit(" the "), F.lit(" <mark>the</mark> "))
+    return B.read(s, d, "documents").select("doc_id", (F.size(F.split(marked, "<mark>")) - 1).cast("long").alias("marks"))
+
+
+# --- embeddings and scalar functions -----------------------------------------------------------
+
+_BYTE = lambda i: f"CAST(('0x' || substr(h, {2 * i + 1}, 2)) AS INT)"
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}'']+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ m AS (SELECT doc_id, md5(gram) AS h, count(*) AS m FROM g GROUP BY doc_id, gram), s AS (SELECT doc_id, ({_BYTE(0)} + 256 * (({" + ".join(_BYTE(i) for i in range(1, 8))}) % 3)) % 768 AS bucket, sum(CASE WHEN {_BYTE(1)} % 2 = 1 THEN m ELSE -m END) AS w FROM m GROUP BY ALL)
+ SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s WHERE w <> 0""")
+def emb_hashing(s, d):
+    return V.hashed_features(B.read(s, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS norm, round(vec[1] / sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS first FROM vectors")
+def emb_normalise(s, d):
+    return B.vectors(s, d).select("vec_id", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.get(V.normalised(F.col("vec")), F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_concat(a, list_transform(range(8 - len(a)), lambda i: 0)), ',') AS ids FROM (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS a FROM lineitem GROUP BY l_orderkey)")
+def emb_pad(s, d):
+    rows = B.read(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("a"))
+    return rows.select("l_orderkey", F.array_join(V.padded(F.col("a"), 8), ",").alias("ids"))
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS human FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS b FROM orders)")
+def fn_human_size(s, d):
+    return B.read(s, d, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("human"))
+
+
+@query(f"SELECT doc_id, len({_WORDS}) AS n_words, md5(array_to_string({_WORDS}, ' ')) AS digest FROM documents")
+def fn_words(s, d):
+    return B.read(s, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"), F.md5(F.array_join(T.words(F.col("text")), " ")).alias("digest"))
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, (file_id << 20) | ordinal AS packed FROM vectors")
+def fn_packed_row(s, d):
+    return B.vectors(s, d).select("vec_id", T.packed_row(F.col("file_id"), F.col("ordinal")).alias("packed"))
+
+
+@query(f"WITH {FILES} SELECT kind, round(greatest(2, sum(size_bytes) * 100.0::DOUBLE / max(sum(size_bytes)) OVER ()), 4) AS width FROM files GROUP BY kind")
+def fn_bar_width(s, d):
+    sums = B.files(s, d).groupBy("kind").agg(F.sum("size_bytes").alias("b"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.max("b").alias("top")))).select("kind", F.round(F.greatest(F.lit(2.0), F.col("b") * 100.0 / F.col("top")), 4).alias("width"))
+
+
+@query("SELECT p_partkey, upper(substr(p_brand, 1, 1)) || substr(p_brand, 2) AS shown, CASE WHEN regexp_matches(p_type, '[0-9]') THEN p_type ELSE upper(substr(p_type, 1, 1)) || substr(p_type, 2) END AS kind FROM (SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '[0-9]') THEN upper(p_brand) ELSE p_brand END AS p_brand, lower(p_type) AS p_type FROM part)")
+def fn_capitalised(s, d):
+    rows = B.read(s, d, "part").select("p_partkey", F.when(F.col("p_brand").rlike("[0-9]"), F.upper("p_brand")).otherwise(F.col("p_brand")).alias("b"), F.lower("p_type").alias("t"))
+    return rows.select("p_partkey", T.capitalised(F.col("b")).alias("shown"), T.capitalised(F.col("t")).alias("kind"))
+
+
+# --- change stream (batch forms) and table client ------------------------------------------------
+
+
+@query(f"WITH {CHANGES} SELECT path, CAST(floor(epoch(ts) / 2) * 2 AS BIGINT) AS start, arg_max(kind, (ts, event_id)) AS kind, count(*) AS n FROM changes GROUP BY ALL")
+def st_coalesced(s, d):
+    return C.coalesced(B.changes(s, d))
+
+
+@query(f"WITH {CHANGES} SELECT kind, count(*) AS n FROM changes GROUP BY kind")
+def st_running_count(s, d):
+    return B.changes(s, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHANGES} SELECT path FROM (SELECT path, arg_max(kind, (ts, event_id)) AS k FROM changes GROUP BY path) WHERE k = 'changed'")
+def st_live_paths(s, d):
+    return B.changes(s, d).groupBy("path").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("k")).where("k = 'changed'").select("path")
+
+
+@query("SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def st_tumbling(s, d):
+    rows = B.read(s, d, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return rows.select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
+def cl_paginate(s, d):
+    return B.read(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(20).limit(10).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def cl_facet_counts(s, d):
+    return B.read(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND contains(lower(c_name), '1')")
+def cl_column_filter(s, d):
+    return B.read(s, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & F.lower("c_name").contains("1")).select("c_custkey", "c_name")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid search."""
+    return sr_hybrid(spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
