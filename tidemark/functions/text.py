@@ -39,9 +39,9 @@ def chunk_count(n_words: Column) -> Column:
     return F.when(n_words == 0, 0).when(n_words <= CHUNK_WORDS, 1).otherwise(F.ceil((n_words - CHUNK_WORDS) / CHUNK_STEP) + 1).cast("int")
 
 
-def chunks(text: Column) -> Column:
-    """Overlapping word windows of a text, in order."""
-    own = split_words(text)
+def chunks(own: Column) -> Column:
+    """Overlapping windows of a text's words, in order. ``own`` is a column that holds the
+    words, not an expression, which would be worked out again for each window."""
     at = F.sequence(F.lit(1), F.greatest(chunk_count(F.size(own)), F.lit(1)))
     made = F.transform(at, lambda i: F.array_join(F.slice(own, (i - 1) * CHUNK_STEP + 1, CHUNK_WORDS), " "))
     return F.when(F.size(own) > 0, made).otherwise(F.array().cast("array<string>"))

@@ -40,7 +40,12 @@ def padded(ids: Column, length: Column | int, fill: int = 0) -> Column:
 
 def grams(own: Column) -> Column:
     """All runs of one, two and three words."""
-    runs = [own] + [F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(own, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (2, 3)]
+
+    def run(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(1)))
+        return F.when(F.size(own) >= n, F.transform(at, lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = [own, run(2), run(3)]
     return F.concat(*runs)
 
 
@@ -50,7 +55,8 @@ def hashed_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A gram's hash is the little-endian number of the first eight bytes of its MD5, its
     bucket that number modulo 768, which is (b0 + 256 ((b1 + ... + b7) mod 3)) mod 768; its sign the
     lowest bit of b1."""
-    each = rows.select(id_col, F.explode(grams(words(F.col(text_col)))).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("m"))
+    own = rows.select(id_col, words(F.col(text_col)).alias("words"))
+    each = own.select(id_col, F.explode(grams(F.col("words"))).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("m"))
     byte = [F.conv(F.substring("md5", 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)]
     each = each.withColumn("md5", F.md5("gram"))
     bucket = (byte[0] + 256 * (reduce(lambda x, y: x + y, byte[1:]) % 3)) % HASH_DIMENSIONS

@@ -193,7 +193,7 @@ def flt_report_flags(s, d):
     return B.files(s, d).select("file_id", (F.col("size_bytes") >= 5000).alias("large"), (age > 365 * 86400).alias("stale"), (F.col("kind").isin("archive", "disk-image") & (age > 180 * 86400)).alias("old_archive"), ((F.col("ocr_text") != "") | F.col("ocr_used")).alias("has_ocr"))
 
 
-@query(f"WITH {FILES}, {QUERIES} SELECT file_id, query_id, round(CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END + CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 3) AS penalty FROM files, queries")
+@query(f"WITH {FILES}, {QUERIES} SELECT file_id, query_id, round(CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END + CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 3)::DOUBLE AS penalty FROM files, queries")
 def flt_soft_filters(s, d):
     rows = B.files(s, d).crossJoin(F.broadcast(asked(s, d).select("query_id", "kinds", "date_from", "date_to")))
     return rows.select("file_id", "query_id", F.round(S.penalties(F.col("kind"), F.col("mtime"), F.col("kinds"), F.col("date_from"), F.col("date_to")), 3).alias("penalty"))
@@ -359,10 +359,10 @@ def w_islands(s, d):
     return hours.withColumn("island", island).groupBy("user_id", "island").agg(F.min("h").alias("first_hour"), F.count("*").alias("hours")).where("hours >= 2").drop("island")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS mean, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM events")
 def w_rolling(s, d):
     w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return B.read(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 4).alias("mean"), F.count("*").over(w).alias("n"))
+    return B.read(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 9).alias("mean"), F.count("*").over(w).alias("n"))
 
 
 # --- search ----------------------------------------------------------------------------------
@@ -409,7 +409,7 @@ _HYBRID = f"""WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, {_DENSE},
  l1 AS ({_list(_cut("SELECT * FROM cscore", 36, "score DESC, file_id, ordinal"))}), l2 AS (SELECT query_id, file_id, cut AS rank FROM ({_cut("SELECT * FROM fscore", 36, "score DESC, file_id")})),
  l3 AS ({_list(_cut("SELECT * FROM dense WHERE space = 'text'", 24, "score DESC, file_id, ordinal"))}), l4 AS ({_list(_cut("SELECT * FROM dense WHERE space = 'image'", 12, "score DESC, file_id, ordinal"))}),
  fused AS (SELECT query_id, file_id, sum(1.0 / (60 + rank)) AS rrf, CASE WHEN max(dn) = 1 AND min(dn) = 0 THEN 'both' WHEN max(dn) = 1 THEN 'semantic' ELSE 'keyword' END AS matched_via FROM (SELECT *, 0 AS dn FROM l1 UNION ALL SELECT *, 0 FROM l2 UNION ALL SELECT *, 1 FROM l3 UNION ALL SELECT *, 1 FROM l4) GROUP BY query_id, file_id),
- scored AS (SELECT query_id, file_id, path, kind, matched_via, rrf, round(rrf + CASE WHEN ({B.NOW} - mtime) / 86400.0 < 30 THEN greatest(0.10 * (1 - ({B.NOW} - mtime) / 86400.0 / 30.0), 0) ELSE 0 END * 0.05 / 0.10 - CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END - CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 4) AS score FROM fused JOIN files USING (file_id) JOIN queries USING (query_id))
+ scored AS (SELECT query_id, file_id, path, kind, matched_via, rrf, round(round(rrf + CASE WHEN ({B.NOW} - mtime) / 86400.0 < 30 THEN greatest(0.10 * (1 - ({B.NOW} - mtime) / 86400.0 / 30.0), 0) ELSE 0 END * 0.05 / 0.10 - CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END - CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 9), 4) AS score FROM fused JOIN files USING (file_id) JOIN queries USING (query_id))
  SELECT query_id, file_id, path, kind, matched_via, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(rrf, 9) DESC, file_id) AS rank FROM scored) WHERE rank <= 12"""
 
 
@@ -463,7 +463,7 @@ _BYTE = lambda i: f"CAST(('0x' || substr(h, {2 * i + 1}, 2)) AS INT)"  # noqa: E
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}'']+')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION ALL SELECT doc_id, unnest(list_transform(list_zip(w[1:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM w WHERE len(w) > 1 UNION ALL SELECT doc_id, unnest(list_transform(list_zip(w[1:-3], w[2:-2], w[3:]), lambda p: p[1] || ' ' || p[2] || ' ' || p[3])) FROM w WHERE len(w) > 2),
  m AS (SELECT doc_id, md5(gram) AS h, count(*) AS m FROM g GROUP BY doc_id, gram), s AS (SELECT doc_id, ({_BYTE(0)} + 256 * (({" + ".join(_BYTE(i) for i in range(1, 8))}) % 3)) % 768 AS bucket, sum(CASE WHEN {_BYTE(1)} % 2 = 1 THEN m ELSE -m END) AS w FROM m GROUP BY ALL)
  SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s WHERE w <> 0""")
 def emb_hashing(s, d):
@@ -481,7 +481,7 @@ def emb_pad(s, d):
     return rows.select("l_orderkey", F.array_join(V.padded(F.col("a"), 8), ",").alias("ids"))
 
 
-@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS human FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS b FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) WHEN b < 1073741824 THEN printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(b / 1073741824.0::DOUBLE * 10 + 0.5) / 10) END AS human FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS b FROM orders)")
 def fn_human_size(s, d):
     return B.read(s, d, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("human"))
 

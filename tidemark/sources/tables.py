@@ -26,7 +26,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(T.chunks(F.col("text"))).alias("ordinal", "text"))
+    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), T.split_words(F.col("text")).alias("words"))
+    return own.select("file_id", F.posexplode(T.chunks(F.col("words"))).alias("ordinal", "text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
