@@ -94,6 +94,7 @@ def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: Dat
     fused = fuse(keyword_chunk=first_per_file(by_chunk.drop("rank")), keyword_file=by_file, dense_text=first_per_file(dense.drop("rank")), dense_image=first_per_file(looks.drop("rank")))
     rows = files.join(F.broadcast(fused), "file_id").join(F.broadcast(queries.select("query_id", "kinds", "date_from", "date_to")), "query_id")
     penalty = penalties(F.col("kind"), F.col("mtime"), F.col("kinds"), F.col("date_from"), F.col("date_to"))
-    score = F.round(F.round(F.col("rrf") + recency(F.col("mtime"), now) * 0.05 / 0.10 - penalty, 9), 4)
+    # the small addend rounds exact halves up, whatever their last bit
+    score = F.round(F.col("rrf") + 1e-9 + recency(F.col("mtime"), now) * 0.05 / 0.10 - penalty, 4)
     scored = rows.select("query_id", "file_id", "path", "kind", "matched_via", "rrf", score.alias("score"))
     return top_k(scored, k, F.desc("score"), F.desc(F.round("rrf", 9)), F.asc("file_id"))
