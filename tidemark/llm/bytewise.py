@@ -7,6 +7,9 @@ object is made for a word. A word is a run of bytes other than space and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +18,24 @@ import pyarrow as pa
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes, fixed so that hashes agree between runs.
 BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Tables that operators keep in a Python worker between tasks, by operator.
+kept: dict[str, dict] = {}
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def claim(operator: str) -> dict:
+    """The operator's own tables in this worker; those of other operators are let go, as
+    workers outlive a query and their memory is shared by all."""
+    others = [name for name in kept if name != operator]
+    for name in others:
+        del kept[name]
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    return kept.setdefault(operator, {})
+
+
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, or those of its inverse."""
     have = _powers.get((base, inverse))

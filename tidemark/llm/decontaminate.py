@@ -107,6 +107,7 @@ def window_column(wanted: np.ndarray | None = None):
 
     @F.arrow_udf("array<struct<h:bigint,pos:int>>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bytewise.claim("decontaminate")
         for batch in texts:
             out = []
             for piece in bytewise.pieces(batch):

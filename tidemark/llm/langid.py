@@ -62,9 +62,10 @@ class TextModel:
 
         @F.arrow_udf("array<double>")
         def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            bytewise.claim("langid")
             for batch in texts:
                 rows, counts = [], []
-                for piece in bytewise.pieces(batch):
+                for piece in bytewise.pieces(batch, 1 << 18):
                     buckets, bounds = trigrams(*bytewise.buffers(piece))
                     sums = np.zeros((len(buckets) + 1, table.shape[1]))
                     np.cumsum(table[buckets], axis=0, out=sums[1:])
@@ -92,6 +93,7 @@ def fit_text(rows: DataFrame) -> TextModel:
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytewise.claim("langid")
         sums = np.zeros((len(languages), BUCKETS))
         for batch in batches:
             which = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)

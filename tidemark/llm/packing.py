@@ -122,17 +122,15 @@ class WordEncoder:
         return self.ids[self.start[at][owner] + place], ends[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def pieces_of(path: str, tokens: int, separator: int = 0):
     """A column function: text to its pieces (piece, start, length, ids_crc32)."""
 
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
+        encoders = bytewise.claim("packing")
+        if path not in encoders:
+            encoders[path] = WordEncoder(path)
+        encoder = encoders[path]
         for batch in texts:
             out = []
             for part in bytewise.pieces(batch, 1 << 20):

@@ -52,6 +52,7 @@ def fingerprints(width: int = 3, seed: int = 42):
 
     @F.arrow_udf("long")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bytewise.claim("simhash")
         for batch in texts:
             raw, ends = bytewise.buffers(batch)
             raw = raw.tobytes()
