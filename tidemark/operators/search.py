@@ -86,11 +86,12 @@ def penalties(kind: Column, mtime: Column, kinds: Column, date_from: Column, dat
 
 def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12) -> DataFrame:
     """The full search over ``queries`` (query_id, query, query_vec, kinds, date_from, date_to)."""
-    by_chunk = top_k(bm25(chunks, ["file_id", "ordinal"], "text", queries), 3 * k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
+    even = lambda hits: hits.withColumn("score", F.round("score", 9))  # noqa: E731  equal scores tie, whatever their last bits
+    by_chunk = top_k(even(bm25(chunks, ["file_id", "ordinal"], "text", queries)), 3 * k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
     named = files.select("file_id", F.concat_ws(" ", "path", "ocr_text").alias("name"))
-    by_file = top_k(bm25(named, ["file_id"], "name", queries), 3 * k, F.desc("score"), F.asc("file_id"))
-    dense = top_k(cosine(vectors.where("space = 'text'"), queries), 2 * k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
-    looks = top_k(cosine(vectors.where("space = 'image'"), queries), k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
+    by_file = top_k(even(bm25(named, ["file_id"], "name", queries)), 3 * k, F.desc("score"), F.asc("file_id"))
+    dense = top_k(even(cosine(vectors.where("space = 'text'"), queries)), 2 * k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
+    looks = top_k(even(cosine(vectors.where("space = 'image'"), queries)), k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
     fused = fuse(keyword_chunk=first_per_file(by_chunk.drop("rank")), keyword_file=by_file, dense_text=first_per_file(dense.drop("rank")), dense_image=first_per_file(looks.drop("rank")))
     rows = files.join(F.broadcast(fused), "file_id").join(F.broadcast(queries.select("query_id", "kinds", "date_from", "date_to")), "query_id")
     penalty = penalties(F.col("kind"), F.col("mtime"), F.col("kinds"), F.col("date_from"), F.col("date_to"))

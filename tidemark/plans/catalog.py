@@ -406,8 +406,8 @@ _NAME = r"""ftok AS (SELECT file_id, regexp_extract_all(lower(concat_ws(' ', pat
  fstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ftok), fdf AS (SELECT term, count(*) AS df FROM fpost GROUP BY term),
  fscore AS (SELECT query_id, file_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM fpost JOIN fdf USING (term) JOIN terms USING (term), fstat GROUP BY ALL)"""
 _HYBRID = f"""WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, {_DENSE},
- l1 AS ({_list(_cut("SELECT * FROM cscore", 36, "score DESC, file_id, ordinal"))}), l2 AS (SELECT query_id, file_id, cut AS rank FROM ({_cut("SELECT * FROM fscore", 36, "score DESC, file_id")})),
- l3 AS ({_list(_cut("SELECT * FROM dense WHERE space = 'text'", 24, "score DESC, file_id, ordinal"))}), l4 AS ({_list(_cut("SELECT * FROM dense WHERE space = 'image'", 12, "score DESC, file_id, ordinal"))}),
+ l1 AS ({_list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM cscore", 36, "score DESC, file_id, ordinal"))}), l2 AS (SELECT query_id, file_id, cut AS rank FROM ({_cut("SELECT query_id, file_id, round(score, 9) AS score FROM fscore", 36, "score DESC, file_id")})),
+ l3 AS ({_list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM dense WHERE space = 'text'", 24, "score DESC, file_id, ordinal"))}), l4 AS ({_list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM dense WHERE space = 'image'", 12, "score DESC, file_id, ordinal"))}),
  fused AS (SELECT query_id, file_id, sum(1.0 / (60 + rank)) AS rrf, CASE WHEN max(dn) = 1 AND min(dn) = 0 THEN 'both' WHEN max(dn) = 1 THEN 'semantic' ELSE 'keyword' END AS matched_via FROM (SELECT *, 0 AS dn FROM l1 UNION ALL SELECT *, 0 FROM l2 UNION ALL SELECT *, 1 FROM l3 UNION ALL SELECT *, 1 FROM l4) GROUP BY query_id, file_id),
  scored AS (SELECT query_id, file_id, path, kind, matched_via, rrf, round(rrf + 1e-9 + CASE WHEN ({B.NOW} - mtime) / 86400.0 < 30 THEN greatest(0.10 * (1 - ({B.NOW} - mtime) / 86400.0 / 30.0), 0) ELSE 0 END * 0.05 / 0.10 - CASE WHEN list_contains(kinds,'image') AND NOT list_contains(kinds,'doc') AND kind <> 'image' THEN 0.05 ELSE 0 END - CASE WHEN query_id = 2 AND NOT mtime BETWEEN {RANGE[0]} AND {RANGE[1]} THEN 0.05 ELSE 0 END, 4) AS score FROM fused JOIN files USING (file_id) JOIN queries USING (query_id))
  SELECT query_id, file_id, path, kind, matched_via, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(rrf, 9) DESC, file_id) AS rank FROM scored) WHERE rank <= 12"""
