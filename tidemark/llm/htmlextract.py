@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import small_batches
+
 # Elements and words of the classifier.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -272,6 +274,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     A null or empty page, and one without content, has the empty text. Null ids and urls
     and repeated rows pass through. An empty table gives no rows."""
+    small_batches(pages.sparkSession)
     rest = [F.col(c) for c in pages.columns if c not in ("text", "n_chars")]
     found = pages.select(*rest, main_text()(html_col).alias("text"))
     return found.select("*", F.length("text").cast("long").alias("n_chars"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewise
+from tidemark.llm.scratch import small_batches
 
 BUCKETS, MAX_FIT, MAX_LANGUAGES, PARTS = 1 << 16, 40_000, 64, 16
 TEMPER, MOST_EVIDENCE = 4.0, 60.0
@@ -150,6 +151,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
     any kind counts for nothing; a null or empty text, or one without letters, gets the
     language its other evidence favours and isn't accepted. Null ids and repeated rows
     pass through. An empty table gives no rows."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     declared = F.coalesce(F.lower(F.substring_index(F.col(declared_col), "-", 1)), F.lit("")) if declared_col else F.lit("")
     host = host_of(F.col(url_col)) if url_col else F.coalesce(F.col(host_col), F.lit("")) if host_col else F.lit("")

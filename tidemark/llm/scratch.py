@@ -28,12 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: at most so many rows go to a Python worker at once, from here on in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 class Scratch:
     """Tables of one operator call. ``drop`` deletes what later steps don't read;
     the rest goes when the driver's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._quiet_drop, self.root)
 
