@@ -23,6 +23,14 @@ kept: dict[str, dict] = {}
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def trim() -> None:
+    """Give memory that is free inside this worker back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def claim(operator: str) -> dict:
     """The operator's own tables in this worker; those of other operators are let go, as
     workers outlive a query and their memory is shared by all."""
@@ -30,9 +38,7 @@ def claim(operator: str) -> dict:
     for name in others:
         del kept[name]
     if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
     return kept.setdefault(operator, {})
 
 

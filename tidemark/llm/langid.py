@@ -77,6 +77,7 @@ class TextModel:
                     counts.append(np.where(n > 0, table.shape[1], 0))
                 offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
                 yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).ravel()))
+            bytewise.trim()
 
         return of
 
