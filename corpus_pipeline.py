@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id."""
-    return simhash.keep_one(docs, Scratch(spark, "pipeline-simhash")).select(*COLUMNS)
+    """One document of each group of near-duplicates (exact Jaccard similarity of their sets
+    of five words at least 0.8) stays: the one with the least id."""
+    return simhash.keep_one(docs, Scratch(spark, "pipeline-simhash"), width=5, similarity=0.8).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,3 +110,49 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.keep_one(docs, Scratch(spark, "t"))
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "a b c d", "y"), (5, "zz yy xx ww", None), (8, "", "e")], key=str)
+
+
+def five(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def near(rng, n, length=300, share=0.015):
+    """n texts of ``length`` words, each followed by a copy with words replaced, and their similarity."""
+    for _ in range(n):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(length)]
+        copy = [f"x{rng.randrange(500)}" if rng.random() < share else w for w in words]
+        a, b = " ".join(words), " ".join(copy)
+        yield a, b, len(five(a) & five(b)) / len(five(a) | five(b))
+
+
+def test_wide_counters_equal_popcounts():
+    rng = np.random.default_rng(4)
+    lanes = rng.integers(0, 1 << 63, 1, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (150, 30), dtype=np.uint64)).astype(np.uint64)[:, :30].cumsum(axis=1, dtype=np.uint64)[:, -1]
+    for radius in (4, 7, 20):
+        wanted = {(i, j) for i, a in enumerate(lanes) for j, b in enumerate(lanes) if j < i and int(a ^ b).bit_count() <= radius}
+        assert set(zip(*map(list, simhash.within(lanes, lanes, radius, True)), strict=True)) == wanted
+
+
+def test_the_pipeline_drops_near_copies_by_similarity(spark):
+    import corpus_pipeline
+
+    found = list(near(random.Random(4), 150))
+    rows = [(2 * i + k, t, "en", "h", len(t)) for i, (a, b, _) in enumerate(found) for k, t in enumerate((a, b))]
+    rows += [(1000, None, "en", "h", 0), (1001, "", "en", "h", 0), (1002, "A short one", "en", "h", 0), (1003, "a short  ONE", "en", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    alike = {i for i, (_, _, s) in enumerate(found) if s >= 0.8}
+    assert 30 < len(alike) < 150
+    gone = {i for i in range(150) if 2 * i + 1 not in kept}
+    assert gone <= alike and len(gone) >= 0.97 * len(alike)
+    assert {2 * i for i in range(150)} <= kept and kept & {1000, 1001, 1002, 1003} == {1000, 1002}
+
+
+def test_pairs_of_small_and_large_groups():
+    rng = np.random.default_rng(5)
+    g = np.sort(np.concatenate([rng.integers(0, 30, 200), np.full(90, 31)]))
+    v = np.bitwise_and.reduce(rng.integers(0, 1 << 63, (3, len(g)), dtype=np.uint64), axis=0)
+    wanted = {(i, j) for j in range(len(g)) for i in range(j) if g[i] == g[j] and int(v[i] ^ v[j]).bit_count() <= simhash.NEAR_RADIUS}
+    a, b = simhash._in_groups(g, v)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == wanted and len(a) == len(wanted) > 100

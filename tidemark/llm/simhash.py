@@ -12,11 +12,19 @@
    pair of chunks is a block, so no task holds a bucket. A block returns a spanning
    forest of its links, never its pairs.
 5. The forests are joined by distributed connected components.
+
+``near_copies`` finds all pairs of a Jaccard similarity instead. At 0.8 a tenth to a
+quarter of the bits differ, too many for bands that must agree whole: its sketch has
+``SKETCH`` bits, and each of ``TABLES`` samples of ``SAMPLE`` bits is a bucket key. In a
+bucket, the bit-sliced counters (in small ones, population counts) leave pairs within
+``NEAR_RADIUS`` of the first 64 bits, and these are judged by their exact similarity: first each text with the busiest neighbour it has,
+then, where verified components still differ, all remaining pairs across them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,11 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewise
+from tidemark.llm.bytewise import CHECK_BASE, WORD_BASE, Hashed, Words, ragged
 from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch
 
 BANDS, BLOCK, PACK = 5, 2048, 512
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Of two texts at a similarity of 0.8 a bit agrees with probability 0.85 (0.81 for five
+#: shingles), so all samples miss them with probability 0.008 (0.1), and more than
+#: NEAR_RADIUS of 64 bits differ with probability 0.0003 (0.007).
+SKETCH, TABLES, SAMPLE, NEAR_RADIUS = 256, 64, 16, 20
+#: Buckets of at most so many texts are compared pair by pair, many buckets at once.
+SMALL, MANY = 64, 8192
+_SAMPLES = np.array([random.Random(t).sample(range(SKETCH), SAMPLE) for t in range(TABLES)])
+_SEEDS = np.array([random.Random(-1 - k).getrandbits(64) for k in range(SKETCH // 64)], np.uint64)
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -79,29 +96,38 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 def within(queries: np.ndarray, lanes: np.ndarray, radius: int, triangle: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, lane) at ``radius`` (at most 3) or fewer differing bits. With
-    ``triangle`` both sides are the same list and only pairs with lane < query count."""
+    """Index pairs (query, lane) at ``radius`` or fewer differing bits. With ``triangle``
+    both sides are the same list and only pairs with lane < query count."""
     sliced, words = planes(lanes), -(-len(lanes) // 64)
     ids = np.arange(len(queries))
     bits = np.unpackbits(queries.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     limit = ids if triangle else np.full(len(ids), len(lanes))  # lanes from here on are out
     over = np.packbits(np.arange(words * 64) >= limit[:, None], axis=1, bitorder="little").view(np.uint64)
-    one, two = np.zeros_like(over), np.zeros_like(over)
+    counts = [np.zeros_like(over) for _ in range(max(1, radius.bit_length()))]
+
+    def beyond() -> np.ndarray:
+        more, equal = over.copy(), np.full_like(over, _ALL)
+        for j in reversed(range(len(counts))):
+            if radius >> j & 1:
+                equal &= counts[j]
+            else:
+                more |= equal & counts[j]
+                equal &= ~counts[j]
+        return more
+
     for first in range(0, 64, 8):
         for k in range(first, first + 8):
-            differs = sliced[k] ^ (_ALL * bits[:, k].astype(np.uint64))[:, None]
-            carry = one & differs
-            one ^= differs
-            over |= two & carry  # a fourth differing bit
-            two ^= carry
-        out = over | {0: one | two, 1: two, 2: one & two, 3: np.uint64(0)}[radius]
-        alive = (out != _ALL).any(axis=1)
+            carry = sliced[k] ^ (_ALL * bits[:, k].astype(np.uint64))[:, None]
+            for count in counts:
+                differs, carry = carry, count & carry
+                count ^= differs
+            over |= carry  # beyond the widest count
+        alive = (beyond() != _ALL).any(axis=1)
         if not alive.all():
-            ids, bits, over, one, two = ids[alive], bits[alive], over[alive], one[alive], two[alive]
+            ids, bits, over, counts = ids[alive], bits[alive], over[alive], [c[alive] for c in counts]
             if not len(ids):
                 return ids, ids
-    out = over | {0: one | two, 1: two, 2: one & two, 3: np.uint64(0)}[radius]
-    q, lane = np.nonzero(np.unpackbits(~out.view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little"))
+    q, lane = np.nonzero(np.unpackbits(~beyond().view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little"))
     return ids[q], lane
 
 
@@ -138,8 +164,14 @@ def _compare(radius: int):
             child, root = forest(len(order), q, lane)
         return pa.RecordBatch.from_arrays([pa.array(order[child].view(np.int64)), pa.array(order[root].view(np.int64))], names=["a", "b"])
 
+    return _over_blocks(lambda part: block(np.ascontiguousarray(part[:, 2]), part[:, 1]))
+
+
+def _over_blocks(block: Callable[[np.ndarray], pa.RecordBatch], pack: int = PACK):
+    """``block`` over the rows (g, side, ...) of each group, small groups packed together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # arrays of (g, side, v), the last group perhaps not complete
+        held: list[np.ndarray] = []  # arrays of rows, the last group perhaps not complete
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(rows):
@@ -149,15 +181,15 @@ def _compare(radius: int):
             while at < len(starts) - 1:
                 to = at + 1
                 if not rows[starts[at] : starts[to], 1].any():
-                    while to < len(starts) - 1 and starts[to + 1] - starts[at] <= PACK and not rows[starts[to] : starts[to + 1], 1].any():
+                    while to < len(starts) - 1 and starts[to + 1] - starts[at] <= pack and not rows[starts[to] : starts[to + 1], 1].any():
                         to += 1
                 part = rows[starts[at] : starts[to]]
                 if len(part) > 1:
-                    yield block(np.ascontiguousarray(part[:, 2]), part[:, 1])
+                    yield block(part)
                 at = to
 
         for batch in batches:
-            held.append(np.stack([np.asarray(batch.column(i), dtype=np.int64) for i in range(3)], axis=1))
+            held.append(np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns], axis=1))
             if sum(map(len, held)) < 8 * BLOCK:
                 continue
             rows = np.concatenate(held)
@@ -170,6 +202,15 @@ def _compare(radius: int):
     return run
 
 
+def _dealt(members: DataFrame, node: str, *rest: str) -> DataFrame:
+    """``members`` (fp, key, chunks, ...) as rows (g, side, v, *rest) of blocks, by chunks of ``node``."""
+    own = F.pmod(F.xxhash64(node, F.lit(1)), "chunks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    return members.select("fp", "key", *rest, own.alias("own"), other.alias("other")).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), F.col("fp").alias("v"), *rest
+    )
+
+
 def link(prints: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
     """``prints`` (fp long): distinct fingerprints, not null. Returns (node, root): each
     fingerprint that isn't the least of its component, with that least."""
@@ -177,11 +218,7 @@ def link(prints: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
     rows = prints.select("fp", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = rows.join(sizes, "key").select("fp", "key", F.ceil(F.col("n") / BLOCK).alias("chunks"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), "chunks")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    blocks = members.select("fp", "key", own.alias("own"), other.alias("other")).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), F.col("fp").alias("v")
-    )
+    blocks = _dealt(members, "fp")
     edges = blocks.repartition("g").sortWithinPartitions("g", "side").mapInArrow(_compare(radius), "a long, b long")
     return components(edges, scratch)
 
@@ -205,11 +242,168 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     return seen.join(classes, "fp").select(F.col("doc").alias(id_col), "text_hash", F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the
-    smallest id stays, whole and unchanged. If rows repeat that id, one of them stays.
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of each text's set of shingles, end to end, and their n+1 bounds.
+    A text of fewer than ``width`` words is one shingle; one without words has none."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    raw, ends = bytewise.buffers(texts)
+    words = Words(lower[raw], ends)
+    counts = np.diff(words.bounds)
+    owner, place = ragged(np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64)))
+    start = words.bounds[:-1][owner] + place
+    end = np.minimum(start + width, words.bounds[1:][owner])
+    hashes = words.hashes()
+    found = Hashed(hashes, WORD_BASE).span(start, end) ^ Hashed(hashes, CHECK_BASE).span(start, end)
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return found[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The SKETCH bits of a set of shingles."""
+    ones = np.zeros(SKETCH, np.int64)
+    for at in range(0, len(shingles), 1 << 13):
+        hashes = bytewise.mix(shingles[at : at + (1 << 13), None] ^ _SEEDS)
+        ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return (ones * 2 > len(shingles)).astype(np.uint8)
+
+
+def _sketches(width: int):
+    """A column function: text to the number of its shingles, 64 bits of its sketch and its bucket keys."""
+
+    @F.arrow_udf("struct<n:int,fp:bigint,keys:array<int>>")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bytewise.claim("simhash")
+        for batch in texts:
+            out = []
+            for piece in bytewise.pieces(batch):
+                found, bounds = shingle_sets(piece, width)
+                bits = np.array([sketch(found[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint8).reshape(-1, SKETCH)
+                keys = np.packbits(bits[:, _SAMPLES], axis=2).view(np.uint16)[:, :, 0].astype(np.int32) | np.arange(TABLES, dtype=np.int32) << SAMPLE
+                fp = np.packbits(bits[:, :64], axis=1).view(np.int64)[:, 0]
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(piece) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
+                out.append(pa.StructArray.from_arrays([pa.array(np.diff(bounds).astype(np.int32)), pa.array(fp), keys], names=["n", "fp", "keys"]))
+            yield pa.concat_arrays(out)
+
+    return of
+
+
+def _set_column(width: int):
+    @F.arrow_udf("array<bigint>")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bytewise.claim("simhash")
+        for batch in texts:
+            out = []
+            for piece in bytewise.pieces(batch):
+                found, bounds = shingle_sets(piece, width)
+                out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.view(np.int64))))
+            yield pa.concat_arrays(out)
+
+    return of
+
+
+def _in_groups(g: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of one group (``g`` is sorted) within NEAR_RADIUS."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
+    sizes = np.diff(np.append(starts, len(g)))
+    group, place = ragged(np.where(sizes <= SMALL, sizes, 0))
+    b, k = ragged(place)  # each row with those before it
+    a, b = starts[group[b]] + k, starts[group[b]] + place[b]
+    near = np.bitwise_count(v[a] ^ v[b]) <= NEAR_RADIUS
+    found = [(a[near], b[near])]
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        q, lane = within(v[start : start + size], v[start : start + size], NEAR_RADIUS, True)
+        found.append((start + lane, start + q))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _near(every: bool):
+    """Over rows (g, side, v, node, root): pairs (a, b) of nodes of different roots within
+    NEAR_RADIUS. Unless ``every``, only one for each node, with that one of its
+    neighbours that has most neighbours itself, and their number."""
+
+    def block(part: np.ndarray) -> pa.RecordBatch:
+        side, v, node, root = part[:, 1], np.ascontiguousarray(part[:, 2]).view(np.uint64), part[:, 3], part[:, 4]
+        if side.any():
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            q, lane = within(v[right], v[left], NEAR_RADIUS, False)
+            a, b = left[lane], right[q]
+        else:
+            a, b = _in_groups(part[:, 0], v)
+        differ = root[a] != root[b]
+        a, b = a[differ], b[differ]
+        if every:
+            a, b = node[a], node[b]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.zeros(pairs.shape[1], np.int64))], names=["a", "b", "often"])
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        often = np.bincount(a, minlength=len(part))
+        order = np.lexsort((node[b], -often[b], a))
+        first = order[np.concatenate([[True], np.diff(a[order]) > 0])] if len(order) else order
+        return pa.RecordBatch.from_arrays([pa.array(node[a[first]]), pa.array(node[b[first]]), pa.array(often[b[first]])], names=["a", "b", "often"])
+
+    return _over_blocks(block, MANY)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose sets' exact Jaccard similarity is at least ``similarity``."""
+    one = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", common.alias("k"), (F.size("set_a") + F.size("set_b")).alias("n"))
+    return both.where(F.col("k") >= similarity * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: (id, text_hash, component_id). ``component_id`` is the smallest
+    id reachable by links of texts whose sets of ``width`` words have at least this exact
+    Jaccard similarity. Bucket keys and NEAR_RADIUS are made for 0.8 and above.
+
+    Texts without words are all linked. Null ids and repeated rows are treated as in
+    ``near_duplicates``. An empty table gives no rows."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), _sketches(width)(text).alias("s")).select("doc", "text_hash", "s.*")
+    seen = scratch.keep(seen.withColumn("node", F.when(F.col("n") > 0, F.col("text_hash")).otherwise(0)), "sketches")
+    nodes = seen.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    rows = nodes.select("node", "fp", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.keep(rows.join(sizes, "key").select("node", "fp", "key", F.ceil(F.col("size") / BLOCK).alias("chunks")), "members")
+    scratch.release()
+
+    def candidates(placed: DataFrame, every: bool) -> DataFrame:
+        return _dealt(placed, "node", "node", "root").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_near(every), "a long, b long, often long")
+
+    def fetched(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return scratch.keep(texts.select("node", _set_column(width)("text").alias("set")), name)
+
+    busiest = candidates(members.withColumn("root", F.col("node")), False).groupBy("a").agg(F.max(F.struct("often", "b")).alias("s"))
+    pairs = scratch.keep(busiest.select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b")).distinct(), "pairs")
+    links = scratch.keep(_alike(pairs, fetched(pairs, "sets"), similarity), "links")
+    roots = components(links, scratch)
+    scratch.release()
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = scratch.keep(candidates(placed, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = scratch.keep(_alike(rest, fetched(rest, "more-sets"), similarity), "more")
+    scratch.release()
+    if more.limit(1).count():
+        roots = components(links.union(more), scratch)
+    rooted = seen.join(roots, "node", "left").select("doc", "text_hash", F.coalesce("root", "node").alias("root"))
+    classes = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+    found = scratch.keep(rooted.join(classes, "root").select(F.col("doc").alias(id_col), "text_hash", "component_id"), "copies")
+    scratch.drop("sketches", "members", "pairs", "sets", "links", "rest", "more-sets", "more")
+    return found
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates (by ``similarity``, if given, else by
+    ``radius``): of each component the row with the smallest id stays, whole and unchanged. If rows repeat that id, one of them stays.
     Rows with a null id stay only if no row of their component has an id."""
-    found = near_duplicates(docs, scratch, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, scratch, id_col, text_col, radius, width) if similarity is None else near_copies(docs, scratch, id_col, text_col, width, similarity)
+    found = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     found = found.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__n"))
     with_id = found.where("__id is not null").groupBy("__id").agg(F.min(F.struct("__hash", "__n")).alias("s")).select("__id", "s.*")
     kept = scratch.keep(with_id.unionByName(found.where("__id is null").withColumn("__n", F.lit(1).cast("long"))), "kept")
