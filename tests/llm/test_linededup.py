@@ -89,3 +89,23 @@ def test_recall_of_the_bands():
         agree = [rng.random() < 0.8 for _ in range(linededup.MINS)]
         hit += any(all(agree[k] for k in band) for band in linededup.BANDS)
     assert hit / 4000 > 0.945
+
+
+def test_a_centre_that_no_line_chose_is_compared(spark):
+    """Hashes a < d < b, c: bucket x {a, b, c} has centre a, bucket y {b, c, d} centre d, which
+    b and c both choose; a's near copies are found all the same."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(60)]
+    lines = []
+    for k in range(4):
+        words = list(base)
+        words[15 * k + 5] = word()
+        lines.append(" ".join(words))
+    assert all(len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) for x in lines for y in lines)
+    hashes = {r.line: r.lh for r in spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) as lh").collect()}
+    a, d, b, c = (hashes[x] for x in sorted(lines, key=hashes.get))
+    rows = [(a, 1, [1, 10, 11, 12, 13, 14, 15, 16]), (b, 1, [1, 2, 21, 22, 23, 24, 25, 26]), (c, 1, [1, 2, 31, 32, 33, 34, 35, 36]), (d, 1, [41, 2, 42, 43, 44, 45, 46, 47])]
+    sketch = spark.createDataFrame(rows, "lh long, occurs long, bands array<long>")
+    roots = linededup.line_classes(spark.createDataFrame([(x,) for x in lines], "line string"), sketch, Scratch(spark, "t"))
+    assert {(r.node, r.root) for r in roots.collect()} == {(x, a) for x in (b, c, d)}

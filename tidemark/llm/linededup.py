@@ -131,7 +131,9 @@ def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataF
     spokes = crowd.join(centres, "band").where("lh != centre").groupBy("lh").agg(F.max(F.struct("often", "centre")).alias("s")).select("lh", "s.centre")
     spokes = spokes.select(F.least("lh", "centre").alias("a"), F.greatest("lh", "centre").alias("b"))
     pairs = scratch.keep(couples.union(spokes).distinct(), "pairs")
-    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted")
+    # every line of a bucket, also one that is in no pair yet: it may be compared across components
+    wanted = couples.select(F.explode(F.array("a", "b")).alias("lh")).union(crowd.select("lh"))
+    wanted = scratch.keep(wanted.distinct(), "wanted")
     texts = lines.select(F.xxhash64("line").alias("lh"), "line").join(_sized(wanted, 8), "lh", "left_semi")
     texts = texts.groupBy("lh").agg(F.min("line").alias("line")).select("lh", F.col("line").cast("binary").alias("raw"))
     texts = scratch.keep(texts, "texts")
