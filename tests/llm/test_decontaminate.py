@@ -59,3 +59,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as h", "'a' as item")
     left = decontaminate.clean(d, spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 4]
+
+
+def test_names_that_start_sentences_and_short_items_are_caught(spark):
+    rng = random.Random(4)
+    tom = "Tom has 5 apples and 3 pears. Tom gives 2 apples to Anna. How many apples does Tom have left?"
+    items = [(1, tom), (2, "How tall is Rome?"), (3, "The mill of Ghent has 9 wheels"), (4, "12 34 56 78 90 11")]
+    around = lambda x: words(rng, 40) + " " + x + " " + words(rng, 40)
+    docs = [(1, around("so it is. " + tom.replace("Tom", "Bob"))), (2, around("How tall is Paris?")), (3, around(items[2][1])), (4, around(items[3][1])), (5, around("12 34 56 78 90 12")), (6, around("How old is Rome?"))]
+    assert run(spark, docs, items) == {(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, False)}
