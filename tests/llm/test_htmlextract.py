@@ -63,3 +63,9 @@ def test_columns_rows_and_nulls(spark):
     assert found.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted([(r.page_id, r.url, r.text, r.n_chars) for r in found.collect()], key=str) == sorted([(1, None, "a b", 3), (None, "u", "", 0), (1, None, "a b", 3)], key=str)
     assert htmlextract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_a_marked_headline_does_not_drop_unmarked_paragraphs():
+    long = "This is a sentence of some length, with commas, and it goes on for a while to be text. " * 4
+    page = f'<div><h2 class="entry-title">Head</h2><p>{long}</p><p>Short one.</p><p>{long}</p></div><div><a href="z">About us</a></div>'
+    assert htmlextract.extract(page) == "\n".join(["Head", long.strip(), "Short one.", long.strip()])

@@ -147,15 +147,20 @@ def _block_parent(at: _Element) -> _Element:
     return at
 
 
+#: How far a mark of content shifts the log odds, and its absence on a page with marks.
+MARKED, UNMARKED = 6.0, -2.0
+
+
 def costs(block: Block, has_content: bool) -> float:
-    """Log odds of content from the classifier; certain signs outweigh all smoothing."""
+    """Log odds of content from the classifier. Certain boilerplate outweighs all smoothing;
+    where a page marks its content, that shifts a block's odds by no more than its edges can."""
     if block.kind == 2:
         return -100.0
-    if has_content:
-        return 100.0 if block.kind == 1 else -8.0
     size, share = len(block.text), block.linked / max(1, len(block.text))
     odds = -1.0 + min(size, 400) / 100 - 6 * share
     odds += 1.0 if re.search(r"[.!?…。](?:\s|$)", block.text) else 0.0
+    if has_content:
+        odds += MARKED if block.kind == 1 else UNMARKED
     odds += {"p": 1.5, "blockquote": 1.0, "pre": 1.0}.get(block.name, 0.0)
     return odds + (1.0 if block.name in ("h1", "h2", "h3") and not share else 0.0) - (1.0 if block.name in ("li", "td", "th") else 0.0)
 
