@@ -69,3 +69,46 @@ def test_a_marked_headline_does_not_drop_unmarked_paragraphs():
     long = "This is a sentence of some length, with commas, and it goes on for a while to be text. " * 4
     page = f'<div><h2 class="entry-title">Head</h2><p>{long}</p><p>Short one.</p><p>{long}</p></div><div><a href="z">About us</a></div>'
     assert htmlextract.extract(page) == "\n".join(["Head", long.strip(), "Short one.", long.strip()])
+
+
+def test_the_cut_decides_on_pages():
+    """Pages whose flow has to be computed, and blocks that smoothness puts on the side that
+    their own odds speak against: a word on a line of its own in an article, and a long text
+    among the links of a menu."""
+    long = "This is a sentence of some length, with commas, and it goes on for a while to be text. " * 4
+    pages = [
+        f"<body><nav><a href='x'>Home</a></nav><article><h1>Stop</h1><p>{long}</p><p>so</p><p>{long}</p></article><footer>Us</footer></body>",
+        "<body>" + "".join(f"<div><p><a href='{i}'>A link to page {i}</a></p></div>" for i in range(3)) + f"<div><p>{long}</p><p>Fine</p><p>{long}</p></div></body>",
+    ]
+    flows = flips = 0
+    for page in pages:
+        blocks = htmlextract.blocks_of(page)
+        odds, edges = htmlextract.costs(blocks), htmlextract.graph(blocks)
+        touching = [sum(c for e, c in edges.items() if i in e) for i in range(len(odds))]
+        flows += any(abs(o) <= t for o, t in zip(odds, touching, strict=True))
+        found = htmlextract.minimum_cut(odds, edges)
+        assert cost_of(odds, edges, found) == pytest.approx(brute_cut(odds, edges)[0])
+        flips += sum(x != (o > 0) for x, o in zip(found, odds, strict=True))
+    assert flows == 2 and flips >= 3
+    assert htmlextract.extract(pages[0]) == "\n".join(["Stop", long.strip(), "so", long.strip()])
+
+
+def test_the_cut_decides_on_the_table_of_pages():
+    import os
+
+    import pyarrow.parquet as pq
+
+    at = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no table of pages")
+    flows = flips = 0
+    for page in pq.read_table(at, columns=["html"]).column(0).to_pylist():
+        blocks = htmlextract.blocks_of(page or "")
+        odds, edges = htmlextract.costs(blocks), htmlextract.graph(blocks)
+        touching = [0.0] * len(odds)
+        for (a, b), c in edges.items():
+            touching[a] += c
+            touching[b] += c
+        flows += any(abs(o) <= t for o, t in zip(odds, touching, strict=True))
+        flips += sum(x != (o > 0) for x, o in zip(htmlextract.minimum_cut(odds, edges), odds, strict=True))
+    assert flows > 0 and flips > 0

@@ -6,13 +6,12 @@ from tidemark.llm.scratch import Scratch
 
 
 def shingles(line):
-    raw = line.encode()
-    return {raw[i : i + 8] for i in range(max(len(raw) - 7, 1))}
+    return {line[i : i + 8] for i in range(max(len(line) - 7, 1))}
 
 
 def brute(rows):
     """Documents without the lines that go, with all pairs of distinct lines compared."""
-    found = {(i, t): [(p, x) for p, x in enumerate(t.split("\n")) if x.strip(" ")] for i, t in rows if t is not None}
+    found = {(i, t): [(p, x) for p, x in enumerate(t.split("\n")) if x.strip(linededup.BLANK)] for i, t in rows if t is not None}
     lines = sorted({x for own in found.values() for _, x in own})
     sets, root = {x: shingles(x) for x in lines}, {x: x for x in lines}
 
@@ -78,7 +77,7 @@ def test_chains_join_one_component(spark):
 
 
 def test_nulls_ties_repeats_long_and_empty(spark):
-    rows = [(1, None), (2, ""), (3, "\n \n"), (4, "same line here\n\nsame line here\nab"), (None, "same line here"), (5, "ab\nab"), (6, "z" * 200_000), (7, "z" * 199_990), (8, "a b"), (8, "a b")]
+    rows = [(1, None), (2, ""), (3, "\n \n\t\n\t \r"), (4, "same line here\n\nsame line here\nab"), (None, "same line here"), (5, "ab\nab"), (6, "z" * 200_000), (7, "z" * 199_990), (8, "a b"), (8, "a b")]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
 
@@ -105,7 +104,56 @@ def test_a_centre_that_no_line_chose_is_compared(spark):
     assert all(len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) for x in lines for y in lines)
     hashes = {r.line: r.lh for r in spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) as lh").collect()}
     a, d, b, c = (hashes[x] for x in sorted(lines, key=hashes.get))
-    rows = [(a, 1, [1, 10, 11, 12, 13, 14, 15, 16]), (b, 1, [1, 2, 21, 22, 23, 24, 25, 26]), (c, 1, [1, 2, 31, 32, 33, 34, 35, 36]), (d, 1, [41, 2, 42, 43, 44, 45, 46, 47])]
-    sketch = spark.createDataFrame(rows, "lh long, occurs long, bands array<long>")
+    # bands are the rows and columns of a square of minima: a, b, c share the first row, b, c, d the second
+    rows = []
+    for k, (x, own) in enumerate(((a, [1]), (b, [1, 2]), (c, [1, 2]), (d, [2]))):
+        minima = [100 * k + j for j in range(linededup.MINS)]
+        minima[12:14] = [7, 8]  # so that all agree in six minima
+        for row in own:
+            minima[4 * (row - 1) : 4 * row] = [row] * 4
+        rows.append((x, 1, *minima))
+    sketch = spark.createDataFrame(rows, "lh long, occurs long, " + ", ".join(f"m{k} int" for k in range(linededup.MINS)))
     roots = linededup.line_classes(spark.createDataFrame([(x,) for x in lines], "line string"), sketch, Scratch(spark, "t"))
     assert {(r.node, r.root) for r in roots.collect()} == {(x, a) for x in (b, c, d)}
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(30)]
+    rows = []
+    for k in range(40):  # a bucket of many lines in several components
+        words = list(base)
+        for j in rng.sample(range(30), rng.randint(0, 3)):
+            words[j] = word()
+        rows.append((k, " ".join(words)))
+    whole = run(spark, rows)
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    assert run(spark, rows) == whole
+
+
+def test_measured_recall_and_precision_near_the_threshold(spark):
+    """Pairs of lines at an exact similarity of 0.8 to 0.9: nine in ten are found at least, and none below 0.8."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(3, 9)))
+    rows, near, far = [], [], []
+    while len(near) < 150:
+        base = [word() for _ in range(40)]
+        other = list(base)
+        for j in rng.sample(range(40), rng.randint(1, 5)):
+            other[j] = word()
+        a, b = " ".join(base), " ".join(other)
+        at = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        if at < 0.9:
+            (near if at >= 0.8 else far).append(len(rows) + 1)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    gone = {r[0] for r in run(spark, rows) if r[3]}
+    assert len(gone & set(near)) >= 0.9 * len(near) and not gone & set(far)
+
+
+def test_clashing_names(spark):
+    names = ["__gone", "__hash", "__id", "row", "lines", "gone", "hash", "id", "pos", "text_hash", "old"]
+    docs = spark.createDataFrame([(1, "a line\nof text", *names), (2, "a line", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = linededup.dedup_lines(docs, Scratch(spark, "t"))
+    assert found.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.gone, r.id, r.n_removed) for r in found.collect()) == [(1, "a line\nof text", "gone", "id", 0), (2, "", "gone", "id", 1)]

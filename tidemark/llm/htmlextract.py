@@ -7,9 +7,10 @@ the next block and to the next block of the same parent, stronger the closer the
 stand in the document tree. The minimum cut between the content and the boilerplate
 terminal is the labelling of least total cost.
 
-Blocks whose terminal edges differ by more than all their smoothness edges together are
-on the known side of every minimum cut; they are settled first, which leaves most pages
-with no flow to compute.
+Marks (``article``, ``nav``, words of class and id) shift the odds by as much as edges can
+outweigh; only forms and what isn't shown are certain. Blocks whose terminal edges differ
+by more than all their smoothness edges together are on the known side of every minimum
+cut and are settled before the flow is computed over the rest.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style noscript template iframe noembed noframes textarea title svg math object xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BOILERPLATE_TAGS = frozenset("aside button dialog footer form head header menu nav optgroup option search select".split())
+BOILERPLATE_TAGS = frozenset("aside footer header menu nav search".split())
+NEVER_TAGS = frozenset("button datalist dialog form head optgroup option select".split())
 CONTENT_TAGS = frozenset(["article", "main"])
+#: Elements whose class or id can mark what they hold as content.
+CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adbox advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promotion reader-comments related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
@@ -42,6 +46,7 @@ CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -55,15 +60,18 @@ class _Element:
 
 
 def _kind(name: str, attributes: str, above: int) -> int:
-    """What an element says of its text: 2 boilerplate for certain, 1 likely content, 0 nothing."""
+    """What an element says of its text: 3 never content (forms, what isn't shown), 2 likely
+    boilerplate, 1 likely content, 0 nothing."""
+    if above == 3 or name in NEVER_TAGS or attributes and _HIDDEN.search(attributes):
+        return 3
     if above == 2 or name in BOILERPLATE_TAGS and not (name == "header" and above == 1):
         return 2
     if attributes:
         words = {w for m in _HINTS.finditer(attributes) for v in m.groups() if v for w in _WORD.findall(v.lower()) + v.lower().split()}
         words |= {part for w in words for part in w.split("-")}
-        if words & BOILERPLATE_WORDS or _HIDDEN.search(attributes):
+        if words & BOILERPLATE_WORDS:
             return 2
-        if words & CONTENT_WORDS:
+        if name in CONTAINERS and words & CONTENT_WORDS:
             return 1
     return 1 if name in CONTENT_TAGS else above
 
@@ -147,22 +155,33 @@ def _block_parent(at: _Element) -> _Element:
     return at
 
 
-#: How far a mark of content shifts the log odds, and its absence on a page with marks.
-MARKED, UNMARKED = 6.0, -2.0
-
-
-def costs(block: Block, has_content: bool) -> float:
-    """Log odds of content from the classifier. Certain boilerplate outweighs all smoothing;
-    where a page marks its content, that shifts a block's odds by no more than its edges can."""
-    if block.kind == 2:
-        return -100.0
-    size, share = len(block.text), block.linked / max(1, len(block.text))
-    odds = -1.0 + min(size, 400) / 100 - 6 * share
-    odds += 1.0 if re.search(r"[.!?…。](?:\s|$)", block.text) else 0.0
-    if has_content:
-        odds += MARKED if block.kind == 1 else UNMARKED
-    odds += {"p": 1.5, "blockquote": 1.0, "pre": 1.0}.get(block.name, 0.0)
-    return odds + (1.0 if block.name in ("h1", "h2", "h3") and not share else 0.0) - (1.0 if block.name in ("li", "td", "th") else 0.0)
+# Terminal capacities: what each feature of a block adds to the log odds of content.
+BASE, LENGTH, LINKS, SENTENCE, UNMARKED, BOILERPLATE, CERTAIN = -1.1, 2.5, -5.0, 0.75, -3.0, -5.0, -100.0
+BY_NAME = {"p": 0.5, "blockquote": 0.5, "pre": 0.5, "h1": 0.5, "h2": 0.5, "h3": 0.5, "li": -0.75, "td": -0.75, "th": -0.75}
+#: A block is long from so many characters on, or from the page's median if that is less.
+LONG = 80
+#: Capacity of the edge between neighbours in one parent, how it falls with each further step
+#: through the document tree, and its share between blocks of other marks.
+SMOOTH, FALL, ACROSS = 3.0, 0.75, 0.05
+
+
+def costs(blocks: list[Block]) -> list[float]:
+    """Log odds of content of each block by the classifier. Only what is never shown as text of
+    the page, or belongs to a form, is certain; all other odds are of the order of the edges."""
+    shown = sorted(len(b.text) for b in blocks if b.kind < 2)
+    long = min(LONG, max(1, shown[len(shown) // 2])) if shown else LONG
+    marks = any(b.kind == 1 for b in blocks)
+    found = []
+    for b in blocks:
+        if b.kind == 3:
+            found.append(CERTAIN)
+            continue
+        odds = BASE + LENGTH * min(1.0, len(b.text) / long) + LINKS * b.linked / max(1, len(b.text)) + BY_NAME.get(b.name, 0.0)
+        odds += SENTENCE if _SENTENCE.search(b.text) else 0.0
+        odds += BOILERPLATE if b.kind == 2 else 0.0
+        odds += UNMARKED if marks and b.kind != 1 else 0.0
+        found.append(odds)
+    return found
 
 
 def smoothness(a: Block, b: Block) -> float:
@@ -174,7 +193,25 @@ def smoothness(a: Block, b: Block) -> float:
         else:
             y = y.parent
         steps += 1
-    return 1.5 / (1 + steps)
+    return SMOOTH / (1 + FALL * max(0, steps - 2)) * (1.0 if a.kind == b.kind else ACROSS)
+
+
+def graph(blocks: list[Block]) -> dict[tuple[int, int], float]:
+    """Smoothness edges: to the next block, to the next one under the same grandparent, and to the
+    next one in the same marked element. Blocks that are certain have none."""
+    edges: dict[tuple[int, int], float] = {}
+    last: dict[object, int] = {}
+    for i, b in enumerate(blocks):
+        if b.kind == 3:
+            continue
+        marked = b.parent
+        while marked.parent is not None and marked.parent.kind == b.kind:
+            marked = marked.parent
+        for near in (None, id(b.parent.parent), (id(marked),)):
+            if near in last:
+                edges[last[near], i] = smoothness(blocks[last[near]], b)
+            last[near] = i
+    return edges
 
 
 def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -248,18 +285,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = blocks_of(page)
-    has_content = any(b.kind == 1 for b in found)
-    odds = [costs(b, has_content) for b in found]
-    edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if i:
-            edges[i - 1, i] = smoothness(found[i - 1], b)
-        sibling = last.get(id(b.parent.parent))
-        if sibling is not None and sibling != i - 1:
-            edges[sibling, i] = smoothness(found[sibling], b)
-        last[id(b.parent.parent)] = i
-    content = minimum_cut(odds, edges)
+    content = minimum_cut(costs(found), graph(found))
     return "\n".join(b.text for b, c in zip(found, content, strict=True) if c)
 
 

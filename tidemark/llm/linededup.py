@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Lines are compared by their sets of byte shingles (``SHINGLE`` consecutive UTF-8 bytes;
-a shorter line is one shingle). The stages:
+Lines are compared by their sets of character shingles (``SHINGLE`` consecutive UTF-16
+units; a shorter line is one shingle). The stages:
 
 1. Signatures. Every shingle is hashed once; ``MINS`` minima of ``hash XOR constant``
    are taken per distinct line by one grouped aggregation, combined before the shuffle,
@@ -12,9 +12,11 @@ a shorter line is one shingle). The stages:
 3. Links. Every line is compared with the most frequent line of its buckets (in buckets of
    two, with the other). Then components are formed, and only where lines of a bucket are still in different
    components are the pairs across components compared, so a bucket of copies costs a
-   row a line and no pairs. A comparison first bounds the similarity from above by
-   bitmaps of the two sets (each bit that differs stands for a shingle of one side
-   only, so no link is lost), then takes the exact Jaccard similarity.
+   row a line and no pairs. Buckets are cut into chunks of at most ``BLOCK`` lines and chunks
+   are compared with chunks, so no task holds a bucket. Pairs that agree in fewer than ``AGREE`` minima go
+   (at a similarity of 0.8 three in a hundred thousand), across components also those whose
+   bitmaps bound the similarity below 0.8 (each bit that differs stands for a shingle of one side
+   only, so no link is lost); of the rest the exact Jaccard similarity is taken.
 4. Distributed union-find (``components``) over all verified links. Of each component
    the first occurrence, by document id and place, stays.
 """
@@ -35,8 +37,12 @@ SHINGLE, SIMILARITY = 8, 0.8
 #: agree between runs.
 MINS = 16
 BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in range(4)] for i in range(4)]
-#: Shingles hashed in one row, and 64-bit words of a set's bitmap.
-STEP, MAP_WORDS = 4, 64
+#: Minima that a pair must have in common to be compared exactly; lines of a bucket that are
+#: compared with each other in one group.
+AGREE, BLOCK = 6, 512
+#: Shingles hashed in one row, for the minima and for a set; 64-bit words of a set's bitmap.
+STEP, RUN, MAP_WORDS = 4, 16, 32
+BLANK = " \t\r\x0b\x0c"
 #: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -54,24 +60,32 @@ def _long(x: int) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, line) of all lines that aren't blank, from (doc_id, text)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.trim("line") != "")
+    return rows.where(F.trim("line", F.lit(BLANK)) != "")
 
 
-def _shingle_count(raw: Column) -> Column:
-    return F.greatest(F.octet_length(raw) - (SHINGLE - 1), F.lit(1))
+def _units(line: Column) -> Column:
+    """Two bytes a character, so that any shingle is found by its place."""
+    return F.encode(line, "UTF-16BE")
 
 
-def _shingles(raw: Column) -> Column:
-    """The hashed shingles of a line's bytes, with repeats."""
-    return F.transform(F.sequence(F.lit(1), _shingle_count(raw)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))
+def _shingle_count(units: Column) -> Column:
+    return F.greatest((F.octet_length(units) / 2).cast("int") - (SHINGLE - 1), F.lit(1))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """(lh, raw) to (lh, n, h0, h1, ...): a row for each STEP shingles of the n; the last row
-    repeats the last shingle as often as it needs."""
-    n = _shingle_count(F.col("raw"))
-    every = lines.select("lh", "raw", n.alias("n"), F.explode(F.sequence(F.lit(1), n, F.lit(STEP))).alias("i"))
-    return every.select("lh", "n", *[F.xxhash64(F.substring("raw", F.least(F.col("i") + j, F.col("n")), F.lit(SHINGLE))).alias(f"h{j}") for j in range(STEP)])
+def _shingle(units: str, i: Column) -> Column:
+    """The hash of the i-th shingle, from 1."""
+    return F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * SHINGLE)))
+
+
+def _runs(rows: DataFrame, units: str, step: int) -> DataFrame:
+    """``rows`` with ``n``, a row for each ``step`` shingles of the n, ``i`` the first of them."""
+    counted = rows.withColumn("n", _shingle_count(F.col(units)))
+    return counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(step))))
+
+
+def _hashes(units: str, step: int) -> list[Column]:
+    """The hashes of one run; the last run repeats the last shingle as often as it needs."""
+    return [_shingle(units, F.least(F.col("i") + j, F.col("n"))) for j in range(step)]
 
 
 def _sized(table: DataFrame, width: int) -> DataFrame:
@@ -80,23 +94,42 @@ def _sized(table: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(lh, occurs, bands) per distinct line."""
-    raw = lines.select(F.xxhash64("line").alias("lh"), F.col("line").cast("binary").alias("raw"))
+    """(lh, occurs, m0, m1, ...) per distinct line: how often it occurs, and the last 32 bits of its minima."""
+    runs = _runs(lines.select(F.xxhash64("line").alias("lh"), _units(F.col("line")).alias("units")), "units", STEP)
+    hashed = runs.select("lh", "n", *[h.alias(f"h{j}") for j, h in enumerate(_hashes("units", STEP))])
     minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(_long(c)) for j in range(STEP)])).alias(f"m{k}") for k, c in enumerate(_constants())]
-    sketch = _hashed(raw).groupBy("lh").agg(F.count("*").alias("rows"), F.max("n").alias("n"), *minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in enumerate(BANDS)])
-    return sketch.select("lh", F.expr(f"rows div ((n + {STEP - 1}) div {STEP})").alias("occurs"), bands.alias("bands"))
+    sketch = hashed.groupBy("lh").agg(F.count("*").alias("rows"), F.max("n").alias("n"), *minima)
+    last = [F.shiftright(F.shiftleft(f"m{k}", 32), 32).cast("int").alias(f"m{k}") for k in range(MINS)]
+    return sketch.select("lh", F.expr(f"rows div ((n + {STEP - 1}) div {STEP})").alias("occurs"), *last)
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """(lh, n, b0, b1, ...): the number of shingles and a bitmap of their set."""
-    bits = lambda k: [F.expr(f"if((shiftright(h{j}, 6) & {MAP_WORDS - 1}) = {k}, shiftleft(1L, cast(h{j} & 63 as int)), 0L)") for j in range(STEP)]
-    maps = [F.bit_or(reduce(Column.bitwiseOR, bits(k))).alias(f"b{k}") for k in range(MAP_WORDS)]
-    return _hashed(texts).groupBy("lh").agg(F.max("n").alias("n"), *maps)
+def _bands() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in enumerate(BANDS)])
+
+
+def _side(minima: DataFrame, x: str) -> DataFrame:
+    return minima.select(*[F.col(c).alias(x if c == "lh" else f"{c}_{x}") for c in minima.columns])
+
 
+def _same(k: int) -> Column:
+    return F.col(f"m{k}_a") == F.col(f"m{k}_b")
 
-def _side(maps: DataFrame, x: str) -> DataFrame:
-    return maps.select(*[F.col(c).alias(x if c == "lh" else f"{c}_{x}") for c in maps.columns])
+
+def _agree() -> Column:
+    return sum((F.when(_same(k), 1).otherwise(0) for k in range(MINS)), F.lit(0)) >= AGREE
+
+
+def _first_common_band() -> Column:
+    return F.coalesce(*[F.when(_same(b[0]) & _same(b[1]) & _same(b[2]) & _same(b[3]), F.lit(j)) for j, b in enumerate(BANDS)])
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(lh, n, b0, b1, ...): the number of shingles and a bitmap of their set."""
+    each = _runs(texts.repartition("lh").select("lh", _units(F.col("line")).alias("units")), "units", RUN)
+    each = each.select("lh", "n", F.explode(F.array(*_hashes("units", RUN))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = each.groupBy("lh", "n", F.expr(f"shiftright(h, 6) & {MAP_WORDS - 1}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("lh", "n").agg(*[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"b{k}") for k in range(MAP_WORDS)])
 
 
 def _may_be_similar() -> Column:
@@ -107,19 +140,20 @@ def _may_be_similar() -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose lines' exact similarity reaches SIMILARITY."""
-    one = lambda x: texts.select(F.col("lh").alias(x), F.col("raw").alias(f"raw_{x}"))
+    """Those (a, b) of ``pairs`` (each once) whose lines' exact similarity reaches SIMILARITY."""
+    one = lambda x: texts.select(F.col("lh").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    sets = both.select("a", "b", _shingles(F.col("raw_a")).alias("s"), _shingles(F.col("raw_b")).alias("t"))
-    common = sets.select("a", "b", "s", "t", F.size(F.array_intersect("s", "t")).alias("k"))
-    enough = lambda union: F.col("k") >= SIMILARITY * union - 1e-9
-    # without repeats the lengths give the union's size; with repeats they bound it
-    return common.where(F.when(enough(F.size("s") + F.size("t") - F.col("k")), True).otherwise(enough(F.size(F.array_union("s", "t"))))).select("a", "b")
+    sides = both.select("a", "b", F.posexplode(F.array(_units(F.col("line_a")), _units(F.col("line_b")))).alias("side", "units"))
+    runs = _runs(sides, "units", RUN).select("a", "b", "side", F.array(*_hashes("units", RUN)).alias("run"))
+    of = lambda side: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("run")))))
+    sets = runs.groupBy("a", "b").agg(of(0).alias("s"), of(1).alias("t"))
+    sized = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("k"), (F.size("s") + F.size("t")).alias("n"))
+    return sized.where(F.col("k") >= SIMILARITY * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
 
 
 def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each line hash that isn't its component's least, with that least."""
-    rows = sketch.select("lh", "occurs", F.posexplode("bands").alias("k", "band"))
+    rows = sketch.select("lh", "occurs", F.posexplode(_bands()).alias("k", "band"))
     buckets = rows.groupBy("band").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), F.count("*").alias("n"))
     buckets = scratch.keep(buckets.where("n > 1"), "buckets")
     scratch.release()
@@ -135,30 +169,32 @@ def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataF
     wanted = couples.select(F.explode(F.array("a", "b")).alias("lh")).union(crowd.select("lh"))
     wanted = scratch.keep(wanted.distinct(), "wanted")
     texts = lines.select(F.xxhash64("line").alias("lh"), "line").join(_sized(wanted, 8), "lh", "left_semi")
-    texts = texts.groupBy("lh").agg(F.min("line").alias("line")).select("lh", F.col("line").cast("binary").alias("raw"))
-    texts = scratch.keep(texts, "texts")
-    bands = sketch.select("lh", "bands").join(_sized(wanted, 8), "lh", "left_semi")
-    maps = scratch.keep(bitmaps(texts).join(bands, "lh"), "maps")
-    scratch.release()
-    plain = maps.drop("bands")
-    near = pairs.join(_side(plain, "a"), "a").join(_side(plain, "b"), "b").where(_may_be_similar()).select("a", "b")
-    links = scratch.keep(similar(near, texts), "links")
+    texts = scratch.keep(texts.groupBy("lh").agg(F.min("line").alias("line")), "texts")
+    minima = scratch.keep(sketch.drop("occurs").join(_sized(wanted, 8), "lh", "left_semi"), "minima")
+    near = pairs.join(_side(minima, "a"), "a").join(_side(minima, "b"), "b").where(_agree()).select("a", "b")
+    links = scratch.keep(similar(scratch.keep(near, "near"), texts), "links")
     roots = components(links, scratch)
     # what is left: pairs across components of one bucket that were not compared
     placed = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "k", "lh", F.coalesce("root", "lh").alias("root"))
     shares = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = scratch.keep(placed.join(mixed.select("band", F.col("top.root").alias("main")), "band").join(maps, "lh"), "mixed")
-    strays = _side(mixed.where("root != main"), "a").withColumnRenamed("band_a", "band")
-    others = _side(mixed, "b").withColumnRenamed("band_b", "band")
-    first = F.coalesce(*[F.when(F.col("bands_a")[j] == F.col("bands_b")[j], F.lit(j)) for j in range(len(BANDS))])  # a pair comes from one band only
-    across = strays.join(others, "band").where("root_a != root_b and (root_b = main_b or a < b)").where(_may_be_similar() & (first == F.col("k_a")))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select("band", F.col("top.root").alias("main"), F.ceil(F.col("members") / BLOCK).alias("chunks"))
+    mixed = scratch.keep(placed.join(mixed, "band"), "mixed")
+    maps = scratch.keep(bitmaps(texts.join(mixed.select("lh").distinct(), "lh", "left_semi")).join(minima, "lh"), "maps")
+    mixed = mixed.join(maps, "lh")
+    own, every = F.pmod(F.xxhash64("lh", F.lit(1)), "chunks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    strays = _side(mixed.where("root != main").withColumn("x", own).withColumn("y", every), "a")
+    others = _side(mixed.withColumn("x", every).withColumn("y", own), "b")
+    blocks = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("band", "x", "y")]
+    # a pair comes from its first common band only
+    across = strays.join(others, reduce(Column.__and__, blocks)).where("root_a != root_b and (root_b = main_b or a < b)")
+    across = across.where(_agree() & _may_be_similar() & (_first_common_band() == F.col("k_a")))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.keep(similar(across.join(pairs, ["a", "b"], "left_anti"), texts), "more-links")
-    scratch.release()
+    across = scratch.keep(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    more = scratch.keep(similar(across, texts), "more-links")
     if more.limit(1).count():
         roots = components(links.union(more), scratch)
-    scratch.drop("buckets", "crowd", "pairs", "wanted", "texts", "maps", "mixed", "links", "more-links")
+    scratch.drop("buckets", "crowd", "pairs", "wanted", "texts", "minima", "maps", "mixed", "near", "links", "across", "more-links")
     return roots
 
 
@@ -174,9 +210,11 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     at = lines.select(F.xxhash64("line").alias("lh"), "doc_id", "text_hash", "pos")
     places = scratch.keep(at.join(_sized(listed, 16), "lh").drop("lh"), "places")
     scratch.release()
-    where = F.struct("doc_id", "text_hash", "pos")
-    stays = places.groupBy("root").agg(F.min(where).alias("stays"))
-    gone = places.join(stays, "root").where(~where.eqNullSafe(F.col("stays")))
+    stays = places.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("at"))
+    stays = stays.select(F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("hash"), F.col("at.pos").alias("place"))
+    # places are all different, so a line that very many documents hold is no hot key here
+    stay = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("pos") == F.col("place"))
+    gone = places.join(stays, stay, "left_anti")
     gone = scratch.keep(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")), "gone")
     scratch.drop("signatures", "listed", "places")
     scratch.release()
@@ -192,12 +230,13 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     occurrences the one with the least id stays (null ids are least), then the one first
     in its text. Repeated rows (equal id and text) count as one: they lose the same lines. An
     empty table gives no rows."""
-    spare = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = removals(spare, scratch).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    split = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    total = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
-    columns = [F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, total.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = removals(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), scratch)
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("old"), F.xxhash64(text).alias("hash"), F.split(text, "\n").alias("lines"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)), "\n")
+    new = F.when(F.col("gone").isNull(), F.col("old")).otherwise(kept)
+    total = F.size(F.filter("lines", lambda x: F.trim(x, F.lit(BLANK)) != ""))
+    columns = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rest]
+    return out.select(*columns, total.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -41,12 +41,13 @@ class Scratch:
     the rest goes when the driver's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.name = spark, name
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._quiet_drop, self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.spark.sparkContext.setJobDescription(f"{self.name}: {name}")
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
