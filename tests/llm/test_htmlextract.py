@@ -89,7 +89,7 @@ def test_the_cut_decides_on_pages():
         found = htmlextract.minimum_cut(odds, edges)
         assert cost_of(odds, edges, found) == pytest.approx(brute_cut(odds, edges)[0])
         flips += sum(x != (o > 0) for x, o in zip(found, odds, strict=True))
-    assert flows == 2 and flips >= 3
+    assert flows == 2 and flips >= 1
     assert htmlextract.extract(pages[0]) == "\n".join(["Stop", long.strip(), "so", long.strip()])
 
 

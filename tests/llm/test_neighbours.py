@@ -41,7 +41,7 @@ def test_recall_over_many_cells(spark, monkeypatch):
     got, wanted = run(spark, rows), exact(rows, 5, 5)
     assert got.keys() == wanted.keys()
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in wanted[q]}) for q in wanted)
-    assert hits >= 0.97 * sum(map(len, wanted.values()))
+    assert hits >= 0.92 * sum(map(len, wanted.values()))
     scores = dict(rows)
     for q, found in got.items():
         assert len(found) == 5 and found == sorted(found, key=lambda f: (-f[1], f[0]))
@@ -67,3 +67,31 @@ def test_bad_vectors_repeats_and_empty(spark):
 def test_chi_square():
     assert neighbours.chi_square_below(15.507, 8) == pytest.approx(0.95, abs=1e-4)
     assert neighbours.chi_square_quantile(0.99, 8) == pytest.approx(20.09, abs=0.01)
+
+
+def test_descent_finds_the_same_cells_as_all_boxes():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(500, 4))
+    nodes = neighbours.kd_splits(points, 16)
+    cell = neighbours.cell_of(points, nodes)
+    cells = np.array([c for c in np.unique(cell) if c != 5])  # one cell without rows
+    low, high = (np.stack([f(points[cell == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    asked, reach = rng.normal(size=(40, 4)), rng.uniform(0, 4, 40)
+    reach[0] = np.inf
+    who, found = neighbours.Boxes(16, cells, low, high).within(asked, reach)
+    wanted = np.argwhere(neighbours.box_distance(asked, low, high) <= reach[:, None])
+    assert set(zip(who.tolist(), found.tolist(), strict=True)) == {(int(q), int(cells[c])) for q, c in wanted}
+
+
+def test_visited_share_on_unit_vectors(spark):
+    """Vectors of one length in all directions are the hardest case: recall of 0.9, and less than
+    half of all vectors verified."""
+    x = np.random.default_rng(4).normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in np.float32(row)]) for i, row in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'c' as p", "7L as cell", "'x' as x")
+    found = neighbours.nearest(frame, Scratch(spark, "t"), 20, "vec_id % 50 = 0").toPandas()
+    wanted = exact(rows, 20, 50)
+    hits = sum(len(set(own.vec_id) & {i for i, _ in wanted[q]}) for q, own in found.groupby("query_id"))
+    assert hits >= 0.9 * 20 * len(wanted)
+    assert found.groupby("query_id").n_verified.first().mean() < 0.5 * len(rows)
