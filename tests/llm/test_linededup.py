@@ -108,7 +108,7 @@ def test_a_centre_that_no_line_chose_is_compared(spark):
     rows = []
     for k, (x, own) in enumerate(((a, [1]), (b, [1, 2]), (c, [1, 2]), (d, [2]))):
         minima = [100 * k + j for j in range(linededup.MINS)]
-        minima[12:14] = [7, 8]  # so that all agree in six minima
+        minima[12:16] = [6, 7, 8, 9]  # so that all agree in eight minima
         for row in own:
             minima[4 * (row - 1) : 4 * row] = [row] * 4
         rows.append((x, 1, *minima))
@@ -129,6 +129,7 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     whole = run(spark, rows)
     monkeypatch.setattr(linededup, "BLOCK", 4)
+    monkeypatch.setattr(linededup, "FEW", 3)
     assert run(spark, rows) == whole
 
 

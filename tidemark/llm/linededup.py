@@ -12,9 +12,10 @@ units; a shorter line is one shingle). The stages:
 3. Links. Every line is compared with the most frequent line of its buckets (in buckets of
    two, with the other). Then components are formed, and only where lines of a bucket are still in different
    components are the pairs across components compared, so a bucket of copies costs a
-   row a line and no pairs. Buckets are cut into chunks of at most ``BLOCK`` lines and chunks
-   are compared with chunks, so no task holds a bucket. Pairs that agree in fewer than ``AGREE`` minima go
-   (at a similarity of 0.8 three in a hundred thousand), across components also those whose
+   row a line and no pairs: in larger buckets first those in chunks of about ``FEW`` lines, which joins
+   most of a group of near copies, then all that are left. Buckets are cut into chunks of about ``BLOCK``
+   lines and chunks are compared with chunks, so no task holds a bucket. Pairs that agree in fewer than ``AGREE`` minima go
+   (at a similarity of 0.8 fifteen in ten thousand), across components also those whose
    bitmaps bound the similarity below 0.8 (each bit that differs stands for a shingle of one side
    only, so no link is lost); of the rest the exact Jaccard similarity is taken.
 4. Distributed union-find (``components``) over all verified links. Of each component
@@ -38,9 +39,9 @@ SHINGLE, SIMILARITY = 8, 0.8
 MINS = 16
 BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in range(4)] for i in range(4)]
 #: Minima that a pair must have in common to be compared exactly; lines of a bucket that are
-#: compared with each other in one group.
-AGREE, BLOCK = 6, 512
-#: Shingles hashed in one row, for the minima and for a set; 64-bit words of a set's bitmap.
+#: compared with each other in one group, and in the first round of a larger bucket.
+AGREE, BLOCK, FEW = 8, 512, 32
+#: Shingles hashed in one row, for the minima and for a bitmap; 64-bit words of a bitmap.
 STEP, RUN, MAP_WORDS = 4, 16, 32
 BLANK = " \t\r\x0b\x0c"
 #: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
@@ -83,6 +84,11 @@ def _runs(rows: DataFrame, units: str, step: int) -> DataFrame:
     return counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(step))))
 
 
+def _set(units: str) -> Column:
+    """The set of a line's shingles, hashed."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), _shingle_count(F.col(units))), lambda i: _shingle(units, i)))
+
+
 def _hashes(units: str, step: int) -> list[Column]:
     """The hashes of one run; the last run repeats the last shingle as often as it needs."""
     return [_shingle(units, F.least(F.col("i") + j, F.col("n"))) for j in range(step)]
@@ -143,14 +149,40 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (a, b) of ``pairs`` (each once) whose lines' exact similarity reaches SIMILARITY."""
     one = lambda x: texts.select(F.col("lh").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    sides = both.select("a", "b", F.posexplode(F.array(_units(F.col("line_a")), _units(F.col("line_b")))).alias("side", "units"))
-    runs = _runs(sides, "units", RUN).select("a", "b", "side", F.array(*_hashes("units", RUN)).alias("run"))
-    of = lambda side: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("run")))))
-    sets = runs.groupBy("a", "b").agg(of(0).alias("s"), of(1).alias("t"))
+    units = both.select("a", "b", _units(F.col("line_a")).alias("u"), _units(F.col("line_b")).alias("v"))
+    # the generator keeps the filter from being pushed below, where it would work the sets out again
+    sets = units.select("a", "b", F.inline(F.array(F.struct(_set("u").alias("s"), _set("v").alias("t")))))
     sized = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("k"), (F.size("s") + F.size("t")).alias("n"))
     return sized.where(F.col("k") >= SIMILARITY * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
 
 
+def _chunk(salt: int) -> Column:
+    return F.pmod(F.xxhash64("lh", F.lit(salt)), "chunks")
+
+
+def _every() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+
+
+def _mixed(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, k, lh, root, main, members, chunks): the lines of buckets that hold several components;
+    ``main`` is the bucket's largest."""
+    placed = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "k", "lh", F.coalesce("root", "lh").alias("root"), "chunks", _chunk(1).alias("x"))
+    shares = placed.groupBy("band", "root").agg(F.count("*").alias("size"), F.max("chunks").alias("chunks"))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("members"), F.count("*").alias("roots"), F.max("chunks").alias("chunks"))
+    mixed = mixed.where("roots > 1").select("band", F.col("top.root").alias("main"), "members", _every().alias("x"))
+    return placed.join(mixed, ["band", "x"]).drop("x")
+
+
+def _apart(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of lines of one bucket and different components that may be similar, each from its
+    first common band and once."""
+    both = _side(a, "a").join(_side(b, "b"), reduce(Column.__and__, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in by]))
+    both = both.where("root_a != root_b and (root_a = main_a or root_b = main_a or a < b)")
+    both = both.where(_agree() & _may_be_similar() & (_first_common_band() == F.col("k_a")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each line hash that isn't its component's least, with that least."""
     rows = sketch.select("lh", "occurs", F.posexplode(_bands()).alias("k", "band"))
@@ -158,11 +190,12 @@ def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataF
     buckets = scratch.keep(buckets.where("n > 1"), "buckets")
     scratch.release()
     couples = buckets.where("n = 2").select("a", "b")
-    crowd = scratch.keep(rows.join(_sized(buckets.where("n > 2").select("band"), 8), "band"), "crowd")
+    large = buckets.where("n > 2").select("band", F.ceil(F.col("n") / BLOCK).alias("chunks"))
+    crowd = scratch.keep(rows.join(_sized(large, 16), "band"), "crowd")
     # the centre of a larger bucket: the least of its most frequent lines
-    top = crowd.groupBy("band").agg(F.max("occurs").alias("occurs"))
-    centres = crowd.join(top, ["band", "occurs"]).groupBy("band").agg(F.min("lh").alias("centre"), F.max("occurs").alias("often"))
-    spokes = crowd.join(centres, "band").where("lh != centre").groupBy("lh").agg(F.max(F.struct("often", "centre")).alias("s")).select("lh", "s.centre")
+    centres = crowd.groupBy("band").agg(F.max(F.struct("occurs", F.bitwise_not("lh").alias("not"))).alias("top"), F.max("chunks").alias("chunks"))
+    centres = centres.select("band", F.col("top.occurs").alias("often"), F.bitwise_not("top.not").alias("centre"), _every().alias("x"))
+    spokes = crowd.withColumn("x", _chunk(1)).join(centres, ["band", "x"]).where("lh != centre").groupBy("lh").agg(F.max(F.struct("often", "centre")).alias("s")).select("lh", "s.centre")
     spokes = spokes.select(F.least("lh", "centre").alias("a"), F.greatest("lh", "centre").alias("b"))
     pairs = scratch.keep(couples.union(spokes).distinct(), "pairs")
     # every line of a bucket, also one that is in no pair yet: it may be compared across components
@@ -175,26 +208,23 @@ def line_classes(lines: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataF
     links = scratch.keep(similar(scratch.keep(near, "near"), texts), "links")
     roots = components(links, scratch)
     # what is left: pairs across components of one bucket that were not compared
-    placed = crowd.join(roots.withColumnRenamed("node", "lh"), "lh", "left").select("band", "k", "lh", F.coalesce("root", "lh").alias("root"))
-    shares = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("members"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = mixed.select("band", F.col("top.root").alias("main"), F.ceil(F.col("members") / BLOCK).alias("chunks"))
-    mixed = scratch.keep(placed.join(mixed, "band"), "mixed")
+    mixed = scratch.keep(_mixed(crowd, roots), "mixed")
     maps = scratch.keep(bitmaps(texts.join(mixed.select("lh").distinct(), "lh", "left_semi")).join(minima, "lh"), "maps")
+    if mixed.where(F.col("members") > 2 * FEW).limit(1).count():
+        own = mixed.where(F.col("members") > 2 * FEW).withColumn("chunks", F.ceil(F.col("members") / FEW)).withColumn("x", _chunk(2)).join(maps, "lh")
+        own = scratch.keep(_apart(own, own, ["band", "x"]).join(pairs, ["a", "b"], "left_anti"), "inside")
+        pairs, links = pairs.union(own), links.union(scratch.keep(similar(own, texts), "inside-links"))
+        roots = components(links, scratch)
+        mixed = scratch.keep(_mixed(crowd, roots), "mixed-again")
     mixed = mixed.join(maps, "lh")
-    own, every = F.pmod(F.xxhash64("lh", F.lit(1)), "chunks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    strays = _side(mixed.where("root != main").withColumn("x", own).withColumn("y", every), "a")
-    others = _side(mixed.withColumn("x", every).withColumn("y", own), "b")
-    blocks = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("band", "x", "y")]
-    # a pair comes from its first common band only
-    across = strays.join(others, reduce(Column.__and__, blocks)).where("root_a != root_b and (root_b = main_b or a < b)")
-    across = across.where(_agree() & _may_be_similar() & (_first_common_band() == F.col("k_a")))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = scratch.keep(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    strays = mixed.where("root != main").withColumn("x", _chunk(1)).withColumn("y", _every())
+    others = mixed.withColumn("x", _every()).withColumn("y", _chunk(1))
+    across = scratch.keep(_apart(strays, others, ["band", "x", "y"]).join(pairs, ["a", "b"], "left_anti"), "across")
     more = scratch.keep(similar(across, texts), "more-links")
+    scratch.release()
     if more.limit(1).count():
         roots = components(links.union(more), scratch)
-    scratch.drop("buckets", "crowd", "pairs", "wanted", "texts", "minima", "maps", "mixed", "near", "links", "across", "more-links")
+    scratch.drop("buckets", "crowd", "pairs", "wanted", "texts", "minima", "maps", "mixed", "mixed-again", "near", "links", "inside", "inside-links", "across", "more-links")
     return roots
 
 
