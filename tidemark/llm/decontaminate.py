@@ -267,17 +267,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str =
     near = near.groupBy("doc_id", "text_hash", "item_id", "item_hash", "item").agg(F.min(F.struct("reading", "n_windows", "n_found")).alias("s"))
     near = scratch.keep(near.select("doc_id", "text_hash", "item_id", "item_hash", "item", "s.n_windows", "s.n_found"), "near")
     scratch.release()
-    texts = docs.withColumn("__hash", F.xxhash64("text")).withColumnRenamed("doc_id", "__id")
+    texts = docs.select(F.col("doc_id").alias("own_id_"), "text", F.xxhash64("text").alias("own_hash_"))
     side = near if near.count() > 20_000 else F.broadcast(near)
-    judged = texts.join(side, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash")))
+    judged = texts.join(side, F.col("own_id_").eqNullSafe(F.col("doc_id")) & (F.col("own_hash_") == F.col("text_hash")))
     judged = judged.select("doc_id", "text_hash", "item_id", "n_windows", "n_found", consistency_column()("text", "item").alias("c")).where(F.col("c.consistent") >= CONSISTENT)
     return judged.select(F.col("doc_id").alias(id_col), "text_hash", "item_id", "n_windows", "n_found", F.col("c.consistent").alias("consistent"), (~F.col("c.same")).alias("reparameterised")).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that leak no item, whole and unchanged."""
-    found = leaks(docs, benchmark, scratch, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = leaks(docs, benchmark, scratch, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct()
     found = scratch.keep(found, "leaks")
     side = found if found.count() > 100_000 else F.broadcast(found)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
+    return rows.join(side, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_anti").select("row.*")

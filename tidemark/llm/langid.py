@@ -8,8 +8,11 @@ against what the texts say. Host priors are smoothed hierarchically: a host towa
 domain, a domain towards its suffix, a suffix towards the whole corpus, so a host with
 few documents says little.
 
-The text model is fitted on at most ``MAX_FIT`` labelled rows, picked by a hash of the
-text. All counts are over all rows.
+The text model is fitted on at most ``MAX_FIT`` labelled rows and at most half of them, picked
+by a hash of the text. A row that it was fitted on doesn't use its declared language as evidence,
+and isn't counted in how far declarations are trusted. Host counts are over all rows. Languages
+beyond the ``MAX_LANGUAGES`` most frequent are one class of the model, ``other``; documents of
+that class aren't accepted, as no language is told.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewise
-from tidemark.llm.scratch import small_batches
+from tidemark.llm.scratch import Scratch, small_batches
 
-BUCKETS, MAX_FIT, MAX_LANGUAGES, PARTS = 1 << 16, 40_000, 64, 16
+BUCKETS, MAX_FIT, MAX_LANGUAGES, PARTS = 1 << 16, 40_000, 256, 16
+OTHER = "other"
 TEMPER, MOST_EVIDENCE = 4.0, 60.0
 HOST_WEIGHT, TABLE_WEIGHT = 20.0, 50.0
 #: Host priors of at most so many rows are broadcast; larger tables are joined by a shuffle.
@@ -55,6 +59,7 @@ def trigrams(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class TextModel:
     languages: list[str]
     table: np.ndarray  # (languages, BUCKETS): log probabilities
+    fitted_below: int = 0  # rows whose hash is below this share of SHARES were fitted on
 
     def column(self):
         """A column function: text to the tempered log likelihood of each language; empty
@@ -82,23 +87,36 @@ class TextModel:
         return of
 
 
+SHARES = 1 << 20
+
+
+def _draw(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text, F.lit("fit")), F.lit(SHARES))
+
+
 def fit_text(rows: DataFrame) -> TextModel:
     """``rows``: (text, language), labelled. Languages beyond the MAX_LANGUAGES most
-    frequent aren't modelled."""
+    frequent are the class OTHER."""
     rows = rows.where("text is not null and language is not null")
-    top = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("language").count()
+    top = counts.orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
     languages = sorted(r.language for r in top)
     if not languages:
-        return TextModel(["und"], np.full((1, BUCKETS), -np.log(BUCKETS)))
-    share = min(1.0, MAX_FIT / max(1, sum(r["count"] for r in top)))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    place = {x: i for i, x in enumerate(languages)}
+        return TextModel(["und"], np.full((1, BUCKETS), -np.log(BUCKETS), np.float32))
+    total = counts.agg(F.sum("count")).first()[0]
+    if total > sum(r["count"] for r in top):
+        languages = [x for x in languages if x != OTHER] + [OTHER]
+    below = int(min(0.5, MAX_FIT / max(1, total)) * SHARES)
+    if total < 2 * len(languages) * 10:  # too few rows to leave half of them out
+        below = SHARES
+    picked = rows.where(_draw(F.col("text")) < below)
+    place, rest = {x: i for i, x in enumerate(languages)}, len(languages) - 1 if languages[-1] == OTHER else -1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytewise.claim("langid")
         sums = np.zeros((len(languages), BUCKETS))
         for batch in batches:
-            which = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
+            which = np.array([place.get(x, rest) for x in batch.column(1).to_pylist()], np.int64)
             for piece, own in _with(batch.column(0), which):
                 buckets, bounds = trigrams(*bytewise.buffers(piece))
                 owner = np.repeat(own, np.diff(bounds))
@@ -111,7 +129,7 @@ def fit_text(rows: DataFrame) -> TextModel:
     for r in found:
         sums += np.frombuffer(r.sums, np.float32).reshape(sums.shape)
     smooth = sums + 0.5 * sums.sum(0) / max(1.0, sums.sum()) * BUCKETS * 0.01 + 0.01
-    return TextModel(languages, np.log(smooth / smooth.sum(1, keepdims=True)))
+    return TextModel(languages, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32), below)
 
 
 def _with(texts: pa.Array, other: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -143,7 +161,7 @@ def _softmax(scores: Column) -> Column:
     return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, model: TextModel | None = None, least: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, model: TextModel | None = None, least: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with ``lang_id``, ``lang_score`` and ``lang_accepted`` (in place of columns of
     those names). A document is accepted if its text holds letters and the best language's
     posterior is at least ``least``.
@@ -153,6 +171,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
     language its other evidence favours and isn't accepted. Null ids and repeated rows
     pass through. An empty table gives no rows."""
     small_batches(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession, "langid")
     text = F.coalesce(F.col(text_col), F.lit(""))
     declared = F.coalesce(F.lower(F.substring_index(F.col(declared_col), "-", 1)), F.lit("")) if declared_col else F.lit("")
     host = host_of(F.col(url_col)) if url_col else F.coalesce(F.col(host_col), F.lit("")) if host_col else F.lit("")
@@ -160,16 +179,16 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
         model = fit_text(docs.select(text.alias("text"), F.nullif(declared, F.lit("")).alias("language")))
     languages, k = model.languages, len(model.languages)
     keep = [c for c in docs.columns if c not in ("lang_id", "lang_score", "lang_accepted")]
-    told = docs.select(F.struct(*keep).alias("__row"), declared.alias("__declared"), host.alias("__host"), model.column()(text).alias("__ll"))
+    fitted = (_draw(text) < model.fitted_below) if 0 < model.fitted_below < SHARES else F.lit(False)
+    told = docs.select(F.struct(*keep).alias("__row"), F.when(~fitted, declared).otherwise("").alias("__declared"), host.alias("__host"), model.column()(text).alias("__ll"))
     best = F.when(F.size("__ll") > 0, F.array_position("__ll", F.array_max("__ll")) - 1).otherwise(-1).alias("best")
     seen = told.select(best, "__declared", "__host").groupBy("__host", "__declared", "best").agg(F.count("*").alias("m"))
+    seen = scratch.keep(seen, "seen")
     votes = [F.sum(F.when(F.col("best") == i, F.col("m")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(k)]
     hosts = seen.groupBy("__host").agg(*votes)
     total = seen.agg(*votes).first()
     overall = np.array([x or 0.0 for x in total]) + 1.0
     overall /= overall.sum()
-    # suffixes and declared languages are few in kind; the longest tail is cut at the
-    # bound of their tables, where a missing row means no evidence
     suffix_rows = hosts.groupBy(suffix_of(F.col("__host")).alias("key")).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)])
     domain_rows = hosts.groupBy(domain_of(F.col("__host")).alias("domain")).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)])
     declared_rows = seen.where("__declared != ''").groupBy(F.col("__declared").alias("key")).agg(*votes)
@@ -180,24 +199,25 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
 
     whole = [F.lit(float(x)) for x in overall]
     suffix_prior = suffix_rows.select("key", *[c.alias(f"s{i}") for i, c in enumerate(smooth("n", whole))])
-    domains = domain_rows.withColumn("key", suffix_of(F.col("domain"))).join(F.broadcast(suffix_prior.limit(BROADCAST_ROWS)), "key", "left")
+    domains = domain_rows.withColumn("key", suffix_of(F.col("domain"))).join(suffix_prior, "key", "left")
     domain_prior = domains.select("domain", *[c.alias(f"d{i}") for i, c in enumerate(smooth("n", [F.coalesce(F.col(f"s{i}"), whole[i]) for i in range(k)]))])
     host_prior = hosts.withColumn("domain", domain_of(F.col("__host"))).join(domain_prior, "domain")
     host_prior = host_prior.select("__host", F.array(*[F.log(c) for c in smooth("n", [F.col(f"d{i}") for i in range(k)])]).alias("__prior"))
     # P(declared | language) over P(declared): how much a declaration speaks for a language
-    trust = {}
-    for r in declared_rows.orderBy(F.desc(sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))), "key").limit(1000).collect():
-        n = np.array([r[f"n{i}"] for i in range(k)])
-        trust[r.key] = [float(x) for x in np.log((n + TABLE_WEIGHT * overall) / (n.sum() + TABLE_WEIGHT)) - np.log(overall)]
+    size = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
+    trust = declared_rows.select(F.col("key").alias("__declared"), F.array(*[F.log((F.col(f"n{i}") + TABLE_WEIGHT * float(x)) / (size + TABLE_WEIGHT)) - float(np.log(x)) for i, x in enumerate(overall)]).alias("__says"))
+    trust = scratch.keep(trust, "trust")
+    if trust.count() <= BROADCAST_ROWS:
+        trust = F.broadcast(trust)
     nothing = F.array(*[F.lit(0.0)] * k)
-    says = F.coalesce(F.create_map(*[x for key, v in trust.items() for x in (F.lit(key), F.array(*map(F.lit, v)))])[F.col("__declared")], nothing) if trust else nothing
     if hosts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         host_prior = F.broadcast(host_prior)
-    joined = told.join(host_prior, "__host", "left")
+    joined = told.join(host_prior, "__host", "left").join(trust, "__declared", "left")
+    says = F.coalesce("__says", nothing)
     prior = F.coalesce("__prior", F.array(*[F.log(c) for c in whole]))
     ll = F.when(F.size("__ll") > 0, F.col("__ll")).otherwise(nothing)
     scores = F.zip_with(F.zip_with(prior, says, lambda a, b: a + b), ll, lambda a, b: a + b)
     out = joined.select("__row", (F.size("__ll") > 0).alias("__letters"), _softmax(scores).alias("__p"))
     top = F.array_max("__p")
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("__p", top).cast("int"))
-    return out.select("__row.*", name.alias("lang_id"), top.alias("lang_score"), (F.col("__letters") & (top >= least)).alias("lang_accepted"))
+    return out.select("__row.*", name.alias("lang_id"), top.alias("lang_score"), (F.col("__letters") & (top >= least) & (name != OTHER)).alias("lang_accepted"))

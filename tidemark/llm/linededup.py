@@ -41,8 +41,8 @@ BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in
 #: Minima that a pair must have in common to be compared exactly; lines of a bucket that are
 #: compared with each other in one group, and in the first round of a larger bucket.
 AGREE, BLOCK, FEW = 8, 512, 32
-#: Shingles hashed in one row, for the minima and for a bitmap; 64-bit words of a bitmap.
-STEP, RUN, MAP_WORDS = 4, 16, 32
+#: Shingles hashed in one row, for the minima and for a set; 64-bit words of a bitmap.
+STEP, RUN, MAP_WORDS = 4, 32, 32
 BLANK = " \t\r\x0b\x0c"
 #: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -84,11 +84,6 @@ def _runs(rows: DataFrame, units: str, step: int) -> DataFrame:
     return counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(step))))
 
 
-def _set(units: str) -> Column:
-    """The set of a line's shingles, hashed."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _shingle_count(F.col(units))), lambda i: _shingle(units, i)))
-
-
 def _hashes(units: str, step: int) -> list[Column]:
     """The hashes of one run; the last run repeats the last shingle as often as it needs."""
     return [_shingle(units, F.least(F.col("i") + j, F.col("n"))) for j in range(step)]
@@ -149,9 +144,10 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (a, b) of ``pairs`` (each once) whose lines' exact similarity reaches SIMILARITY."""
     one = lambda x: texts.select(F.col("lh").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    units = both.select("a", "b", _units(F.col("line_a")).alias("u"), _units(F.col("line_b")).alias("v"))
-    # the generator keeps the filter from being pushed below, where it would work the sets out again
-    sets = units.select("a", "b", F.inline(F.array(F.struct(_set("u").alias("s"), _set("v").alias("t")))))
+    sides = both.select("a", "b", F.posexplode(F.array(_units(F.col("line_a")), _units(F.col("line_b")))).alias("side", "units"))
+    runs = _runs(sides, "units", RUN).select("a", "b", "side", F.array(*_hashes("units", RUN)).alias("run"))
+    of = lambda side: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("run")))))
+    sets = runs.groupBy("a", "b").agg(of(0).alias("s"), of(1).alias("t"))
     sized = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("k"), (F.size("s") + F.size("t")).alias("n"))
     return sized.where(F.col("k") >= SIMILARITY * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
 

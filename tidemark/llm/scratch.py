@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests on one
-    machine), a folder of our own which is also set as the checkpoint folder."""
+    """The session's ``spark.checkpoint.dir``; where it is unset on one machine (tests), a
+    folder of our own which is also set as the checkpoint folder. On a cluster it has to be set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -404,11 +404,11 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     Rows with a null id stay only if no row of their component has an id."""
     found = near_duplicates(docs, scratch, id_col, text_col, radius, width) if similarity is None else near_copies(docs, scratch, id_col, text_col, width, similarity)
     found = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    found = found.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__n"))
-    with_id = found.where("__id is not null").groupBy("__id").agg(F.min(F.struct("__hash", "__n")).alias("s")).select("__id", "s.*")
-    kept = scratch.keep(with_id.unionByName(found.where("__id is null").withColumn("__n", F.lit(1).cast("long"))), "kept")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")))
-    if kept.where("__n > 1").limit(1).count():
-        out = out.where("__n = 1").unionByName(out.where("__n > 1").dropDuplicates([id_col]))
-    return out.select(*[F.col(c) for c in docs.columns])
+    found = found.groupBy(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("n"))
+    with_id = found.where("id is not null").groupBy("id").agg(F.min(F.struct("hash", "n")).alias("s")).select("id", "s.*")
+    kept = scratch.keep(with_id.unionByName(found.where("id is null").withColumn("n", F.lit(1).cast("long"))), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
+    out = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    if kept.where("n > 1").limit(1).count():
+        out = out.where("n = 1").unionByName(out.where("n > 1").dropDuplicates(["id"]))
+    return out.select("row.*")
