@@ -58,7 +58,6 @@ def test_names_dates_and_sizes(spark):
     today = F.lit("2025-01-15").cast("date")
     assert row(rewrite.date_range(F.lit("invoice from last month"), today))[0][:] == (1733011200.0, 1735689600.0)
     assert row(rewrite.kinds(F.lit("open the picture")))[0] == ["image"]
-    assert rewrite.parse_line("bill, Receipt!, payment | doc", "x") == (["bill", "receipt", "payment"], ["doc"])
 
 
 def test_extractors(spark):

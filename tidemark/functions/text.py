@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words of a chunk, and how far the next chunk's start is.
 CHUNK_WORDS, CHUNK_STEP = 200, 160
 
-# File suffixes by kind.
-TEXT_SUFFIXES = [".txt", ".md", ".py", ".js", ".ts", ".json", ".csv", ".html", ".css", ".xml", ".yaml", ".yml", ".log", ".ini", ".rst", ".toml"]
-IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".webp", ".bmp", ".gif", ".tiff", ".heic"]
+# File suffixes by kind, names that are never indexed, what a kind is called.
+TEXT_SUFFIXES = [".txt", ".md", ".markdown", ".rst", ".log", ".csv", ".json", ".xml", ".yaml", ".yml", ".html", ".htm", ".ps1", ".sh", ".bat", ".cmd"]
+IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp", ".tif", ".tiff"]
 DOCUMENT_KINDS = {".pdf": "pdf", ".docx": "docx", ".pptx": "slides", ".xlsx": "spreadsheet", ".ipynb": "notebook"}
-BINARY_KINDS = {
-    ".zip": "archive", ".tar": "archive", ".gz": "archive", ".rar": "archive", ".7z": "archive", ".iso": "disk-image", ".img": "disk-image", ".dmg": "disk-image",
-    ".exe": "executable", ".msi": "executable", ".msix": "executable", ".parquet": "data", ".db": "data", ".sqlite": "data", ".mp3": "media", ".mp4": "media", ".mkv": "media", ".wav": "media",
-}
+MEDIA_SUFFIXES = [".mp3", ".m4a", ".flac", ".ogg", ".opus", ".wav", ".wma", ".mp4", ".mkv", ".mov", ".avi", ".webm"]
+BINARY_SUFFIXES = {
+    "archive": [".zip", ".7z", ".rar", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".jar", ".whl"],
+    "executable": [".exe", ".dll", ".msi", ".msix", ".appx", ".apk"],
+    "disk-image": [".iso", ".img", ".dmg", ".vhd", ".vhdx"],
+    "data": [".parquet"],
+    "media": MEDIA_SUFFIXES,
+}
 COMPOUND_SUFFIXES = [".tar.gz", ".tar.bz2", ".tar.xz"]
-INDEXABLE = sorted({*TEXT_SUFFIXES, *IMAGE_SUFFIXES, *DOCUMENT_KINDS, *BINARY_KINDS})
+IGNORED_STARTS = ["~$", "~", ".tmp", ".crdownload", ".part"]
+KIND_NAMES = {"archive": "archive", "executable": "executable installer or application", "disk-image": "disk image", "data": "data file", "media": "audio or video recording"}
+INDEXABLE = sorted({*TEXT_SUFFIXES, *IMAGE_SUFFIXES, *DOCUMENT_KINDS, *(s for own in BINARY_SUFFIXES.values() for s in own)})
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks and what they are without, by Unicode decomposition; combining marks go."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1:
+            pairs.append((chr(code), parts[0]))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
 def split_words(text: Column) -> Column:
@@ -31,8 +59,8 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Search tokens: lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Search tokens: runs of letters and digits, without case and diacritics."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def chunk_count(n_words: Column) -> Column:
@@ -58,11 +86,10 @@ def suffix(path: Column) -> Column:
 
 def binary_kind(path: Column) -> Column:
     """Kind of a file that is indexed by name only; null for others."""
-    low = F.lower(path)
-    compound = [low.endswith(s) for s in COMPOUND_SUFFIXES]
-    found = F.when(compound[0] | compound[1] | compound[2], "archive")
-    for s, kind in BINARY_KINDS.items():
-        found = found.when(suffix(path) == s, kind)
+    low, own = F.lower(path), suffix(path)
+    found = F.when(reduce(Column.__or__, [low.endswith(s) for s in COMPOUND_SUFFIXES]), "archive")
+    for kind, suffixes in BINARY_SUFFIXES.items():
+        found = found.when(own.isin(suffixes), kind)
     return found
 
 
@@ -116,13 +143,100 @@ def packed_row(file_id: Column, ordinal: Column) -> Column:
 
 
 def should_process(path: Column) -> Column:
-    """Whether a change to this path is worth indexing: no temporary file, a known suffix."""
-    name = base_name(path)
-    return ~name.rlike(r"^(~\$|~|\.tmp|\.crdownload|\.part)") & (suffix(path).isin(INDEXABLE) | binary_kind(path).isNotNull())
+    """Whether a change to this path is worth indexing: no temporary file, and a suffix that the
+    watcher takes (slides and spreadsheets are left to the scan)."""
+    name, own = base_name(path), suffix(path)
+    ignored = reduce(Column.__or__, [name.startswith(x) for x in IGNORED_STARTS])
+    watched = [*TEXT_SUFFIXES, *IMAGE_SUFFIXES, ".pdf", ".docx", ".ipynb"]
+    return ~ignored & (own.isin(watched) | binary_kind(path).isNotNull())
 
 
 def is_loopback(host: Column) -> Column:
-    return F.lower(host).isin("localhost", "::1", "0.0.0.0", "") | host.startswith("127.")
+    """Local names and addresses, in brackets or mapped into IPv6 as well; no host is local."""
+    own = F.lower(F.trim(host, F.lit("[]")))
+    return host.isNull() | own.isin("localhost", "", "::1", "0.0.0.0") | own.startswith("127.") | own.startswith("::ffff:127.")
+
+
+def stem_of(path: Column) -> Column:
+    """The name without its last suffix."""
+    name = base_name(path)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(suffix(path)))
+
+
+def parent_of(path: Column) -> Column:
+    """The folder; ``.`` for a bare name."""
+    found = F.regexp_extract(path, r"^(.*)[\\/][^\\/]*$", 1)
+    return F.when(~path.rlike(r"[\\/]"), ".").when(found == "", "/").otherwise(found)
+
+
+def host_port(address: Column, port: int) -> Column:
+    """struct(host, port) of ``host:port``, ``[v6]:port`` or a bare host."""
+    host = F.regexp_extract(address, r"^(\[[^\]]*\]|[^:]*)", 1)
+    own = F.regexp_extract(address, r"^(?:\[[^\]]*\]|[^:]*):([0-9]+)$", 1)
+    return F.struct(F.trim(host, F.lit("[]")).alias("host"), F.when(own != "", own.cast("int")).otherwise(port).alias("port"))
+
+
+def shown_size(n: Column) -> Column:
+    """``human_size`` for display: nothing or zero is ``0 B``."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "0 B").otherwise(human_size(n))
+
+
+def shown_percent(score: Column) -> Column:
+    return F.greatest(F.lit(0.0), score * 100)
+
+
+def bar_width(share: Column, top: Column) -> Column:
+    """Percent of the largest bar, two at least."""
+    return F.greatest(F.lit(2.0), share * 100.0 / top)
+
+
+def metadata_chunks(path: Column, entries: Column | None = None, media: Column | None = None) -> Column:
+    """The two texts by which a file without readable text is found: its name and tokens, and a
+    phrase of its words, type and contents (``entries``: names inside an archive, ``media``: what
+    its tags say). No tokens, no texts."""
+    kind, own = F.coalesce(binary_kind(path), F.lit("binary")), name_tokens(path)
+    spoken = F.array_join(F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), capitalised), " ")
+    called = kind
+    for name, text in KIND_NAMES.items():
+        called = F.when(kind == name, text).otherwise(called)
+    phrase = F.trim(F.concat_ws(" ", spoken, F.upper(F.element_at(own, -1)), called))
+    if entries is not None:
+        inside = F.array_join(F.transform(entries, lambda e: F.translate(F.substring_index(e, "/", -1), "-_", "  ")), " ")
+        phrase = F.when((kind == "archive") & (F.size(entries) > 0), F.concat(phrase, F.lit(". Contents: "), inside)).otherwise(phrase)
+    if media is not None:
+        phrase = F.when((kind == "media") & (F.coalesce(media, F.lit("")) != ""), F.concat(phrase, F.lit(". "), media)).otherwise(phrase)
+    made = F.array(F.concat(base_name(path), F.lit(" "), F.array_join(own, " ")), phrase)
+    return F.when(F.size(own) > 0, made).otherwise(F.array().cast("array<string>"))
+
+
+def media_label(title: Column, artist: Column, seconds: Column, noun: str = "audio recording") -> Column:
+    """``title by artist noun, length``; parts that are missing are left out."""
+    head = F.concat_ws(" ", title, F.concat(F.lit("by "), artist), F.lit(noun))
+    return F.concat_ws(", ", head, duration(seconds))
+
+
+def marked(text: Column, terms: Column, width: int = 16) -> Column:
+    """The run of ``width`` tokens that holds most of the terms (the first of equals), each term
+    between ``<mark>`` and ``</mark>``, cut ends shown by an ellipsis; empty if none is held.
+    ``text`` and ``terms`` (folded, sorted or not) are columns, not expressions."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{M}]+[^\p{L}\p{N}\p{M}]*"), 0)
+    plain = lambda p: folded(F.regexp_extract(p, r"^[\p{L}\p{N}\p{M}]+", 0))
+    held = F.transform(pieces, lambda p: F.when(F.array_contains(terms, plain(p)), plain(p)))
+    at = F.sequence(F.lit(1), F.greatest(F.size(pieces) - width + 1, F.lit(1)))
+    score = F.transform(at, lambda i: F.struct(F.size(F.array_distinct(F.filter(F.slice(held, i, width), lambda x: x.isNotNull()))).alias("n"), (-i).alias("back")))
+    best = F.array_max(score)
+    start = -best["back"]
+    wrap = lambda p: F.when(F.array_contains(terms, plain(p)), F.concat(F.lit("<mark>"), F.regexp_extract(p, r"^[\p{L}\p{N}\p{M}]+", 0), F.lit("</mark>"), F.regexp_replace(p, r"^[\p{L}\p{N}\p{M}]+", ""))).otherwise(p)
+    run = F.rtrim(F.array_join(F.transform(F.slice(pieces, start, width), wrap), ""))
+    cut = F.concat(F.when(start > 1, "…").otherwise(""), run, F.when(start + width <= F.size(pieces), "…").otherwise(""))
+    return F.when((F.size(pieces) > 0) & (best["n"] > 0), cut).otherwise("")
+
+
+def mark_parts(text: Column) -> Column:
+    """A marked text for display: an array of struct(text, hit)."""
+    parts = F.split(F.regexp_replace(text, "</?mark>", "\u0001"), "\u0001")
+    # a text that isn't marked is one part; parts between an opening and a closing mark are hits
+    return F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("hit"))), lambda x: x["text"] != "")
 
 
 def snippet(text: Column, terms: Column, before: int = 80, after: int = 160, head: int = 220) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.text import words
 
@@ -33,6 +34,11 @@ def quantise(a: Column) -> tuple[Column, Column]:
     return F.transform(a, lambda x: F.bround(x / scale * 127).cast("int")), scale
 
 
+def dequantised(quant: Column, scale: Column) -> Column:
+    """Bytes of ``quantise`` as numbers again."""
+    return F.transform(quant, lambda x: x * scale / 127.0)
+
+
 def padded(ids: Column, length: Column | int, fill: int = 0) -> Column:
     length = F.lit(length) if isinstance(length, int) else length
     return F.concat(ids, F.array_repeat(F.lit(fill), F.greatest(length - F.size(ids), F.lit(0))))
@@ -56,11 +62,11 @@ def hashed_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bucket that number modulo 768, which is (b0 + 256 ((b1 + ... + b7) mod 3)) mod 768; its sign the
     lowest bit of b1."""
     own = rows.select(id_col, words(F.col(text_col)).alias("words"))
-    each = own.select(id_col, F.explode(grams(F.col("words"))).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("m"))
+    # a gram becomes two numbers before anything is shuffled
+    each = own.select(id_col, F.explode(grams(F.col("words"))).alias("gram")).select(id_col, F.md5("gram").alias("md5"))
     byte = [F.conv(F.substring("md5", 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)]
-    each = each.withColumn("md5", F.md5("gram"))
     bucket = (byte[0] + 256 * (reduce(lambda x, y: x + y, byte[1:]) % 3)) % HASH_DIMENSIONS
     sign = F.when(byte[1] % 2 == 1, 1).otherwise(-1)
-    sums = each.groupBy(id_col, bucket.alias("bucket")).agg(F.sum(sign * F.col("m")).alias("w")).where("w != 0")
-    size = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("size"))
-    return sums.join(size, id_col).select(id_col, "bucket", (F.col("w") / F.col("size")).alias("weight"))
+    sums = each.groupBy(id_col, bucket.alias("bucket")).agg(F.sum(sign).alias("w")).where("w != 0")
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)).cast("double"))  # HASH_DIMENSIONS rows an id at most
+    return sums.select(id_col, "bucket", (F.col("w") / size).alias("weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,7 +52,63 @@ def coalesced(events: DataFrame, seconds: int = 2) -> DataFrame:
     return events.groupBy("path", at.alias("w")).agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.count("*").alias("n")).select("path", F.unix_timestamp("w.start").alias("start"), "kind", "n")
 
 
-def free_names(rows: DataFrame, folder: str, stem: str, ext: str, order: str) -> DataFrame:
-    """Names in a common folder: the second of a name gets `` (1)``, and so on."""
-    n = F.row_number().over(Window.partitionBy(folder, stem, ext).orderBy(order)) - 1
-    return rows.withColumn("dest", F.concat(F.col(stem), F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.col(ext)))
+def free_names(rows: DataFrame, folder: str, stem: str, ext: str, order: str, taken: DataFrame | None = None) -> DataFrame:
+    """Names in a common folder: the second of a name gets `` (1)``, and so on. Of names already
+    ``taken`` there (folder, stem, ext, n: 0 for the plain name), the numbers are left out."""
+    r = F.row_number().over(Window.partitionBy(folder, stem, ext).orderBy(order)) - 1
+    if taken is None:
+        named = rows.withColumn("__n", r)
+    else:
+        by = [folder, stem, ext]
+        used = taken.groupBy(*by).agg(F.array_sort(F.collect_set("n")).alias("__used"))
+        free = lambda own, n: F.element_at(F.filter(F.sequence(F.lit(0), n + F.size(own)), lambda i: ~F.array_contains(own, i)), n + 1)
+        named = rows.withColumn("__r", r).join(used, by, "left")
+        named = named.withColumn("__n", F.when(F.col("__used").isNull(), F.col("__r")).otherwise(free(F.col("__used"), F.col("__r")))).drop("__used", "__r")
+    n = F.col("__n")
+    return named.withColumn("dest", F.concat(F.col(stem), F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.col(ext))).drop("__n")
+
+
+def purge(path_rows: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, thumbnails: DataFrame) -> dict[str, DataFrame]:
+    """All that belongs to the files of ``path_rows`` (path) goes: their rows, chunks, vectors and
+    thumbnails (name). Returns what is left of each table."""
+    gone = files.join(path_rows.select("path").distinct(), "path", "left_semi").select("file_id", "path")
+    names = path_rows.select(F.concat(F.sha1("path"), F.lit(".jpg")).alias("name")).distinct()
+    left = {name: delete(table, gone, "file_id") for name, table in (("files", files), ("chunks", chunks), ("vectors", vectors))}
+    return left | {"thumbnails": thumbnails.join(names, "name", "left_anti")}
+
+
+def compact(spark: SparkSession, folder: str, files: int, keys: list[str]) -> None:
+    """The table in ``folder`` in that many files, sorted by ``keys``. The new files are whole before
+    the old ones go."""
+    rows = spark.read.parquet(folder)
+    fresh = f"{folder.rstrip('/')}.compact"
+    rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(fresh)
+    fs, path = _fs(spark, folder)
+    fs.delete(path(folder), True)
+    if not fs.rename(path(fresh), path(folder)):
+        raise OSError(f"{fresh} holds the rows of {folder}, but can't take its name")
+
+
+def wipe(spark: SparkSession, *folders: str) -> int:
+    """Deletes tables; how many there were."""
+    fs, path = _fs(spark, folders[0])
+    return sum(bool(fs.delete(path(f), True)) for f in folders)
+
+
+def usage(spark: SparkSession, **folders: str) -> DataFrame:
+    """(name, bytes): the sizes of folders and their sum, ``total``; what doesn't exist has none."""
+    sizes = {}
+    for name, folder in folders.items():
+        fs, path = _fs(spark, folder)
+        sizes[name] = int(fs.getContentSummary(path(folder)).getLength()) if fs.exists(path(folder)) else 0
+    return spark.createDataFrame([*sizes.items(), ("total", sum(sizes.values()))], "name string, bytes long")
+
+
+def append_record(spark: SparkSession, folder: str, **fields: object) -> None:
+    """One more row in an append-only table of records."""
+    spark.createDataFrame([fields]).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _fs(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -51,3 +51,43 @@ def cards(files: DataFrame, copies: DataFrame, now: float, large: int, stale_day
     rows = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("reason"), F.col(f"{n}_n").alias("files"), F.col(f"{n}_b").alias("bytes")) for i, (n, _) in enumerate(tests)])))
     extra = copies.where("copy = 1").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).select(F.lit(3).alias("position"), F.lit("duplicates").alias("reason"), "files", "bytes")
     return rows.unionByName(extra).where("files > 0")
+
+
+def folder_kinds(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes, kinds): ``kinds`` maps each kind in the folder to its count."""
+    flat = files.groupBy("folder", "kind").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    return flat.groupBy("folder").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+
+
+def reclaimable(copies: DataFrame, cap: int = 50 << 20) -> DataFrame:
+    """One row: bytes that go when of each group of copies only the kept one stays."""
+    return copies.agg(F.coalesce(F.sum(F.when(F.col("copy") == 1, F.least(F.col("size_bytes"), F.lit(cap)))), F.lit(0)).alias("bytes"))
+
+
+def nearest_rank(samples: DataFrame, by: str, value: str, **quantiles: float) -> DataFrame:
+    """(by, name of each quantile): the value at place round-half-even(q (n - 1)) of each group in
+    order. Two rankings and no array, so a group may be of any size."""
+    order = Window.partitionBy(by).orderBy(value)
+    n = samples.groupBy(by).agg(F.count(value).alias("n"))
+    at = samples.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(order) - 1).join(n, by)
+    picks = [F.max(F.when(F.col("r") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col(value))).alias(name) for name, q in quantiles.items()]
+    return at.groupBy(by).agg(*picks)
+
+
+def recall(got: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall): the share of each query's k true rows (query_id, file_id) among those got."""
+    hit = truth.join(got.select("query_id", "file_id", F.lit(1).alias("hit")), ["query_id", "file_id"], "left")
+    return hit.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / float(k)).alias("recall"))
+
+
+def reciprocal_ranks(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row (queries, mrr, top1, top3, top5): ``hits`` (query_id, rank) of relevant rows; a query
+    without one counts as 0."""
+    first = queries.select("query_id").join(hits.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
+    within = [F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))), 6).alias(f"top{k}") for k in (1, 3, 5)]
+    return first.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), *within)
+
+
+def repeats(samples: DataFrame, by: str, seconds: str, items: str) -> DataFrame:
+    """(by, least, mean, rate): the least and mean time of a benchmark's repeats, and items a second at the mean."""
+    return samples.groupBy(by).agg(F.min(seconds).alias("least"), F.avg(seconds).alias("mean"), (F.avg(items) / F.avg(seconds)).alias("rate"))

@@ -6,38 +6,75 @@ steps rank inside a query after the rows were cut per partition (window group li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+import time
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
+from tidemark.functions.stems import stemmed
+from tidemark.operators.rewrite import rewritten
+
+log = logging.getLogger(__name__)
 
 K1, B, RRF = 1.2, 0.75, 60
 #: A query set of at most so many rows is broadcast.
 BROADCAST_QUERIES = 10_000
+#: A table of terms, frequencies or results of at most so many rows is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _tokens(text: Column, stems: bool) -> Column:
+    return stemmed(T.tokens(text)) if stems else T.tokens(text)
+
+
+def query_phrases(queries: DataFrame, stems: bool = False) -> DataFrame:
+    """(query_id, phrase, weight): each run of a query's characters other than white space is a
+    phrase of its tokens (``don't`` is ``don t``); a phrase named more than once counts each time."""
+    words = queries.select("query_id", F.explode(T.split_words(F.col("query"))).alias("word"))
+    return words.select("query_id", _tokens(F.col("word"), stems).alias("phrase")).where(F.size("phrase") > 0).groupBy("query_id", "phrase").agg(F.count("*").alias("weight"))
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table``, to be broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, weight): how often a query names each term; a repeated term counts each time."""
-    return queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+def occurrences(tokens: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
+    """(*keys, len, phrase, tf): how often each row's ``tokens`` hold each of ``phrases`` (phrase),
+    its tokens standing one after the other."""
+    wanted = phrases.select("phrase").distinct().withColumn("n", F.size("phrase"))
+    parts = small(wanted.select("phrase", "n", F.posexplode("phrase").alias("k", "token")))
+    at = tokens.select(*keys, F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token")).join(parts, "token")
+    one = at.where("n = 1").groupBy(*keys, "len", "phrase").agg(F.count("*").alias("tf"))
+    run = at.where("n > 1").groupBy(*keys, "len", "phrase", "n", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("m"))
+    return one.unionByName(run.where("m = n").groupBy(*keys, "len", "phrase").agg(F.count("*").alias("tf")))
 
 
-def bm25(rows: DataFrame, keys: list[str], text_col: str, queries: DataFrame) -> DataFrame:
-    """(query_id, *keys, score) of all rows that hold a query's term; only the queries' terms
-    become postings. The inverse frequency of a term in half the rows or more is 1e-6."""
-    terms = query_terms(queries)
-    tokens = rows.select(*keys, T.tokens(F.col(text_col)).alias("tokens")).withColumn("len", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    post = tokens.select(*keys, "len", F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    post = post.groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    scored = post.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).join(F.broadcast(terms), "term")
+def score(post: DataFrame, keys: list[str], phrases: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, *keys, score) by BM25 over (*keys, len, phrase, tf) and one row (n, avg_len). The
+    inverse frequency of a phrase in half the rows or more is 1e-6."""
+    df = post.groupBy("phrase").agg(F.count("*").alias("df"))
+    scored = post.join(small(df), "phrase").crossJoin(F.broadcast(stats)).join(small(phrases), "phrase")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return scored.groupBy("query_id", *keys).agg(F.sum(F.when(idf > 0, idf).otherwise(1e-6) * part * F.col("weight")).alias("score"))
 
 
+def bm25(rows: DataFrame, keys: list[str], text_col: str, queries: DataFrame, stems: bool = False) -> DataFrame:
+    """(query_id, *keys, score) of all rows that hold a phrase of a query; only the queries'
+    phrases become postings."""
+    phrases = query_phrases(queries, stems)
+    tokens = rows.select(*keys, _tokens(F.col(text_col), stems).alias("tokens"))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+    return score(occurrences(tokens, keys, phrases), keys, phrases, stats)
+
+
 def top_k(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query with their ``rank`` from 1."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
@@ -45,11 +82,77 @@ def top_k(hits: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, file_id, ordinal, score): each query (query_id, query_vec) against all vectors.
-    The query set goes to every partition, so its size is checked."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries in a batch; split it")
-    asked = F.broadcast(queries.select("query_id", V.normalised(F.col("query_vec")).alias("q")))
-    return vectors.select("file_id", "ordinal", V.normalised(F.col("vec")).alias("v")).crossJoin(asked).select("query_id", "file_id", "ordinal", V.dot(F.col("v"), F.col("q")).alias("score"))
+    Up to BROADCAST_QUERIES queries go to every partition; more are dealt to blocks of that
+    many, and the vectors to each block."""
+    asked = queries.select("query_id", V.normalised(F.col("query_vec")).alias("q"))
+    own = vectors.select("file_id", "ordinal", V.normalised(F.col("vec")).alias("v"))
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        both = own.crossJoin(F.broadcast(asked))
+    else:
+        blocks = -(-n // BROADCAST_QUERIES)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")))
+        both = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block")
+    return both.select("query_id", "file_id", "ordinal", V.dot(F.col("v"), F.col("q")).alias("score"))
+
+
+def best_of_lists(*lists: DataFrame) -> DataFrame:
+    """(query_id, file_id, rank, shown): the best rank from 1 of each file over ranked lists, and the
+    score 60/(60 + rank - 1) it is shown with."""
+    rows = reduce(DataFrame.unionByName, [x.select("query_id", "file_id", "rank") for x in lists])
+    best = rows.groupBy("query_id", "file_id").agg(F.min("rank").alias("rank"))
+    return best.withColumn("shown", F.round(RRF / (RRF + F.col("rank") - 1.0), 3))
+
+
+def or_nothing(make: Callable[[], DataFrame], schema: str, spark: SparkSession) -> DataFrame:
+    """The rows of a retriever, or none if it fails, so that the others' results still come. The
+    rows are worked out here (a ranked list is short), as a plan fails only when it runs."""
+    try:
+        found = make().select(*[F.col(f.split()[0]) for f in schema.split(", ")])
+        return spark.createDataFrame(found.collect(), schema)
+    except Exception as e:
+        log.warning("a retriever failed: %s", type(e).__name__)
+        return spark.createDataFrame([], schema)
+
+
+def timed(action: Callable[[], object], spark: SparkSession, folder: str, backend: str = "search") -> object:
+    """The action's result; how long it took is appended to the table of latencies in ``folder``,
+    also if it fails."""
+    began = time.perf_counter()
+    try:
+        return action()
+    finally:
+        row = [(time.time(), (time.perf_counter() - began) * 1000, backend)]
+        spark.createDataFrame(row, "ts double, ms double, backend string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def snippets(results: DataFrame, queries: DataFrame, files: DataFrame, chunks: DataFrame, by_chunk: DataFrame, dense: DataFrame) -> DataFrame:
+    """``results`` (query_id, file_id, kind, matched_via, ...) with ``snippet`` and ``snippet_source``.
+
+    A file found by keyword shows marked words: an image its recognised text first, any other file
+    its best chunk, then its recognised text. A file found by meaning only shows an image's
+    recognised text from its start, else the surroundings of the query's first word in its
+    nearest chunk. ``by_chunk`` and ``dense`` are ranked lists with ordinals."""
+    asked = queries.select("query_id", F.col("query").alias("asked"), T.tokens(F.col("query")).alias("own_terms"))
+    one = lambda x, name: x.groupBy("query_id", "file_id").agg(F.min_by("ordinal", "rank").alias(name))
+    rows = results.join(small(asked), "query_id").join(files.select("file_id", "ocr_text"), "file_id")
+    rows = rows.join(one(by_chunk, "kw_at"), ["query_id", "file_id"], "left").join(one(dense, "near_at"), ["query_id", "file_id"], "left")
+    for name, at in (("kw_text", "kw_at"), ("near_text", "near_at")):
+        rows = rows.join(chunks.select("file_id", F.col("ordinal").alias(at), F.col("text").alias(name)), ["file_id", at], "left")
+    filled = lambda c: F.nullif(c, F.lit(""))
+    image, keyword, none = F.col("kind") == "image", F.col("matched_via") != "semantic", F.lit(None).cast("string")
+    pair = lambda text, source: F.when(text.isNotNull(), F.struct(text.alias("snippet"), F.lit(source).alias("snippet_source")))
+    ocr, best = filled(T.marked(F.col("ocr_text"), F.col("own_terms"))), filled(T.marked(F.col("kw_text"), F.col("own_terms")))
+    near = filled(T.snippet(F.col("near_text"), T.split_words(F.lower("asked"))))
+    found = F.coalesce(
+        pair(F.when(keyword & image, ocr).otherwise(none), "ocr"),
+        pair(F.when(keyword, best).otherwise(none), "chunk"),
+        pair(F.when(keyword & ~image, ocr).otherwise(none), "ocr"),
+        pair(F.when(image, filled(F.substring("ocr_text", 1, 220))).otherwise(none), "ocr"),
+        pair(near, "chunk"),
+        F.struct(F.lit("").alias("snippet"), F.lit("name").alias("snippet_source")),
+    )
+    return rows.withColumn("found", found).select(*results.columns, "found.*")
 
 
 def first_per_file(hits: DataFrame, score: str = "score") -> DataFrame:
@@ -84,18 +187,47 @@ def penalties(kind: Column, mtime: Column, kinds: Column, date_from: Column, dat
     return F.when(image, 0.05).otherwise(0.0) + F.when(F.coalesce(outside, F.lit(False)), 0.05).otherwise(0.0)
 
 
-def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12) -> DataFrame:
-    """The full search over ``queries`` (query_id, query, query_vec, kinds, date_from, date_to)."""
+def lists(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, stems: bool = False) -> dict[str, DataFrame]:
+    """The four ranked lists of a search: chunks and files by keyword, text and image vectors by cosine."""
     even = lambda hits: hits.withColumn("score", F.round("score", 9))  # noqa: E731  equal scores tie, whatever their last bits
-    by_chunk = top_k(even(bm25(chunks, ["file_id", "ordinal"], "text", queries)), 3 * k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
+    order = (F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
     named = files.select("file_id", F.concat_ws(" ", "path", "ocr_text").alias("name"))
-    by_file = top_k(even(bm25(named, ["file_id"], "name", queries)), 3 * k, F.desc("score"), F.asc("file_id"))
-    dense = top_k(even(cosine(vectors.where("space = 'text'"), queries)), 2 * k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
-    looks = top_k(even(cosine(vectors.where("space = 'image'"), queries)), k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
-    fused = fuse(keyword_chunk=first_per_file(by_chunk.drop("rank")), keyword_file=by_file, dense_text=first_per_file(dense.drop("rank")), dense_image=first_per_file(looks.drop("rank")))
-    rows = files.join(F.broadcast(fused), "file_id").join(F.broadcast(queries.select("query_id", "kinds", "date_from", "date_to")), "query_id")
+    return {
+        "keyword_chunk": top_k(even(bm25(chunks, ["file_id", "ordinal"], "text", queries, stems)), 3 * k, *order),
+        "keyword_file": top_k(even(bm25(named, ["file_id"], "name", queries, stems)), 3 * k, F.desc("score"), F.asc("file_id")),
+        "dense_text": top_k(even(cosine(vectors.where("space = 'text'"), queries)), 2 * k, *order),
+        "dense_image": top_k(even(cosine(vectors.where("space = 'image'"), queries)), k, *order),
+    }
+
+
+def ranked(found: dict[str, DataFrame], queries: DataFrame, files: DataFrame, now: float, k: int = 12) -> DataFrame:
+    """The lists fused, scored and cut: (query_id, file_id, path, kind, matched_via, rrf, score, rank)."""
+    fused = fuse(**{name: first_per_file(x.drop("rank")) if "ordinal" in x.columns else x for name, x in found.items()})
+    rows = files.join(small(fused), "file_id").join(small(queries.select("query_id", "kinds", "date_from", "date_to")), "query_id")
     penalty = penalties(F.col("kind"), F.col("mtime"), F.col("kinds"), F.col("date_from"), F.col("date_to"))
     # the small addend rounds exact halves up, whatever their last bit
     score = F.round(F.col("rrf") + 1e-9 + recency(F.col("mtime"), now) * 0.05 / 0.10 - penalty, 4)
     scored = rows.select("query_id", "file_id", "path", "kind", "matched_via", "rrf", score.alias("score"))
     return top_k(scored, k, F.desc("score"), F.desc(F.round("rrf", 9)), F.asc("file_id"))
+
+
+def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12) -> DataFrame:
+    """The full search over ``queries`` (query_id, query, query_vec, kinds, date_from, date_to)."""
+    return ranked(lists(queries, files, chunks, vectors, k), queries, files, now, k)
+
+
+def search(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12, stems: bool = True) -> DataFrame:
+    """What a user asks: ``queries`` (query_id, query, query_vec) are rewritten, searched by their
+    expanded text, and each result shows its scores and a snippet. Blank queries find nothing."""
+    today = F.to_date(F.timestamp_seconds(F.lit(now)))
+    asked = rewritten(queries.where(F.trim("query") != "").withColumn("query", F.substring(F.trim("query"), 1, 200)), today)
+    said = asked.withColumn("query", F.col("expanded"))
+    found = lists(said, files, chunks, vectors, k, stems)
+    out = ranked(found, asked, files, now, k)
+    shown = best_of_lists(first_per_file(found["keyword_chunk"].drop("rank")), found["keyword_file"]).select("query_id", "file_id", F.col("shown").alias("match_keyword"))
+    out = out.join(shown, ["query_id", "file_id"], "left")
+    for name, source in (("match_semantic", "dense_text"), ("match_visual", "dense_image")):
+        top = found[source].groupBy("query_id", "file_id").agg(F.round(F.max("score"), 3).alias(name))
+        out = out.join(top, ["query_id", "file_id"], "left")
+    out = out.fillna(0.0, ["match_keyword", "match_semantic", "match_visual"])
+    return snippets(out, said, files, chunks, found["keyword_chunk"], found["dense_text"])

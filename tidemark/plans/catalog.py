@@ -14,7 +14,10 @@ from tidemark.operators import changes as C
 from tidemark.operators import reports as R
 from tidemark.operators import rewrite as W
 from tidemark.operators import search as S
+from tidemark.functions import bands as L
 from tidemark.sources import tables as B
+from tidemark.sources.extract import indexable
+from tidemark.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,6 +37,26 @@ RANGE = (B.NOW - 200 * 86400.0, B.NOW - 100 * 86400.0)
 QUERIES = "queries(query_id, query, kinds) AS (VALUES " + ", ".join(f"({i}, '{q}', {k!r}::VARCHAR[])" for i, q, k in ASKED) + ")"
 
 
+#: Suffixes for paths that go through all kinds, known and unknown.
+SUFFIXES = [".txt", ".md", ".markdown", ".rst", ".log", ".csv", ".json", ".xml", ".yaml", ".yml", ".html", ".htm", ".ps1", ".sh", ".bat", ".cmd", ".pdf", ".docx", ".pptx", ".xlsx", ".ipynb", ".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp", ".tif", ".tiff",
+ ".zip", ".7z", ".rar", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".jar", ".whl", ".exe", ".dll", ".msi", ".msix", ".appx", ".apk", ".iso", ".img", ".dmg", ".vhd", ".vhdx", ".parquet", ".mp3", ".m4a", ".flac", ".ogg", ".opus", ".wav", ".wma", ".mp4", ".mkv", ".mov", ".avi", ".webm",
+ ".tar.gz", ".tar.bz2", ".tar.xz", ".py", ".js", ".ts", ".css", ".ini", ".toml", ".heic", ".db", ".sqlite", "", ".PDF", ".Tar.GZ"]
+_EXT = f"lower(CASE WHEN contains(ext, '.') THEN regexp_extract(ext, '(\\.[^.]+)$', 1) ELSE '' END)"
+VARIED = f"varied AS (SELECT *, {_EXT} AS own FROM (SELECT p_partkey, {SUFFIXES}[p_partkey % {len(SUFFIXES)} + 1] AS ext, CASE WHEN p_partkey % 17 = 0 THEN '~$' WHEN p_partkey % 19 = 0 THEN '.part' WHEN p_partkey % 23 = 0 THEN '.crdownload' ELSE 'f' END || p_partkey AS stem FROM part))"
+_TEXT_SQL = "own IN ('.txt','.md','.markdown','.rst','.log','.csv','.json','.xml','.yaml','.yml','.html','.htm','.ps1','.sh','.bat','.cmd')"
+_IMAGE_SQL = "own IN ('.png','.jpg','.jpeg','.bmp','.gif','.webp','.tif','.tiff')"
+_KIND_SQL = """CASE WHEN lower(ext) IN ('.tar.gz','.tar.bz2','.tar.xz') OR own IN ('.zip','.7z','.rar','.tar','.gz','.tgz','.bz2','.xz','.jar','.whl') THEN 'archive' WHEN own IN ('.exe','.dll','.msi','.msix','.appx','.apk') THEN 'executable'
+ WHEN own IN ('.iso','.img','.dmg','.vhd','.vhdx') THEN 'disk-image' WHEN own = '.parquet' THEN 'data' WHEN own IN ('.mp3','.m4a','.flac','.ogg','.opus','.wav','.wma','.mp4','.mkv','.mov','.avi','.webm') THEN 'media' END"""
+
+
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, path): file names with all suffixes and starts."""
+    key = F.col("p_partkey")
+    start = F.when(key % 17 == 0, "~$").when(key % 19 == 0, ".part").when(key % 23 == 0, ".crdownload").otherwise("f")
+    ext = F.element_at(F.array(*map(F.lit, SUFFIXES)), (key % len(SUFFIXES) + 1).cast("int"))
+    return B.read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/x/y.z/"), start, key.cast("string"), ext).alias("path"))
+
+
 def query(sql: str | None = None):
     def put(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -63,14 +86,14 @@ def src_ocr_gate(s, d):
     return B.read(s, d, "documents").select("doc_id", T.has_real_text(F.col("text")).alias("real_text"))
 
 
-@query(f"WITH {FILES} SELECT file_id, CASE WHEN ext IN ('.txt','.md','.html') THEN 'text' WHEN ext = '.pdf' THEN 'pdf' WHEN ext = '.docx' THEN 'docx' ELSE 'other' END AS reader, CASE WHEN ext = '.zip' THEN 'archive' WHEN ext = '.iso' THEN 'disk-image' END AS binary_kind FROM files")
+@query(f"WITH {VARIED} SELECT p_partkey, CASE WHEN {_TEXT_SQL} THEN 'text' WHEN own = '.pdf' THEN 'pdf' WHEN own = '.docx' THEN 'docx' WHEN own = '.pptx' THEN 'slides' WHEN own = '.xlsx' THEN 'spreadsheet' WHEN own = '.ipynb' THEN 'notebook' ELSE 'other' END AS reader, {_KIND_SQL} AS binary_kind FROM varied")
 def src_dispatch(s, d):
-    return B.files(s, d).select("file_id", T.text_kind(F.col("path")).alias("reader"), T.binary_kind(F.col("path")).alias("binary_kind"))
+    return varied(s, d).select("p_partkey", T.text_kind(F.col("path")).alias("reader"), T.binary_kind(F.col("path")).alias("binary_kind"))
 
 
-@query(f"WITH {FILES} SELECT count(*) AS n FROM files WHERE ext IN ('.txt','.md','.pdf','.docx','.png','.zip','.iso','.html')")
+@query(f"WITH {VARIED} SELECT p_partkey FROM varied WHERE {_TEXT_SQL} OR {_IMAGE_SQL} OR own IN ('.pdf','.docx','.pptx','.xlsx','.ipynb') OR ({_KIND_SQL}) IS NOT NULL")
 def src_folder_scan(s, d):
-    return B.files(s, d).where(T.suffix(F.col("path")).isin(T.INDEXABLE)).agg(F.count("*").alias("n"))
+    return varied(s, d).where(indexable(F.col("path"))).select("p_partkey")
 
 
 @query("SELECT p_partkey, lower('/home/' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '/OneDrive/x' WHEN p_partkey % 3 = 1 THEN '/iCloud' ELSE '/local' END) AS path, p_partkey % 3 < 2 AS synced FROM part")
@@ -87,7 +110,20 @@ def src_thumbnail_name(s, d):
 
 @query("SELECT p_partkey, p_name || ' by ' || p_brand || ' audio recording, ' || CASE WHEN p_size * 97 >= 3600 THEN printf('%d:%02d:%02d', p_size * 97 // 3600, p_size * 97 % 3600 // 60, p_size * 97 % 60) ELSE printf('%d:%02d', p_size * 97 // 60, p_size * 97 % 60) END AS label FROM part")
 def src_media_label(s, d):
-    return B.read(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" by "), "p_brand", F.lit(" audio recording, "), T.duration(F.col("p_size") * 97)).alias("label"))
+    return B.read(s, d, "part").select("p_partkey", T.media_label(F.col("p_name"), F.col("p_brand"), F.col("p_size") * 97).alias("label"))
+
+
+_NAMED = "named AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS w, {e}[p_partkey % 5 + 1] AS e FROM part)".format(e=["iso", "zip", "exe", "parquet", "mp3"])
+
+
+@query(f"""WITH {_NAMED}, called AS (SELECT *, array_to_string(w, '-') || '_' || p_partkey || '.' || e AS name, CASE e WHEN 'iso' THEN 'disk image' WHEN 'zip' THEN 'archive' WHEN 'exe' THEN 'executable installer or application' WHEN 'parquet' THEN 'data file' ELSE 'audio or video recording' END AS called FROM named)
+ SELECT p_partkey, 0 AS ordinal, name || ' ' || array_to_string(w, ' ') || ' ' || p_partkey || ' ' || e AS text FROM called
+ UNION ALL SELECT p_partkey, 1, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), ' ') || ' ' || p_partkey || ' ' || upper(e) || ' ' || called || CASE e WHEN 'zip' THEN '. Contents: a b c.txt read me' WHEN 'mp3' THEN '. tags' ELSE '' END FROM called""")
+def src_metadata_chunks(s, d):
+    ext = F.element_at(F.array(*map(F.lit, ["iso", "zip", "exe", "parquet", "mp3"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("/in/"), F.translate(F.lower("p_type"), " ", "-"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("."), ext)
+    rows = B.read(s, d, "part").select("p_partkey", path.alias("path"))
+    return rows.select("p_partkey", F.posexplode(T.metadata_chunks(F.col("path"), F.array(F.lit("x/a-b_c.txt"), F.lit("read_me")), F.lit("tags"))).alias("ordinal", "text"))
 
 
 @query()
@@ -95,6 +131,11 @@ def src_name_tokens(s, d):
     return B.files(s, d).select("file_id", T.name_tokens(F.col("path")).alias("tokens"))
 
 
+@query(f"WITH {FILES} SELECT file_id, path, size_bytes FROM files WHERE file_id = 17 OR path = '/src3/en/doc_19.docx'")
+def flt_point_lookup(s, d):
+    return B.files(s, d).where((F.col("file_id") == 17) | (F.col("path") == "/src3/en/doc_19.docx")).select("file_id", "path", "size_bytes")
+
+
 # --- changes to tables ---------------------------------------------------------------------
 
 
@@ -167,19 +208,42 @@ def dml_quantise(s, d):
     return B.vectors(s, d).select("vec_id", F.round(scale, 6).alias("scale"), F.aggregate(quant, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT c_custkey, c_mktsegment || CASE WHEN r > 1 THEN ' (' || (r - 1) || ')' ELSE '' END || '.txt' AS dest FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS r FROM customer)")
+_BACK = "list_transform(vec, lambda x: round_even(x / top * 127, 0) * top / 127.0::DOUBLE)"
+
+
+@query(f"WITH {VECTORS}, t AS (SELECT vec_id, vec, list_max(list_transform(vec, lambda x: abs(x))) AS top FROM vectors) SELECT vec_id, round(list_sum({_BACK}), 6) + 0.0 AS total, round(list_max(list_transform(list_zip(vec, {_BACK}), lambda p: abs(p[1] - p[2]))), 6) AS worst FROM t")
+def dml_dequantise(s, d):
+    quant, scale = V.quantise(F.col("vec"))
+    back = B.vectors(s, d).select("vec_id", "vec", V.dequantised(quant, scale).alias("back"))
+    gap = F.array_max(F.zip_with("vec", "back", lambda a, b: F.abs(a - b)))
+    return back.select("vec_id", (F.round(F.aggregate("back", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"), F.round(gap, 6).alias("worst"))
+
+
+@query(f"WITH {FILES}, {CHUNKS}, {VECTORS}, gone AS (SELECT file_id FROM files WHERE file_id % 7 = 3) SELECT 'files' AS name, count(*) AS n FROM files WHERE file_id NOT IN (FROM gone) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE file_id NOT IN (FROM gone) UNION ALL SELECT 'vectors', count(*) FROM vectors WHERE file_id NOT IN (FROM gone) UNION ALL SELECT 'thumbnails', count(*) FROM files WHERE kind = 'image' AND file_id NOT IN (FROM gone)")
+def dml_purge(s, d):
+    files = B.files(s, d)
+    pictures = files.where("kind = 'image'").select(F.concat(F.sha1("path"), F.lit(".jpg")).alias("name"))
+    left = C.purge(files.where("file_id % 7 = 3").select("path"), files, B.chunks(s, d), B.vectors(s, d), pictures)
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("""WITH taken AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS m FROM customer WHERE c_nationkey % 2 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS r FROM customer), n AS (SELECT *, CASE WHEN c_nationkey % 2 = 1 THEN r WHEN r = 0 THEN 1 ELSE r + 2 END AS n FROM r)
+ SELECT c_custkey, c_mktsegment || CASE WHEN n > 0 THEN ' (' || n || ')' ELSE '' END || '.txt' AS dest FROM n""")
 def dml_move_names(s, d):
+    """Folders of even number hold the plain name and the second number already."""
     rows = B.read(s, d, "customer").withColumn("ext", F.lit(".txt"))
-    return C.free_names(rows, "c_nationkey", "c_mktsegment", "ext", "c_custkey").select("c_custkey", "dest")
+    taken = rows.where("c_nationkey % 2 = 0").select("c_nationkey", "c_mktsegment", "ext").distinct().withColumn("n", F.explode(F.array(F.lit(0), F.lit(2))))
+    return C.free_names(rows, "c_nationkey", "c_mktsegment", "ext", "c_custkey", taken).select("c_custkey", "dest")
 
 
 # --- filters -------------------------------------------------------------------------------
 
 
-@query(f"WITH {FILES} SELECT file_id FROM (SELECT file_id, CASE WHEN file_id % 11 = 0 THEN '/x/~$a' || ext WHEN file_id % 13 = 0 THEN '/x/a.xyz' ELSE path END AS p FROM files) WHERE p NOT LIKE '/x/%'")
+@query(f"WITH {VARIED} SELECT p_partkey FROM varied WHERE stem LIKE 'f%' AND ({_TEXT_SQL} OR {_IMAGE_SQL} OR own IN ('.pdf','.docx','.ipynb') OR ({_KIND_SQL}) IS NOT NULL)")
 def flt_should_process(s, d):
-    path = F.when(F.col("file_id") % 11 == 0, F.concat(F.lit("/x/~$a"), "ext")).when(F.col("file_id") % 13 == 0, "/x/a.xyz").otherwise(F.col("path"))
-    return B.files(s, d).where(T.should_process(path)).select("file_id")
+    return varied(s, d).where(T.should_process(F.col("path"))).select("p_partkey")
 
 
 @query(f"WITH {FILES} SELECT file_id, path, size_bytes FROM files WHERE folder = 'src7' ORDER BY size_bytes DESC, file_id")
@@ -215,9 +279,13 @@ def flt_actionable(s, d):
     return B.files(s, d).where("size_bytes >= 5000").orderBy(F.desc("size_bytes"), "file_id").limit(10).select("file_id", "path", "size_bytes", F.lit("large").alias("reason"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true ELSE false END AS loopback FROM pages")
+HOSTS = ["localhost", "LOCALHOST", "127.0.0.1", "127.8.9.1", "::1", "[::1]", "::ffff:127.0.0.1", "::FFFF:127.3.3.3", "0.0.0.0", "", "[]", "10.0.0.1", "1270.0.0.1", "example.org", "localhost.org", "::2", "::ffff:10.0.0.1", "x127."]
+
+
+@query(f"WITH h AS (SELECT page_id, CASE WHEN page_id % 20 = 19 THEN NULL WHEN page_id % 20 = 18 THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE {HOSTS}[page_id % 20 + 1] END AS host FROM pages), l AS (SELECT page_id, host, lower(trim(host, '[]')) AS h FROM h) SELECT page_id, host IS NULL OR regexp_full_match(h, '(localhost||::1|0[.]0[.]0[.]0)') OR regexp_matches(h, '^(::ffff:)?127[.]') AS loopback FROM l")
 def flt_loopback(s, d):
-    host = F.when(F.col("page_id") % 6 == 0, "127.0.0.5").when(F.col("page_id") % 3 == 0, "LOCALHOST").otherwise(F.regexp_extract("url", "://([^/?#]*)", 1))
+    key = (F.col("page_id") % 20).cast("int")
+    host = F.when(key == 19, F.lit(None)).when(key == 18, F.regexp_extract("url", "://([^/?#]*)", 1)).otherwise(F.get(F.array(*map(F.lit, HOSTS)), key))
     return B.read(s, d, "pages").select("page_id", T.is_loopback(host).alias("loopback"))
 
 
@@ -265,12 +333,19 @@ def agg_folder_kinds(s, d):
     return B.files(s, d).groupBy("folder", "kind").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
-@query(f"WITH {FILES}, {VECTORS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE ocr_text <> '' OR ocr_used) AS ocr_files, (SELECT count(*) FROM vectors) AS vectors, (SELECT CAST(sum(len(vec) * 4) AS BIGINT) FROM vectors) AS vector_bytes")
+@query(f"WITH {FILES}, {CHUNKS}, {VECTORS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE ocr_text <> '' OR ocr_used) AS ocr_files, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM vectors) AS vectors, (SELECT CAST(sum(len(vec) * 4) AS BIGINT) FROM vectors) AS vector_bytes")
 def agg_composition(s, d):
     one = B.files(s, d).agg(F.count("*").alias("files"), F.count_if((F.col("ocr_text") != "") | F.col("ocr_used")).alias("ocr_files"))
+    one = one.crossJoin(B.chunks(s, d).agg(F.count("*").alias("chunks")))
     return one.crossJoin(B.vectors(s, d).agg(F.count("*").alias("vectors"), F.sum(F.size("vec") * 4).alias("vector_bytes")))
 
 
+@query(f"WITH {FILES}, k AS (SELECT folder, kind, count(*) AS n, sum(size_bytes) AS b FROM files GROUP BY folder, kind) SELECT folder, CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM k GROUP BY folder")
+def agg_folder_histogram(s, d):
+    found = R.folder_kinds(B.files(s, d))
+    return found.select("folder", "files", "bytes", F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("kinds"))
+
+
 _DUPES = "dup AS (SELECT file_id, size_bytes, sha256(text) AS digest, CAST(row_number() OVER (PARTITION BY size_bytes, sha256(text) ORDER BY file_id) > 1 AS INT) AS copy, count(*) OVER (PARTITION BY size_bytes, sha256(text)) AS n FROM files WHERE size_bytes > 0)"
 
 
@@ -279,6 +354,11 @@ def agg_duplicates(s, d):
     return R.duplicates(_with_text(s, d))
 
 
+@query(f"WITH {FILES}, {_DUPES} SELECT CAST(coalesce(sum(least(size_bytes, 52428800)), 0) AS BIGINT) AS bytes FROM dup WHERE n > 1 AND copy = 1")
+def agg_reclaimable(s, d):
+    return R.reclaimable(R.duplicates(_with_text(s, d)))
+
+
 def _with_text(s, d):
     return B.files(s, d).select("file_id", "size_bytes").join(B.read(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text"), "file_id")
 
@@ -303,38 +383,39 @@ def agg_latency_backend(s, d):
     return R.latency(B.read(s, d, "events").select(F.col("value").alias("ms"), "ts", "event_id", F.col("event_type").alias("backend")), by="backend")
 
 
-@query("SELECT event_type, a[CAST(round_even(0.5 * (len(a) - 1), 0) AS INT) + 1] AS p50, a[CAST(round_even(0.95 * (len(a) - 1), 0) AS INT) + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS a FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 200 GROUP BY event_type)")
+@query("SELECT event_type, a[CAST(round_even(0.5 * (len(a) - 1), 0) AS INT) + 1] AS p50, a[CAST(round_even(0.95 * (len(a) - 1), 0) AS INT) + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS a FROM events GROUP BY event_type)")
 def agg_nearest_rank(s, d):
-    first = B.read(s, d, "events").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("r <= 200")
-    a = first.groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("a"))
-    return a.select("event_type", *[F.get("a", F.bround(q * (F.size("a") - 1)).cast("int")).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))])
+    return R.nearest_rank(B.read(s, d, "events"), "event_type", "value", p50=0.5, p95=0.95)
 
 
-_EXACT = f"""{VECTORS}, ranked AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20)"""
+_SQL_BACK = "list_transform(embedding::DOUBLE[], lambda x: round_even(x / list_max(list_transform(embedding::DOUBLE[], lambda y: abs(y))) * 127, 0))"
+_EXACT = f"""coarse AS (SELECT vec_id, {_SQL_BACK} AS c FROM embeddings), ranked AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+ rough AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.c, v.c), 9) DESC, v.vec_id) AS rank FROM coarse q, coarse v WHERE q.vec_id % 20 = 0)"""
 
 
-def _ranked(s, d):
-    own = B.read(s, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(0).alias("ordinal"), F.col("embedding").cast("array<double>").alias("vec"))
-    hits = S.cosine(own, own.where("file_id < 20").select(F.col("file_id").alias("query_id"), F.col("vec").alias("query_vec")))
-    return S.top_k(hits, 50, F.desc(F.round("score", 9)), F.asc("file_id"))
+def _nearest(s, d, k: int, coarse: bool = False):
+    """The k nearest by cosine of each vector whose id is divisible by 20, exactly or by the quantised vectors."""
+    vec = F.col("embedding").cast("array<double>")
+    own = B.read(s, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(0).alias("ordinal"), (F.transform(V.quantise(vec)[0], lambda x: x.cast("double")) if coarse else vec).alias("vec"))
+    hits = S.cosine(own, own.where("file_id % 20 = 0").select(F.col("file_id").alias("query_id"), F.col("vec").alias("query_vec")))
+    return S.top_k(hits, k, F.desc(F.round("score", 9)), F.asc("file_id"))
 
 
-@query(f"WITH {_EXACT} SELECT query_id, sum(CAST(vec_id % 3 <> 0 AS INT)) / 10.0::DOUBLE AS recall FROM ranked WHERE rank <= 10 GROUP BY query_id")
+@query(f"WITH {_EXACT} SELECT t.query_id, count(g.vec_id) / 10.0::DOUBLE AS recall FROM (FROM ranked WHERE rank <= 10) t LEFT JOIN (FROM rough WHERE rank <= 10) g ON g.query_id = t.query_id AND g.vec_id = t.vec_id GROUP BY t.query_id")
 def agg_recall(s, d):
-    truth = _ranked(s, d).where("rank <= 10").groupBy("query_id").agg(F.collect_set("file_id").alias("truth"))
-    got = truth.select("query_id", "truth", F.filter("truth", lambda x: x % 3 != 0).alias("got"))
-    return got.select("query_id", (F.size(F.array_intersect("got", "truth")) / 10.0).alias("recall"))
+    """How much of the exact search a search on quantised vectors finds."""
+    return R.recall(_nearest(s, d, 10, coarse=True), _nearest(s, d, 10), 10)
 
 
-@query(f"WITH {_EXACT}, hit AS (SELECT r.query_id, min(r.rank) AS rank FROM ranked r JOIN embeddings q ON q.vec_id = r.query_id WHERE r.vec_id <> r.query_id AND r.label = q.label AND r.rank <= 50 GROUP BY r.query_id) SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(rank <= 3 AS INT)), 6) AS top3 FROM hit")
+@query(f"WITH {_EXACT}, hit AS (SELECT r.query_id, min(r.rank) AS rank FROM ranked r JOIN embeddings q ON q.vec_id = r.query_id WHERE r.vec_id <> r.query_id AND r.label = q.label AND r.rank <= 50 GROUP BY r.query_id) SELECT count(*) AS queries, round(avg(coalesce(1.0 / h.rank, 0)), 6) AS mrr, round(avg(coalesce(CAST(h.rank <= 1 AS INT), 0)), 6) AS top1, round(avg(coalesce(CAST(h.rank <= 3 AS INT), 0)), 6) AS top3, round(avg(coalesce(CAST(h.rank <= 5 AS INT), 0)), 6) AS top5 FROM embeddings q LEFT JOIN hit h ON h.query_id = q.vec_id WHERE q.vec_id % 20 = 0")
 def agg_mrr(s, d):
     label = B.read(s, d, "embeddings").select("vec_id", "label")
-    rows = _ranked(s, d).where("file_id != query_id").join(label.select(F.col("vec_id").alias("file_id"), "label"), "file_id").join(F.broadcast(label.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))), "query_id")
-    hit = rows.where("label = own").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    return hit.agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.round(F.avg((F.col("rank") <= 3).cast("int")), 6).alias("top3"))
+    asked = label.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    rows = _nearest(s, d, 50).where("file_id != query_id").join(label.select(F.col("vec_id").alias("file_id"), "label"), "file_id").join(S.small(asked), "query_id")
+    return R.reciprocal_ranks(rows.where("label = own"), asked)
 
 
-_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
 
 @query(f"WITH {CHUNKS}, tok AS (SELECT file_id, ordinal, {_TOK} AS t FROM chunks) SELECT term, count(*) AS df, (SELECT count(*) FROM tok) AS n, (SELECT round(avg(len(t)), 6) FROM tok) AS avg_len FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY term")
@@ -359,6 +440,20 @@ def w_islands(s, d):
     return hours.withColumn("island", island).groupBy("user_id", "island").agg(F.min("h").alias("first_hour"), F.count("*").alias("hours")).where("hours >= 2").drop("island")
 
 
+@query("SELECT doc_id, min(y) AS y0, max(y) + 1 AS y1 FROM (SELECT doc_id, y, y - row_number() OVER (PARTITION BY doc_id ORDER BY y) AS island FROM (SELECT doc_id, i AS y, CAST(length(text[i * 10 + 1 : i * 10 + 10]) - length(replace(text[i * 10 + 1 : i * 10 + 10], 'e', '')) AS INT) * 5 AS ink FROM (SELECT doc_id, text, unnest(range(length(text) // 10)) AS i FROM documents)) WHERE ink > 5) GROUP BY doc_id, island HAVING count(*) >= 10")
+def w_bands(s, d):
+    """Texts as images: ten letters are a row, an e five pixels of ink."""
+    row = F.substring("text", F.col("y") * 10 + 1, F.lit(10))
+    rows = B.read(s, d, "documents").where(F.length("text") >= 10).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 10).cast("int") - 1)).alias("y"))
+    return L.bands(rows.select("doc_id", "y", ((F.length(row) - F.length(F.replace(row, F.lit("e"), F.lit("")))) * 5).alias("ink")), "doc_id", "y", "ink")
+
+
+@query("SELECT o_orderkey, i AS place, CASE WHEN n > 24 THEN CAST(floor(i * n / 24.0::DOUBLE) AS INT) ELSE i END AS first, CASE WHEN n > 24 THEN least(n - 1, CAST(floor((i + 1) * n / 24.0::DOUBLE) AS INT) - 1) ELSE i END AS last FROM (SELECT o_orderkey, n, CAST(unnest(range(least(n, 24))) AS INT) AS i FROM (SELECT o_orderkey, CAST(o_orderkey % 97 AS INT) AS n FROM orders))")
+def w_merged_runs(s, d):
+    n = (F.col("o_orderkey") % 97).cast("int")
+    return B.read(s, d, "orders").select("o_orderkey", F.posexplode(L.merged_runs(n)).alias("place", "run")).select("o_orderkey", "place", "run.*")
+
+
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM events")
 def w_rolling(s, d):
     w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
@@ -367,10 +462,11 @@ def w_rolling(s, d):
 
 # --- search ----------------------------------------------------------------------------------
 
-_BM25 = rf"""terms AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM queries) GROUP BY ALL),
- ctok AS (SELECT file_id, ordinal, {_TOK} AS t FROM chunks), cpost AS (SELECT file_id, ordinal, len, term, count(*) AS tf FROM (SELECT file_id, ordinal, len(t) AS len, unnest(t) AS term FROM ctok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
- cstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ctok), cdf AS (SELECT term, count(*) AS df FROM cpost GROUP BY term),
- cscore AS (SELECT query_id, file_id, ordinal, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM cpost JOIN cdf USING (term) JOIN terms USING (term), cstat GROUP BY ALL)"""
+_TF = "len(list_filter(range(1, len(t) + 1), lambda i: t[i : i + len(p) - 1] = p))"
+_BM25 = rf"""terms AS (SELECT query_id, p, count(*) AS weight FROM (SELECT query_id, regexp_extract_all(strip_accents(lower(w)), '[\p{{L}}\p{{N}}]+') AS p FROM (SELECT query_id, unnest(string_split_regex(query, '\s+')) AS w FROM queries)) WHERE len(p) > 0 GROUP BY ALL), phrases AS (SELECT DISTINCT p FROM terms),
+ ctok AS (SELECT file_id, ordinal, {_TOK} AS t FROM chunks), cpost AS (SELECT file_id, ordinal, len(t) AS len, p, {_TF} AS tf FROM ctok, phrases WHERE list_has_all(t, p) AND tf > 0),
+ cstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ctok), cdf AS (SELECT p, count(*) AS df FROM cpost GROUP BY p),
+ cscore AS (SELECT query_id, file_id, ordinal, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM cpost JOIN cdf USING (p) JOIN terms USING (p), cstat GROUP BY ALL)"""
 
 
 @query(f"WITH {QUERIES}, {CHUNKS}, {_BM25} SELECT query_id, file_id, ordinal, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id, ordinal) AS rank FROM cscore) WHERE rank <= 36")
@@ -402,9 +498,25 @@ def _list(source: str) -> str:
     return f"SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, file_id) AS rank FROM ({source}) GROUP BY query_id, file_id"
 
 
-_NAME = r"""ftok AS (SELECT file_id, regexp_extract_all(lower(concat_ws(' ', path, ocr_text)), '[\p{L}\p{N}]+') AS t FROM files), fpost AS (SELECT file_id, len, term, count(*) AS tf FROM (SELECT file_id, len(t) AS len, unnest(t) AS term FROM ftok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
- fstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ftok), fdf AS (SELECT term, count(*) AS df FROM fpost GROUP BY term),
- fscore AS (SELECT query_id, file_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM fpost JOIN fdf USING (term) JOIN terms USING (term), fstat GROUP BY ALL)"""
+_NAME = rf"""ftok AS (SELECT file_id, regexp_extract_all(strip_accents(lower(concat_ws(' ', path, ocr_text))), '[\p{{L}}\p{{N}}]+') AS t FROM files), fpost AS (SELECT file_id, len(t) AS len, p, {_TF} AS tf FROM ftok, phrases WHERE list_has_all(t, p) AND tf > 0),
+ fstat AS (SELECT count(*) AS n, avg(len(t)) AS al FROM ftok), fdf AS (SELECT p, count(*) AS df FROM fpost GROUP BY p),
+ fscore AS (SELECT query_id, file_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * weight) AS score FROM fpost JOIN fdf USING (p) JOIN terms USING (p), fstat GROUP BY ALL)"""
+_L1 = _list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM cscore", 36, "score DESC, file_id, ordinal"))
+_L2 = f"SELECT query_id, file_id, cut AS rank FROM ({_cut('SELECT query_id, file_id, round(score, 9) AS score FROM fscore', 36, 'score DESC, file_id')})"
+
+
+@query(f"WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, l AS ({_L1} UNION ALL {_L2}) SELECT query_id, file_id, CAST(min(rank) AS INT) AS rank, round(60 / (60 + min(rank) - 1.0::DOUBLE), 3) AS shown FROM l GROUP BY ALL")
+def sr_keyword_best(s, d):
+    found = S.lists(asked(s, d), B.files(s, d), B.chunks(s, d), B.vectors(s, d))
+    return S.best_of_lists(S.first_per_file(found["keyword_chunk"].drop("rank")), found["keyword_file"])
+
+
+@query()
+def sr_search(s, d):
+    """The whole search with rewriting, stems, scores for display and snippets."""
+    return S.search(asked(s, d).select("query_id", "query", "query_vec"), B.files(s, d), B.chunks(s, d), B.vectors(s, d), B.NOW)
+
+
 _HYBRID = f"""WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, {_DENSE},
  l1 AS ({_list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM cscore", 36, "score DESC, file_id, ordinal"))}), l2 AS (SELECT query_id, file_id, cut AS rank FROM ({_cut("SELECT query_id, file_id, round(score, 9) AS score FROM fscore", 36, "score DESC, file_id")})),
  l3 AS ({_list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM dense WHERE space = 'text'", 24, "score DESC, file_id, ordinal"))}), l4 AS ({_list(_cut("SELECT query_id, file_id, ordinal, round(score, 9) AS score FROM dense WHERE space = 'image'", 12, "score DESC, file_id, ordinal"))}),
@@ -423,24 +535,44 @@ def sr_recency(s, d):
     return B.files(s, d).select("file_id", F.round(S.recency(F.col("mtime"), B.NOW), 6).alias("boost"))
 
 
-@query("""WITH q AS (SELECT conv_id, turn, lower(text) || CASE conv_id % 4 WHEN 0 THEN ' last month' WHEN 1 THEN ' in March' WHEN 2 THEN ' open the invoice' ELSE ' photo' END AS t FROM conversations WHERE role = 'user')
- SELECT conv_id, turn, contains(lower(t), 'invoice') AS has_doc, contains(lower(t), 'photo') OR contains(lower(t), 'pen') AS has_image FROM q WHERE NOT regexp_matches(lower(t), 'picture|image|screenshot|pic|drawing|document|pdf|notes|report|bill')""")
+_HINTED = "CASE conv_id % 9 WHEN 0 THEN ' a screen' WHEN 1 THEN ' capture it' WHEN 2 THEN ' my resume' WHEN 3 THEN ' doctor' WHEN 4 THEN ' recipe photo' WHEN 5 THEN ' open picture' WHEN 6 THEN ' a pdf image' WHEN 7 THEN ' bill drawing notes' ELSE ' INVOICE Screenshot' END"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, lower(text || {_HINTED}) AS t FROM conversations WHERE role = 'user')
+ SELECT conv_id, turn, regexp_matches(t, 'invoice|pdf|resume|doc|recipe') AS has_doc, regexp_matches(t, 'screenshot|screen|capture|photo|image|picture|pen') AS has_image FROM q""")
 def sr_kind_hints(s, d):
-    tail = F.get(F.array(*map(F.lit, [" last month", " in March", " open the invoice", " photo"])), (F.col("conv_id") % 4).cast("int"))
-    rows = B.read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lower("text"), tail).alias("t")).where("not lower(t) rlike 'picture|image|screenshot|pic|drawing|document|pdf|notes|report|bill'")
-    return rows.select("conv_id", "turn", F.array_contains(W.kinds(F.col("t")), "doc").alias("has_doc"), F.array_contains(W.kinds(F.col("t")), "image").alias("has_image"))
+    return _hinted(s, d).select("conv_id", "turn", F.array_contains(W.kinds(F.col("query")), "doc").alias("has_doc"), F.array_contains(W.kinds(F.col("query")), "image").alias("has_image"))
+
+
+def _hinted(s, d):
+    tails = [" a screen", " capture it", " my resume", " doctor", " recipe photo", " open picture", " a pdf image", " bill drawing notes", " INVOICE Screenshot"]
+    tail = F.get(F.array(*map(F.lit, tails)), (F.col("conv_id") % 9).cast("int"))
+    return B.read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat("text", tail).alias("query"))
 
 
-@query("""SELECT o_orderkey, CAST(epoch(CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate) - INTERVAL 1 MONTH ELSE date_trunc('year', o_orderdate) + INTERVAL 2 MONTH END) AS DOUBLE) AS date_from,
- CAST(epoch(CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('year', o_orderdate) + INTERVAL 3 MONTH END) AS DOUBLE) AS date_to FROM orders""")
+_MONTHS = "['january','february','march','april','may','june','july','august','september','october','november','december']"
+
+
+@query(f"""WITH q AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 5 = 0 THEN 'bills from Last Month in May' WHEN o_orderkey % 5 = 1 THEN 'nothing here' WHEN o_orderkey % 5 = 2 THEN 'maybe in ' || {_MONTHS}[o_orderkey % 12 + 1] ELSE 'notes of ' || upper({_MONTHS}[o_orderkey % 12 + 1]) END AS t FROM orders),
+ m AS (SELECT *, list_filter(range(12), lambda i: contains(lower(t), {_MONTHS}[i + 1]))[1] AS m FROM q)
+ SELECT o_orderkey, CAST(epoch(CASE WHEN contains(lower(t), 'last month') THEN date_trunc('month', o_orderdate) - INTERVAL 1 MONTH ELSE date_trunc('year', o_orderdate) + to_months(CAST(m AS INT)) END) AS DOUBLE) AS date_from,
+ CAST(epoch(CASE WHEN contains(lower(t), 'last month') THEN date_trunc('month', o_orderdate) ELSE date_trunc('year', o_orderdate) + to_months(CAST(m + 1 AS INT)) END) AS DOUBLE) AS date_to FROM m""")
 def sr_date_phrase(s, d):
-    text = F.when(F.col("o_orderkey") % 2 == 0, "bills from last month in May").otherwise("invoices of March")
+    key = F.col("o_orderkey") % 5
+    month = F.get(F.array(*map(F.lit, W.MONTHS)), (F.col("o_orderkey") % 12).cast("int"))
+    text = F.when(key == 0, "bills from Last Month in May").when(key == 1, "nothing here").when(key == 2, F.concat(F.lit("maybe in "), month)).otherwise(F.concat(F.lit("notes of "), F.upper(month)))
     return B.read(s, d, "orders").select("o_orderkey", W.date_range(text, F.col("o_orderdate").cast("date")).alias("r")).select("o_orderkey", "r.*")
 
 
-@query()
+_SYNONYMS = """list_concat(CASE WHEN contains(t, 'invoice') THEN ['invoice','bill','billing','receipt','payment'] ELSE [] END, CASE WHEN contains(t, 'error') THEN ['error','exception','traceback','failed','bug','screenshot'] ELSE [] END, CASE WHEN contains(t, 'screenshot') THEN ['screenshot','capture','screen','error'] ELSE [] END,
+ CASE WHEN contains(t, 'resume') THEN ['resume','cv','curriculum'] ELSE [] END, CASE WHEN contains(t, 'recipe') THEN ['recipe','cook','ingredients','bake'] ELSE [] END, CASE WHEN contains(t, 'pen') THEN ['pen','pencil','stationery'] ELSE [] END, CASE WHEN contains(t, 'book') THEN ['book','notebook','diary'] ELSE [] END)"""
+
+
+@query(rf"""WITH q AS (SELECT conv_id, turn, lower(trim(text || {_HINTED})) AS t FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, list_sort(list_distinct(list_concat(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}'']+'), {_SYNONYMS}))) AS w FROM q)
+ SELECT conv_id, turn, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS digest, array_to_string(w[1:24], ' ') AS expanded FROM w""")
 def sr_expanded_terms(s, d):
-    return B.read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", W.expanded_terms(F.concat(F.lit("error invoice "), F.substring("text", 1, 200))).alias("terms"))
+    rows = W.rewritten(_hinted(s, d), F.to_date(F.timestamp_seconds(F.lit(B.NOW))))
+    return rows.select("conv_id", "turn", F.size("terms").alias("n"), F.md5(F.array_join("terms", " ")).alias("digest"), "expanded")
 
 
 _SNIP = "CASE WHEN hit IS NULL THEN substr(text, 1, 220) ELSE (CASE WHEN greatest(p - 81, 0) > 0 THEN '…' ELSE '' END) || substr(text, CAST(greatest(p - 81, 0) + 1 AS INT), CAST(least(p - 1 + 160, length(text)) - greatest(p - 81, 0) AS INT)) || (CASE WHEN least(p - 1 + 160, length(text)) < length(text) THEN '…' ELSE '' END) END"
@@ -451,10 +583,11 @@ def sr_snippet(s, d):
     return B.read(s, d, "documents").select("doc_id", T.snippet(F.col("text"), F.array(*map(F.lit, ["zukeit", "with", "pour"]))).alias("snippet"))
 
 
-@query("SELECT doc_id, len(string_split(replace(text, ' the ', ' <mark>the</mark> '), '<mark>')) - 1 AS marks FROM documents")
+@query("SELECT doc_id, CAST(len(string_split(text, ' the ')) - 1 AS INT) AS hits, length(replace(text, ' the ', ' the ')) AS n_chars FROM documents")
 def sr_mark_split(s, d):
     marked = F.replace(F.col("text"), F.lit(" the "), F.lit(" <mark>the</mark> "))
-    return B.read(s, d, "documents").select("doc_id", (F.size(F.split(marked, "<mark>")) - 1).cast("long").alias("marks"))
+    parts = B.read(s, d, "documents").select("doc_id", T.mark_parts(marked).alias("parts"))
+    return parts.select("doc_id", F.size(F.filter("parts", lambda p: p["hit"])).alias("hits"), F.length(F.array_join(F.transform("parts", lambda p: p["text"]), "")).cast("long").alias("n_chars"))
 
 
 # --- embeddings and scalar functions -----------------------------------------------------------
@@ -499,7 +632,30 @@ def fn_packed_row(s, d):
 @query(f"WITH {FILES} SELECT kind, round(greatest(2, sum(size_bytes) * 100.0::DOUBLE / max(sum(size_bytes)) OVER ()), 4) AS width FROM files GROUP BY kind")
 def fn_bar_width(s, d):
     sums = B.files(s, d).groupBy("kind").agg(F.sum("size_bytes").alias("b"))
-    return sums.crossJoin(F.broadcast(sums.agg(F.max("b").alias("top")))).select("kind", F.round(F.greatest(F.lit(2.0), F.col("b") * 100.0 / F.col("top")), 4).alias("width"))
+    return sums.crossJoin(F.broadcast(sums.agg(F.max("b").alias("top")))).select("kind", F.round(T.bar_width(F.col("b"), F.col("top")), 4).alias("width"))
+
+
+@query("SELECT p_partkey, CASE WHEN b IS NULL OR b = 0 THEN '0 B' WHEN b < 1024 THEN b || ' B' ELSE printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS shown FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 0 ELSE p_partkey * 7 END AS b FROM part)")
+def fn_shown_size(s, d):
+    key = F.col("p_partkey")
+    return B.read(s, d, "part").select("p_partkey", T.shown_size(F.when(key % 3 == 1, F.lit(0)).when(key % 3 == 2, key * 7)).alias("shown"))
+
+
+@query(f"WITH {FILES} SELECT file_id, 'doc_' || file_id AS stem, regexp_replace(path, '/[^/]*$', '') AS parent FROM files")
+def fn_path_parts(s, d):
+    return B.files(s, d).select("file_id", T.stem_of(F.col("path")).alias("stem"), T.parent_of(F.col("path")).alias("parent"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '::1' ELSE h END AS host, CASE WHEN page_id % 2 = 0 THEN page_id + 1000 ELSE 80 END AS port FROM (SELECT page_id, regexp_extract(url, '://([^/?#:]*)', 1) AS h FROM pages)")
+def fn_host_port(s, d):
+    key, host = F.col("page_id"), F.regexp_extract("url", "://([^/?#:]*)", 1)
+    address = F.concat(F.when(key % 3 == 0, "[::1]").otherwise(host), F.when(key % 2 == 0, F.concat(F.lit(":"), (key + 1000).cast("string"))).otherwise(""))
+    return B.read(s, d, "pages").select("page_id", T.host_port(address, 80).alias("a")).select("page_id", "a.host", F.col("a.port").cast("long").alias("port"))
+
+
+@query("SELECT c_custkey, round(greatest(0, c_acctbal / 100 * 100), 6) AS percent FROM customer")
+def fn_shown_percent(s, d):
+    return B.read(s, d, "customer").select("c_custkey", F.round(T.shown_percent(F.col("c_acctbal") / 100), 6).alias("percent"))
 
 
 @query("SELECT p_partkey, upper(substr(p_brand, 1, 1)) || substr(p_brand, 2) AS shown, CASE WHEN regexp_matches(p_type, '[0-9]') THEN p_type ELSE upper(substr(p_type, 1, 1)) || substr(p_type, 2) END AS kind FROM (SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '[0-9]') THEN upper(p_brand) ELSE p_brand END AS p_brand, lower(p_type) AS p_type FROM part)")
@@ -518,7 +674,7 @@ def st_coalesced(s, d):
 
 @query(f"WITH {CHANGES} SELECT kind, count(*) AS n FROM changes GROUP BY kind")
 def st_running_count(s, d):
-    return B.changes(s, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return watch.running(B.changes(s, d))
 
 
 @query(f"WITH {CHANGES} SELECT path FROM (SELECT path, arg_max(kind, (ts, event_id)) AS k FROM changes GROUP BY path) WHERE k = 'changed'")
@@ -526,10 +682,10 @@ def st_live_paths(s, d):
     return B.changes(s, d).groupBy("path").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("k")).where("k = 'changed'").select("path")
 
 
-@query("SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+@query(f"WITH {CHANGES} SELECT kind, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, count(*) AS n FROM changes GROUP BY ALL")
 def st_tumbling(s, d):
-    rows = B.read(s, d, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
-    return rows.select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
+    rows = watch.tumbling(B.changes(s, d), "1 hour")
+    return rows.select("kind", F.unix_timestamp("w.start").alias("start"), "n")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")

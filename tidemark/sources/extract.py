@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -120,8 +120,13 @@ def extract(rows: DataFrame, readers: dict[str, Reader] | None = None) -> DataFr
     return rows.withColumn("kind", kind).withColumn("text", text("kind", "content"))
 
 
+def indexable(path: Column) -> Column:
+    """Whether a scan takes a file of this name."""
+    return T.suffix(path).isin(T.INDEXABLE) | T.binary_kind(path).isNotNull()
+
+
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, mtime, size_bytes, content) of the indexable files below a folder."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     rows = rows.select("path", F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size_bytes"), "content")
-    return rows.where(T.suffix(F.col("path")).isin(T.INDEXABLE) | T.binary_kind(F.col("path")).isNotNull())
+    return rows.where(indexable(F.col("path")))

@@ -47,3 +47,8 @@ def tumbling(events: DataFrame, size: str = "2 seconds", late: str = "10 seconds
     """Counts by kind in windows of event time, with late events up to ``late``."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy(F.window("ts", size).alias("w"), "kind").agg(F.count("*").alias("n"))
+
+
+def running(events: DataFrame) -> DataFrame:
+    """Counts by kind over all events so far; on a stream in complete or update mode."""
+    return events.groupBy("kind").agg(F.count("*").alias("n"))
