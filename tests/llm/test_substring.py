@@ -53,24 +53,45 @@ def test_nulls_repeats_and_empty_table(spark):
     assert run(spark, [], 35) == []
 
 
-def test_runs_are_immutable_and_compacted(spark):
-    index = substring.FingerprintIndex(spark, Scratch(spark, "t").root + "/index", fanout=2)
-    batch = lambda *v: spark.createDataFrame([(x,) for x in v], "fp long")
-    index.add(batch(5, 5, -9))
-    index.add(batch(7, -9))
-    assert len(index.runs()) == 2
-    assert sorted(r.fp for r in index.repeated(batch(5, 7, -9, 8)).collect()) == [-9, 5]
-    index.add(batch(7))
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_later_batches_need_no_earlier_documents(spark):
+    """Batch by batch into one index, past its fanout: each equals brute force on all so far."""
+    rows = corpus(4, 12, 6)
+    index = substring.FingerprintIndex(spark, Scratch(spark, "t").root + "/index", fanout=2, buckets=3)
+    for end in (14, 27, 40, len(rows)):
+        start = {14: 0, 27: 14, 40: 27}.get(end, 40)
+        found = substring.without_repeats(frame(spark, rows[start:end]), Scratch(spark, "t"), 12, index=index)
+        new = {r[0] for r in rows[start:end]}
+        assert sorted(map(tuple, found.collect()), key=str) == [r for r in brute(rows[:end], 12) if r[0] in new]
+    assert len(index.runs()) <= 2
+    again = substring.FingerprintIndex(spark, index.path)  # as another session finds it
+    found = substring.without_repeats(frame(spark, [(900, rows[5][1]), (901, "not held " * 3)]), Scratch(spark, "t"), 12, index=again)
+    assert again.buckets == 3
+    assert sorted(map(tuple, found.collect()), key=str) == [r for r in brute([*rows, (900, rows[5][1]), (901, "not held " * 3)], 12) if r[0] >= 900]
+
+
+def test_runs_are_merged_bucket_by_bucket(spark, tmp_path):
+    index = substring.FingerprintIndex(spark, f"{tmp_path}/index", buckets=4)
+    kinds = lambda *v: spark.createDataFrame([(fp, fp + 1, 0, c, 1, 0, 0) for fp, c in v], substring.KINDS)
+    first = index.add(kinds((5, 2), (-9, 1)))
+    index.add(kinds((7, 1), (-9, 1)))
+    look = index.table(first).join(index.table(index.runs()[1]), "fp", "left_semi").hint("merge")
+    plan = look._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan, plan
+    plan = substring._merged(index.table(first), index.table(index.runs()[1]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan, plan
+    index.compact()
     assert len(index.runs()) == 1
-    assert sorted(map(tuple, index.counts().collect())) == [(-9, 2), (5, 2), (7, 2)]
-
-
-def test_a_later_batch_meets_earlier_documents(spark):
-    passage = " ".join(f"p{i}" for i in range(40))
-    old, new = [(1, passage + " one")], [(2, "two " + passage), (3, "three")]
-    index = substring.FingerprintIndex(spark, Scratch(spark, "t").root + "/index")
-    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    substring.without_repeats(frame(old), Scratch(spark, "t"), index=index).collect()
-    index.add(frame(new).selectExpr("text").select(substring.anchors(35)("text").alias("a")).selectExpr("inline(a)").select("fp"))
-    both = substring.without_repeats(frame(old + new), Scratch(spark, "t"), index=index, batches=0)
-    assert sorted(map(tuple, both.collect()), key=str) == brute(old + new, 35)
+    assert sorted((r.fp, r.c) for r in index.table(index.runs()[0]).collect()) == [(-9, 2), (5, 2), (7, 1)]
+    index.compact()
+    assert len(index.runs()) == 1
+
+
+def test_one_passage_in_very_many_documents_and_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(1500)] + [(5000, " ".join(f"q{i % 50_000}" for i in range(100_000)))]
+    found = run(spark, rows, 35)
+    assert found == brute(rows, 35)

@@ -9,19 +9,21 @@ least hash is its anchor (of equals, the first). Equal windows have equal anchor
 neighbouring windows mostly share one, so an index of anchors is about a fifteenth of
 an index of windows and still misses no repeated window.
 
-Index. Each batch of documents becomes an immutable run: (anchor hash, occurrences),
-sorted by hash. Runs are merge-joined with the batch that is looked up; when there are
-more than ``fanout`` of them, they are compacted into one.
-
-Verification. Occurrences of an anchor that repeats are compared by 128 bits over all
-words their windows span ("stretch"). Equal stretches repeat as a whole and count by a
-grouped sum, so a passage with many copies costs a row a copy and no pairs. Only
-stretches that are unlike all others (the edges of copies), with one of each repeated
-kind, are compared window by window.
+Index. Each batch of documents becomes an immutable run: one row for each distinct stretch
+(the words that an anchor's windows span) with the number of its occurrences and one place,
+in buckets by anchor hash and sorted inside, so that a new batch is merge-joined with all earlier runs
+without moving them. When there are more than ``fanout`` runs they are merged into one, bucket
+by bucket. A run may keep its texts, so later batches need no earlier documents.
+
+Verification. Stretches of an anchor that repeats are compared by 128 bits over all their
+words. Equal stretches repeat as a whole and count by a grouped sum, so a passage with many
+copies costs a row a task and no pairs. Only stretches that are unlike all others (the
+edges of copies), with one of each repeated kind, are compared window by window.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,16 +170,27 @@ def without():
     return of
 
 
+KINDS = "fp long, h1 long, h2 long, c long, text long, s1 int, s2 int"
+SPAN = ["fp", "h1", "h2"]
+
+
 class FingerprintIndex:
-    """Immutable sorted runs of (fp, n) below ``path``, a folder that all executors share."""
+    """Immutable runs of stretches (KINDS) below ``path``, a folder that all executors share. The
+    number of ``buckets`` is fixed when the first run is written. ``texts``: the documents of
+    all runs as (text, words) if the caller has them at hand; else each run keeps its own."""
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = 4):
-        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 4, buckets: int | None = None, texts: DataFrame | None = None):
+        self.spark, self.path, self.fanout, self.given = spark, path.rstrip("/"), fanout, texts
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.buckets = self._bucket_count() or buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _at(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
+    def _bucket_count(self) -> int | None:
+        runs = self.runs()
+        return int(runs[0].rpartition("-of-")[2]) if runs else None
+
     def runs(self) -> list[str]:
         """Finished runs, oldest first."""
         if not self._fs.exists(self._at(self.path)):
@@ -186,86 +199,147 @@ class FingerprintIndex:
         return [f"{self.path}/{n}" for n in names if n.startswith("run-") and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS"))]
 
     def _next(self) -> str:
-        names = [int(r.rpartition("-")[2]) for r in self.runs()]
-        return f"{self.path}/run-{max(names, default=-1) + 1:08d}"
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.repartitionByRange("fp").sortWithinPartitions("fp").write.mode("overwrite").parquet(self._next())
-
-    def add(self, found: DataFrame) -> None:
-        """A batch's anchors (fp long) become a run; then runs are compacted if there are too many."""
-        self._write(found.groupBy("fp").agg(F.count("*").alias("n")))
-        if len(self.runs()) > self.fanout:
-            self.compact()
+        names = [int(r.rpartition("/run-")[2].partition("-")[0]) for r in self.runs()]
+        return f"{self.path}/run-{max(names, default=-1) + 1:08d}-of-{self.buckets}"
+
+    @staticmethod
+    def _name(run: str) -> str:
+        return f"stretches_{hashlib.md5(run.encode()).hexdigest()}"
+
+    def table(self, run: str) -> DataFrame:
+        """A run, in its buckets. A run that another session wrote becomes known to this one."""
+        fields = ", ".join(f"{n} {t.replace('long', 'bigint')}" for n, t in (f.split() for f in KINDS.split(", ")))
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(run)} ({fields}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{run}'")
+        return self.spark.table(self._name(run))
+
+    def _write(self, rows: DataFrame, run: str) -> None:
+        rows.write.format("parquet").mode("overwrite").option("path", run).bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(self._name(run))
+
+    def add(self, kinds: DataFrame, texts: DataFrame | None = None) -> str:
+        """A batch's stretches (KINDS, each once), and its texts if the runs keep them, become a run."""
+        run = self._next()
+        if texts is not None:
+            texts.write.mode("overwrite").parquet(run.replace("/run-", "/texts-"))
+        self._write(kinds.repartition(self.buckets, "fp"), run)
+        return run
+
+    def texts(self) -> DataFrame:
+        """(text, words) of all runs."""
+        if self.given is not None:
+            return self.given
+        kept = [r.replace("/run-", "/texts-") for r in self.runs()]
+        kept = [t for t in kept if self._fs.exists(self._at(t))]
+        return self.spark.read.schema("text long, words string").parquet(*kept) if kept else self.spark.createDataFrame([], "text long, words string")
 
     def compact(self) -> None:
-        """All runs become one. The new run is whole before the old ones go."""
+        """All runs become one by merge joins, each bucket by a task of its own; nothing is shuffled. The new run is whole before the old ones go; texts are only renamed."""
         old = self.runs()
         if len(old) < 2:
             return
-        self._write(self.counts())
-        for path in old:
-            self._fs.delete(self._at(path), True)
-
-    def counts(self) -> DataFrame:
-        """(fp, n) over all runs."""
-        runs = self.runs()
-        if not runs:
-            return self.spark.createDataFrame([], "fp long, n long")
-        rows = self.spark.read.schema("fp long, n long").parquet(*runs)
-        return rows if len(runs) == 1 else rows.groupBy("fp").agg(F.sum("n").alias("n"))
-
-    def repeated(self, found: DataFrame) -> DataFrame:
-        """Those rows of ``found`` whose fp occurs more than once in the index, by a merge join."""
-        return found.join(self.counts().where("n > 1").select("fp").hint("merge"), "fp", "left_semi")
-
-
-def repeated_ranges(docs: DataFrame, index: FingerprintIndex, scratch: Scratch, width: int = WIDTH, batches: int = 2) -> DataFrame:
-    """``docs`` (doc_id, text) goes into the index batch by batch; then all its windows are
-    judged. Returns (doc_id, text_hash, ranges): word ranges [a, b) that go."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    own = lambda rows: rows.select("doc_id", "text_hash", F.inline(anchors(width)("text")))
-    for b in range(batches):
-        index.add(own(docs.where(F.pmod("text_hash", F.lit(batches)) == b)).select("fp"))
-        scratch.release()
-    index.compact()
-    posts = scratch.keep(index.repeated(own(docs)), "posts")
+        run = self._next()
+        rows = self.table(old[0])
+        for r in old[1:]:
+            rows = _merged(rows, self.table(r))
+        self._write(rows, run)
+        target = run.replace("/run-", "/texts-")
+        self._fs.mkdirs(self._at(target))
+        for k, r in enumerate(old):
+            kept = r.replace("/run-", "/texts-")
+            if self._fs.exists(self._at(kept)):
+                for status in self._fs.listStatus(self._at(kept)):
+                    if status.getPath().getName().startswith("part-"):
+                        self._fs.rename(status.getPath(), self._at(f"{target}/part-{k:05d}-{status.getPath().getName()[5:]}"))
+                self._fs.delete(self._at(kept), True)
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(r)}")
+            self._fs.delete(self._at(r), True)
+
+
+def _merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs as one by a merge join on the anchor hash, which both are dealt and sorted by."""
+    a, b = (run.select(*[F.col(f.split()[0]).alias(x + f.split()[0]) for f in KINDS.split(", ")]) for x, run in (("a_", one), ("b_", other)))
+    same = (F.col("a_fp") == F.col("b_fp")) & (F.col("a_h1").bitwiseXOR(F.col("b_h1")).bitwiseOR(F.col("a_h2").bitwiseXOR(F.col("b_h2"))) == 0)
+    both = a.join(b.hint("merge"), same, "full_outer")
+    pick = lambda c: F.coalesce(f"a_{c}", f"b_{c}").alias(c)
+    count = F.coalesce("a_c", F.lit(0)) + F.coalesce("b_c", F.lit(0))
+    return both.select(pick("fp"), pick("h1"), pick("h2"), count.alias("c"), pick("text"), pick("s1"), pick("s2"))
+
+
+def _split(rows: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """Those of ``rows`` whose stretch is among ``wanted`` (SPAN, c). The stretches with more than a
+    thousandth of all rows, fewer than a thousand, are broadcast, so no task gets a hot one whole."""
+    hot = F.broadcast(wanted.where(F.col("c") > total / 1000).select(*SPAN))
+    rest = wanted.where(F.col("c") <= total / 1000).select(*SPAN)
+    return rows.join(hot, SPAN, "left_semi").unionByName(rows.join(hot, SPAN, "left_anti").join(rest, SPAN, "left_semi"))
+
+
+def add_batch(batch: DataFrame, index: FingerprintIndex, scratch: Scratch, width: int = WIDTH, tag: str = "") -> DataFrame:
+    """``batch`` (text, words; ``text`` the hash of the words) becomes a run, and is compared with all
+    earlier runs. Returns (text, a, b): word ranges that repeat, of the batch's texts and those of
+    earlier ones that only now repeat."""
+    own = batch.select("text", F.inline(anchors(width)("words")))
+    kinds = own.groupBy(*SPAN).agg(F.count("*").alias("c"), F.first("text").alias("text"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    earlier = [index.table(r) for r in index.runs()]
+    new = index.table(index.add(kinds, None if index.given is not None else batch.select("text", "words")))
     scratch.release()
-    kinds = posts.groupBy("fp", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "text_hash", "s1", "s2")).alias("one"))
-    kinds = scratch.keep(kinds, "kinds")
+    # stretches whose anchor stands anywhere else; runs are in the same buckets and join as they lie
+    often = new.groupBy("fp").agg(F.sum("c").alias("n"))
+    seen, told = new.join(often, "fp"), F.col("n") > 1
+    for k, run in enumerate(earlier):
+        seen = seen.join(run.groupBy("fp").agg(F.lit(True).alias(f"in{k}")), "fp", "left")
+        told = told | F.coalesce(f"in{k}", F.lit(False))
+    columns = [f.split()[0] for f in KINDS.split(", ")]
+    hits = seen.where(told).select(*columns, F.lit(True).alias("new"))
+    for run in earlier:
+        hits = hits.unionByName(run.join(new.select("fp"), "fp", "left_semi").select(*columns, F.lit(False).alias("new")))
+    hits = scratch.keep(hits, f"hits{tag}")
     scratch.release()
-    again = kinds.where("c > 1").select("fp", "h1", "h2")
-    whole = posts.join(again, ["fp", "h1", "h2"], "left_semi").select("doc_id", "text_hash", F.col("s1").alias("a"), (F.col("s2") + width).alias("b"))
-    mixed = kinds.groupBy("fp").agg(F.min("c").alias("low"), F.count("*").alias("kinds")).where("low = 1 and kinds > 1").select("fp")
-    fine = kinds.join(mixed, "fp", "left_semi").select("one.doc_id", "one.text_hash", F.struct("one.s1", "one.s2", "c").alias("span"))
-    fine = fine.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("span").alias("spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    fine = docs.join(fine, same).select("doc_id", "text_hash", F.inline(windows(width)("text", "spans")))
-    fine = scratch.keep(fine, "windows")
+    kinds = hits.groupBy(*SPAN).agg(F.sum("c").alias("c"), F.first("text").alias("text"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    kinds = scratch.keep(kinds, f"kinds{tag}")
+    again, total = kinds.where("c > 1").select(*SPAN, "c"), hits.agg(F.sum("c")).first()[0] or 0
+    stretch = ["text", F.col("s1").alias("a"), (F.col("s2") + width).alias("b")]
+    posts = own.select(*SPAN, "text", "s1", "s2")
+    whole = _split(posts, again, total).select(*stretch)
+    # an earlier stretch that stood alone so far; others were told when their batch came
+    late = _split(hits.where("not new and c = 1").select(*SPAN, "text", "s1", "s2"), again, total).select(*stretch)
+    whole = scratch.keep(whole.unionByName(late), f"whole{tag}")
     scratch.release()
+    mixed = kinds.groupBy("fp").agg(F.min("c").alias("low"), F.count("*").alias("kinds")).where("low = 1 and kinds > 1").select("fp")
+    fine = kinds.join(mixed, "fp", "left_semi").groupBy("text").agg(F.collect_list(F.struct("s1", "s2", "c")).alias("spans"))
+    fine = index.texts().join(fine, "text").select("text", F.inline(windows(width)("words", "spans")))
+    fine = scratch.keep(fine, f"windows{tag}")
     twice = fine.groupBy("w1", "w2").agg(F.sum("c").alias("n")).where("n > 1").select("w1", "w2")
-    edges = fine.where("c = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", F.col("pos").alias("a"), (F.col("pos") + width).alias("b"))
-    ranges = whole.unionByName(edges).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    ranges = scratch.keep(ranges, "ranges")
-    scratch.drop("posts", "kinds", "windows")
+    edges = fine.where("c = 1").join(twice, ["w1", "w2"], "left_semi").select("text", F.col("pos").alias("a"), (F.col("pos") + width).alias("b"))
+    found = scratch.keep(whole.unionByName(edges).distinct(), f"ranges{tag}")
+    scratch.drop(f"hits{tag}", f"kinds{tag}", f"whole{tag}", f"windows{tag}")
     scratch.release()
-    return ranges
+    if len(index.runs()) > index.fanout:
+        index.compact()
+    return found
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, index: FingerprintIndex | None = None, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_words, n_removed, kept). ``kept`` is the words that
     stay, joined by one space.
 
-    Given an ``index`` with earlier documents' anchors, pass those documents as well:
-    a window is judged against every document of ``docs``. Null and empty texts have no
+    Given an ``index``, windows are judged against all documents that it holds and those of
+    ``docs``, which are added to it; earlier documents aren't needed again. Without one,
+    ``docs`` goes in batches into an index of its own, and each window is judged against all
+    of ``docs``. Null and empty texts have no
     words. Rows with a null id are judged like others; repeated rows repeat each other's
     windows, so theirs go. Texts shorter than a window stay whole. An empty table gives
     no rows. Other columns aren't looked at."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    index = index or FingerprintIndex(docs.sparkSession, f"{scratch.root}/index")
-    ranges = repeated_ranges(docs, index, scratch, width, batches).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "ranges")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    out = docs.join(ranges, same, "left").select("doc_id", without()("text", F.coalesce("ranges", F.array().cast("array<struct<a:int,b:int>>"))).alias("r"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("words"))
+    parts = 1 if index is not None else batches
+    if index is None:
+        index = FingerprintIndex(docs.sparkSession, f"{scratch.root}/index", texts=docs.select(F.xxhash64("words").alias("text"), "words"))
+    found = []
+    for b in range(parts):
+        text = F.xxhash64("words")
+        found.append(add_batch(docs.where(F.pmod(text, F.lit(parts)) == b).select(text.alias("text"), "words"), index, scratch, width, f"{b}"))
+    ranges = found[0]
+    for f in found[1:]:
+        ranges = ranges.unionByName(f)
+    ranges = ranges.groupBy("text").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    out = docs.withColumn("own", F.xxhash64("words")).join(ranges, F.col("own") == F.col("text"), "left")
+    out = out.select("doc_id", without()("words", F.coalesce("ranges", F.array().cast("array<struct<a:int,b:int>>"))).alias("r"))
     return out.select(F.col("doc_id").alias(id_col), "r.n_words", "r.n_removed", "r.kept")
-
-
