@@ -1,3 +1,4 @@
+import random
 import re
 
 from tidemark.llm import urlfilter
@@ -41,15 +42,90 @@ def test_impure_templates_are_rejected_and_wildcards_found(spark):
         rows.append((2000 + i, f"http://mixed.net/post/{i}.html"))
         labels += [(i, 1), (1000 + i, int(i % 10 == 0)), (2000 + i, int(i % 10 != 0))]
     found = judge(spark, rows, [x for x in labels if x[0] % 3]).collect()
-    assert {(r.host, r.template, r.verdict) for r in found} == {("good.net", "/news/{num}", "allow"), ("mixed.net", "/tag/*", "block"), ("mixed.net", "/post/{num}.html", "allow")}
+    assert {(r.host, r.template, r.verdict) for r in found} == {("good.net", "/news/*", "allow"), ("mixed.net", "/tag/*", "block"), ("mixed.net", "/post/*", "allow")}
     by = {r.template: r.purity for r in found}
-    assert by["/tag/*"] < 0.2 and by["/post/{num}.html"] > 0.8
+    assert by["/tag/*"] < 0.2 and by["/post/*"] > 0.8
+
+
+def brute_tree(rows, labels):
+    """page_id to (template, purity, verdict) by a tree of nodes in plain Python."""
+    looks = lambda x: bool(re.match(r"^(?:[0-9]+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(?:\.[A-Za-z0-9]{1,5})?$", x) or re.search("[0-9]{4,}", x))
+    pages = {}
+    for i, url in rows:
+        host, path, _ = brute(url)
+        path = re.sub("^/+", "", re.sub("/+$", "", path))
+        pages[i] = [host, path.split("/") if path else [], ()]
+    for d in range(max((len(p[1]) for p in pages.values()), default=0)):
+        children = {}
+        for host, parts, node in pages.values():
+            if d < len(parts):
+                children.setdefault((host, node, looks(parts[d])), []).append(parts[d])
+        wide = {k for k, v in children.items() if len(set(v)) >= (3 if k[2] else 12) and len(v) <= 4 * len(set(v))}
+        for p in pages.values():
+            if d < len(p[1]):
+                p[2] += ("*" if (p[0], p[2], looks(p[1][d])) in wide else p[1][d],)
+    known = {}
+    for i, x in labels:
+        known.setdefault(i, []).append(x)
+    n, g = {}, {}
+    for i, (host, _, node) in pages.items():
+        for k in range(len(node) + 1):
+            key = (host, node[:k])
+            n[key] = n.get(key, 0) + (i in known)
+            g[key] = g.get(key, 0) + (sum(known[i]) / len(known[i]) if i in known else 0)
+    all_n, all_g = sum(n[h, t] for h, t in n if not t), sum(g[h, t] for h, t in g if not t)
+    base = (all_g + 1) / (all_n + 2) if all_n else 1.0
+    siblings = {}
+    for host, node in n:
+        if node:
+            siblings.setdefault((host, node[:-1]), []).append((host, node))
+    merged = {}
+    for own in siblings.values():
+        ns, gs = sum(n[k] for k in own), sum(g[k] for k in own)
+        for k in own:
+            others, rest = ns - n[k], gs - g[k]
+            pooled = gs / ns if ns else 0
+            merged[k] = not (n[k] and others and (g[k] / n[k] - rest / others) ** 2 > 1.96**2 * pooled * (1 - pooled) * (1 / n[k] + 1 / others))
+    purity = {}
+    for host, node in sorted(n, key=lambda k: len(k[1])):
+        key = (host, node)
+        if not node:
+            purity[key] = (g[key] + 5 * base) / (n[key] + 5)
+            continue
+        pool = [k for k in siblings[host, node[:-1]] if merged[k]] if merged[key] else [key]
+        purity[key] = (sum(g[k] for k in pool) + 5 * purity[host, node[:-1]]) / (sum(n[k] for k in pool) + 5)
+    out = {}
+    for i, url in rows:
+        host, _, node = pages[i]
+        rule, p = brute(url)[2], purity[host, node]
+        out[i] = ("/" + "/".join(node) if node else "", round(p, 9), RULES[rule] if rule else "block" if p < 0.5 else "allow")
+    return out
+
+
+def test_templates_purities_and_verdicts_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, labels = list(enumerate(URLS)), []
+    for i in range(100, 700):
+        host = rng.choice(["a.net", "b.a.net", "c.org", "d.example.org", "e.com"])
+        part = [rng.choice(["news", "tag", "x", "2024"]) for _ in range(rng.randint(0, 3))]
+        leaf = rng.choice([str(rng.randint(1, 300)), f"{rng.randint(1, 40)}.html", "about", f"word{rng.choice('abcdefghijklmnopqrst')}", "deadbeef01", ""])
+        rows.append((i, f"http://{host}/" + "/".join([*part, leaf])))
+        if rng.random() < 0.6:
+            labels.append((i, int(rng.random() < (0.1 if "tag" in part else 0.8))))
+    rows.append((900, "http://deep.net/" + "/".join("abcdefghijklmnop")))
+    found = {r.page_id: (r.template, round(r.purity, 9), r.verdict) for r in judge(spark, rows, labels).collect()}
+    wanted = brute_tree(rows, labels)
+    assert found == wanted
+    assert {v for _, _, v in found.values()} == {"allow", "block"} and any("*" in t for t, _, _ in found.values())
 
 
 def test_similar_branches_are_merged(spark):
-    rows = [(i, f"http://h.net/{'abcd'[i % 4]}/{i}") for i in range(80)]
-    found = judge(spark, rows, [(i, int(i % 8 < 4)) for i in range(0, 80, 2)]).collect()
-    assert len({r.template for r in found}) == 4 and len({round(r.purity, 3) for r in found}) <= 4
+    """Branches above the leaves: c and d differ from a and b, whose labels are pooled."""
+    rows = [(i, f"http://h.net/{'abcd'[i % 4]}/{i // 8}/p{i}") for i in range(160)]
+    labels = [(i, int(i % 4 < 2)) for i in range(0, 160)]
+    found = judge(spark, rows, labels).collect()
+    assert {i: (r.template, round(r.purity, 9), r.verdict) for r in found for i in (r.page_id,)} == brute_tree(rows, labels)
+    assert {(r.template[:2], r.verdict) for r in found} == {("/a", "allow"), ("/b", "allow"), ("/c", "block"), ("/d", "block")}
 
 
 def test_repeats_clashing_columns_and_empty(spark):

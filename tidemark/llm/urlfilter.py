@@ -1,13 +1,14 @@
 """URL filtering by rules and by a tree of path templates with labelled purity.
 
-Paths become templates per host: segments that are numbers, hashes or ids turn into typed
-placeholders, then, depth by depth, the children of a node with many children that occur
-only a few times each turn into one wildcard. Sibling templates whose share of good
-labels doesn't differ from their siblings' by a two-proportion test are merged. The
-purity of a template is smoothed towards its parent's, that towards the host's and that
-towards the whole corpus; templates below ``least`` are rejected.
-
-All steps but the first and the last work on distinct templates, which a grouped sum
+Paths become templates per host: depth by depth, the children of a node turn into one
+wildcard where the counts say that the segment varies: many different children that occur
+only a few times each, fewer being enough where segments look like numbers, hashes or ids. Then
+sibling branches at every depth, from the leaves up, are merged if the share of good labels below them doesn't
+differ from their siblings' by a two-proportion test. The
+purity of a node is smoothed towards its parent's, from the host down, the host's towards that
+of the whole corpus; templates below ``least`` are rejected.
+
+All steps but the first and the last work on distinct paths, which a grouped sum
 makes of the rows, so a host with a third of all rows is a few rows in every table.
 """
 
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
 
-MANY, OFTEN, SMOOTH, LEAST, Z = 12, 4, 5.0, 0.5, 1.96
-#: Segments below this depth are one segment of the tree.
-DEPTH = 12
+#: Children of a node from which on they may be variable, those that look so and all; how often each
+#: then occurs on average at most; weight of the prior; least purity; quantile of the test.
+FEW, MANY, OFTEN, SMOOTH, LEAST, Z = 3, 12, 4, 5.0, 0.5, 1.96
+WILD = "*"
 BROADCAST_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,52 +45,64 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def typed(path: Column) -> Column:
-    """The path without a slash at its end, its variable-looking segments as placeholders."""
-    path = F.regexp_replace(path, "/+$", "")
-    path = F.regexp_replace(path, r"/[0-9]+(?=/|\.[A-Za-z0-9]{1,5}(?:/|$)|$)", "/{num}")
-    path = F.regexp_replace(path, r"/(?:[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(?=/|\.|$)", "/{hex}")
-    return F.regexp_replace(path, r"/[^/{}]*[0-9]{4,}[^/{}]*(?=/|$)", "/{id}")
+def looks_variable(segment: Column) -> Column:
+    """A number, a hash or an id by its looks, perhaps with a suffix: a hint only."""
+    return segment.rlike(r"^(?:[0-9]+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(?:\.[A-Za-z0-9]{1,5})?$") | segment.rlike("[0-9]{4,}")
 
 
 def _levels(shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, typed, n, labelled, good) with ``template``, its variable children generalised."""
-    rest = F.regexp_replace("typed", "^/", "")
-    tree = shapes.withColumn("segments", F.when(rest == "", F.array().cast("array<string>")).otherwise(F.split(rest, "/", DEPTH))).withColumn("template", F.lit(""))
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for d in range(deepest):
-        here = tree.withColumn("segment", F.get("segments", F.lit(d)))
-        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where(f"kinds >= {MANY} and total <= {OFTEN} * kinds")
-        here = here.join(wide.select("host", "template", F.lit(True).alias("wide")), ["host", "template"], "left")
-        name = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment"))))
-        tree = scratch.keep(here.withColumn("template", name).drop("segment", "wide"), f"level{d}")
+    """(host, shape, n, labelled, good) with ``template``, an array of the path's segments with
+    variable ones generalised."""
+    rest = F.regexp_replace("shape", "^/+", "")
+    tree = shapes.withColumn("segments", F.when(rest == "", F.array().cast("array<string>")).otherwise(F.split(rest, "/"))).withColumn("template", F.array().cast("array<string>"))
+    deepest, d = tree.agg(F.max(F.size("segments"))).first()[0] or 0, 0
+    while d < deepest:
+        here = tree.withColumn("segment", F.get("segments", F.lit(d))).withColumn("looks", F.coalesce(looks_variable(F.col("segment")), F.lit(False)))
+        children = here.where("segment is not null").groupBy("host", "template", "looks", "segment").agg(F.sum("n").alias("n"))
+        wide = children.groupBy("host", "template", "looks").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
+        wide = wide.where(f"kinds >= if(looks, {FEW}, {MANY}) and total <= {OFTEN} * kinds").select("host", "template", "looks", F.lit(True).alias("wide"))
+        here = here.join(wide, ["host", "template", "looks"], "left")
+        name = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("wide"), WILD).otherwise(F.col("segment")))))
+        tree = scratch.keep(here.withColumn("template", name).drop("segment", "looks", "wide"), f"level{d}")
         scratch.drop(f"level{d - 1}")
+        d += 1
     return tree.drop("segments")
 
 
+def _up(column: str) -> Column:
+    return F.slice(column, 1, F.greatest(F.size(column) - 1, F.lit(0)))
+
+
 def purities(shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``shapes`` (host, typed, n, labelled, good) to (host, typed, template, merged, purity)."""
-    tree = _levels(shapes, scratch)
-    sums = lambda *by: [F.sum("labelled").alias(f"n_{by[-1]}"), F.sum("good").alias(f"g_{by[-1]}")]
+    """``shapes`` (host, shape, n, labelled, good) to (host, shape, template, merged, purity)."""
+    tree = scratch.keep(_levels(shapes, scratch), "tree")
     all_n, all_g = tree.agg(F.sum("labelled"), F.sum("good")).first()
     base = ((all_g or 0.0) + 1.0) / ((all_n or 0.0) + 2.0) if all_n else 1.0
-    leaf = tree.groupBy("host", "template").agg(*sums("leaf")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    parent = leaf.groupBy("host", "parent").agg(F.sum("n_leaf").alias("n_parent"), F.sum("g_leaf").alias("g_parent"))
-    host = parent.groupBy("host").agg(F.sum("n_parent").alias("n_host"), F.sum("g_parent").alias("g_host"))
-    leaf = leaf.join(parent, ["host", "parent"]).join(host, "host")
-    others, rest = F.col("n_parent") - F.col("n_leaf"), F.col("g_parent") - F.col("g_leaf")
-    pooled = F.col("g_parent") / F.col("n_parent")
-    gap = F.abs(F.col("g_leaf") / F.col("n_leaf") - rest / others)
-    differs = (F.col("n_leaf") > 0) & (others > 0) & (gap * gap > Z * Z * pooled * (1 - pooled) * (1 / F.col("n_leaf") + 1 / others))
-    leaf = leaf.withColumn("merged", ~F.when((F.col("n_leaf") > 0) & (others > 0), differs).otherwise(False))
-    group = leaf.where("merged").groupBy("host", "parent").agg(F.sum("n_leaf").alias("n_group"), F.sum("g_leaf").alias("g_group"))
-    leaf = leaf.join(group, ["host", "parent"], "left")
-    n, g = F.when(F.col("merged"), F.col("n_group")).otherwise(F.col("n_leaf")), F.when(F.col("merged"), F.col("g_group")).otherwise(F.col("g_leaf"))
-    of_host = (F.col("g_host") + SMOOTH * base) / (F.col("n_host") + SMOOTH)
-    of_parent = (F.col("g_parent") + SMOOTH * of_host) / (F.col("n_parent") + SMOOTH)
-    leaf = leaf.select("host", "template", "merged", ((g + SMOOTH * of_parent) / (n + SMOOTH)).alias("purity"))
-    return tree.select("host", "typed", "template").join(leaf, ["host", "template"])
+    # every node: (host, node, n, g), its whole subtree's labels
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", 1, i))
+    leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"))
+    nodes = leaves.select("host", F.explode(prefixes).alias("node"), "n", "g").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    nodes = scratch.keep(nodes.withColumn("parent", _up("node")), "nodes")
+    below = nodes.where(F.size("node") > 0).groupBy("host", "parent").agg(F.sum("n").alias("n_all"), F.sum("g").alias("g_all"))
+    own = nodes.where(F.size("node") > 0).join(below, ["host", "parent"])
+    others, rest, pooled = F.col("n_all") - F.col("n"), F.col("g_all") - F.col("g"), F.col("g_all") / F.col("n_all")
+    gap = F.col("g") / F.col("n") - rest / others
+    differs = gap * gap > Z * Z * pooled * (1 - pooled) * (1 / F.col("n") + 1 / others)
+    own = own.withColumn("merged", ~F.when((F.col("n") > 0) & (others > 0), differs).otherwise(False))
+    group = own.where("merged").groupBy("host", "parent").agg(F.sum("n").alias("n_group"), F.sum("g").alias("g_group"))
+    own = own.join(group, ["host", "parent"], "left").select("host", "node", "parent", "merged", F.when(F.col("merged"), F.col("n_group")).otherwise(F.col("n")).alias("n"), F.when(F.col("merged"), F.col("g_group")).otherwise(F.col("g")).alias("g"))
+    own = scratch.keep(own, "own")
+    level = nodes.where(F.size("node") == 0).select("host", "node", F.lit(False).alias("merged"), ((F.col("g") + SMOOTH * base) / (F.col("n") + SMOOTH)).alias("purity"))
+    level, d = scratch.keep(level, "purity0"), 0
+    found = level
+    while level.limit(1).count():
+        d += 1
+        above = level.select("host", F.col("node").alias("parent"), F.col("purity").alias("above"))
+        level = own.where(F.size("node") == d).join(above, ["host", "parent"]).select("host", "node", "merged", ((F.col("g") + SMOOTH * F.col("above")) / (F.col("n") + SMOOTH)).alias("purity"))
+        level = scratch.keep(level, f"purity{d}")
+        found = found.unionByName(level)
+    found = found.withColumnRenamed("node", "template")
+    return tree.select("host", "shape", "template").join(found, ["host", "template"]).withColumn("template", F.concat(F.when(F.size("template") > 0, "/").otherwise(""), F.array_join("template", "/")))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str], scratch: Scratch, url_col: str = "url", key: Column | None = None, label_col: str = "good") -> DataFrame:
@@ -102,13 +116,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str], scratch: S
     added = ("host", "path", "template", "purity", "rule", "verdict")
     keep = [c for c in pages.columns if c not in added]
     rows = pages.select(F.struct(*keep).alias("__row"), F.col(url_col).alias("__url"), (key if key is not None else F.lit(None)).cast("string").alias("__key"))
-    rows = rows.select("__row", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), "__key").withColumn("typed", typed(F.col("path")))
+    rows = rows.select("__row", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), "__key").withColumn("shape", F.regexp_replace("path", "/+$", ""))
     known = labels.select(F.col("key").cast("string").alias("__key"), F.col(label_col).cast("double").alias("label")).where("__key is not null and label is not null").groupBy("__key").agg(F.avg("label").alias("label"))
-    counts = rows.select("host", "typed", "__key").groupBy("host", "typed", "__key").agg(F.count("*").alias("n"))
-    counts = counts.join(known, "__key", "left").groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).cast("double").alias("labelled"), F.sum(F.coalesce(F.col("label") * F.col("n"), F.lit(0.0))).alias("good"))
+    counts = rows.select("host", "shape", "__key").groupBy("host", "shape", "__key").agg(F.count("*").alias("n"))
+    counts = counts.join(known, "__key", "left").groupBy("host", "shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).cast("double").alias("labelled"), F.sum(F.coalesce(F.col("label") * F.col("n"), F.lit(0.0))).alias("good"))
     found = scratch.keep(purities(scratch.keep(counts, "shapes"), scratch), "templates")
     small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    judged = rows.join(small, ["host", "typed"])
+    judged = rows.join(small, ["host", "shape"])
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_rule = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("rule")] if rules else F.lit(None).cast("string")
     out = judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, F.when(F.col("purity") < LEAST, "block").otherwise("allow")))
