@@ -42,7 +42,9 @@ BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in
 #: compared with each other in one group, and in the first round of a larger bucket.
 AGREE, BLOCK, FEW = 8, 512, 32
 #: Shingles hashed in one row, for the minima and for a set; 64-bit words of a bitmap.
-STEP, RUN, MAP_WORDS = 4, 32, 32
+STEP, RUN, MAP_WORDS = 4, 16, 32
+#: Pairs a task verifies.
+PAIRS = 1500
 BLANK = " \t\r\x0b\x0c"
 #: A table of at most so many bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -141,9 +143,10 @@ def _may_be_similar() -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` (each once) whose lines' exact similarity reaches SIMILARITY."""
+    """Those (a, b) of ``pairs`` (kept, each once) whose lines' exact similarity reaches SIMILARITY.
+    A task gets about PAIRS pairs, as their hashed shingles are many times their texts."""
     one = lambda x: texts.select(F.col("lh").alias(x), F.col("line").alias(f"line_{x}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    both = pairs.join(one("a"), "a").join(one("b"), "b").repartition(max(8, pairs.count() // PAIRS), "a", "b")
     sides = both.select("a", "b", F.posexplode(F.array(_units(F.col("line_a")), _units(F.col("line_b")))).alias("side", "units"))
     runs = _runs(sides, "units", RUN).select("a", "b", "side", F.array(*_hashes("units", RUN)).alias("run"))
     of = lambda side: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("run")))))
