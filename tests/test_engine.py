@@ -13,7 +13,7 @@ from tidemark.functions import text as T
 from tidemark.operators import rewrite
 from tidemark.operators import search as S
 from tidemark.plans import catalog
-from tidemark.sources import extract
+from tidemark.sources import extract, store
 from tidemark.streaming import watch
 
 DATA = "/root/testdata/sf0.001"
@@ -71,9 +71,72 @@ def test_extractors(spark):
     assert found["/t.txt"][1] == "café �" and found["/b.docx"] == ("docx", "") and found["/z.zip"] == ("archive", "word/document.xml") and found["/p.pdf"] == ("pdf", "")
 
 
-def test_change_stream_equals_the_last_event_of_each_path(spark, tmp_path):
-    for k, rows in enumerate([[(1, 1, "changed", "/a"), (2, 2, "changed", "/b")], [(3, 3, "deleted", "/a"), (4, 4, "changed", "/c"), (5, 5, "deleted", "/c"), (6, 6, "changed", "/c")]]):
-        spark.createDataFrame(rows, "ts long, event_id long, kind string, path string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("ts long, event_id long, kind string, path string").parquet(str(tmp_path / "in"))
-        watch.watch(spark, stream, str(tmp_path / "live"), str(tmp_path / "state")).awaitTermination()
-    assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "live" / "1")).collect()) == ["/b", "/c"]
+EVENTS = "ts long, event_id long, kind string, path string"
+
+
+def test_change_stream_keeps_files_chunks_vectors_and_words(spark, tmp_path):
+    texts = {"/a": "alpha words", "/b": "beta words " * 150, "/c": "gamma"}
+    held = {"sizes": {}, "paused": False}
+
+    def contents(paths):
+        rows = [(p, float(len(t)), len(t), t) for p, t in texts.items()]
+        return paths.join(spark.createDataFrame(rows, "path string, mtime double, size_bytes long, text string"), "path")
+
+    def vectors(chunks):
+        return chunks.select("file_id", "ordinal", F.lit("text").alias("space"), F.array(F.length("text").cast("double")).alias("vec"))
+
+    index = watch.Index(spark, f"{tmp_path}/index")
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in")
+        watch.watch(spark, stream, index, contents, f"{tmp_path}/state", lambda: held["paused"], vectors=vectors).awaitTermination()
+
+    def found(word):
+        hits = index.postings.bm25(spark.createDataFrame([(1, word)], "query_id int, query string"), ["file_id"])
+        return {r.path for r in hits.join(index.files.read(), "file_id").select("path").collect()}
+
+    send((1, 1, "changed", "/a"), (2, 2, "changed", "/b"), (3, 3, "changed", "/none"))
+    assert {r.path for r in index.files.read().collect()} == {"/a", "/b"} and index.chunks.read().count() == 3 == index.vectors.read().count()
+    assert found("words") == {"/a", "/b"} and found("beta-words") == {"/b"}
+    texts["/b"] = "delta"
+    send((4, 4, "deleted", "/a"), (5, 5, "changed", "/c"), (6, 6, "deleted", "/c"), (7, 7, "changed", "/c"), (8, 8, "changed", "/b"))
+    assert {r.path for r in index.files.read().collect()} == {"/b", "/c"} and index.chunks.read().count() == 2 == index.vectors.read().count()
+    assert found("words") == set() and found("delta") == {"/b"} and found("gamma") == {"/c"}
+    before = sorted(map(tuple, index.files.read().collect()))
+    number = index.files.updates()[-1]
+    index.apply(spark.createDataFrame([(9, 9, "deleted", "/b")], EVENTS), contents(spark.createDataFrame([("/b",)], "path string")), number, vectors)
+    assert sorted(map(tuple, index.files.read().collect())) == before  # a replayed batch changes nothing
+    held["paused"] = True
+    send((10, 10, "deleted", "/b"))
+    held["paused"] = False
+    send((11, 11, "changed", "/c"))
+    assert sorted(map(tuple, index.files.read().collect())) == before  # dropped while paused; an unchanged file is left alone
+    for table in (index.files, index.chunks, index.vectors, index.postings):
+        table.compact()
+    assert sorted(map(tuple, index.files.read().collect())) == before and found("delta") == {"/b"} and len(index.files.updates()) == 1
+
+
+def test_kept_words_are_repaired(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "file_id long, ordinal int, text string")
+    index = store.Postings(spark, f"{tmp_path}/words", stems=True)
+    index.update(rows((1, 0, "pens and ink"), (1, 1, "paper"), (2, 0, "books")))
+    now = rows((1, 0, "pens and ink"), (1, 1, "paper"), (3, 0, "a pen"), (4, 0, "open book"))
+    assert index.backfill(now) == 3 and index.backfill(now) == 0
+    queries = spark.createDataFrame([(1, "pen"), (2, "book")], "query_id int, query string")
+    got = {(r.query_id, r.file_id, r.ordinal): round(r.score, 9) for r in index.bm25(queries, ["file_id", "ordinal"]).collect()}
+    fresh = S.bm25(now, ["file_id", "ordinal"], "text", queries, stems=True).collect()
+    assert got == {(r.query_id, r.file_id, r.ordinal): round(r.score, 9) for r in fresh} and (2, 2, 0) not in got
+
+
+def test_moves_are_a_deletion_and_a_change(spark):
+    rows = spark.createDataFrame([(1, 1, "moved", "/a", "/b"), (2, 2, "changed", "/c", None)], "ts long, event_id long, kind string, path string, dest string")
+    assert sorted((r.kind, r.path) for r in watch.moved(rows).collect()) == [("changed", "/b"), ("changed", "/c"), ("deleted", "/a")]
+
+
+def test_folder_scan(spark, tmp_path):
+    for name in ("a.txt", "sub/b.TAR.GZ", "sub/c.py", "d.pptx", "noext"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    names = lambda **kw: sorted(r.path.rpartition("/")[2] for r in extract.scan_folder(spark, str(tmp_path), **kw).collect())
+    assert names() == ["a.txt", "b.TAR.GZ", "d.pptx"] and names(recursive=False) == ["a.txt", "d.pptx"]

@@ -45,17 +45,25 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def occurrences(tokens: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
-    """(*keys, len, phrase, tf): how often each row's ``tokens`` hold each of ``phrases`` (phrase),
-    its tokens standing one after the other."""
-    wanted = phrases.select("phrase").distinct().withColumn("n", F.size("phrase"))
-    parts = small(wanted.select("phrase", "n", F.posexplode("phrase").alias("k", "token")))
-    at = tokens.select(*keys, F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token")).join(parts, "token")
+def parts_of(phrases: DataFrame) -> DataFrame:
+    """(phrase, n, k, token): the k-th of each phrase's n tokens."""
+    return phrases.select("phrase").distinct().select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("k", "token"))
+
+
+def held(at: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, len, phrase, tf) of (*keys, len, phrase, n, k, pos): how often the tokens of a phrase
+    stand one after the other."""
     one = at.where("n = 1").groupBy(*keys, "len", "phrase").agg(F.count("*").alias("tf"))
     run = at.where("n > 1").groupBy(*keys, "len", "phrase", "n", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("m"))
     return one.unionByName(run.where("m = n").groupBy(*keys, "len", "phrase").agg(F.count("*").alias("tf")))
 
 
+def occurrences(tokens: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
+    """(*keys, len, phrase, tf): how often each row's ``tokens`` hold each of ``phrases`` (phrase)."""
+    each = tokens.select(*keys, F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
+    return held(each.join(small(parts_of(phrases)), "token"), keys)
+
+
 def score(post: DataFrame, keys: list[str], phrases: DataFrame, stats: DataFrame) -> DataFrame:
     """(query_id, *keys, score) by BM25 over (*keys, len, phrase, tf) and one row (n, avg_len). The
     inverse frequency of a phrase in half the rows or more is 1e-6."""
@@ -187,19 +195,28 @@ def penalties(kind: Column, mtime: Column, kinds: Column, date_from: Column, dat
     return F.when(image, 0.05).otherwise(0.0) + F.when(F.coalesce(outside, F.lit(False)), 0.05).otherwise(0.0)
 
 
-def lists(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, stems: bool = False) -> dict[str, DataFrame]:
-    """The four ranked lists of a search: chunks and files by keyword, text and image vectors by cosine."""
+def lists(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, stems: bool = False, kept: tuple | None = None) -> dict[str, DataFrame]:
+    """The four ranked lists of a search: chunks and files by keyword, text and image vectors by cosine.
+    With ``kept``, the postings of chunks and of file names, no text is read."""
     even = lambda hits: hits.withColumn("score", F.round("score", 9))  # noqa: E731  equal scores tie, whatever their last bits
     order = (F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
-    named = files.select("file_id", F.concat_ws(" ", "path", "ocr_text").alias("name"))
+    if kept is not None:
+        by_chunk, by_file = kept[0].bm25(queries, ["file_id", "ordinal"]), kept[1].bm25(queries, ["file_id"])
+    else:
+        by_chunk, by_file = bm25(chunks, ["file_id", "ordinal"], "text", queries, stems), bm25(named(files), ["file_id"], "text", queries, stems)
     return {
-        "keyword_chunk": top_k(even(bm25(chunks, ["file_id", "ordinal"], "text", queries, stems)), 3 * k, *order),
-        "keyword_file": top_k(even(bm25(named, ["file_id"], "name", queries, stems)), 3 * k, F.desc("score"), F.asc("file_id")),
+        "keyword_chunk": top_k(even(by_chunk), 3 * k, *order),
+        "keyword_file": top_k(even(by_file), 3 * k, F.desc("score"), F.asc("file_id")),
         "dense_text": top_k(even(cosine(vectors.where("space = 'text'"), queries)), 2 * k, *order),
         "dense_image": top_k(even(cosine(vectors.where("space = 'image'"), queries)), k, *order),
     }
 
 
+def named(files: DataFrame) -> DataFrame:
+    """(file_id, ordinal, text) by which a file is found as a whole: its path and recognised text."""
+    return files.select("file_id", F.lit(0).alias("ordinal"), F.concat_ws(" ", "path", "ocr_text").alias("text"))
+
+
 def ranked(found: dict[str, DataFrame], queries: DataFrame, files: DataFrame, now: float, k: int = 12) -> DataFrame:
     """The lists fused, scored and cut: (query_id, file_id, path, kind, matched_via, rrf, score, rank)."""
     fused = fuse(**{name: first_per_file(x.drop("rank")) if "ordinal" in x.columns else x for name, x in found.items()})
@@ -211,9 +228,9 @@ def ranked(found: dict[str, DataFrame], queries: DataFrame, files: DataFrame, no
     return top_k(scored, k, F.desc("score"), F.desc(F.round("rrf", 9)), F.asc("file_id"))
 
 
-def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12) -> DataFrame:
+def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12, kept: tuple | None = None) -> DataFrame:
     """The full search over ``queries`` (query_id, query, query_vec, kinds, date_from, date_to)."""
-    return ranked(lists(queries, files, chunks, vectors, k), queries, files, now, k)
+    return ranked(lists(queries, files, chunks, vectors, k, kept=kept), queries, files, now, k)
 
 
 def search(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12, stems: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from tidemark.operators import search as S
 from tidemark.functions import bands as L
 from tidemark.sources import tables as B
 from tidemark.sources.extract import indexable
+from tidemark.sources.store import Postings, shared_folder
 from tidemark.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,6 +462,21 @@ def w_rolling(s, d):
     return B.read(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 9).alias("mean"), F.count("*").over(w).alias("n"))
 
 
+_KEPT: dict[tuple[str, str], tuple[Postings, Postings]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str) -> tuple[Postings, Postings]:
+    """The postings of chunks and of file names of a folder of tables, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        at = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+        both = Postings(spark, f"{at}/chunks"), Postings(spark, f"{at}/names")
+        both[0].update(B.chunks(spark, sf_dir))
+        both[1].update(S.named(B.files(spark, sf_dir)))
+        _KEPT[key] = both
+    return _KEPT[key]
+
+
 # --- search ----------------------------------------------------------------------------------
 
 _TF = "len(list_filter(range(1, len(t) + 1), lambda i: t[i : i + len(p) - 1] = p))"
@@ -471,7 +488,7 @@ _BM25 = rf"""terms AS (SELECT query_id, p, count(*) AS weight FROM (SELECT query
 
 @query(f"WITH {QUERIES}, {CHUNKS}, {_BM25} SELECT query_id, file_id, ordinal, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id, ordinal) AS rank FROM cscore) WHERE rank <= 36")
 def sr_keyword_topk(s, d):
-    hits = S.bm25(B.chunks(s, d), ["file_id", "ordinal"], "text", asked(s, d))
+    hits = kept(s, d)[0].bm25(asked(s, d), ["file_id", "ordinal"])
     return S.top_k(hits, 36, F.desc(F.round("score", 9)), F.asc("file_id"), F.asc("ordinal")).withColumn("score", F.round("score", 6))
 
 
@@ -527,7 +544,8 @@ _HYBRID = f"""WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, {_DENSE},
 
 @query(_HYBRID)
 def sr_hybrid(s, d):
-    return S.hybrid(asked(s, d), B.files(s, d), B.chunks(s, d), B.vectors(s, d), B.NOW).drop("rrf")
+    """Over kept postings, which the first search over a folder writes."""
+    return S.hybrid(asked(s, d), B.files(s, d), B.chunks(s, d), B.vectors(s, d), B.NOW, kept=kept(s, d)).drop("rrf")
 
 
 @query(f"WITH {FILES} SELECT file_id, round(CASE WHEN ({B.NOW} - mtime) / 86400.0 < 30 THEN 0.10 * (1 - ({B.NOW} - mtime) / 86400.0 / 30.0) ELSE 0 END, 6) AS boost FROM files")

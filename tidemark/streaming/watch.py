@@ -1,16 +1,22 @@
-"""The change stream: events debounced per micro-batch and merged into an index table.
+"""The change stream: events debounced per micro-batch and merged into kept tables.
 
-The live index is a folder of snapshots; a batch writes the next one from the last and the
-batch's final event per path, so a replayed batch gives the same snapshot.
+A batch writes the rows of the files it touches, under its own number, so its cost is that of its
+events, and a batch that is run again leaves the same tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-SCHEMA = "path string, version long"
+from tidemark.sources.store import Kept, Postings, text_chunks
+
+FILES = "file_id long, path string, mtime double, size_bytes long, version long"
+CHUNKS = "file_id long, ordinal int, text string"
+VECTORS = "file_id long, ordinal int, space string, vec array<double>"
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -18,26 +24,46 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.max("event_id").alias("version"))
 
 
-def apply(live: DataFrame, events: DataFrame) -> DataFrame:
-    last = latest(events)
-    kept = live.join(last.select("path"), "path", "left_anti")
-    return kept.unionByName(last.where("kind = 'changed'").select("path", "version"))
-
-
 def moved(events: DataFrame) -> DataFrame:
     """Rows (ts, event_id, kind, path, dest) with each move as a deletion and a change."""
     both = F.when(F.col("kind") == "moved", F.array(F.struct(F.lit("deleted").alias("kind"), "path"), F.struct(F.lit("changed").alias("kind"), F.col("dest").alias("path")))).otherwise(F.array(F.struct("kind", "path")))
     return events.select("ts", "event_id", F.inline(both))
 
 
-def watch(spark: SparkSession, events: DataFrame, folder: str, checkpoint: str, paused=lambda: False, every: str | None = None) -> StreamingQuery:
-    """Merge a stream of (ts, event_id, kind, path) into snapshots ``folder/<batch>``. While
-    ``paused`` says so, a batch's events are dropped. Without ``every`` it ends when all is read."""
+class Index:
+    """Files, chunks, vectors and postings below ``folder``. A file's id is a hash of its path."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.files, self.chunks = Kept(spark, f"{folder}/files", FILES), Kept(spark, f"{folder}/chunks", CHUNKS)
+        self.vectors, self.postings = Kept(spark, f"{folder}/vectors", VECTORS), Postings(spark, f"{folder}/postings")
+
+    def apply(self, events: DataFrame, contents: DataFrame, number: int, vectors: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Merges a batch's final event of each path. ``contents`` (path, mtime, size_bytes, text):
+        what the files hold now; a changed path without contents is gone, one whose time and size are
+        known already is left alone. ``vectors`` makes vectors of chunks."""
+        last = latest(events).withColumn("file_id", F.xxhash64("path"))
+        now = last.where("kind = 'changed'").join(contents, "path")
+        known = self.files.read().select("file_id", F.col("mtime").alias("old_mtime"), F.col("size_bytes").alias("old_size"))
+        fresh = now.join(known, "file_id", "left").where("not (mtime <=> old_mtime and size_bytes <=> old_size)")
+        gone = last.join(now.select("path"), "path", "left_anti").select("file_id")
+        # the vectors of a file go with it also if it changed and has fewer chunks now
+        made = text_chunks(fresh.select("file_id", "text"))
+        touched = gone.unionByName(fresh.select("file_id"))
+        self.chunks.update(made, touched, number)
+        own = self.chunks._segment(number)
+        self.vectors.update(vectors(own) if vectors else self.vectors.spark.createDataFrame([], VECTORS), touched, number)
+        self.postings.update(own, touched, number)
+        self.files.update(fresh.select(*[f.split()[0] for f in FILES.split(", ")]), gone, number)
+
+
+def watch(spark: SparkSession, events: DataFrame, index: Index, contents: Callable[[DataFrame], DataFrame], checkpoint: str, paused=lambda: False, every: str | None = None, vectors: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Merge a stream of (ts, event_id, kind, path) into ``index``. ``contents`` gives what the files
+    of (path) hold. While ``paused`` says so, a batch's events are dropped. Without ``every`` it ends
+    when all is read."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(SCHEMA).parquet(f"{folder}/{number - 1}") if number else spark.createDataFrame([], SCHEMA)
-        after = before if paused() else apply(before, batch)
-        after.write.mode("overwrite").parquet(f"{folder}/{number}")
+        if not paused():
+            index.apply(batch, contents(batch.select("path").distinct()), number, vectors)
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
