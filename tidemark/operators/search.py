@@ -68,7 +68,9 @@ def score(post: DataFrame, keys: list[str], phrases: DataFrame, stats: DataFrame
     """(query_id, *keys, score) by BM25 over (*keys, len, phrase, tf) and one row (n, avg_len). The
     inverse frequency of a phrase in half the rows or more is 1e-6."""
     df = post.groupBy("phrase").agg(F.count("*").alias("df"))
-    scored = post.join(small(df), "phrase").crossJoin(F.broadcast(stats)).join(small(phrases), "phrase")
+    # the frequencies have a row for each of the phrases at most
+    few = F.broadcast if phrases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x
+    scored = post.join(few(df), "phrase").crossJoin(F.broadcast(stats)).join(few(phrases), "phrase")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return scored.groupBy("query_id", *keys).agg(F.sum(F.when(idf > 0, idf).otherwise(1e-6) * part * F.col("weight")).alias("score"))
@@ -220,7 +222,9 @@ def named(files: DataFrame) -> DataFrame:
 def ranked(found: dict[str, DataFrame], queries: DataFrame, files: DataFrame, now: float, k: int = 12) -> DataFrame:
     """The lists fused, scored and cut: (query_id, file_id, path, kind, matched_via, rrf, score, rank)."""
     fused = fuse(**{name: first_per_file(x.drop("rank")) if "ordinal" in x.columns else x for name, x in found.items()})
-    rows = files.join(small(fused), "file_id").join(small(queries.select("query_id", "kinds", "date_from", "date_to")), "query_id")
+    # the lists have 3k, 3k, 2k and k rows a query at most
+    few = F.broadcast if queries.limit(BROADCAST_ROWS + 1).count() * 9 * k <= BROADCAST_ROWS else lambda x: x
+    rows = files.join(few(fused), "file_id").join(few(queries.select("query_id", "kinds", "date_from", "date_to")), "query_id")
     penalty = penalties(F.col("kind"), F.col("mtime"), F.col("kinds"), F.col("date_from"), F.col("date_to"))
     # the small addend rounds exact halves up, whatever their last bit
     score = F.round(F.col("rrf") + 1e-9 + recency(F.col("mtime"), now) * 0.05 / 0.10 - penalty, 4)
