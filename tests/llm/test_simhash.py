@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -156,3 +157,27 @@ def test_pairs_of_small_and_large_groups():
     wanted = {(i, j) for j in range(len(g)) for i in range(j) if g[i] == g[j] and int(v[i] ^ v[j]).bit_count() <= simhash.NEAR_RADIUS}
     a, b = simhash._in_groups(g, v)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == wanted and len(a) == len(wanted) > 100
+
+
+def test_only_pairs_near_in_the_whole_sketch_are_candidates():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    flips = rng.integers(0, 64, (60, 4, 6), dtype=np.uint64)
+    words = base ^ np.bitwise_or.reduce(np.uint64(1) << flips, axis=2)  # near in all four words
+    words[30:, 1:] = rng.integers(0, 1 << 63, (30, 3), dtype=np.uint64)  # near in the first only
+    node = np.arange(60)
+    columns = [np.full(60, 9), np.zeros(60, int), words[:, 0], node, node, words[:, 1], words[:, 2], words[:, 3]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in columns], names=list("gsvnrabc"))
+    found = {(r["a"], r["b"]) for out in simhash._near(True)(iter([batch])) for r in out.to_pylist()}
+    apart = lambda i, j, k: sum(int(x).bit_count() for x in (words[i] ^ words[j])[:k])
+    near = {(i, j) for j in range(60) for i in range(j) if apart(i, j, 1) <= simhash.NEAR_RADIUS}
+    assert found == {(i, j) for i, j in near if apart(i, j, 4) <= simhash.WIDE_RADIUS}
+    assert len(near) > 1500 and 400 < len(found) < 500
+
+
+def test_similarity_of_two_columns_of_texts():
+    found = [(a, b) for a, b, _ in near(random.Random(8), 30)] + [("a b", "A  b"), ("a b c d e f g h", "a b c d e f g h i"), ("a", "b"), ("x " * 50, "x x x x x")]
+    found += [(found[0][0], b) for _, b in found]
+    left, right = (pa.array(side) for side in zip(*found, strict=True))
+    wanted = [len(five(a) & five(b)) >= 0.8 * len(five(a) | five(b)) for a, b in found]
+    assert simhash.alike(left, right, 5, 0.8).tolist() == wanted and 5 < sum(wanted) < len(wanted)

@@ -17,14 +17,16 @@
 quarter of the bits differ, too many for bands that must agree whole: its sketch has
 ``SKETCH`` bits, and each of ``TABLES`` samples of ``SAMPLE`` bits is a bucket key. In a
 bucket, the bit-sliced counters (in small ones, population counts) leave pairs within
-``NEAR_RADIUS`` of the first 64 bits, and these are judged by their exact similarity: first each text with the busiest neighbour it has,
-then, where verified components still differ, all remaining pairs across them.
+``NEAR_RADIUS`` of the first 64 bits, those also within ``WIDE_RADIUS`` of all bits are judged by their exact similarity: first each text with the busiest neighbour it has,
+then, where verified components still differ, all remaining pairs across them. Buckets are made of ``PARTS``
+parts of the samples in turn, so that only one part's rows are on disk.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,9 +46,16 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: shingles), so all samples miss them with probability 0.008 (0.1), and more than
 #: NEAR_RADIUS of 64 bits differ with probability 0.0003 (0.007).
 SKETCH, TABLES, SAMPLE, NEAR_RADIUS = 256, 64, 16, 20
+#: Of two texts at a similarity of 0.8 more than so many of all bits differ with probability
+#: 2e-11 (5e-7). Of two that share nothing but a bucket, no more do with probability 1e-7.
+WIDE_RADIUS = 80
+#: Parts of the samples; large buckets that are broadcast.
+PARTS, BROADCAST_ROWS = 2, 100_000
 #: Buckets of at most so many texts are compared pair by pair, many buckets at once.
 SMALL, MANY = 64, 8192
 _SAMPLES = np.array([random.Random(t).sample(range(SKETCH), SAMPLE) for t in range(TABLES)])
+#: The columns of a sketch; the first is compared first.
+WORDS = ["fp", "w1", "w2", "w3"]
 _SEEDS = np.array([random.Random(-1 - k).getrandbits(64) for k in range(SKETCH // 64)], np.uint64)
 
 
@@ -254,7 +263,8 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     start = words.bounds[:-1][owner] + place
     end = np.minimum(start + width, words.bounds[1:][owner])
     hashes = words.hashes()
-    found = Hashed(hashes, WORD_BASE).span(start, end) ^ Hashed(hashes, CHECK_BASE).span(start, end)
+    one = Hashed(hashes, WORD_BASE).span(start, end)
+    found = np.where(end - start > 1, one ^ Hashed(hashes, CHECK_BASE).span(start, end), one)  # of a single word both are equal
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
@@ -272,9 +282,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(width: int):
-    """A column function: text to the number of its shingles, 64 bits of its sketch and its bucket keys."""
+    """A column function: text to the number of its shingles and its sketch."""
 
-    @F.arrow_udf("struct<n:int,fp:bigint,keys:array<int>>")
+    @F.arrow_udf("struct<n:int,fp:bigint,w1:bigint,w2:bigint,w3:bigint>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bytewise.claim("simhash")
         for batch in texts:
@@ -282,25 +292,53 @@ def _sketches(width: int):
             for piece in bytewise.pieces(batch):
                 found, bounds = shingle_sets(piece, width)
                 bits = np.array([sketch(found[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint8).reshape(-1, SKETCH)
-                keys = np.packbits(bits[:, _SAMPLES], axis=2).view(np.uint16)[:, :, 0].astype(np.int32) | np.arange(TABLES, dtype=np.int32) << SAMPLE
-                fp = np.packbits(bits[:, :64], axis=1).view(np.int64)[:, 0]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(piece) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
-                out.append(pa.StructArray.from_arrays([pa.array(np.diff(bounds).astype(np.int32)), pa.array(fp), keys], names=["n", "fp", "keys"]))
+                words = np.packbits(bits, axis=1).view(np.int64)
+                out.append(pa.StructArray.from_arrays([pa.array(np.diff(bounds).astype(np.int32)), *map(pa.array, words.T.copy())], names=["n", *WORDS]))
             yield pa.concat_arrays(out)
 
     return of
 
 
-def _set_column(width: int):
-    @F.arrow_udf("array<bigint>")
-    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _keys(part: int):
+    """A column function: the words of a sketch to its bucket keys of one part of the samples."""
+    tables = np.arange(part, TABLES, PARTS, dtype=np.int32)
+    samples = _SAMPLES[tables]
+
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for words in batches:
+            bits = np.unpackbits(np.stack([np.asarray(w, dtype=np.int64) for w in words], axis=1).view(np.uint8), axis=1)
+            keys = np.packbits(bits[:, samples], axis=2).view(np.uint16)[:, :, 0].astype(np.int32) | tables << SAMPLE
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * len(tables)), pa.array(keys.ravel()))
+
+    return of
+
+
+def alike(left: pa.Array, right: pa.Array, width: int, similarity: float) -> np.ndarray:
+    """Whether the exact Jaccard similarity of each two texts' sets of shingles is at least ``similarity``."""
+    both = pa.concat_arrays([left, right]).dictionary_encode()  # a text of many pairs is worked out once
+    sets = [shingle_sets(piece, width) for piece in bytewise.pieces(both.dictionary)]
+    hashes, counts = np.concatenate([h for h, _ in sets]), np.concatenate([np.diff(bounds) for _, bounds in sets])
+    text = np.asarray(both.indices)
+    side, place = ragged(counts[text])
+    found, owner = hashes[(np.cumsum(counts) - counts)[text][side] + place], side % len(left)
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    common = np.bincount(owner[1:][(found[1:] == found[:-1]) & (owner[1:] == owner[:-1])], minlength=len(left))
+    return common >= similarity * (np.bincount(owner, minlength=len(left)) - common) - 1e-9
+
+
+def _alike_column(width: int, similarity: float):
+    @F.arrow_udf("boolean")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         bytewise.claim("simhash")
-        for batch in texts:
-            out = []
-            for piece in bytewise.pieces(batch):
-                found, bounds = shingle_sets(piece, width)
-                out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.view(np.int64))))
-            yield pa.concat_arrays(out)
+        for left, right in batches:
+            ends, at, out = bytewise.buffers(left)[1] + bytewise.buffers(right)[1], 0, [np.zeros(0, bool)]
+            while at < len(left):  # a few megabytes of texts at once
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + (4 << 20), "right")) - 1)
+                out.append(alike(left.slice(at, to - at), right.slice(at, to - at), width, similarity))
+                at = to
+            yield pa.array(np.concatenate(out))
 
     return of
 
@@ -321,8 +359,8 @@ def _in_groups(g: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(every: bool):
-    """Over rows (g, side, v, node, root): pairs (a, b) of nodes of different roots within
-    NEAR_RADIUS. Unless ``every``, only one for each node, with that one of its
+    """Over rows (g, side, v, node, root, other words of the sketch): pairs (a, b) of nodes of different
+    roots within NEAR_RADIUS and WIDE_RADIUS. Unless ``every``, only one for each node, with that one of its
     neighbours that has most neighbours itself, and their number."""
 
     def block(part: np.ndarray) -> pa.RecordBatch:
@@ -335,6 +373,10 @@ def _near(every: bool):
             a, b = _in_groups(part[:, 0], v)
         differ = root[a] != root[b]
         a, b = a[differ], b[differ]
+        apart = np.bitwise_count(v[a] ^ v[b]).astype(np.int16)
+        for word in np.ascontiguousarray(part[:, 5:].T).view(np.uint64):
+            apart += np.bitwise_count(word[a] ^ word[b])
+        a, b = a[apart <= WIDE_RADIUS], b[apart <= WIDE_RADIUS]
         if every:
             a, b = node[a], node[b]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -348,12 +390,11 @@ def _near(every: bool):
     return _over_blocks(block, MANY)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose sets' exact Jaccard similarity is at least ``similarity``."""
-    one = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", common.alias("k"), (F.size("set_a") + F.size("set_b")).alias("n"))
-    return both.where(F.col("k") >= similarity * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose texts' exact Jaccard similarity is at least ``similarity``."""
+    one = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.sortWithinPartitions("a", "b").join(one("a"), "a").join(one("b"), "b")
+    return both.where(_alike_column(width, similarity)("text_a", "text_b")).select("a", "b")
 
 
 def near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -366,35 +407,54 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), _sketches(width)(text).alias("s")).select("doc", "text_hash", "s.*")
     seen = scratch.keep(seen.withColumn("node", F.when(F.col("n") > 0, F.col("text_hash")).otherwise(0)), "sketches")
-    nodes = seen.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    rows = nodes.select("node", "fp", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.keep(rows.join(sizes, "key").select("node", "fp", "key", F.ceil(F.col("size") / BLOCK).alias("chunks")), "members")
-    scratch.release()
-
-    def candidates(placed: DataFrame, every: bool) -> DataFrame:
-        return _dealt(placed, "node", "node", "root").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_near(every), "a long, b long, often long")
+    nodes = scratch.keep(seen.where("n > 0").groupBy("node").agg(*[F.first(w).alias(w) for w in WORDS]), "nodes")
+
+    def rows(of: DataFrame, part: int) -> DataFrame:
+        return of.select("*", F.explode(_keys(part)(*WORDS)).alias("key"))
+
+    def candidates(placed: DataFrame, every: bool, name: str) -> DataFrame:
+        out = []
+        for part in range(PARTS):
+            members = rows(placed, part).join(larger[part], "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+            blocks = _dealt(members, "node", "node", "root", *WORDS[1:]).repartition("g").sortWithinPartitions("g", "side")
+            found = blocks.mapInArrow(_near(every), "a long, b long, often long")
+            found = found.select("a", "b").distinct() if every else found.groupBy("a").agg(F.max(F.struct("often", "b")).alias("s"))
+            out.append(scratch.keep(found, f"{name}{part}"))
+            scratch.release()
+        return reduce(DataFrame.union, out)
 
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        return scratch.keep(texts.select("node", _set_column(width)("text").alias("set")), name)
-
-    busiest = candidates(members.withColumn("root", F.col("node")), False).groupBy("a").agg(F.max(F.struct("often", "b")).alias("s"))
+        return scratch.keep(texts, name)
+
+    larger = []
+    for part in range(PARTS):
+        sizes = rows(nodes, part).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+        large = scratch.keep(sizes.select("key", F.ceil(F.col("size") / BLOCK).alias("chunks")), f"larger{part}")
+        larger.append(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large)
+        scratch.release()
+    busiest = candidates(nodes.withColumn("root", F.col("node")), False, "busiest").groupBy("a").agg(F.max("s").alias("s"))
     pairs = scratch.keep(busiest.select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b")).distinct(), "pairs")
-    links = scratch.keep(_alike(pairs, fetched(pairs, "sets"), similarity), "links")
+    texts = fetched(pairs, "texts")
+    scratch.release()
+    links = scratch.keep(_alike(pairs, texts, width, similarity), "links")
+    scratch.drop("texts")
     roots = components(links, scratch)
     scratch.release()
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = scratch.keep(candidates(placed, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = scratch.keep(_alike(rest, fetched(rest, "more-sets"), similarity), "more")
+    placed = scratch.keep(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    rest = scratch.keep(candidates(placed, True, "across").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    texts = fetched(rest, "more-texts")
+    scratch.release()
+    more = scratch.keep(_alike(rest, texts, width, similarity), "more")
     scratch.release()
     if more.limit(1).count():
         roots = components(links.union(more), scratch)
     rooted = seen.join(roots, "node", "left").select("doc", "text_hash", F.coalesce("root", "node").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     found = scratch.keep(rooted.join(classes, "root").select(F.col("doc").alias(id_col), "text_hash", "component_id"), "copies")
-    scratch.drop("sketches", "members", "pairs", "sets", "links", "rest", "more-sets", "more")
+    scratch.drop("sketches", "nodes", "placed", "pairs", "links", "rest", "more-texts", "more")
+    scratch.drop(*[f"{name}{part}" for name in ("larger", "busiest", "across") for part in range(PARTS)])
     return found
 
 
