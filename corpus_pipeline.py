@@ -19,6 +19,13 @@ from tidemark.llm.scratch import Scratch, shared_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def python_scratch(spark: SparkSession, name: str) -> Scratch:
+    """For a stage of Python workers: the heap that the stages before took is theirs."""
+    scratch = Scratch(spark, name)
+    scratch.shrink()
+    return scratch
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found go on; those without letters, or whose best
     language stays under the least posterior, go. Declared languages are kept as they are."""
@@ -34,16 +41,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (exact Jaccard similarity of their sets
     of five words at least 0.8) stays: the one with the least id."""
-    return simhash.keep_one(docs, Scratch(spark, "pipeline-simhash"), width=5, similarity=0.8).select(*COLUMNS)
+    return simhash.keep_one(docs, python_scratch(spark, "pipeline-simhash"), width=5, similarity=0.8).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks")).select(*COLUMNS)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), python_scratch(spark, "pipeline-leaks")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, Scratch(spark, "pipeline-packing"), tokenizer_path())
+    return packing.pack(docs, python_scratch(spark, "pipeline-packing"), tokenizer_path())
 
 
 STAGES = [

@@ -119,3 +119,13 @@ def test_empty_tables_and_the_whole_run(spark, docs, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     ids = {r.doc_id for r in found.collect()}
     assert 20 not in ids and 100 not in ids and 0 in ids and 104 not in ids
+
+
+@pytest.mark.parametrize("stage", ["simhash_dedup", "decontamination", "best_fit_packing"])
+def test_executors_give_heap_back_before_python_workers_fill_up(spark, docs, sf_dir, stage, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    own, before = docs.limit(0), full()
+    monkeypatch.setattr(corpus_pipeline.Scratch, "release", lambda self: None)  # the driver's own
+    dict(corpus_pipeline.STAGES)[stage](spark, own, sf_dir)
+    assert full() > before

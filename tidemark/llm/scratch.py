@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +63,11 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def shrink(self) -> None:
+        """Executors collect and give back heap that they don't use: their Python workers share the machine's memory."""
+        n = self.spark.sparkContext.defaultParallelism
+        self.spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
