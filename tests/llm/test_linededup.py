@@ -158,3 +158,17 @@ def test_clashing_names(spark):
     found = linededup.dedup_lines(docs, Scratch(spark, "t"))
     assert found.columns == [*docs.columns, "n_lines", "n_removed"]
     assert sorted((r.doc_id, r.text, r.gone, r.id, r.n_removed) for r in found.collect()) == [(1, "a line\nof text", "gone", "id", 0), (2, "", "gone", "id", 1)]
+
+
+def test_bitmaps_exclude_long_lines_that_differ_and_no_pair_that_is_similar(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    long = letters(6000)
+    lines = [long, letters(2000) + long[2000:], letters(300) + long[300:], "ab" * 40 + "c", "ab" * 30 + "c", "ab" * 40 + "dc", letters(40) * 3]
+    lines += [lines[-1] + "x", "short", "shorter"]
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    maps = linededup.bitmaps(spark.createDataFrame(list(enumerate(lines)), "lh long, line string"))
+    both = linededup._side(maps, "a").join(linededup._side(maps, "b"), linededup.F.expr("a < b"))
+    found = {(r.a, r.b) for r in both.where(linededup._may_be_similar()).select("a", "b").collect()}
+    alike = {(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike <= found and (0, 1) not in found and (0, 2) in alike and len(alike) > 2

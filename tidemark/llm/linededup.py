@@ -41,8 +41,8 @@ BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in
 #: Minima that a pair must have in common to be compared exactly; lines of a bucket that are
 #: compared with each other in one group, and in the first round of a larger bucket.
 AGREE, BLOCK, FEW = 8, 512, 32
-#: Shingles hashed in one row, for the minima and for a bitmap; 64-bit words of a bitmap.
-STEP, RUN, MAP_WORDS = 4, 16, 32
+#: Shingles hashed in one row, for the minima; 64-bit words of a bitmap.
+STEP, MAP_WORDS = 4, 64
 #: Pairs a task verifies.
 PAIRS = 1500
 BLANK = " \t\r\x0b\x0c"
@@ -132,11 +132,13 @@ def _first_common_band() -> Column:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """(lh, n, b0, b1, ...): the number of shingles and a bitmap of their set."""
-    each = _runs(texts.repartition("lh").select("lh", _units(F.col("line")).alias("units")), "units", RUN)
-    each = each.select("lh", "n", F.explode(F.array(*_hashes("units", RUN))).alias("h"))
+    """(lh, n, b0, b1, ...): the number of shingles and a bitmap in which a bit is the parity of the
+    shingles of the set that fall on it, so that common shingles cancel out however long lines are."""
+    # the generator keeps the set from being worked out again for its size
+    sets = texts.repartition("lh").select("lh", _units(F.col("line")).alias("units")).select("lh", F.inline(F.array(F.struct(_set("units").alias("s")))))
+    each = sets.select("lh", F.size("s").alias("n"), F.explode("s").alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = each.groupBy("lh", "n", F.expr(f"shiftright(h, 6) & {MAP_WORDS - 1}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = each.groupBy("lh", "n", F.expr(f"shiftright(h, 6) & {MAP_WORDS - 1}").alias("word")).agg(F.bit_xor(bit).alias("bits"))
     return words.groupBy("lh", "n").agg(*[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"b{k}") for k in range(MAP_WORDS)])
 
 
