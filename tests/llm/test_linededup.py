@@ -172,3 +172,39 @@ def test_bitmaps_exclude_long_lines_that_differ_and_no_pair_that_is_similar(spar
     found = {(r.a, r.b) for r in both.where(linededup._may_be_similar()).select("a", "b").collect()}
     alike = {(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert alike <= found and (0, 1) not in found and (0, 2) in alike and len(alike) > 2
+
+
+def test_exact_similarity_of_pairs_by_generated_code(spark):
+    """Lines of less than one run of hashes, of several, with repeats and at the threshold; no lambda hashes shingles."""
+    rng = random.Random(44)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopé") for _ in range(n))
+    lines = ["a", "a ", "shorter", "shorter than", "z" * 200, "z" * 30, "z" * 30 + "y", "ab" * 40, "ab" * 40 + "c", "abc" * 40]
+    for n in (15, 16, 23, 24, 40, 120, 700):
+        base = letters(n)
+        lines += [base, base + letters(n // 9), base[n // 12 :], base[: n // 2] + "Q" + base[n // 2 :], base * 2, base[: n // 2] + letters(n - n // 2)]
+    whole = letters(7 + 100)  # 80 of its 100 shingles, and nothing else: a similarity of just 0.8
+    lines += [whole, whole[: 7 + 80], whole[: 7 + 79], "\U0001f600" + whole[: 7 + 80]]
+    sets = [{x.encode("utf-16-be")[2 * i : 2 * i + 16] for i in range(max(len(x.encode("utf-16-be")) // 2 - 7, 1))} for x in lines]
+    alike = {(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    texts = spark.createDataFrame(list(enumerate(lines)), "lh long, line string")
+    pairs = spark.createDataFrame([(a, b) for b in range(len(lines)) for a in range(b)], "a long, b long")
+    found = linededup.similar(pairs, texts)
+    assert {(r.a, r.b) for r in found.collect()} == alike
+    n = len(lines)
+    assert (n - 4, n - 3) in alike and (n - 4, n - 2) not in alike and (4, 5) in alike and len(alike) > 10
+    for df in (found, linededup.bitmaps(texts)):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_bitmap_is_one_column(spark):
+    """So that a pair that the conditions before rule out reads none of its words."""
+    texts = spark.createDataFrame([(1, "one line of text"), (2, "")], "lh long, line string")
+    maps = linededup.bitmaps(texts)
+    assert maps.columns == ["lh", "n", "bits"]
+    assert [(r.lh, r.n, len(r.bits)) for r in maps.orderBy("lh").collect()] == [(1, 9, linededup.MAP_WORDS), (2, 1, linededup.MAP_WORDS)]
+
+
+def test_blank_lines_of_all_kinds(spark):
+    rows = [(1, "x\n \t\r\x0b\x0c\n\n x"), (2, "\t \n y \t"), (3, " \u00a0\n\u00a0")]
+    assert run(spark, rows) == brute(rows)
+    assert [r[2] for r in run(spark, rows)] == [2, 1, 2]

@@ -41,8 +41,8 @@ BANDS = [[4 * i + k for k in range(4)] for i in range(4)] + [[4 * k + i for k in
 #: Minima that a pair must have in common to be compared exactly; lines of a bucket that are
 #: compared with each other in one group, and in the first round of a larger bucket.
 AGREE, BLOCK, FEW = 8, 512, 32
-#: Shingles hashed in one row, for the minima; 64-bit words of a bitmap.
-STEP, MAP_WORDS = 4, 64
+#: Shingles hashed in one row, for the minima and for sets; 64-bit words of a bitmap.
+STEP, SET_STEP, MAP_WORDS = 4, 16, 64
 #: Pairs a task verifies.
 PAIRS = 1500
 BLANK = " \t\r\x0b\x0c"
@@ -60,10 +60,15 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
+def _worded(line: Column) -> Column:
+    """Not blank. The left end tells it; trimming the right one takes a walk over the whole line."""
+    return F.ltrim(line, F.lit(BLANK)) != ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, line) of all lines that aren't blank, from (doc_id, text)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.trim("line", F.lit(BLANK)) != "")
+    return rows.where(_worded(F.col("line")))
 
 
 def _units(line: Column) -> Column:
@@ -86,16 +91,23 @@ def _runs(rows: DataFrame, units: str, step: int) -> DataFrame:
     return counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(step))))
 
 
-def _set(units: str) -> Column:
-    """The set of a line's shingles, hashed."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _shingle_count(F.col(units))), lambda i: _shingle(units, i)))
-
-
 def _hashes(units: str, step: int) -> list[Column]:
     """The hashes of one run; the last run repeats the last shingle as often as it needs."""
     return [_shingle(units, F.least(F.col("i") + j, F.col("n"))) for j in range(step)]
 
 
+def _gather(when: Column | None = None) -> Column:
+    """Of rows with an array ``h`` of hashes: one array of all (of those rows), repeats included."""
+    return F.flatten(F.collect_list("h" if when is None else F.when(when, F.col("h"))))
+
+
+def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``n`` (in a line's first run only) and ``h``, the hashes of a run of ``units``. Generated
+    code hashes runs several times faster than a lambda hashes an array."""
+    runs = _runs(rows, "units", SET_STEP)
+    return runs.select(*keep, F.when(F.col("i") == 1, F.col("n")).alias("n"), F.array(*_hashes("units", SET_STEP)).alias("h"))
+
+
 def _sized(table: DataFrame, width: int) -> DataFrame:
     """``table`` (kept, of ``width`` bytes a row), to be broadcast if it is small."""
     return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
@@ -132,20 +144,24 @@ def _first_common_band() -> Column:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """(lh, n, b0, b1, ...): the number of shingles and a bitmap in which a bit is the parity of the
-    shingles of the set that fall on it, so that common shingles cancel out however long lines are."""
+    """(lh, n, bits): the number of shingles and a bitmap of MAP_WORDS words in which a bit is the parity of
+    the shingles of the set that fall on it, so that common shingles cancel out however long lines are."""
+    runs = _hashed(texts.repartition("lh").select("lh", _units(F.col("line")).alias("units")), "lh")
+    sets = runs.groupBy("lh").agg(_gather().alias("s"))
     # the generator keeps the set from being worked out again for its size
-    sets = texts.repartition("lh").select("lh", _units(F.col("line")).alias("units")).select("lh", F.inline(F.array(F.struct(_set("units").alias("s")))))
+    sets = sets.select("lh", F.inline(F.array(F.struct(F.array_distinct("s").alias("s")))))
     each = sets.select("lh", F.size("s").alias("n"), F.explode("s").alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     words = each.groupBy("lh", "n", F.expr(f"shiftright(h, 6) & {MAP_WORDS - 1}").alias("word")).agg(F.bit_xor(bit).alias("bits"))
-    return words.groupBy("lh", "n").agg(*[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"b{k}") for k in range(MAP_WORDS)])
+    one = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)) for k in range(MAP_WORDS)]
+    return words.groupBy("lh", "n").agg(F.array(*one).alias("bits"))
 
 
 def _may_be_similar() -> Column:
     """False only if sides a and b can't reach SIMILARITY: their sets differ in at least as
     many shingles as their bitmaps do in bits."""
-    differ = sum((F.bit_count(F.col(f"b{j}_a").bitwiseXOR(F.col(f"b{j}_b"))) for j in range(MAP_WORDS)), F.lit(0))
+    words = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(words, F.lit(0), lambda x, y: x + y)
     return differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-9
 
 
@@ -154,11 +170,14 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A task gets about PAIRS pairs, as their hashed shingles are many times their texts."""
     one = lambda x: texts.select(F.col("lh").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").repartition(max(8, pairs.count() // PAIRS), "a", "b")
-    units = both.select("a", "b", _units(F.col("line_a")).alias("u"), _units(F.col("line_b")).alias("v"))
+    side = lambda second, line: F.struct(F.lit(second).alias("second"), _units(F.col(line)).alias("units"))
+    lines = both.select("a", "b", F.inline(F.array(side(False, "line_a"), side(True, "line_b"))))
+    lists = _hashed(lines, "a", "b", "second").groupBy("a", "b").agg(_gather(~F.col("second")).alias("s"), _gather(F.col("second")).alias("t"), F.sum("n").alias("n"))
     # the generator keeps the filter from being pushed below, where it would work the sets out again
-    sets = units.select("a", "b", F.inline(F.array(F.struct(_set("u").alias("s"), _set("v").alias("t")))))
-    sized = sets.select("a", "b", F.size(F.array_intersect("s", "t")).alias("k"), (F.size("s") + F.size("t")).alias("n"))
-    return sized.where(F.col("k") >= SIMILARITY * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
+    sized = lists.select("a", "b", "s", "t", "n", F.inline(F.array(F.struct(F.size(F.array_intersect("s", "t")).alias("k")))))
+    # n counts repeated shingles too, so the first bound is exact if it holds; else the union is taken
+    reaches = lambda union: F.col("k") >= SIMILARITY * union - 1e-9
+    return sized.where(reaches(F.col("n") - F.col("k")) | reaches(F.size(F.array_union("s", "t")))).select("a", "b")
 
 
 def _chunk(salt: int) -> Column:
@@ -184,7 +203,8 @@ def _apart(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     first common band and once."""
     both = _side(a, "a").join(_side(b, "b"), reduce(Column.__and__, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in by]))
     both = both.where("root_a != root_b and (root_a = main_a or root_b = main_a or a < b)")
-    both = both.where(_agree() & _may_be_similar() & (_first_common_band() == F.col("k_a")))
+    # bitmaps are last, and one column each: few pairs come so far
+    both = both.where(_agree() & (_first_common_band() == F.col("k_a")) & _may_be_similar())
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -268,10 +288,13 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = removals(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), scratch)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("old"), F.xxhash64(text).alias("hash"), F.split(text, "\n").alias("lines"))
+    # a text goes through the join once: its lines are split behind it
+    rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    old = F.col("row").getField(text_col)
+    out = out.select("row", "gone", old.alias("old"), F.split(F.coalesce(old, F.lit("")), "\n").alias("lines"))
     kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNull(), F.col("old")).otherwise(kept)
-    total = F.size(F.filter("lines", lambda x: F.trim(x, F.lit(BLANK)) != ""))
+    total = F.size(F.filter("lines", _worded))
     columns = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rest]
     return out.select(*columns, total.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
