@@ -1,7 +1,11 @@
 """Each stage of the pipeline against a brute-force form of it, on its own input."""
 
 import functools
+import os
+import pathlib
 import random
+import re
+import time
 
 import pytest
 from test_linededup import brute as brute_lines
@@ -129,3 +133,48 @@ def test_executors_give_heap_back_before_python_workers_fill_up(spark, docs, sf_
     monkeypatch.setattr(corpus_pipeline.Scratch, "release", lambda self: None)  # the driver's own
     dict(corpus_pipeline.STAGES)[stage](spark, own, sf_dir)
     assert full() > before
+
+
+def test_driver_gives_back_heap(spark):
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    filled = [jvm.java.nio.ByteBuffer.allocate(64 << 20) for _ in range(12)]
+    assert heap.totalMemory() > 700 << 20
+    del filled
+    time.sleep(1)  # the JVM's references go in the background
+    corpus_pipeline.Scratch(spark, "t").release()
+    assert heap.totalMemory() < 1.9 * (heap.totalMemory() - heap.freeMemory())
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps"), reason="native memory can't be read here")
+def test_driver_gives_back_native_memory(spark):
+    jvm, scratch = spark.sparkContext._jvm, corpus_pipeline.Scratch(spark, "t")
+
+    def taken():  # MB, without the heap, which is below 2^36
+        maps = pathlib.Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps").read_text()
+        found = re.findall(r"^([0-9a-f]+)-[0-9a-f]+ .*?^Anonymous:\s+(\d+)", maps, re.M | re.S)
+        return sum(int(kb) for start, kb in found if int(start, 16) >> 36) / 1024
+
+    scratch.release()
+    before = taken()
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(100_000) for _ in range(4000)]
+    assert taken() > before + 300
+    buffers = buffers[::16]  # the C library keeps what lies between
+    time.sleep(1)
+    scratch.release()
+    time.sleep(1)  # buffers are freed behind the first collection
+    scratch.release()
+    assert len(buffers) == 250 and taken() < before + 150
+
+
+def test_tables_are_kept_while_the_heap_stays_small(spark, monkeypatch):
+    heap, calls = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), []
+    scratch = corpus_pipeline.Scratch(spark, "t")
+    scratch.release()
+    monkeypatch.setattr(corpus_pipeline.Scratch, "release", lambda self: calls.append(1))
+    assert 2 * heap.totalMemory() < heap.maxMemory()
+    assert scratch.keep(spark.range(3), "small").count() == 3 and not calls
+    full = spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(heap.maxMemory() * 6 // 10)
+    assert scratch.keep(spark.range(3), "large").count() == 3 and calls and full.capacity()
+    scratch._settled = heap.maxMemory()  # a heap that doesn't shrink
+    assert scratch.keep(spark.range(3), "again").count() == 3 and len(calls) == 1
