@@ -95,3 +95,14 @@ def test_one_passage_in_very_many_documents_and_a_very_long_text(spark):
     rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(1500)] + [(5000, " ".join(f"q{i % 50_000}" for i in range(100_000)))]
     found = run(spark, rows, 35)
     assert found == brute(rows, 35)
+
+
+def test_executors_give_memory_back_between_the_steps(spark, monkeypatch):
+    steps, keep, shrink = [], Scratch.keep, Scratch.shrink
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: steps.append(name) or keep(self, df, name))
+    monkeypatch.setattr(Scratch, "shrink", lambda self: steps.append("shrink") or shrink(self))
+    rows = corpus(5, 12, 6)
+    assert run(spark, rows, 12) == brute(rows, 12)
+    before = {s: steps[i - 1] if i else None for i, s in enumerate(steps)}
+    assert [before[f"{s}{b}"] for b in (0, 1) for s in ("hits", "kinds", "windows")] == ["shrink"] * 6
+    assert steps[-1] == "shrink"  # the result's Python workers come next

@@ -275,12 +275,14 @@ def _split(rows: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
 def add_batch(batch: DataFrame, index: FingerprintIndex, scratch: Scratch, width: int = WIDTH, tag: str = "") -> DataFrame:
     """``batch`` (text, words; ``text`` the hash of the words) becomes a run, and is compared with all
     earlier runs. Returns (text, a, b): word ranges that repeat, of the batch's texts and those of
-    earlier ones that only now repeat."""
+    earlier ones that only now repeat. Between the steps executors give back what the last one left
+    them: Python workers and merge joins share their memory."""
     own = batch.select("text", F.inline(anchors(width)("words")))
     kinds = own.groupBy(*SPAN).agg(F.count("*").alias("c"), F.first("text").alias("text"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     earlier = [index.table(r) for r in index.runs()]
     new = index.table(index.add(kinds, None if index.given is not None else batch.select("text", "words")))
     scratch.release()
+    scratch.shrink()
     # stretches whose anchor stands anywhere else; runs are in the same buckets and join as they lie
     often = new.groupBy("fp").agg(F.sum("c").alias("n"))
     seen, told = new.join(often, "fp"), F.col("n") > 1
@@ -293,6 +295,7 @@ def add_batch(batch: DataFrame, index: FingerprintIndex, scratch: Scratch, width
         hits = hits.unionByName(run.join(new.select("fp"), "fp", "left_semi").select(*columns, F.lit(False).alias("new")))
     hits = scratch.keep(hits, f"hits{tag}")
     scratch.release()
+    scratch.shrink()
     kinds = hits.groupBy(*SPAN).agg(F.sum("c").alias("c"), F.first("text").alias("text"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     kinds = scratch.keep(kinds, f"kinds{tag}")
     again, total = kinds.where("c > 1").select(*SPAN, "c"), hits.agg(F.sum("c")).first()[0] or 0
@@ -303,6 +306,7 @@ def add_batch(batch: DataFrame, index: FingerprintIndex, scratch: Scratch, width
     late = _split(hits.where("not new and c = 1").select(*SPAN, "text", "s1", "s2"), again, total).select(*stretch)
     whole = scratch.keep(whole.unionByName(late), f"whole{tag}")
     scratch.release()
+    scratch.shrink()
     mixed = kinds.groupBy("fp").agg(F.min("c").alias("low"), F.count("*").alias("kinds")).where("low = 1 and kinds > 1").select("fp")
     fine = kinds.join(mixed, "fp", "left_semi").groupBy("text").agg(F.collect_list(F.struct("s1", "s2", "c")).alias("spans"))
     fine = index.texts().join(fine, "text").select("text", F.inline(windows(width)("words", "spans")))
@@ -312,6 +316,7 @@ def add_batch(batch: DataFrame, index: FingerprintIndex, scratch: Scratch, width
     found = scratch.keep(whole.unionByName(edges).distinct(), f"ranges{tag}")
     scratch.drop(f"hits{tag}", f"kinds{tag}", f"whole{tag}", f"windows{tag}")
     scratch.release()
+    scratch.shrink()
     if len(index.runs()) > index.fanout:
         index.compact()
     return found
