@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, htmlextract, langid, linededup, neighbours, packing, quality, simhash, substring, urlfilter
+from tidemark.llm import bytepairs, decontaminate, htmlextract, langid, linededup, neighbours, packing, quality, simhash, substring, urlfilter
 from tidemark.llm.scratch import Scratch
 
 
@@ -74,6 +74,15 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
 
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bytepairs.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = bytepairs.encode_texts(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    decoded = bytepairs.decode(F.col("ids"), vocabulary)
+    return found.select("doc_id", bytepairs.count_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours)
+    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours, op11_bytepairs)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
