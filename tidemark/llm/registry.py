@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytepairs, decontaminate, htmlextract, langid, linededup, neighbours, packing, quality, simhash, substring, urlfilter
+from tidemark.llm import bytepairs, decontaminate, htmlextract, langid, linededup, neighbours, packing, quality, runs, simhash, substring, urlfilter
 from tidemark.llm.scratch import Scratch
 
 
@@ -83,6 +83,20 @@ def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", bytepairs.count_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), seed=seed).withColumn("best", runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{k}").alias(k) for k in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours, op11_bytepairs)
+    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours, op11_bytepairs, op12_runs)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
