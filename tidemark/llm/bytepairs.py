@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 SHORT = 48
 #: So many of the most frequent words are looked up first, in a table that stays in the processor's cache.
 HOT = 1 << 12
