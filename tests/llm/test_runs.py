@@ -86,5 +86,5 @@ def test_tables(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a b " * 9, "x"), (3, "a b " * 9, "x"), (None, "a", "x"), (4, " \x0bq\x1cq\tq q q\x1cq q q\n" + "q " * 8, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs string")
     found = runs.periodic_runs(docs).collect()
-    assert [([tuple(x) for x in r.runs], r.collapsed) for r in found] == [([], ""), ([], ""), ([(0, 18, 2)], "a b"), ([(0, 18, 2)], "a b"), ([], "a"), ([(4, 9, 1)], "q\x1cq q q q\x1cq q")]
+    assert [([tuple(x) for x in r.runs], r.collapsed) for r in found] == [([], ""), ([], ""), ([(0, 18, 2)], "a b"), ([(0, 18, 2)], "a b"), ([], "a"), ([(4, 10, 1)], "q\x1cq q q q\x1cq q")]
     assert runs.periodic_runs(docs.limit(0)).collect() == []

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytepairs, decontaminate, htmlextract, langid, linededup, neighbours, packing, quality, runs, simhash, substring, urlfilter
+from tidemark.llm import bytepairs, decontaminate, divergence, htmlextract, langid, linededup, neighbours, packing, quality, runs, simhash, substring, urlfilter
 from tidemark.llm.scratch import Scratch
 
 
@@ -97,6 +97,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,9 +108,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours, op11_bytepairs, op12_runs)
+    own = (op1_htmlextract, op2_langid, op3_decontaminate, op4_packing, op5_linededup, op6_urlfilter, op7_simhash, op8_quality, op9_substring, op10_neighbours, op11_bytepairs, op12_runs, op13_divergence)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_divergence": divergence.ORACLE}
