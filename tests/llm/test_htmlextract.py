@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -112,3 +113,35 @@ def test_the_cut_decides_on_the_table_of_pages():
         flows += any(abs(o) <= t for o, t in zip(odds, touching, strict=True))
         flips += sum(x != (o > 0) for x, o in zip(htmlextract.minimum_cut(odds, edges), odds, strict=True))
     assert flows > 0 and flips > 0
+
+
+LONG_PAGES = {
+    "table": ("<table>" + "<tr><td>cell one here</td><td>Another cell, with more words.</td></tr>" * 20_000 + "</table>", 899_999),
+    "article": ("<article>" + "".join(f"<p>{f'A sentence that is long enough to count as text of the page, {i}. ' * 2}</p>" if i % 3 else "<p><a href=x>link</a></p>" for i in range(20_000)) + "</article>", None),
+    "mixed": ("".join(f"<div><p>{'word ' * (i * 7 % 40 + 1)}</p></div>" for i in range(20_000)), None),
+    "open tags": ("<a " * 350_000, 1_049_999),
+    "open quotes": ('<a "' * 260_000, 1_040_000),
+    "quoted ends": ('<a ">" ' * 150_000, 0),
+    "crossed quotes": ("<a '\">" * 150_000, 0),
+    "unclosed inline": ("<b>" * 170_000 + "<p>" * 170_000 + "x", 1),
+    "unclosed around blocks": ("<b>" * 8_000 + "<p>x y z" * 100_000, 599_999),
+    "stray ends": ("<i>" * 50_000 + "x</u>" * 150_000, 150_000),
+    "signs": ("<" * 1_000_000, 1_000_000),
+    "deep": ("<div>" * 200_000 + "x", 1),
+    "raw": ("<title>" * 100_000, 0),
+}
+
+
+@pytest.mark.parametrize("kind", LONG_PAGES)
+def test_long_and_malformed_pages_take_seconds(kind):
+    page, length = LONG_PAGES[kind]
+    began = time.perf_counter()
+    text = htmlextract.extract(page)
+    assert time.perf_counter() - began < 15
+    assert length is None or len(text) == length
+
+
+def test_end_of_a_tag():
+    """A > inside quotes doesn't end a tag, unless a quote isn't closed."""
+    page = "".join(f"<p>{t}</p>" for t in ('<i title="a>b">one words here</i>', "<i title='a>\"b'>two words here</i>", '<i title="a>three words here'))
+    assert "".join(htmlextract.extract("<article>" + page + "</article>").split("\n")) == "one words heretwo words herethree words here"

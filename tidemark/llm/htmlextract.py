@@ -19,6 +19,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,8 @@ CONTENT_WORDS = frozenset("article articlebody body content entry main post stor
 #: Elements a tag of this name closes if they are open inside the same parent.
 CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>\"']*")
+_MARK = re.compile(r"[>\"']")
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
@@ -52,11 +54,13 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 
 
 class _Element:
-    __slots__ = ("depth", "kind", "link", "name", "parent")
+    __slots__ = ("block", "depth", "kind", "link", "marked", "name", "parent")
 
     def __init__(self, name: str, parent: _Element | None, kind: int, link: bool):
         self.name, self.parent, self.kind, self.link = name, parent, kind, link
         self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or name in BLOCK_TAGS else parent.block  # the nearest block element
+        self.marked = parent.marked if parent is not None and parent.kind == kind else self  # the outermost around it of its kind
 
 
 def _kind(name: str, attributes: str, above: int) -> int:
@@ -84,12 +88,57 @@ class Block:
         self.kind, self.name = parent.kind, parent.name
 
 
+class _Tokens:
+    """Tags, comments and declarations of a page in time linear in its length, however malformed."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.failed: set[int] = set()  # marks from which on no tag ends outside quotes
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: the next > outside quotes, or else the next one."""
+        seen, here = [], at
+        while True:
+            m = _MARK.search(self.page, here)
+            if m is None or m.start() in self.failed:
+                break
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            here = self.page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        self.failed.update(seen)
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The first token from ``at`` on: start, end, name (lower case; empty for comments and
+        declarations), whether it closes, attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            after = page[start + 1 : start + 2]
+            if after == "!" or after == "?":
+                mark = "-->" if page.startswith("<!--", start) else ">"
+                end = page.find(mark, start + (4 if mark == "-->" else 2))
+                return start, len(page) if end < 0 else end + len(mark), "", False, ""
+            closes = after == "/"
+            name = _NAME.match(page, start + 1 + closes) if start < self.last else None
+            if name is not None and name.end() <= self.last:
+                end = self._tag_end(name.end())
+                return start, end + 1, name[0].lower(), closes, page[name.end() : end]
+            at = start + 1
+        return None
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that hold text, in page order."""
-    root = at = _Element("", None, 0, False)
+    at = _Element("", None, 0, False)
+    open_elements: dict[str, list[_Element]] = {}  # by name, those around ``at``
     found: list[Block] = []
     parts: list[str] = []
     linked, n, end = 0, 0, len(page)
+    tokens = _Tokens(page)
+    raw_ends: dict[str, bool] = {}
 
     def close(owner: _Element) -> None:
         nonlocal linked
@@ -100,61 +149,57 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def leave(to: _Element) -> None:
+        """Go up to the parent of ``to``, which is open."""
+        nonlocal at
+        while True:
+            open_elements[at.name].pop()
+            at, done = at.parent, at is to
+            if done:
+                return
+
     while n < end:
-        m = _TOKEN.search(page, n)
-        stop = m.start() if m else end
+        token = tokens.next(n)
+        stop = token[0] if token else end
         if stop > n:
             text = html.unescape(page[n:stop])
             parts.append(text)
             if at.link:
                 linked += len(text.strip())
-        if not m:
+        if not token:
             break
-        n = m.end()
-        name = (m[2] or m[5] or "").lower()
+        _, n, name, closes, attributes = token
         if not name:
             continue
-        if m[1] or m[4]:  # an end tag
+        if closes:
             if name in BLOCK_TAGS:
-                close(_block_parent(at))
-            seek = at
-            while seek.parent is not None and seek.name != name:
-                seek = seek.parent
-            if seek.parent is not None:
-                at = seek.parent
+                close(at.block)
+            if open_elements.get(name):
+                leave(open_elements[name][-1])
             continue
-        attributes = m[3] or m[6] or ""
         if name in RAW_TAGS:
             if name == "title":
-                close(_block_parent(at))
-            e = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, n)
+                close(at.block)
+            e = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, n) if raw_ends.get(name, True) else None
+            raw_ends[name] = e is not None
             n = e.end() if e else end
             continue
         if name in VOID_TAGS:
             if name == "br":
                 parts.append(" ")
             elif name in BLOCK_TAGS:
-                close(_block_parent(at))
+                close(at.block)
             continue
         if name in BLOCK_TAGS:
-            close(_block_parent(at))
-            shut = CLOSED_BY.get(name, {"p"})
-            seek = at
-            while seek.parent is not None and seek.name not in BLOCK_TAGS:
-                seek = seek.parent
-            if seek.name in shut and seek.parent is not None:
-                at = seek.parent
+            close(at.block)
+            if at.block.name in CLOSED_BY.get(name, {"p"}) and at.block.parent is not None:
+                leave(at.block)
         at = _Element(name, at, _kind(name, attributes, at.kind), at.link or name == "a")
-    close(_block_parent(at))
+        open_elements.setdefault(name, []).append(at)
+    close(at.block)
     return found
 
 
-def _block_parent(at: _Element) -> _Element:
-    while at.parent is not None and at.name not in BLOCK_TAGS:
-        at = at.parent
-    return at
-
-
 # Terminal capacities: what each feature of a block adds to the log odds of content.
 BASE, LENGTH, LINKS, SENTENCE, UNMARKED, BOILERPLATE, CERTAIN = -1.1, 2.5, -5.0, 0.75, -3.0, -5.0, -100.0
 BY_NAME = {"p": 0.5, "blockquote": 0.5, "pre": 0.5, "h1": 0.5, "h2": 0.5, "h3": 0.5, "li": -0.75, "td": -0.75, "th": -0.75}
@@ -204,10 +249,7 @@ def graph(blocks: list[Block]) -> dict[tuple[int, int], float]:
     for i, b in enumerate(blocks):
         if b.kind == 3:
             continue
-        marked = b.parent
-        while marked.parent is not None and marked.parent.kind == b.kind:
-            marked = marked.parent
-        for near in (None, id(b.parent.parent), (id(marked),)):
+        for near in (None, id(b.parent.parent), (id(b.parent.marked),)):
             if near in last:
                 edges[last[near], i] = smoothness(blocks[last[near]], b)
             last[near] = i
@@ -253,31 +295,32 @@ def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[
                     queue.append(v)
         if sink not in level:
             return [s if s is not None else i in level for i, s in enumerate(settled)]
-        edge_of = {u: iter(list(capacity[u])) for u in level}
+        # depth first along the levels; each node goes on with the neighbour that it came to last
+        near = {u: [v for v in capacity[u] if level.get(v) == level[u] + 1] for u in level}
+        place = dict.fromkeys(level, 0)
         path = [source]
         while path:
             u = path[-1]
             if u == sink:
-                flow = min(capacity[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
+                flow = min(capacity[a][b] for a, b in pairwise(path))
+                full = None
+                for k, (a, b) in enumerate(pairwise(path)):
                     capacity[a][b] -= flow
                     capacity[b][a] += flow
-                path = [source]
+                    if full is None and capacity[a][b] <= 1e-9:
+                        full = k
+                del path[full + 1 :]  # on from the first edge that is full now
                 continue
-            for v in edge_of[u]:
-                if level.get(v) == level[u] + 1 and capacity[u][v] > 1e-9:
-                    edge_of[u] = _again(v, edge_of[u])
-                    path.append(v)
-                    break
+            own, k = near[u], place[u]
+            while k < len(own) and capacity[u][own[k]] <= 1e-9:
+                k += 1
+            place[u] = k
+            if k < len(own):
+                path.append(own[k])
             else:
                 path.pop()
                 if path:
-                    next(edge_of[path[-1]], None)
-
-
-def _again(first: int, rest: Iterator[int]) -> Iterator[int]:
-    yield first
-    yield from rest
+                    place[path[-1]] += 1
 
 
 def extract(page: str | None) -> str:
@@ -303,7 +346,9 @@ def main_text():
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) in place of columns of those names.
 
-    A null or empty page, and one without content, has the empty text. Null ids and urls
+    A null or empty page, and one without content, has the empty text. Malformed markup is read as
+    browsers mostly do: a tag without end is text, unclosed elements end with what holds them, end tags of elements
+    that aren't open only end a block; time is about linear in a page's length. Null ids and urls
     and repeated rows pass through. An empty table gives no rows."""
     small_batches(pages.sparkSession)
     rest = [F.col(c) for c in pages.columns if c not in ("text", "n_chars")]
