@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import divergence, registry
 from tidemark.llm.divergence import Trie, divergence as audit
@@ -46,6 +47,8 @@ def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(divergence, "LEAVES", 50)
     monkeypatch.setattr(divergence, "STAGED", 40)
     monkeypatch.setattr(divergence, "BLOCK", 7)
+    monkeypatch.setattr(divergence, "ROWS", 20)
+    monkeypatch.setattr(divergence, "CELLS", 60)
     words = ["a", "A", "ab", "abc", "ABÄ", "ä", "é1é", "日本", "日", "🙂", "x-y", "don't", "zz_z", "\x7fq", "Z"] + [rng.choice("abc") + rng.choice("xyzé") * rng.randint(0, 3) for _ in range(60)]
     rows = [(rng.choice(["en", "de", None, ""]), rng.choice(["s", "t", "u", None, "", "Ü"]), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 40])))) for _ in range(400)]
     rows += [("en", "hot", "a a a ab abc")] * 200 + [("en", "none", None), ("en", "silent", "123 !?"), ("fr", "s", "rare"), ("fr", "t", ""), ("alone", "s", "a " * 50)]
@@ -55,17 +58,20 @@ def test_equals_brute_force(spark, monkeypatch):
     assert audit(table(spark, rows).limit(0), Scratch(spark, "t")).collect() == []
 
 
-def test_tries_merge_in_utf8_order():
+def test_tries_merge_in_utf8_order(monkeypatch):
     rng = random.Random(5)
-    terms = ["".join(rng.choice("abé日🙂") for _ in range(rng.randint(1, 6))) for _ in range(3000)]
-    tries, whole = [Trie(), Trie(), Trie()], Trie()
-    for t in terms:
-        tries[rng.randrange(3)].add(t.encode(), 1, [(rng.choice("xy"), 2)])
-    for trie in tries:
-        for term, (docs, own) in trie:
-            whole.add(term, docs, own.items())
-    found = [(t.decode(), leaf[0], sum(leaf[1].values())) for t, leaf in whole]
-    assert found == [(t, n, 2 * n) for t, n in sorted(Counter(terms).items(), key=lambda x: x[0].encode())] and whole.size == len(found)
+    docs = [(rng.choice("xy"), rng.choice("st"), " ".join("".join(rng.choice("abé日🙂") for _ in range(rng.randint(1, 4))) for _ in range(rng.choice([0, 1, 20])))) for _ in range(500)]
+    trie, counts = Trie(), Counter()
+    for k in range(0, 500, 50):
+        trie.read(*zip(*((lang, source) for lang, source, _ in docs[k : k + 50]), strict=True), pa.array([t for _, _, t in docs[k : k + 50]]))
+        if k % 100:
+            trie.settle()
+    for lang, source, text in docs:
+        counts.update((lang, t.encode(), source) for t in text.split())
+    found = [r for b in trie.leaves() for r in b.to_pylist()]
+    assert [(r["lang"], r["term"].encode()) for r in found] == sorted((r["lang"], r["term"].encode()) for r in found)
+    assert {(r["lang"], r["term"].encode(), r["source"]): r["n"] for r in found} == counts and list(trie.leaves()) == []
+    assert sum(r["docs"] for r in found) == sum(len(set(t.split())) for _, _, t in docs)
 
 
 def test_counts_beyond_64_bits():
@@ -78,3 +84,22 @@ def test_query_equals_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{base}/documents.parquet'")
     wanted = duckdb.sql(registry.oracle_sql()["op13_divergence"]).fetchall()
     assert sorted(map(tuple, registry.op13_divergence(spark, base).collect())) == sorted(wanted)
+
+
+def test_blocks_of_merged_leaves(monkeypatch):
+    """Small steps and blocks, in this process: no term is split or lost, whatever the cuts."""
+    monkeypatch.setattr(divergence, "ROWS", 7)
+    monkeypatch.setattr(divergence, "CELLS", 9)
+    monkeypatch.setattr(divergence, "BLOCK", 3)
+    rng = random.Random(8)
+    rows = sorted((rng.choice(["de", "en", "fr"]), rng.choice("stu"), f"w{rng.randrange(30):02}", rng.randint(1, 3), rng.randint(1, 9)) for _ in range(400))
+    rows.sort(key=lambda r: (r[0], r[2]))
+    docs, counts = Counter(), Counter()
+    for lang, source, term, d, n in rows:
+        docs[lang, term] += d
+        counts[lang, term, source] += n
+    batches = [divergence._batch(divergence.LEAF, *map(list, zip(*rows[i : i + 5], strict=True))) for i in range(0, len(rows), 5)]
+    found = [b.to_pylist()[0] for b in divergence._merge(9)(iter(batches))]
+    assert all(len(b["terms"]) <= 3 and b["terms"] == sorted(b["terms"]) for b in found)
+    got = {(b["lang"], b["terms"][k], s): n for b in found for k, s, n in zip(b["at"], b["sources"], b["counts"], strict=True)}
+    assert got == {k: n for k, n in counts.items() if docs[k[:2]] >= 9} and sum(len(b["at"]) for b in found) == len(got)

@@ -1,9 +1,12 @@
 """How the sources of a language differ in their terms: an audit from mergeable byte tries.
 
-Counting. Each partition keeps a radix trie for each language, over the bytes of its terms; a leaf
-holds the number of documents and a counter for each source. Terms are staged in counters of
-a source and go into the trie many documents at a time; a trie that reaches ``LEAVES`` leaves
-is written out in the order of its bytes, and the partition goes on with a new one.
+Tries. A radix trie over the bytes of terms is held in linear form: its leaves in the order that a
+traversal comes to them, which is that of the bytes (UTF-8), each with its documents and occurrences
+by source. Two neighbours in this order share the path of their common prefix; merging tries merges
+their leaves, and a range of prefixes is a stretch of them.
+
+Counting. Each partition counts the terms of its documents into a trie for each language, a batch at a
+time, in columns; a trie of ``LEAVES`` leaves is written out and a new one begun.
 
 Merging. The leaves of all tries are dealt by ranges of (language, term), so that a task has a
 contiguous range of prefixes, whatever prefix is common; it merges equal leaves, keeps the
@@ -16,135 +19,77 @@ All arithmetic is exact, on 64-bit numbers where these suffice and on Python's w
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewise
+from tidemark.llm.bytewise import Words
 from tidemark.llm.scratch import Scratch
 
 SCALE, PRIOR = 1_000_000_000, 5
-#: Leaves of a partition's trie before it is written out; staged counts; terms and counters of a block.
-LEAVES, STAGED, BLOCK, CELLS = 200_000, 400_000, 4096, 1 << 20
-LEAF = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
-LEAVES_OF = "lang string, terms array<string>, at array<int>, sources array<string>, counts array<bigint>"
+#: Leaves of a partition's trie before it is written out; leaves that are staged before they are merged; rows in
+#: a step of merging; terms and leaves of a block.
+LEAVES, STAGED, ROWS, BLOCK, CELLS = 2_000_000, 300_000, 1 << 16, 4096, 1 << 20
+LEAF = "lang string, source string, term string, docs bigint, n bigint"
+BLOCKS = "lang string, terms array<string>, at array<int>, sources array<string>, counts array<bigint>"
 PARTS = "lang string, source string, part string, item string, value bigint"
 
 #: Bytes of terms: A-Z become a-z, other letters and all bytes of longer characters stay, the rest separate terms.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    return text.translate(_TERMS).split(b" ") if text else []
+def merged(leaves: list[pa.Table], *keys: str) -> pa.Table:
+    """Leaves with equal ``keys`` become one; in the order of bytes."""
+    whole = pa.concat_tables(leaves).group_by(list(keys)).aggregate([("docs", "sum"), ("n", "sum")])
+    whole = whole.rename_columns([c.removesuffix("_sum") for c in whole.column_names])
+    return whole.take(pc.sort_indices(whole, [(k, "ascending") for k in keys]))
 
 
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf is
-    [documents, counters by source]."""
-
-    def __init__(self):
-        self.root: list = [b"", {}, None]
-        self.size = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The term's leaf, made if new."""
-        node, at = self.root, 0
-        while at < len(term):
-            children = node[1]
-            child = children.get(term[at])
-            if child is None:
-                child = children[term[at]] = [term[at:], {}, None]
-                node = child
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            rest, same = term[at:], 1
-            while same < len(rest) and same < len(label) and rest[same] == label[same]:
-                same += 1
-            fork = children[term[at]] = [label[:same], {label[same]: child}, None]
-            child[0] = label[same:]
-            node, at = fork, at + same
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.size += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counters) -> None:
-        """Merge a leaf into the trie."""
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        own = leaf[1]
-        for source, count in counters:
-            own[source] = own.get(source, 0) + count
-
-    def __iter__(self) -> Iterator[tuple[bytes, list]]:
-        """Terms and leaves in the order of bytes, which is that of UTF-8."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, node = stack.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            children = node[1]
-            stack.extend((term, children[b]) for b in sorted(children, reverse=True))
-
-
-class Counts:
-    """A partition's tries, one for each language."""
+    """The leaves (g, term, docs, n) of a partition; ``g`` numbers the pairs of language and source."""
 
     def __init__(self):
-        self.tries: dict[str, Trie] = defaultdict(Trie)
-        self.clear()
-
-    def clear(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, Counter] = defaultdict(Counter)
-        self.staged = 0
-
-    def read(self, lang: str, source: str, text: bytes) -> None:
-        terms = terms_of(text)
-        counts, docs = self.counts[lang, source], self.docs[lang]
-        before = len(counts) + len(docs)
-        counts.update(terms)
-        docs.update(set(terms))
-        self.staged += len(counts) + len(docs) - before
+        self.groups: dict[tuple[str, str], int] = {}
+        self.staged: list[pa.Table] = []
+        self.rows = self.settled = 0
+
+    def read(self, langs: list[str], sources: list[str], texts: pa.Array) -> None:
+        """Count the terms of some documents."""
+        raw, ends = bytewise.buffers(texts)
+        raw = np.frombuffer(raw.tobytes().translate(_TERMS), np.uint8)
+        words = Words(raw, ends)
+        if not len(words):
+            return
+        offsets = np.concatenate([[0], np.cumsum(words.stop - words.start)])
+        terms = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[raw != 32])).dictionary_encode()
+        width = len(terms.dictionary)
+        own, counts = np.unique(words.text_of * width + terms.indices.to_numpy(), return_counts=True)  # a row for each term of a document
+        group = np.array([self.groups.setdefault(pair, len(self.groups)) for pair in zip(langs, sources, strict=True)])
+        leaf, place = np.unique(group[own // width] * width + own % width, return_inverse=True)
+        n = np.zeros(len(leaf), np.int64)
+        np.add.at(n, place, counts)
+        self.staged.append(pa.table({"g": leaf // width, "term": terms.dictionary.take(pa.array(leaf % width)), "docs": np.bincount(place), "n": n}))
+        self.rows += len(leaf)
 
     def settle(self) -> None:
-        """Staged counts become leaves."""
-        for lang, docs in self.docs.items():
-            leaf = self.tries[lang].leaf
-            docs.pop(b"", None)
-            for term, n in docs.items():
-                leaf(term)[0] += n
-        for (lang, source), counts in self.counts.items():
-            leaf = self.tries[lang].leaf
-            counts.pop(b"", None)
-            for term, n in counts.items():
-                own = leaf(term)[1]
-                own[source] = own.get(source, 0) + n
-        self.clear()
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """All leaves; the tries start anew."""
-        tries, self.tries = self.tries, defaultdict(Trie)
-        for lang, trie in tries.items():
-            term, docs, sources, counts = [], [], [], []
-            for key, (n, own) in trie:
-                term.append(key.decode())
-                docs.append(n)
-                sources.append(list(own))
-                counts.append(list(own.values()))
-                if len(term) == 10_000:
-                    yield _batch(LEAF, [lang] * len(term), term, docs, sources, counts)
-                    term, docs, sources, counts = [], [], [], []
-            if term:
-                yield _batch(LEAF, [lang] * len(term), term, docs, sources, counts)
+        self.staged = [merged(self.staged, "g", "term")]
+        self.rows = self.settled = self.staged[0].num_rows
+
+    def leaves(self) -> Iterator[pa.RecordBatch]:
+        """All leaves in the order of (language, term); the trie starts anew."""
+        if self.rows:
+            self.settle()
+            found, pairs = self.staged[0], list(self.groups)
+            g = found.column("g")
+            lang, source = (pa.array([p[k] for p in pairs], pa.string()).take(g.combine_chunks()) for k in (0, 1))
+            found = pa.table({"lang": lang, "source": source, "term": found.column("term").cast(pa.string()), "docs": found.column("docs"), "n": found.column("n")})
+            yield from found.take(pc.sort_indices(found, [("lang", "ascending"), ("term", "ascending")])).to_batches(max_chunksize=ROWS)
+        self.staged, self.rows, self.settled = [], 0, 0
 
 
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
@@ -157,54 +102,75 @@ def _batch(ddl: str, *columns) -> pa.RecordBatch:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = Counts()
+    trie = Trie()
     for batch in batches:
-        raw, ends = bytewise.buffers(batch.column("text"))
-        raw = raw.tobytes()
-        for lang, source, a, b in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            own.read(lang, source, raw[a:b])
-            if own.staged > STAGED:
-                own.settle()
-                if sum(t.size for t in own.tries.values()) > LEAVES:
-                    yield from own.rows()
-    own.settle()
-    yield from own.rows()
+        langs, sources, at = batch.column("lang").to_pylist(), batch.column("source").to_pylist(), 0
+        for piece in bytewise.pieces(batch.column("text"), 4 << 20):
+            trie.read(langs[at : at + len(piece)], sources[at : at + len(piece)], piece)
+            at += len(piece)
+            if trie.rows > 2 * trie.settled + STAGED:
+                trie.settle()
+                if trie.rows > LEAVES:
+                    yield from trie.leaves()
+    yield from trie.leaves()
+
+
+def _changes(rows: pa.Table, *keys: str) -> np.ndarray:
+    """Where rows start that differ from the one before."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = rows.column(k)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+    return np.flatnonzero(new)
 
 
 def _merge(least: int):
     """Leaves in the order of (language, term) to blocks of kept terms."""
 
-    def block(lang: str, trie: Trie) -> pa.RecordBatch:
-        terms, at, sources, counts = [], [], [], []
-        for k, (term, (_, own)) in enumerate(trie):
-            terms.append(term.decode())
-            at += [k] * len(own)
-            sources += own
-            counts += own.values()
-        return _batch(LEAVES_OF, [lang], [terms], [at], [sources], [counts])
+    def kept(rows: pa.Table) -> pa.Table:
+        starts = _changes(rows, "lang", "term")
+        enough = np.add.reduceat(rows.column("docs").to_numpy(), starts) >= least
+        return rows.filter(pa.array(np.repeat(enough, np.diff(starts, append=rows.num_rows))))
+
+    def blocks(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = merged(rows, "lang", "term", "source").combine_chunks()
+        starts = _changes(whole, "lang", "term")
+        langs = whole.column("lang").take(pa.array(starts)).to_pylist()
+        first = 0
+        while first < len(starts):
+            last = min(first + BLOCK, len(starts))
+            while langs[last - 1] != langs[first]:
+                last -= 1
+            a, b = starts[first], starts[last] if last < len(starts) else whole.num_rows
+            own = whole.slice(a, b - a)
+            at = np.repeat(np.arange(last - first), np.diff(np.append(starts[first:last], b)))
+            terms = whole.column("term").take(pa.array(starts[first:last]))
+            yield _batch(BLOCKS, [langs[first]], *([x.to_pylist()] for x in (terms, pa.array(at), own.column("source"), own.column("n"))))
+            first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, counters = None, 0, Counter()
-        lang, trie, cells = None, Trie(), 0
+        waiting, n, found, cells = [], 0, [], 0
         for batch in batches:
-            columns = [batch.column(k) for k in range(3)]
-            sources, counts = batch.column(3), batch.column(4)
-            for i, (own, term, n) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
-                if (own, term) != now:
-                    if docs >= least:
-                        trie.add(now[1].encode(), docs, counters.items())
-                        cells += len(counters)
-                    if trie.size and (own != lang or trie.size >= BLOCK or cells >= CELLS):
-                        yield block(lang, trie)
-                        trie, cells = Trie(), 0
-                    lang, now, docs, counters = own, (own, term), 0, Counter()
-                docs += n
-                for source, count in zip(sources[i].as_py(), counts[i].as_py(), strict=True):
-                    counters[source] += count
-        if docs >= least:
-            trie.add(now[1].encode(), docs, counters.items())
-        if trie.size:
-            yield block(lang, trie)
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < ROWS:
+                continue
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            last = _changes(rows, "lang", "term")[-1]  # the last term may go on in the next batch
+            rest = merged([rows.slice(last)], "lang", "term", "source").select(rows.column_names).cast(rows.schema).combine_chunks()
+            waiting, n = rest.to_batches(), 0
+            if last:
+                found.append(kept(rows.slice(0, last)))
+                cells += found[-1].num_rows
+            if cells >= CELLS:
+                yield from blocks(found)
+                found, cells = [], 0
+        if sum(b.num_rows for b in waiting):
+            found.append(kept(pa.Table.from_batches(waiting).combine_chunks()))
+            cells += found[-1].num_rows
+        if cells:
+            yield from blocks(found)
 
     return run
 
@@ -261,7 +227,7 @@ def divergence(docs: DataFrame, scratch: Scratch, least: int = 30, top: int = 50
     spark = docs.sparkSession
     read = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     leaves = scratch.keep(read.mapInArrow(_count, LEAF), "leaves")
-    blocks = scratch.keep(leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge(least), LEAVES_OF), "blocks")
+    blocks = scratch.keep(leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge(least), BLOCKS), "blocks")
     scratch.drop("leaves")
     groups = scratch.keep(read.select("lang", "source").distinct(), "groups")
     n = blocks.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
