@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
+from tidemark.operators import ann as A
 from tidemark.operators import changes as C
 from tidemark.operators import reports as R
 from tidemark.operators import rewrite as W
@@ -501,6 +502,29 @@ def sr_vector_topk(s, d):
     return S.top_k(hits, 24, F.desc(F.round("score", 9)), F.asc("file_id"), F.asc("ordinal")).withColumn("score", F.round("score", 6))
 
 
+def _near(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, those whose id is divisible by 20 as queries, and what an index of the vectors finds for them."""
+    own = B.vectors(s, d)
+    asking = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    index = A.VectorIndex.build(s, f"{shared_folder(s)}/ann-{uuid.uuid4().hex}", own)
+    return own, asking, index.search(asking, 10)
+
+
+@query()
+def sr_ann_topk(s, d):
+    """The ten nearest by the index, with exact scores."""
+    return _near(s, d)[2].withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def sr_ann_recall(s, d):
+    """Whether the index finds 0.9 of the ten nearest by exact search, over all queries."""
+    own, asking, found = _near(s, d)
+    true = S.top_k(S.cosine(own, asking), 10, F.desc(F.round("score", 9)), F.asc("file_id"), F.asc("ordinal"))
+    hits = true.join(found.select("query_id", "file_id", "ordinal", F.lit(1).alias("hit")), ["query_id", "file_id", "ordinal"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query(f"WITH {QUERIES}, {_DENSE} SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY max(round(score, 9)) DESC, file_id) AS rank FROM dense GROUP BY query_id, file_id")
 def w_first_per_file(s, d):
     hits = S.cosine(B.vectors(s, d), asked(s, d)).withColumn("score", F.round("score", 9))
