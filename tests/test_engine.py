@@ -104,9 +104,10 @@ def test_change_stream_keeps_files_chunks_vectors_and_words(spark, tmp_path):
     assert {r.path for r in index.files.read().collect()} == {"/b", "/c"} and index.chunks.read().count() == 2 == index.vectors.read().count()
     assert found("words") == set() and found("delta") == {"/b"} and found("gamma") == {"/c"}
     before = sorted(map(tuple, index.files.read().collect()))
-    number = index.files.updates()[-1]
-    index.apply(spark.createDataFrame([(9, 9, "deleted", "/b")], EVENTS), contents(spark.createDataFrame([("/b",)], "path string")), number, vectors)
-    assert sorted(map(tuple, index.files.read().collect())) == before  # a replayed batch changes nothing
+    again = lambda key: index.apply(spark.createDataFrame([(9, 9, "changed", "/b")], EVENTS), contents(spark.createDataFrame([("/b",)], "path string")), key, vectors)
+    again("k")
+    index.apply(spark.createDataFrame([(9, 9, "deleted", "/b")], EVENTS), contents(spark.createDataFrame([("/b",)], "path string")).limit(0), "k", vectors)
+    assert sorted(map(tuple, index.files.read().collect())) == before  # a batch that is run again changes nothing
     held["paused"] = True
     send((10, 10, "deleted", "/b"))
     held["paused"] = False
@@ -129,6 +130,60 @@ def test_kept_words_are_repaired(spark, tmp_path):
     assert got == {(r.query_id, r.file_id, r.ordinal): round(r.score, 9) for r in fresh} and (2, 2, 0) not in got
 
 
+def test_updates_by_stream_and_repair_keep_apart(spark, tmp_path):
+    """A repair between batches, a new checkpoint, and compactions lose no update."""
+    texts = {"/a": "alpha words", "/b": "beta words", "/c": "delta words", "/d": "epsilon"}
+
+    def contents(paths):
+        return paths.join(spark.createDataFrame([(p, 1.0, len(t), t) for p, t in texts.items()], "path string, mtime double, size_bytes long, text string"), "path")
+
+    index = watch.Index(spark, f"{tmp_path}/index")
+
+    def send(state, *rows):
+        spark.createDataFrame(list(rows), EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in-{state}")
+        stream = spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in-{state}")
+        watch.watch(spark, stream, index, contents, f"{tmp_path}/{state}").awaitTermination()
+
+    def found(word):
+        hits = index.postings.bm25(spark.createDataFrame([(1, word)], "query_id int, query string"), ["file_id"])
+        return {r.path for r in hits.join(index.files.read(), "file_id").select("path").collect()}
+
+    send("one", (1, 1, "changed", "/a"), (2, 2, "changed", "/b"))
+    send("one", (3, 3, "deleted", "/b"))
+    index.postings.update(index.chunks.read().withColumn("text", F.lit("lost")))
+    assert index.postings.backfill(index.chunks.read()) == 1
+    send("one", (4, 4, "changed", "/c"))
+    assert found("delta") == {"/c"} and found("words") == {"/a", "/c"} and found("lost") == set()
+    send("two", (5, 5, "changed", "/d"))
+    assert found("epsilon") == {"/d"} and index.files.read().count() == 3
+    index.compact()
+    index.compact()
+    send("two", (6, 6, "deleted", "/a"))
+    assert found("words") == {"/c"} and len(index.chunks.updates()) == 2
+    index.compact()
+    assert found("words") == {"/c"} and index.chunks.read().count() == 2
+
+
+def test_a_lost_driver_leaves_kept_tables_whole(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "file_id long, x string")
+    table = store.Kept(spark, f"{tmp_path}/t", "file_id long, x string")
+    now = lambda: sorted(map(tuple, table.read().collect()))
+    table.update(rows((1, "a"), (2, "b")), key="first")
+    rows((1, "half")).write.parquet(f"{tmp_path}/t/segments/v={table._claim()}")  # lost before its commit
+    assert now() == [(1, "a"), (2, "b")]
+    table.update(rows((2, "c")), rows((1, "")).select("file_id"))
+    n = table._claim()
+    table.read().write.parquet(f"{tmp_path}/t/segments/v={n}")  # a compaction that is lost before its commit
+    assert now() == [(2, "c")]
+    table._fs.createNewFile(table._path(f"{tmp_path}/t/commits/{n}..2"))  # one that is lost after it
+    assert now() == [(2, "c")] and table.updates() == [n]
+    table.update(rows((3, "d")))
+    table.compact()
+    assert now() == [(2, "c"), (3, "d")] and sorted(table._names("segments")) == ["v=1", "v=5"]  # the half one was never finished
+    table.update(rows((1, "again")), key="first")
+    assert now() == [(2, "c"), (3, "d")]  # still known by its key
+
+
 def test_moves_are_a_deletion_and_a_change(spark):
     rows = spark.createDataFrame([(1, 1, "moved", "/a", "/b"), (2, 2, "changed", "/c", None)], "ts long, event_id long, kind string, path string, dest string")
     assert sorted((r.kind, r.path) for r in watch.moved(rows).collect()) == [("changed", "/b"), ("changed", "/c"), ("deleted", "/a")]

@@ -204,6 +204,9 @@ def test_purge_compact_usage_and_wipe(spark, tmp_path):
         C.append_record(spark, folder, k=k, note="n")
     C.compact(spark, folder, 1, ["k"])
     assert sorted(r.k for r in spark.read.parquet(folder).collect()) == [0, 1, 2] and spark.read.parquet(folder).rdd.getNumPartitions() == 1
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a compaction that was lost between its two renames
+    C.compact(spark, folder, 2, ["k"])
+    assert sorted(r.k for r in spark.read.parquet(folder).collect()) == [0, 1, 2] and not (tmp_path / "t.old").exists()
     sizes = {r.name: r.bytes for r in C.usage(spark, t=folder, none=f"{tmp_path}/no").collect()}
     assert sizes["t"] > 0 and sizes["none"] == 0 and sizes["total"] == sizes["t"]
     assert C.wipe(spark, folder, f"{tmp_path}/no") == 1

@@ -78,15 +78,21 @@ def purge(path_rows: DataFrame, files: DataFrame, chunks: DataFrame, vectors: Da
 
 
 def compact(spark: SparkSession, folder: str, files: int, keys: list[str]) -> None:
-    """The table in ``folder`` in that many files, sorted by ``keys``. The new files are whole before
-    the old ones go."""
+    """The table in ``folder`` in that many files, sorted by ``keys``. The new files are whole, and the old
+    ones kept under another name, before the new ones take theirs; a call that finds the name empty, as
+    one before it was lost between the two, gives it to the whole table first."""
+    fs, path = _fs(spark, folder)
+    folder = folder.rstrip("/")
+    fresh, old = f"{folder}.compact", f"{folder}.old"
+    if not fs.exists(path(folder)):
+        fs.rename(path(old), path(folder))
     rows = spark.read.parquet(folder)
-    fresh = f"{folder.rstrip('/')}.compact"
     rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(fresh)
-    fs, path = _fs(spark, folder)
-    fs.delete(path(folder), True)
-    if not fs.rename(path(fresh), path(folder)):
-        raise OSError(f"{fresh} holds the rows of {folder}, but can't take its name")
+    fs.delete(path(old), True)
+    for source, target in ((folder, old), (fresh, folder)):
+        if not fs.rename(path(source), path(target)):
+            raise OSError(f"{source} can't take the name {target}; {fresh} and {old} hold the rows")
+    fs.delete(path(old), True)
 
 
 def wipe(spark: SparkSession, *folders: str) -> int:

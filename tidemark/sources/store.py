@@ -2,12 +2,16 @@
 
 A table is a folder of segments, one for each update, and a log of which files each update
 touched. An update writes the rows of its files and their ids, never anything else, so its cost is
-that of its own rows. A row counts if no later update touched its file. Segments are written
-whole under the update's number, so an update that is run again leaves the same table, and one whose
-log is there already does nothing."""
+that of its own rows. A row counts if no later update touched its file.
+
+Each update claims a number that no other has, writes, and counts from the moment that its
+commit, one empty file, is there. Its name holds the number and a hash of the update's key, so an update that
+is run again, under the same key, does nothing, whoever else has updated the table between. Compaction is such an
+update as well: its commit takes the place of all up to a number at once, and only then their files go."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,56 +40,90 @@ class Kept:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.folder}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _commits(self) -> tuple[dict[str, int], dict[int, int]]:
+        """Numbers by the hash of their key, and those that count: each with the number it stands for."""
+        found = [name.split(".") for name in self._names("commits")]
+        base = max((int(upto), int(n)) for n, _, upto in found if upto) if any(upto for _, _, upto in found) else (-1, -1)
+        live = {int(n): int(n) for n, _, upto in found if not upto and int(n) > base[0]}
+        return {key: int(n) for n, key, upto in found if not upto}, ({base[1]: base[0]} if base[1] >= 0 else {}) | live
+
     def updates(self) -> list[int]:
-        """Numbers of the finished updates, in order."""
-        log = self._path(f"{self.folder}/log")
-        if not self._fs.exists(log):
-            return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(log))
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.folder}/log/{n}/_SUCCESS")))
-
-    def update(self, rows: DataFrame, gone: DataFrame | None = None, number: int | None = None) -> None:
-        """The rows of all files in ``rows`` are replaced, those of the files in ``gone`` (file_id) go."""
-        done = self.updates()
-        n = number if number is not None else (done[-1] + 1 if done else 0)
-        if n in done:
-            return
-        at = f"{self.folder}/segments/v={n}"
+        """Numbers of the finished updates whose rows count, in order."""
+        live = self._commits()[1]
+        return sorted(live, key=live.get)
+
+    def _claim(self) -> int:
+        n = max((int(name) for name in self._names("claims")), default=-1) + 1
+        while not self._fs.createNewFile(self._path(f"{self.folder}/claims/{n}")):
+            n += 1
+        return n
+
+    def update(self, rows: DataFrame, gone: DataFrame | None = None, key: str | None = None) -> int:
+        """The rows of all files in ``rows`` are replaced, those of the files in ``gone`` (file_id) go.
+        Returns the update's number, or that of the finished one with the same ``key``."""
+        n = None
+        if key is not None:
+            n = self._commits()[0].get(self._hash(key))
+            if n is not None:
+                return n
+        n = self._claim()
         writer = rows.write.mode("overwrite")
-        (writer.partitionBy(self.by) if self.by else writer).parquet(at)
-        files = self._segment(n).select("file_id")
+        (writer.partitionBy(self.by) if self.by else writer).parquet(f"{self.folder}/segments/v={n}")
+        files = self.segment(n).select("file_id")
         if gone is not None:
             files = files.unionByName(gone.select("file_id"))
         files.distinct().write.mode("overwrite").parquet(f"{self.folder}/log/v={n}")
+        self._fs.createNewFile(self._path(f"{self.folder}/commits/{n}.{self._hash(key) if key is not None else ''}."))
+        return n
+
+    @staticmethod
+    def _hash(key: str) -> str:
+        return hashlib.sha256(key.encode()).hexdigest()
 
-    def _segment(self, n: int) -> DataFrame:
+    def segment(self, n: int) -> DataFrame:
+        """The rows that an update wrote."""
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/segments/v={n}")
 
+    def rows_of(self, n: int, files: DataFrame) -> DataFrame:
+        """The rows of an update, or those of its ``files`` (file_id) that count now if it has been compacted."""
+        if self._fs.exists(self._path(f"{self.folder}/segments/v={n}")):
+            return self.segment(n)
+        return self.read().join(files.distinct(), "file_id", "left_semi")
+
     def read(self, where: Column | None = None) -> DataFrame:
-        """The rows that count; ``where`` on the column the segments are parted by prunes them."""
-        done = self.updates()
-        if not done:
+        """The rows that count; ``where`` on the column the segments are parted by prunes them. Only the
+        logs of updates since the last compaction are read."""
+        live = self._commits()[1]
+        if not live:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(f"{self.schema}, v long").parquet(f"{self.folder}/segments").where(F.col("v").isin(done))
+        base = f"{self.folder}/segments"
+        rows = self.spark.read.option("basePath", base).schema(f"{self.schema}, v long").parquet(*(f"{base}/v={n}" for n in live))
         rows = rows if where is None else rows.where(where)
-        if len(done) == 1:
+        later = [n for n, stands in live.items() if n == stands]
+        if len(live) == 1:
             return rows.drop("v")
-        log = self.spark.read.schema("file_id long, v long").parquet(f"{self.folder}/log").where(F.col("v").isin(done))
+        at = f"{self.folder}/log"
+        log = self.spark.read.option("basePath", at).schema("file_id long, v long").parquet(*(f"{at}/v={n}" for n in later))
         last = log.groupBy("file_id").agg(F.max("v").alias("last"))
-        return rows.join(last, "file_id").where("v = last").drop("v", "last")
+        return rows.join(last, "file_id", "left").where("last is null or v = last").drop("v", "last")
 
     def compact(self) -> None:
-        """One segment with the rows that count, under the last number; it is whole before the others go."""
-        done = self.updates()
-        if len(done) < 2:
-            return
-        fresh = Kept(self.spark, f"{self.folder}.compact", self.schema, self.by)
-        wipe = lambda f: self._fs.delete(self._path(f), True)
-        wipe(fresh.folder)
-        fresh.update(self.read(), number=done[-1])
-        wipe(self.folder)
-        if not self._fs.rename(self._path(fresh.folder), self._path(self.folder)):
-            raise OSError(f"{fresh.folder} holds the rows of {self.folder}, but can't take its name")
+        """One segment with the rows that count takes the place of the others."""
+        live = self._commits()[1]
+        if len(live) > 1:
+            n = self._claim()
+            writer = self.read().write.mode("overwrite")
+            (writer.partitionBy(self.by) if self.by else writer).parquet(f"{self.folder}/segments/v={n}")
+            self._fs.createNewFile(self._path(f"{self.folder}/commits/{n}..{max(live.values())}"))
+        live, finished = self._commits()[1], {int(name.partition(".")[0]) for name in self._names("commits")}
+        for part in ("segments", "log"):  # also what a compaction left that didn't come so far; not what is being written
+            for name in self._names(part):
+                if name.startswith("v=") and int(name[2:]) in finished - live.keys():
+                    self._fs.delete(self._path(f"{self.folder}/{part}/{name}"), True)
 
     def drop(self) -> None:
         self._fs.delete(self._path(self.folder), True)
@@ -109,17 +147,16 @@ class Postings:
     def bucket(token: Column) -> Column:
         return F.pmod(F.xxhash64(token), F.lit(Postings.BUCKETS)).cast("int")
 
-    def update(self, texts: DataFrame, gone: DataFrame | None = None, number: int | None = None) -> None:
+    def update(self, texts: DataFrame, gone: DataFrame | None = None, key: str | None = None) -> None:
         """All texts of the files in ``texts`` are replaced."""
         own = self._tokens(texts)
         each = own.select("file_id", "ordinal", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
         words = each.groupBy("file_id", "ordinal", "len", "token").agg(F.array_sort(F.collect_list("pos")).alias("places"))
         words = words.withColumn("bucket", self.bucket(F.col("token"))).repartition("bucket", F.pmod(F.xxhash64("file_id"), F.lit(8))).sortWithinPartitions("bucket", "token")
-        number = number if number is not None else max([-1, *self.words.updates(), *self.sizes.updates()]) + 1
         touched = texts.select("file_id") if gone is None else texts.select("file_id").unionByName(gone.select("file_id"))
-        self.words.update(words, touched, number)
+        self.words.update(words, touched, key)
         sized = texts.select("file_id", F.xxhash64("ordinal", "text").alias("d"), F.size(S._tokens(F.col("text"), self.stems)).alias("len"))
-        self.sizes.update(sized.groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum("len").alias("tokens"), F.bit_xor("d").alias("digest")), gone, number)
+        self.sizes.update(sized.groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum("len").alias("tokens"), F.bit_xor("d").alias("digest")), gone, key)
 
     def bm25(self, queries: DataFrame, keys: list[str]) -> DataFrame:
         """As ``search.bm25`` over the kept words."""

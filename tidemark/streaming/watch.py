@@ -1,7 +1,7 @@
 """The change stream: events debounced per micro-batch and merged into kept tables.
 
-A batch writes the rows of the files it touches, under its own number, so its cost is that of its
-events, and a batch that is run again leaves the same tables.
+A batch writes the rows of the files it touches, under a key of its own (the query and the batch), so its cost is that of
+its events, a batch that is run again leaves the same tables, and one of a new query or after a repair isn't taken for an old one.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class Index:
         self.files, self.chunks = Kept(spark, f"{folder}/files", FILES), Kept(spark, f"{folder}/chunks", CHUNKS)
         self.vectors, self.postings = Kept(spark, f"{folder}/vectors", VECTORS), Postings(spark, f"{folder}/postings")
 
-    def apply(self, events: DataFrame, contents: DataFrame, number: int, vectors: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def apply(self, events: DataFrame, contents: DataFrame, key: str | None = None, vectors: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Merges a batch's final event of each path. ``contents`` (path, mtime, size_bytes, text):
         what the files hold now; a changed path without contents is gone, one whose time and size are
         known already is left alone. ``vectors`` makes vectors of chunks."""
@@ -49,21 +49,27 @@ class Index:
         # the vectors of a file go with it also if it changed and has fewer chunks now
         made = text_chunks(fresh.select("file_id", "text"))
         touched = gone.unionByName(fresh.select("file_id"))
-        self.chunks.update(made, touched, number)
-        own = self.chunks._segment(number)
-        self.vectors.update(vectors(own) if vectors else self.vectors.spark.createDataFrame([], VECTORS), touched, number)
-        self.postings.update(own, touched, number)
-        self.files.update(fresh.select(*[f.split()[0] for f in FILES.split(", ")]), gone, number)
+        own = self.chunks.rows_of(self.chunks.update(made, touched, key), fresh.select("file_id"))
+        self.vectors.update(vectors(own) if vectors else self.vectors.spark.createDataFrame([], VECTORS), touched, key)
+        self.postings.update(own, touched, key)
+        self.files.update(fresh.select(*[f.split()[0] for f in FILES.split(", ")]), gone, key)
 
+    def compact(self) -> None:
+        for table in (self.files, self.chunks, self.vectors, self.postings):
+            table.compact()
 
-def watch(spark: SparkSession, events: DataFrame, index: Index, contents: Callable[[DataFrame], DataFrame], checkpoint: str, paused=lambda: False, every: str | None = None, vectors: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+
+def watch(spark: SparkSession, events: DataFrame, index: Index, contents: Callable[[DataFrame], DataFrame], checkpoint: str, paused=lambda: False, every: str | None = None, vectors: Callable[[DataFrame], DataFrame] | None = None, compact_every: int = 200) -> StreamingQuery:
     """Merge a stream of (ts, event_id, kind, path) into ``index``. ``contents`` gives what the files
     of (path) hold. While ``paused`` says so, a batch's events are dropped. Without ``every`` it ends
-    when all is read."""
+    when all is read. Every ``compact_every`` batches the kept tables are compacted."""
 
     def merge(batch: DataFrame, number: int) -> None:
         if not paused():
-            index.apply(batch, contents(batch.select("path").distinct()), number, vectors)
+            query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # a new checkpoint is a new query
+            index.apply(batch, contents(batch.select("path").distinct()), f"{query}/{number}", vectors)
+        if number % compact_every == compact_every - 1:
+            index.compact()
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
