@@ -79,6 +79,7 @@ class Trie:
     def settle(self) -> None:
         self.staged = [merged(self.staged, "g", "term")]
         self.rows = self.settled = self.staged[0].num_rows
+        bytewise.trim()
 
     def leaves(self) -> Iterator[pa.RecordBatch]:
         """All leaves in the order of (language, term); the trie starts anew."""
@@ -108,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in bytewise.pieces(batch.column("text"), 4 << 20):
             trie.read(langs[at : at + len(piece)], sources[at : at + len(piece)], piece)
             at += len(piece)
-            if trie.rows > 2 * trie.settled + STAGED:
+            if trie.rows > trie.settled + max(STAGED, trie.settled // 2):
                 trie.settle()
                 if trie.rows > LEAVES:
                     yield from trie.leaves()
