@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tidemark.llm import urlfilter
 from tidemark.llm.scratch import Scratch
@@ -119,6 +120,20 @@ def test_templates_purities_and_verdicts_against_brute_force(spark):
     assert {v for _, _, v in found.values()} == {"allow", "block"} and any("*" in t for t, _, _ in found.values())
 
 
+def test_deep_paths_take_a_step_for_each_branching(spark):
+    """Paths of hundreds of segments, two of which part only at the end, and one of thousands."""
+    long = "/".join(f"s{k}" for k in range(300))
+    rows = [(1, f"http://h.net/{long}/x"), (2, f"http://h.net/{long}/y/z"), (3, f"http://h.net/{long}"), (4, "http://h.net/" + "//".join("abc"))]
+    rows += [(10 + i, f"http://h.net/{long}/{i}") for i in range(8)]
+    labels = [(1, 1), (2, 0), (10, 0), (11, 0)]
+    found = {r.page_id: (r.template, round(r.purity, 9), r.verdict) for r in judge(spark, rows, labels).collect()}
+    assert found == brute_tree(rows, labels) and found[10][0] == f"/{long}/*"
+    began = time.perf_counter()
+    deep = "/".join(str(k) for k in range(5000))
+    found = judge(spark, [(1, f"http://h.net/{deep}"), (2, "http://h.net/a")], []).collect()
+    assert {r.template for r in found} == {f"/{deep}", "/a"} and time.perf_counter() - began < 60
+
+
 def test_similar_branches_are_merged(spark):
     """Branches above the leaves: c and d differ from a and b, whose labels are pooled."""
     rows = [(i, f"http://h.net/{'abcd'[i % 4]}/{i // 8}/p{i}") for i in range(160)]
