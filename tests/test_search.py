@@ -13,6 +13,8 @@ from tidemark.functions.stems import stem
 from tidemark.operators import changes as C
 from tidemark.operators import rewrite as W
 from tidemark.operators import search as S
+from tidemark.operators.ann import VectorIndex
+from tidemark.sources.store import Postings
 
 NOW = 1735689600.0
 WORDS = "relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky invoices billing payments running cooking ingredients screenshots errors traceback a be is 2026 x1y2 apology analogy yes day".split()
@@ -152,6 +154,24 @@ def test_planted_texts_are_found_first(spark):
     assert far.snippet and far.snippet_source == "chunk" and "<mark>" not in far.snippet
 
 
+def test_search_over_kept_words_and_an_index_of_vectors(spark, tmp_path):
+    files, chunks, vectors = planted(spark)
+    queries = spark.createDataFrame([(1, "pen with blue book", [0.0] * 7 + [1.0]), (2, "invoices from March", [1.0] + [0.0] * 7)], "query_id int, query string, query_vec array<double>")
+    whole = sorted(map(tuple, S.search(queries, files, chunks, vectors, NOW).collect()))
+    kept = Postings(spark, f"{tmp_path}/c", stems=True), Postings(spark, f"{tmp_path}/n", stems=True)
+    kept[0].update(chunks)
+    kept[1].update(S.named(files))
+    near = VectorIndex.build(spark, f"{tmp_path}/v", vectors.where("space = 'text'"), probes=8)
+    unread = chunks.withColumn("text", F.when(F.rand() < 2, F.col("text")))
+    got = S.search(queries, files, unread, vectors, NOW, kept=kept, near=near, latency=f"{tmp_path}/latency")
+    assert sorted(map(tuple, got.collect())) == whole and spark.read.parquet(f"{tmp_path}/latency").count() == 1
+    # a retriever that fails takes nothing from the others, and leaves its row as well
+    broken = vectors.withColumn("vec", F.when(F.col("ordinal") == 0, F.raise_error(F.lit("no model")).cast("array<double>")).otherwise(F.col("vec")))
+    left = S.search(queries, files, chunks, broken, NOW, kept=kept, latency=f"{tmp_path}/latency").collect()
+    assert {r.matched_via for r in left} == {"keyword"} and {r.query_id for r in left} == {1, 2}
+    assert spark.read.parquet(f"{tmp_path}/latency").count() == 2
+
+
 def test_a_failing_retriever_gives_nothing_and_latency_is_kept(spark, tmp_path):
     schema = "query_id int, file_id long, rank int"
     broken = S.or_nothing(lambda: spark.range(1).select(F.raise_error(F.lit("no model")).alias("query_id"), F.col("id").alias("file_id"), F.lit(1).alias("rank")), schema, spark)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,9 +62,10 @@ def hashed_features(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = rows.select(id_col, words(F.col(text_col)).alias("words"))
     # a gram becomes two numbers before anything is shuffled
     each = own.select(id_col, F.explode(grams(F.col("words"))).alias("gram")).select(id_col, F.md5("gram").alias("md5"))
-    byte = [F.conv(F.substring("md5", 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)]
-    bucket = (byte[0] + 256 * (reduce(lambda x, y: x + y, byte[1:]) % 3)) % HASH_DIMENSIONS
-    sign = F.when(byte[1] % 2 == 1, 1).otherwise(-1)
+    # 256 is 1 modulo 3: the sum of bytes is, modulo 3, the number that they are the digits of
+    first, rest = (F.conv(F.substring("md5", at, n), 16, 10).cast("bigint") for at, n in ((1, 2), (3, 14)))
+    bucket = ((first + 256 * (rest % 3)) % HASH_DIMENSIONS).cast("int")
+    sign = F.when(F.shiftright(rest, 48) % 2 == 1, 1).otherwise(-1)
     sums = each.groupBy(id_col, bucket.alias("bucket")).agg(F.sum(sign).alias("w")).where("w != 0")
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)).cast("double"))  # HASH_DIMENSIONS rows an id at most
     return sums.select(id_col, "bucket", (F.col("w") / size).alias("weight"))

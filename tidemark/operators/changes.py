@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +46,13 @@ def reconcile(files: DataFrame, listing: DataFrame, rows: DataFrame) -> DataFram
     return stale.crossJoin(orphans(rows, left).agg(F.count("*").alias("orphans")))
 
 
+def repairs(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """(path, action): what brings ``files`` up to ``listing`` (both path, mtime, size_bytes): 'delete' for files that
+    are no longer listed, 'index' for those that are new or differ. Once applied there is nothing left to do."""
+    gone = files.join(listing.select("path"), "path", "left_anti").select("path", F.lit("delete").alias("action"))
+    return gone.unionByName(needs_index(listing, files).select("path", F.lit("index").alias("action")))
+
+
 def coalesced(events: DataFrame, seconds: int = 2) -> DataFrame:
     """The last kind of each path in each window: the batch form of debouncing."""
     at = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds")
@@ -95,6 +102,18 @@ def compact(spark: SparkSession, folder: str, files: int, keys: list[str]) -> No
     fs.delete(path(old), True)
 
 
+def prefixes(path: Column) -> Column:
+    """The path and every folder above it, without their last slash."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def under_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``files`` (path, ...) with each of ``roots`` (root) that is their path or a folder above it. A row
+    for each folder of a path is joined by equality, so any number of roots will do."""
+    return files.withColumn("root", F.explode(prefixes(F.col("path")))).join(roots.select("root").distinct(), "root", "left_semi")
+
+
 def wipe(spark: SparkSession, *folders: str) -> int:
     """Deletes tables; how many there were."""
     fs, path = _fs(spark, folders[0])

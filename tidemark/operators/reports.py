@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ranks import frames, positions
+
 
 def exclusive_quantile(values: Column, i: int) -> Column:
     """The i-th of 20 exclusive quantiles of a sorted array; a single value is its own."""
@@ -30,10 +32,10 @@ def latency(samples: DataFrame, last: int = 100, by: str | None = None) -> DataF
 
 def duplicates(rows: DataFrame, cap: int = 50 << 20) -> DataFrame:
     """(file_id, size, digest, copy) of files whose size and content occur more than once;
-    ``copy`` 0 is kept. Contents are hashed only where the size repeats."""
+    ``copy`` 0 is kept. Contents are hashed only where the size repeats, up to ``cap`` bytes."""
     sized = rows.where("size_bytes > 0")
     again = sized.groupBy("size_bytes").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes")
-    hashed = sized.join(again, "size_bytes", "left_semi").select("file_id", "size_bytes", F.sha2(F.substring("text", 1, cap), 256).alias("digest"))
+    hashed = sized.join(again, "size_bytes", "left_semi").select("file_id", "size_bytes", F.sha2(F.substring(F.col("text").cast("binary"), 1, cap), 256).alias("digest"))
     same = hashed.groupBy("size_bytes", "digest").agg(F.count("*").alias("n"), F.min("file_id").alias("kept")).where("n > 1")
     return hashed.join(same, ["size_bytes", "digest"]).select("file_id", "size_bytes", "digest", (F.col("file_id") != F.col("kept")).cast("int").alias("copy"))
 
@@ -66,14 +68,21 @@ def reclaimable(copies: DataFrame, cap: int = 50 << 20) -> DataFrame:
 
 def nearest_rank(samples: DataFrame, by: str, value: str, **quantiles: float) -> DataFrame:
     """(by, name of each quantile): the value at place round-half-even(q (n - 1)) of each group in
-    order. Two rankings and no array, so a group may be of any size."""
-    order = Window.partitionBy(by).orderBy(value)
+    order. Groups may be of any size: no task holds one."""
+    own = samples.where(F.col(value).isNotNull()).select(by, value)
     n = samples.groupBy(by).agg(F.count(value).alias("n"))
-    at = samples.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(order) - 1).join(n, by)
+    placed = positions(own, [by], F.col(value), name="r")
+    at = placed.join(n, by)
     picks = [F.max(F.when(F.col("r") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col(value))).alias(name) for name, q in quantiles.items()]
     return at.groupBy(by).agg(*picks)
 
 
+def rolling_mean(samples: DataFrame, by: str, value: str, order: list[str], last: int) -> DataFrame:
+    """``samples`` with ``mean`` and ``n`` of the last rows of their group up to each; groups may be of any size."""
+    placed = positions(samples, [by], *map(F.col, order), name="__r")
+    return frames(placed, [by], "__r", last - 1, mean=lambda w: F.avg(value).over(w), n=lambda w: F.count("*").over(w)).drop("__r")
+
+
 def recall(got: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): the share of each query's k true rows (query_id, file_id) among those got."""
     hit = truth.join(got.select("query_id", "file_id", F.lit(1).alias("hit")), ["query_id", "file_id"], "left")

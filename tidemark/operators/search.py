@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +19,9 @@ from pyspark.sql.window import Window
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.functions.stems import stemmed
+from tidemark.operators.ranks import positions
 from tidemark.operators.rewrite import rewritten
+from tidemark.sources.shared import shared_folder
 
 log = logging.getLogger(__name__)
 
@@ -116,13 +119,15 @@ def best_of_lists(*lists: DataFrame) -> DataFrame:
 
 def or_nothing(make: Callable[[], DataFrame], schema: str, spark: SparkSession) -> DataFrame:
     """The rows of a retriever, or none if it fails, so that the others' results still come. The
-    rows are worked out here (a ranked list is short), as a plan fails only when it runs."""
+    rows are worked out here and written, as a plan fails only when it runs; what reads them
+    more than once doesn't work them out again."""
+    at = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
     try:
-        found = make().select(*[F.col(f.split()[0]) for f in schema.split(", ")])
-        return spark.createDataFrame(found.collect(), schema)
+        make().select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")]).write.parquet(at)
     except Exception as e:
         log.warning("a retriever failed: %s", type(e).__name__)
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(at)
 
 
 def timed(action: Callable[[], object], spark: SparkSession, folder: str, backend: str = "search") -> object:
@@ -172,6 +177,13 @@ def first_per_file(hits: DataFrame, score: str = "score") -> DataFrame:
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "file_id")))
 
 
+def ranked_files(hits: DataFrame, score: str = "score") -> DataFrame:
+    """As ``first_per_file`` for lists that aren't cut, of any length: no task holds all of a query's files."""
+    best = Window.partitionBy("query_id", "file_id").orderBy(F.desc(score), "ordinal")
+    one = hits.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
+    return positions(one, ["query_id"], F.desc(score), F.asc("file_id"), name="__p").withColumn("rank", (F.col("__p") + 1).cast("int")).drop("__p")
+
+
 def fuse(**lists: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, file_id, rank): the sum of
     1/(60 + rank), and of which retrievers a row came (``dense``: names starting with dense)."""
@@ -197,23 +209,28 @@ def penalties(kind: Column, mtime: Column, kinds: Column, date_from: Column, dat
     return F.when(image, 0.05).otherwise(0.0) + F.when(F.coalesce(outside, F.lit(False)), 0.05).otherwise(0.0)
 
 
-def lists(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, stems: bool = False, kept: tuple | None = None) -> dict[str, DataFrame]:
-    """The four ranked lists of a search: chunks and files by keyword, text and image vectors by cosine.
-    With ``kept``, the postings of chunks and of file names, no text is read."""
+def retrievers(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, stems: bool = False, kept: tuple | None = None, near=None) -> dict[str, Callable[[], DataFrame]]:
+    """The four ranked lists of a search, each as a function that makes it: chunks and files by keyword, text and
+    image vectors by cosine. With ``kept``, the postings of chunks and of file names, no text is read;
+    with ``near``, an index of the text vectors (``search`` as in ``ann``), not all of these are."""
     even = lambda hits: hits.withColumn("score", F.round("score", 9))  # noqa: E731  equal scores tie, whatever their last bits
     order = (F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
-    if kept is not None:
-        by_chunk, by_file = kept[0].bm25(queries, ["file_id", "ordinal"]), kept[1].bm25(queries, ["file_id"])
-    else:
-        by_chunk, by_file = bm25(chunks, ["file_id", "ordinal"], "text", queries, stems), bm25(named(files), ["file_id"], "text", queries, stems)
+    by_chunk = lambda: kept[0].bm25(queries, ["file_id", "ordinal"]) if kept else bm25(chunks, ["file_id", "ordinal"], "text", queries, stems)
+    by_file = lambda: kept[1].bm25(queries, ["file_id"]) if kept else bm25(named(files), ["file_id"], "text", queries, stems)
+    by_text = lambda: near.search(queries, 2 * k).drop("rank") if near else cosine(vectors.where("space = 'text'"), queries)
     return {
-        "keyword_chunk": top_k(even(by_chunk), 3 * k, *order),
-        "keyword_file": top_k(even(by_file), 3 * k, F.desc("score"), F.asc("file_id")),
-        "dense_text": top_k(even(cosine(vectors.where("space = 'text'"), queries)), 2 * k, *order),
-        "dense_image": top_k(even(cosine(vectors.where("space = 'image'"), queries)), k, *order),
+        "keyword_chunk": lambda: top_k(even(by_chunk()), 3 * k, *order),
+        "keyword_file": lambda: top_k(even(by_file()), 3 * k, F.desc("score"), F.asc("file_id")),
+        "dense_text": lambda: top_k(even(by_text()), 2 * k, *order),
+        "dense_image": lambda: top_k(even(cosine(vectors.where("space = 'image'"), queries)), k, *order),
     }
 
 
+def lists(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 12, stems: bool = False, kept: tuple | None = None) -> dict[str, DataFrame]:
+    """What the ``retrievers`` make."""
+    return {name: make() for name, make in retrievers(queries, files, chunks, vectors, k, stems, kept).items()}
+
+
 def named(files: DataFrame) -> DataFrame:
     """(file_id, ordinal, text) by which a file is found as a whole: its path and recognised text."""
     return files.select("file_id", F.lit(0).alias("ordinal"), F.concat_ws(" ", "path", "ocr_text").alias("text"))
@@ -237,13 +254,20 @@ def hybrid(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: Dat
     return ranked(lists(queries, files, chunks, vectors, k, kept=kept), queries, files, now, k)
 
 
-def search(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12, stems: bool = True) -> DataFrame:
+def search(queries: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, now: float, k: int = 12, stems: bool = True, kept: tuple | None = None, near=None, latency: str | None = None) -> DataFrame:
     """What a user asks: ``queries`` (query_id, query, query_vec) are rewritten, searched by their
-    expanded text, and each result shows its scores and a snippet. Blank queries find nothing."""
-    today = F.to_date(F.timestamp_seconds(F.lit(now)))
+    expanded text, and each result shows its scores and a snippet. Blank queries find nothing.
+
+    Each list is worked out once; one whose retriever fails is empty. ``kept``: postings with the same
+    ``stems``; ``near``: an index of the text vectors. With ``latency``, a folder, how long the lists took is
+    one more row of its table."""
+    spark, today = queries.sparkSession, F.to_date(F.timestamp_seconds(F.lit(now)))
     asked = rewritten(queries.where(F.trim("query") != "").withColumn("query", F.substring(F.trim("query"), 1, 200)), today)
     said = asked.withColumn("query", F.col("expanded"))
-    found = lists(said, files, chunks, vectors, k, stems)
+    makers = retrievers(said, files, chunks, vectors, k, stems, kept, near)
+    of = f"query_id {queries.schema['query_id'].dataType.simpleString()}, file_id bigint"
+    every = lambda: {name: or_nothing(make, f"{of}, score double, rank int" if name == "keyword_file" else f"{of}, ordinal int, score double, rank int", spark) for name, make in makers.items()}
+    found = timed(every, spark, latency) if latency else every()
     out = ranked(found, asked, files, now, k)
     shown = best_of_lists(first_per_file(found["keyword_chunk"].drop("rank")), found["keyword_file"]).select("query_id", "file_id", F.col("shown").alias("match_keyword"))
     out = out.join(shown, ["query_id", "file_id"], "left")

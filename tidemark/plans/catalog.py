@@ -16,11 +16,13 @@ from tidemark.operators import changes as C
 from tidemark.operators import reports as R
 from tidemark.operators import rewrite as W
 from tidemark.operators import search as S
+from tidemark.operators import tokenize as K
 from tidemark.functions import bands as L
 from tidemark.sources import tables as B
 from tidemark.sources.extract import indexable
-from tidemark.sources.store import Postings, shared_folder
-from tidemark.streaming import watch
+from tidemark.sources.shared import shared_folder
+from tidemark.sources.store import Postings
+from tidemark.streaming import stateful, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -198,6 +200,13 @@ def dml_reconcile(s, d):
     return C.reconcile(files, files.where("file_id % 4 <> 0"), B.chunks(s, d))
 
 
+@query(f"WITH {FILES} SELECT path, CASE WHEN file_id % 4 = 0 THEN 'delete' ELSE 'index' END AS action FROM files WHERE file_id % 4 = 0 OR file_id % 6 = 1")
+def dml_repairs(s, d):
+    files = B.files(s, d)
+    listing = files.where("file_id % 4 <> 0").withColumn("size_bytes", F.col("size_bytes") + F.when(F.col("file_id") % 6 == 1, 1).otherwise(0))
+    return C.repairs(files, listing.select("path", "mtime", "size_bytes"))
+
+
 @query(f"WITH {FILES} SELECT file_id FROM files WHERE file_id % 6 IN (0, 1, 2)")
 def dml_needs_index(s, d):
     files = B.files(s, d)
@@ -268,8 +277,8 @@ def flt_soft_filters(s, d):
 
 @query(f"WITH {FILES}, roots(root) AS (VALUES ('/src1'), ('/src1/en'), ('/src12')) SELECT file_id, root FROM files, roots WHERE path = root OR starts_with(path, root || '/')")
 def flt_watched_root(s, d):
-    roots = F.broadcast(s.createDataFrame([("/src1",), ("/src1/en",), ("/src12",)], "root string"))
-    return B.files(s, d).join(roots, (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit("/")))).select("file_id", "root")
+    roots = s.createDataFrame([("/src1",), ("/src1/en",), ("/src12",)], "root string")
+    return C.under_roots(B.files(s, d), roots).select("file_id", "root")
 
 
 @query(f"WITH {FILES} SELECT file_id, 'doc_' || file_id || ext AS name, ext AS suffix FROM files")
@@ -459,19 +468,24 @@ def w_merged_runs(s, d):
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM events")
 def w_rolling(s, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return B.read(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 9).alias("mean"), F.count("*").over(w).alias("n"))
+    found = R.rolling_mean(B.read(s, d, "events").select("event_id", "event_type", "ts", "value"), "event_type", "value", ["ts", "event_id"], 100)
+    return found.select("event_id", F.round("mean", 9).alias("mean"), "n")
 
 
-_KEPT: dict[tuple[str, str], tuple[Postings, Postings]] = {}
+_KEPT: dict[tuple, tuple[Postings, Postings]] = {}
 
 
-def kept(spark: SparkSession, sf_dir: str) -> tuple[Postings, Postings]:
-    """The postings of chunks and of file names of a folder of tables, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def kept(spark: SparkSession, sf_dir: str, stems: bool = False) -> tuple[Postings, Postings]:
+    """The postings of chunks and of file names of a folder of tables, written once a session and
+    again if the table's files have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(path)
+    seen = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(path) if status.isDirectory() else [status]))
+    key = (spark.sparkContext.applicationId, sf_dir, stems, tuple(seen))
     if key not in _KEPT:
         at = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
-        both = Postings(spark, f"{at}/chunks"), Postings(spark, f"{at}/names")
+        both = Postings(spark, f"{at}/chunks", stems), Postings(spark, f"{at}/names", stems)
         both[0].update(B.chunks(spark, sf_dir))
         both[1].update(S.named(B.files(spark, sf_dir)))
         _KEPT[key] = both
@@ -528,7 +542,7 @@ def sr_ann_recall(s, d):
 @query(f"WITH {QUERIES}, {_DENSE} SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY max(round(score, 9)) DESC, file_id) AS rank FROM dense GROUP BY query_id, file_id")
 def w_first_per_file(s, d):
     hits = S.cosine(B.vectors(s, d), asked(s, d)).withColumn("score", F.round("score", 9))
-    return S.first_per_file(hits).select("query_id", "file_id", "rank")
+    return S.ranked_files(hits).select("query_id", "file_id", "rank")
 
 
 def _cut(source: str, k: int, order: str) -> str:
@@ -555,7 +569,7 @@ def sr_keyword_best(s, d):
 @query()
 def sr_search(s, d):
     """The whole search with rewriting, stems, scores for display and snippets."""
-    return S.search(asked(s, d).select("query_id", "query", "query_vec"), B.files(s, d), B.chunks(s, d), B.vectors(s, d), B.NOW)
+    return S.search(asked(s, d).select("query_id", "query", "query_vec"), B.files(s, d), B.chunks(s, d), B.vectors(s, d), B.NOW, kept=kept(s, d, stems=True), latency=f"{shared_folder(s)}/latency-{uuid.uuid4().hex}")
 
 
 _HYBRID = f"""WITH {QUERIES}, {FILES}, {CHUNKS}, {_BM25}, {_NAME}, {_DENSE},
@@ -645,6 +659,49 @@ def emb_hashing(s, d):
     return V.hashed_features(B.read(s, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+_PIECES = """often AS (SELECT word FROM counted WHERE n >= 20), twice AS (SELECT word FROM counted WHERE n >= 2),
+ v AS (SELECT word AS piece FROM often UNION SELECT '##' || substr(word, length(word) - 2, 3) FROM often WHERE length(word) > 3 UNION SELECT substr(word, 1, 1) FROM twice UNION SELECT '##' || substr(word, 2, 1) FROM twice WHERE length(word) > 1),
+ ids AS (SELECT piece, 1000 + CAST(('0x' || substr(md5(piece), 1, 6)) AS INT) AS id FROM v)"""
+
+
+def pieces(words: DataFrame) -> DataFrame:
+    """A vocabulary (piece, id) out of words (word, n): frequent words, their ends, and characters."""
+    often, twice = words.where("n >= 20"), words.where("n >= 2")
+    ends = often.where("length(word) > 3").select(F.concat(F.lit("##"), F.substring("word", -3, 3)))
+    single = twice.select(F.substring("word", 1, 1)).union(twice.where("length(word) > 1").select(F.concat(F.lit("##"), F.substring("word", 2, 1))))
+    return often.select("word").union(ends).union(single).toDF("piece").distinct().withColumn("id", (F.conv(F.substring(F.md5("piece"), 1, 6), 16, 10).cast("int") + 1000).cast("int"))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORDPIECE.replace("'", "''")}') AS w FROM documents)),
+ counted AS (SELECT word, count(*) AS n FROM t GROUP BY word), {_PIECES},
+ spans AS (SELECT word, i, unnest(range(1, length(word) - i + 1)) AS k FROM (SELECT word, unnest(range(length(word))) AS i FROM counted)),
+ best AS (SELECT word, i, max(k) AS k, arg_max(id, k) AS id FROM spans JOIN ids ON piece = CASE WHEN i > 0 THEN '##' ELSE '' END || substr(word, i + 1, k) GROUP BY word, i),
+ walk AS (SELECT word, 0::BIGINT AS at, []::INT[] AS ids FROM counted UNION ALL SELECT walk.word, walk.at + best.k, list_append(walk.ids, best.id) FROM walk JOIN best ON best.word = walk.word AND best.i = walk.at),
+ coded AS (SELECT word, ids FROM walk WHERE at = length(word)),
+ found AS (SELECT doc_id, flatten(list(coalesce(ids, [100]) ORDER BY pos)) AS ids FROM t LEFT JOIN coded USING (word) GROUP BY doc_id)
+ SELECT doc_id, coalesce(len(ids), 0) + 2 AS n_ids, md5('101,' || CASE WHEN ids IS NULL THEN '' ELSE array_to_string(ids, ',') || ',' END || '102') AS ids_md5 FROM documents LEFT JOIN found USING (doc_id)""")
+def emb_wordpiece(s, d):
+    docs = B.read(s, d, "documents")
+    words = K.words_of(docs, "doc_id", "text", K.WORDPIECE).groupBy("word").agg(F.count("*").alias("n"))
+    found = K.wordpiece(docs, pieces(words), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+@query()
+def emb_pair_merge(s, d):
+    """Merges are those of the left parts of frequent words, shorter ones first; 77 ids a text."""
+    docs = B.read(s, d, "documents")
+    often = K.words_of(docs, "doc_id", "text", K.PAIRS).groupBy("word").count().where("count >= 50 and length(word) > 1 and word rlike '^[a-z]+$'")
+    ends = often.select("word", F.explode(F.sequence(F.lit(2), F.length("word"))).alias("n"))
+    end = F.when(F.col("n") == F.length("word"), "</w>").otherwise("")
+    merges = ends.select(F.substring("word", F.lit(1), F.col("n") - 1).alias("left"), F.concat(F.substring("word", F.col("n"), F.lit(1)), end).alias("right"), "n").distinct()
+    merges = merges.withColumn("rank", F.col("n") * (1 << 24) + F.conv(F.substring(F.md5(F.concat("left", "right")), 1, 6), 16, 10).cast("int"))
+    symbols = s.createDataFrame([(c + e,) for c in K.byte_symbols() for e in ("", "</w>")], "piece string")
+    vocabulary = symbols.union(merges.select(F.concat("left", "right"))).distinct().withColumn("id", F.conv(F.substring(F.md5("piece"), 1, 6), 16, 10).cast("int") + 1)
+    found = K.pair_merge(docs, merges, vocabulary, "doc_id", "text", 0, -1)
+    return found.select(F.col("id").alias("doc_id"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
 @query(f"WITH {VECTORS} SELECT vec_id, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS norm, round(vec[1] / sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS first FROM vectors")
 def emb_normalise(s, d):
     return B.vectors(s, d).select("vec_id", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.get(V.normalised(F.col("vec")), F.lit(0)), 6).alias("first"))
@@ -714,6 +771,21 @@ def st_coalesced(s, d):
     return C.coalesced(B.changes(s, d))
 
 
+@query(f"""WITH RECURSIVE {CHANGES}, began AS (SELECT path, min(ts) AS first FROM changes GROUP BY path UNION ALL SELECT b.path, min(c.ts) FROM began b JOIN changes c ON c.path = b.path AND c.ts >= b.first + INTERVAL 1 DAY GROUP BY b.path),
+ due AS (SELECT path, first, first + INTERVAL 1 DAY AS due FROM began WHERE first + INTERVAL 1 DAY < (SELECT max(ts) FROM changes))
+ SELECT due.path, arg_max(kind, (ts, event_id)) AS kind, count(*) AS n, epoch_us(first) // 1000 AS first_ms, epoch_us(due) // 1000 AS due_ms FROM due JOIN changes c ON c.path = due.path AND ts >= first AND ts < due GROUP BY ALL""")
+def st_debounced(s, d):
+    """The events as a stream, each path's pending from its first one on for a day."""
+    events = B.read(s, d, "events")
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    kind = F.when(F.col("event_type") == "error", "deleted").otherwise("changed")
+    changes = stream.select("event_id", "ts", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"))
+    at = f"{shared_folder(s)}/debounced-{uuid.uuid4().hex}"
+    found = stateful.debounced(changes, 86400.0)
+    found.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return s.read.schema(found.schema).parquet(f"{at}/rows").select("path", "kind", "n", F.unix_millis("first").alias("first_ms"), F.unix_millis("due").alias("due_ms"))
+
+
 @query(f"WITH {CHANGES} SELECT kind, count(*) AS n FROM changes GROUP BY kind")
 def st_running_count(s, d):
     return watch.running(B.changes(s, d))

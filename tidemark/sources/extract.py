@@ -98,6 +98,8 @@ def archive_entries(raw: bytes) -> str:
         return " ".join(m.name for _, m in zip(range(ENTRIES), t, strict=False))
 
 
+#: Larger archives are known by name only.
+ARCHIVE_BYTES = 100 << 20
 READERS: dict[str, Reader] = {"text": read_text, "notebook": read_notebook, "docx": read_document, "slides": read_slides, "spreadsheet": read_sheets, "archive": archive_entries}
 
 
@@ -111,7 +113,8 @@ def extract(rows: DataFrame, readers: dict[str, Reader] | None = None) -> DataFr
             out = []
             for kind, raw in zip(kinds.to_pylist(), contents.to_pylist(), strict=True):
                 try:
-                    out.append(known[kind](raw) if kind in known and raw else "")
+                    readable = kind in known and raw and (kind != "archive" or len(raw) <= ARCHIVE_BYTES)
+                    out.append(known[kind](raw) if readable else "")
                 except Exception:  # a broken file of any kind; its name is indexed all the same
                     out.append("")
             yield pa.array(out, pa.string())
@@ -126,7 +129,8 @@ def indexable(path: Column) -> Column:
 
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, mtime, size_bytes, content) of the indexable files below a folder."""
+    """(path, mtime, size_bytes, content) of the indexable files below a folder; ``content`` is read only if
+    it is selected."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     rows = rows.select("path", F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size_bytes"), "content")
     return rows.where(indexable(F.col("path")))

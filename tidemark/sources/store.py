@@ -12,7 +12,6 @@ update as well: its commit takes the place of all up to a number at once, and on
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +20,6 @@ from tidemark.functions import text as T
 from tidemark.operators import search as S
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; on one machine, where it is unset, one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.partition("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 class Kept:
     """Rows with a ``file_id`` below ``folder``; ``by`` names a column to part segments by."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-FLUSHED = "scope string, path string, kind string, n bigint, first timestamp, due timestamp"
+FLUSHED = "scope string, path string, kind string, n bigint, first bigint, due bigint"
 ROLLING = "backend string, n int, p50 double, p95 double"
 
 
@@ -38,7 +38,7 @@ class Debounce(StatefulProcessor):
     def _flush(self, scope: str, due: int) -> Iterator[Row]:
         # one row for each path of the scope
         for (path,), (kind, n, first) in sorted(self.pending.iterator(), key=lambda x: x[0][0]):
-            yield Row(scope=scope, path=path, kind=kind, n=n, first=_time(first), due=_time(due))
+            yield Row(scope=scope, path=path, kind=kind, n=n, first=first, due=due)
         self.pending.clear()
         self.due.clear()
 
@@ -70,23 +70,17 @@ def _timer(due: int) -> int:
     return -(-due // 1000)
 
 
-def _time(micros: int):
-    from datetime import datetime, timedelta
-
-    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
-
-
 def debounced(events: DataFrame, delay: float = 2.0, scope: str | None = None, late: str = "0 seconds") -> DataFrame:
     """A stream of (ts, event_id, kind, path) as flushes (scope, path, kind, n, first, due).
 
     Each path is its own scope unless ``scope`` names a column, such as the watched folder: then the first
     pending event of the scope starts the timer for all of its paths. Events may come ``late``; later ones are dropped. Equal
-    (ts, event_id) count in any order. Null paths are dropped; a null kind goes out as it is. Microseconds count from
-    1970 in the session's time zone, which has to be UTC for the results to be the same everywhere."""
+    (ts, event_id) count in any order. Null paths are dropped; a null kind goes out as it is."""
     with_state_store(events.sparkSession)
     own = events.where("path is not null").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("bigint").alias("event_id"), "kind", "path", F.col(scope or "path").cast("string").alias("scope"))
     own = own.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late)
-    return own.groupBy("scope").transformWithState(Debounce(round(delay * 1000)), FLUSHED, "Append", "EventTime")
+    found = own.groupBy("scope").transformWithState(Debounce(round(delay * 1000)), FLUSHED, "Append", "EventTime")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("first", "due")})
 
 
 class Rolling(StatefulProcessor):
