@@ -113,4 +113,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_divergence": divergence.ORACLE}
+    return {"op12_runs": runs.ORACLE, "op13_divergence": divergence.ORACLE}

@@ -223,3 +223,28 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", seed=None, least: int
 def longest(runs):
     """Of a column of runs the one of the greatest length (ties: least start, then period), or null."""
     return F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("least"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+
+
+#: The rows of the query over ``documents``: all pairs of equal words of a text at most a quarter of it apart, maximal
+#: stretches of such pairs, and of these the ones that no stretch of a smaller period contains.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h
+  FROM documents
+), p AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+q AS (SELECT *, g % n AS a FROM p WHERE n > 0),
+l AS (SELECT rid, n, h, w, a, 1 + (n - a) // (3 + g % 8) AS k FROM q),
+t AS (SELECT rid, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % k + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM l)),
+o AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY rid, word) >= 4),
+e AS (SELECT x.rid, y.i - x.i AS q, x.i FROM o x JOIN o y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e) GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = s.rid AND b.q < s.q AND b.start <= s.start AND b.start + b.length >= s.start + s.length)),
+b AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS runs, first(struct_pack(start, length, q) ORDER BY length DESC, start, q) AS best FROM r GROUP BY rid),
+x AS (SELECT DISTINCT rid, unnest(range(start + q, start + length)) AS i FROM r),
+c AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN x USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.length // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)
+"""
