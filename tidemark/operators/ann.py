@@ -94,11 +94,14 @@ def _lloyd(sample: DataFrame, start: np.ndarray, assign, rounds: int = ROUNDS) -
     that nothing is assigned to stay."""
     now = start.copy()
     for _ in range(rounds):
+        before = now.copy()
         parts = sample.mapInArrow(partial(_sums, partial(assign, now)), "g int, k int, n long, total array<double>")
         # a row for each centroid and dimension group, whatever the sample
         summed = parts.groupBy("g", "k").agg(F.sum("n").alias("n"), *[F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(now.shape[2])])
         for r in summed.collect():
             now[r.g, r.k] = np.array([r[f"s{i}"] for i in range(now.shape[2])]) / r.n
+        if np.allclose(now, before, rtol=0, atol=1e-9):
+            break
     return now
 
 
