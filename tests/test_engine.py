@@ -13,7 +13,7 @@ from tidemark.functions import text as T
 from tidemark.operators import rewrite
 from tidemark.operators import search as S
 from tidemark.plans import catalog
-from tidemark.sources import extract, store
+from tidemark.sources import extract, settings, store
 from tidemark.streaming import watch
 
 DATA = "/root/testdata/sf0.001"
@@ -71,6 +71,20 @@ def test_extractors(spark):
     assert found["/t.txt"][1] == "café �" and found["/b.docx"] == ("docx", "") and found["/z.zip"] == ("archive", "word/document.xml") and found["/p.pdf"] == ("pdf", "")
 
 
+def test_notebooks_and_settings_are_read_in_the_jvm(spark):
+    cells = [{"cell_type": "markdown", "source": "a\nb\nc\nd"}, {"cell_type": "code", "source": ["x\n", "y\n", "z\n", "w"]}, {"cell_type": "code"}, {"source": "ünï"}, {"cell_type": "markdown", "source": ["m" * 30]}]
+    rows = [(1, json.dumps({"cells": cells}).encode()), (2, b"{"), (3, b"[]"), (4, None), (5, json.dumps({"cells": []}).encode()), (6, b'{"cells": [{"source": "\xff"}]}')]
+    frame = spark.createDataFrame(rows, "k int, content binary")
+    found = {r.k: r.t for r in frame.select("k", settings.notebook_text(F.col("content"), 40).alias("t")).collect()}
+    assert found == {1: ("a\nb\nc\nd\nx\ny\nz\n\nünï\n" + "m" * 30)[:40], 2: "", 3: "", 4: "", 5: "", 6: "\ufffd"}
+    plan = extract.extract(spark.createDataFrame([("/n.ipynb", rows[0][1])], "path string, content binary"))
+    assert plan.first().text.startswith("a\nb")
+    texts = [('{"dark": true, "port": 7, "rate": "x", "folders": ["a", "b"], "extra": 1}',), ("",), (None,), ('{"port": null}',)]
+    made = spark.createDataFrame(texts, "t string").select(settings.settings(F.col("t"), dark=False, port=8, rate=0.5, folders=["d"]).alias("s")).collect()
+    default = (False, 8, 0.5, ["d"])
+    assert [tuple(r.s) for r in made] == [(True, 7, 0.5, ["a", "b"]), default, default, default]
+
+
 EVENTS = "ts long, event_id long, kind string, path string"
 
 

@@ -8,7 +8,6 @@ one they give the empty text, and the file is still indexed by name.
 from __future__ import annotations
 
 import io
-import json
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.sources.settings import notebook_text
 
 MOST_CHARS, SLIDES, SHEETS, ROWS, COLUMNS, ENTRIES = 8000, 200, 10, 2000, 50, 20
 Reader = Callable[[bytes], str]
@@ -32,20 +32,6 @@ def read_text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def read_notebook(raw: bytes) -> str:
-    """Markdown cells whole, the first three lines of others, until MOST_CHARS."""
-    out, size = [], 0
-    for cell in json.loads(raw.decode("utf-8", "replace")).get("cells", []):
-        source = cell.get("source", "")
-        source = "".join(source) if isinstance(source, list) else source
-        part = source if cell.get("cell_type") == "markdown" else "\n".join(source.split("\n")[:3])
-        out.append(part)
-        size += len(part)
-        if size > MOST_CHARS:
-            break
-    return "\n".join(out)[:MOST_CHARS]
-
-
 def read_document(raw: bytes) -> str:
     """Paragraphs outside tables, then table rows with cells joined by ``|``."""
     body = next(x for x in ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")) if x.tag.endswith("}body"))
@@ -100,7 +86,7 @@ def archive_entries(raw: bytes) -> str:
 
 #: Larger archives are known by name only.
 ARCHIVE_BYTES = 100 << 20
-READERS: dict[str, Reader] = {"text": read_text, "notebook": read_notebook, "docx": read_document, "slides": read_slides, "spreadsheet": read_sheets, "archive": archive_entries}
+READERS: dict[str, Reader] = {"text": read_text, "docx": read_document, "slides": read_slides, "spreadsheet": read_sheets, "archive": archive_entries}
 
 
 def extract(rows: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
@@ -120,7 +106,11 @@ def extract(rows: DataFrame, readers: dict[str, Reader] | None = None) -> DataFr
             yield pa.array(out, pa.string())
 
     kind = F.coalesce(T.binary_kind(F.col("path")), F.when(T.suffix(F.col("path")).isin(T.IMAGE_SUFFIXES), "image"), T.text_kind(F.col("path")))
-    return rows.withColumn("kind", kind).withColumn("text", text("kind", "content"))
+    rows = rows.withColumn("kind", kind)
+    own = text("kind", "content")
+    if "notebook" not in known:  # read in the JVM
+        own = F.when(F.col("kind") == "notebook", notebook_text(F.col("content"), MOST_CHARS)).otherwise(own)
+    return rows.withColumn("text", own)
 
 
 def indexable(path: Column) -> Column:
