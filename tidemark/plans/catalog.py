@@ -676,8 +676,8 @@ def pieces(words: DataFrame) -> DataFrame:
  counted AS (SELECT word, count(*) AS n FROM t GROUP BY word), {_PIECES},
  spans AS (SELECT word, i, unnest(range(1, length(word) - i + 1)) AS k FROM (SELECT word, unnest(range(length(word))) AS i FROM counted)),
  best AS (SELECT word, i, max(k) AS k, arg_max(id, k) AS id FROM spans JOIN ids ON piece = CASE WHEN i > 0 THEN '##' ELSE '' END || substr(word, i + 1, k) GROUP BY word, i),
- walk AS (SELECT word, 0::BIGINT AS at, []::INT[] AS ids FROM counted UNION ALL SELECT walk.word, walk.at + best.k, list_append(walk.ids, best.id) FROM walk JOIN best ON best.word = walk.word AND best.i = walk.at),
- coded AS (SELECT word, ids FROM walk WHERE at = length(word)),
+ walk AS (SELECT word, 0::BIGINT AS upto, []::INT[] AS ids FROM counted UNION ALL SELECT walk.word, walk.upto + best.k, list_append(walk.ids, best.id) FROM walk JOIN best ON best.word = walk.word AND best.i = walk.upto),
+ coded AS (SELECT word, ids FROM walk WHERE upto = length(word)),
  found AS (SELECT doc_id, flatten(list(coalesce(ids, [100]) ORDER BY pos)) AS ids FROM t LEFT JOIN coded USING (word) GROUP BY doc_id)
  SELECT doc_id, coalesce(len(ids), 0) + 2 AS n_ids, md5('101,' || CASE WHEN ids IS NULL THEN '' ELSE array_to_string(ids, ',') || ',' END || '102') AS ids_md5 FROM documents LEFT JOIN found USING (doc_id)""")
 def emb_wordpiece(s, d):
@@ -777,7 +777,11 @@ def st_coalesced(s, d):
 def st_debounced(s, d):
     """The events as a stream, each path's pending from its first one on for a day."""
     events = B.read(s, d, "events")
-    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    # a table is a folder of files or one file; a stream takes folders only
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    folder = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = s.readStream.schema(events.schema)
+    stream = reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.when(F.col("event_type") == "error", "deleted").otherwise("changed")
     changes = stream.select("event_id", "ts", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"))
     at = f"{shared_folder(s)}/debounced-{uuid.uuid4().hex}"
