@@ -69,3 +69,10 @@ def test_host_counts_do_not_outweigh_clear_text(spark):
     rows = [(i, text(rng, "en"), "en", "http://a.com/", "en") for i in range(200)] + [(200 + i, text(rng, "de", 40), "de", "http://a.com/", "de") for i in range(20)]
     found = langid.identify(spark.createDataFrame(rows, SCHEMA), declared_col="declared", url_col="url").collect()
     assert np.mean([r.lang_id == r.truth for r in found]) == pytest.approx(1.0)
+
+
+def test_languages_beyond_the_most_frequent_are_accepted_as_other(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [r for r in corpus() if r[4] != "fr"] + [r for r in corpus() if r[4] == "fr"][:40]
+    found = langid.identify(spark.createDataFrame(rows, SCHEMA), declared_col="declared", url_col="url").collect()
+    assert all(r.lang_accepted and r.lang_id == ("other" if r.truth == "fr" else r.truth) for r in found)

@@ -164,7 +164,7 @@ def _softmax(scores: Column) -> Column:
 def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, model: TextModel | None = None, least: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with ``lang_id``, ``lang_score`` and ``lang_accepted`` (in place of columns of
     those names). A document is accepted if its text holds letters and the best language's
-    posterior is at least ``least``.
+    posterior is at least ``least``; one of a language beyond the most frequent is accepted as ``OTHER``.
 
     Without ``model``, one is fitted on the declared languages. Null or empty evidence of
     any kind counts for nothing; a null or empty text, or one without letters, gets the
@@ -220,4 +220,4 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
     out = joined.select("__row", (F.size("__ll") > 0).alias("__letters"), _softmax(scores).alias("__p"))
     top = F.array_max("__p")
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("__p", top).cast("int"))
-    return out.select("__row.*", name.alias("lang_id"), top.alias("lang_score"), (F.col("__letters") & (top >= least) & (name != OTHER)).alias("lang_accepted"))
+    return out.select("__row.*", name.alias("lang_id"), top.alias("lang_score"), (F.col("__letters") & (top >= least)).alias("lang_accepted"))
