@@ -1,4 +1,6 @@
+import dataclasses
 import random
+import re
 
 import numpy as np
 import pytest
@@ -76,3 +78,54 @@ def test_languages_beyond_the_most_frequent_are_accepted_as_other(spark, monkeyp
     rows = [r for r in corpus() if r[4] != "fr"] + [r for r in corpus() if r[4] == "fr"][:40]
     found = langid.identify(spark.createDataFrame(rows, SCHEMA), declared_col="declared", url_col="url").collect()
     assert all(r.lang_accepted and r.lang_id == ("other" if r.truth == "fr" else r.truth) for r in found)
+
+
+def brute_posteriors(rows, model):
+    """The whole fusion by loops over documents: text, declaration, suffix, domain and host."""
+    k, total = len(model.languages), {}
+
+    def add(counts, key, best):
+        counts.setdefault(key, np.zeros(k))
+        if best >= 0:
+            counts[key][best] += 1
+
+    def smooth(n, parent, weight):
+        return (n + weight * parent) / (n.sum() + weight)
+
+    suffix = lambda h: h.rpartition(".")[2] if "." in h else ""
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    made, suffixes, domains, hosts, declared = [], {}, {}, {}, {}
+    for i, t, said, url, _ in rows:
+        grams = brute_trigrams(t or "")
+        ll = model.table[:, grams].astype(float).mean(axis=1) * min(len(grams) / langid.TEMPER, langid.MOST_EVIDENCE) if grams else None
+        best = int(np.argmax(ll)) if grams else -1
+        host = re.sub(r":\d*$", "", (url or "").partition("://")[2].partition("/")[0].lower())
+        said = (said or "").partition("-")[0].lower()
+        made.append((i, ll, host, said))
+        for counts, key in ((total, ""), (suffixes, suffix(host)), (domains, domain(host)), (hosts, host), (declared, said)):
+            add(counts, key, best)
+    overall = (total[""] + 1) / (total[""] + 1).sum()
+    found = {}
+    for i, ll, host, said in made:
+        by_suffix = smooth(suffixes[suffix(host)], overall, langid.HOST_WEIGHT)
+        own = domain(host)
+        # the suffix of a domain is that of its name
+        prior = smooth(hosts[host], smooth(domains[own], by_suffix if suffix(own) == suffix(host) else overall, langid.HOST_WEIGHT), langid.HOST_WEIGHT)
+        says = np.log(smooth(declared[said], overall, langid.TABLE_WEIGHT)) - np.log(overall) if said else 0.0
+        score = np.log(prior) + says + (ll if ll is not None else 0.0)
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        found[i] = (model.languages[int(np.argmax(p))], float(p.max()), ll is not None and p.max() >= 0.5)
+    return found
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = corpus(150) + [(500 + i, text(rng, rng.choice(["en", "de", "fr"]), rng.choice([0, 1, 2])), rng.choice([None, "de-AT", "FR", "xx"]), rng.choice([None, "", "http://x.de/", "http://a.b.frsite.fr:80/q", "http://localhost/"]), "") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = dataclasses.replace(langid.fit_text(docs.select("text", docs.declared.alias("language")).where("doc_id < 500")), fitted_below=0)
+    found = {r.doc_id: r for r in langid.identify(docs, declared_col="declared", url_col="url", model=model).collect()}
+    wanted = brute_posteriors(rows, model)
+    for i, (language, score, accepted) in wanted.items():
+        assert found[i].lang_score == pytest.approx(score, abs=1e-6)
+        assert found[i].lang_accepted == accepted and (found[i].lang_id == language or score < 0.51)
