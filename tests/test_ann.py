@@ -16,6 +16,12 @@ def exact(vectors, query, k, first=0):
     return [x[1:] for x in sorted(scored)[:k]]
 
 
+@pytest.fixture(autouse=True)
+def quick(monkeypatch):
+    monkeypatch.setattr(ann, "ROUNDS", 2)
+    monkeypatch.setattr(ann, "CODES", 16)
+
+
 @pytest.fixture(scope="module")
 def made():
     rng = np.random.default_rng(5)

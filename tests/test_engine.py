@@ -71,6 +71,18 @@ def test_extractors(spark):
     assert found["/t.txt"][1] == "café �" and found["/b.docx"] == ("docx", "") and found["/z.zip"] == ("archive", "word/document.xml") and found["/p.pdf"] == ("pdf", "")
 
 
+def test_sheets_are_those_that_the_workbook_relates(spark):
+    book = io.BytesIO()
+    ns, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Budget" r:id="rId7"/><sheet name="Empty" r:id="rId8"/><sheet name="Old" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId2" Target="/xl/worksheets/sheet1.xml"/><Relationship Id="rId7" Target="worksheets/sheet9.xml"/><Relationship Id="rId8" Target="worksheets/none.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>rent</t></si></sst>")
+        z.writestr("xl/worksheets/sheet9.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>900</v></c><c r="AY1"><v>far</v></c></row><row><c r="A2"><v> </v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>past</t></is></c></row></sheetData></worksheet>')
+    assert extract.read_sheets(book.getvalue()) == "Sheet Budget: rent | 900\nSheet Old: past"
+
+
 def test_notebooks_and_settings_are_read_in_the_jvm(spark):
     cells = [{"cell_type": "markdown", "source": "a\nb\nc\nd"}, {"cell_type": "code", "source": ["x\n", "y\n", "z\n", "w"]}, {"cell_type": "code"}, {"source": "ünï"}, {"cell_type": "markdown", "source": ["m" * 30]}]
     rows = [(1, json.dumps({"cells": cells}).encode()), (2, b"{"), (3, b"[]"), (4, None), (5, json.dumps({"cells": []}).encode()), (6, b'{"cells": [{"source": "\xff"}]}')]

@@ -89,11 +89,11 @@ def _sums(assign, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays(columns, names=["g", "k", "n", "total"])
 
 
-def _lloyd(sample: DataFrame, start: np.ndarray, assign, rounds: int = ROUNDS) -> np.ndarray:
+def _lloyd(sample: DataFrame, start: np.ndarray, assign) -> np.ndarray:
     """``start`` (groups, centroids, width) moved to the means of what is assigned to them; centroids
     that nothing is assigned to stay."""
     now = start.copy()
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         before = now.copy()
         parts = sample.mapInArrow(partial(_sums, partial(assign, now)), "g int, k int, n long, total array<double>")
         # a row for each centroid and dimension group, whatever the sample

@@ -57,25 +57,43 @@ def read_slides(raw: bytes) -> str:
 
 
 def read_sheets(raw: bytes) -> str:
+    """Rows of the first sheets that hold any, in the workbook's order; a sheet's file is the one its relation names."""
     z = zipfile.ZipFile(io.BytesIO(raw))
-    shared = [_texts(x, "}t") for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [x.attrib["name"] for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
-    out = []
-    for k, name in enumerate(names[:SHEETS], 1):
-        out.append(f"Sheet {name}:")
-        if f"xl/worksheets/sheet{k}.xml" not in z.namelist():
-            continue
-        rows = [r for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter() if r.tag.endswith("}row")]
-        for row in rows[:ROWS]:
+    held = set(z.namelist())
+    xml = lambda name: ElementTree.fromstring(z.read(name)) if name in held else ()
+    shared = [_texts(x, "}t") for x in xml("xl/sharedStrings.xml")]
+    files = {x.attrib["Id"]: x.attrib["Target"] for x in xml("xl/_rels/workbook.xml.rels")}
+    sheets = [(x.attrib["name"], next((v for k, v in x.attrib.items() if k.endswith("}id")), "")) for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
+    out, size = [], 0
+    for name, relation in sheets[:SHEETS]:
+        target = files.get(relation, "")
+        at = target.removeprefix("/") if target.startswith("/") else f"xl/{target}"
+        lines = []
+        for row in [r for s in xml(at) for r in s.iter() if r.tag.endswith("}row")][:ROWS]:
             cells = []
-            for c in [x for x in row if x.tag.endswith("}c")][:COLUMNS]:
+            for place, c in enumerate(x for x in row if x.tag.endswith("}c")):
+                if _column(c.attrib.get("r", ""), place) >= COLUMNS:
+                    break
                 value = _texts(c, "}v") or _texts(c, "}t")
                 cells.append(shared[int(value)] if c.attrib.get("t") == "s" and value else value)
-            if any(cells):
-                out.append(" | ".join(x for x in cells if x))
+            if any(x.strip() for x in cells):
+                lines.append(" | ".join(x for x in cells if x.strip()))
+        if lines:
+            out.append(f"Sheet {name}: " + "\n".join(lines))
+            size += len(out[-1])
+        if size > MOST_CHARS:
+            break
     return "\n".join(out)[:MOST_CHARS]
 
 
+def _column(reference: str, place: int) -> int:
+    """The column from 0 of a cell's reference, or its place in the row if it has none."""
+    found = 0
+    for letter in reference.rstrip("0123456789"):
+        found = 26 * found + ord(letter) - 64
+    return found - 1 if found else place
+
+
 def archive_entries(raw: bytes) -> str:
     """The first names in a zip or tar file."""
     if zipfile.is_zipfile(io.BytesIO(raw)):
