@@ -43,10 +43,15 @@ PARTS = "lang string, source string, part string, item string, value bigint"
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def pooled(leaves: list[pa.Table], *keys: str) -> pa.Table:
+    """Leaves with equal ``keys`` become one, in any order."""
+    whole = pa.concat_tables(leaves).group_by(list(keys)).aggregate([("docs", "sum"), ("n", "sum")])
+    return whole.rename_columns([c.removesuffix("_sum") for c in whole.column_names])
+
+
 def merged(leaves: list[pa.Table], *keys: str) -> pa.Table:
     """Leaves with equal ``keys`` become one; in the order of bytes."""
-    whole = pa.concat_tables(leaves).group_by(list(keys)).aggregate([("docs", "sum"), ("n", "sum")])
-    whole = whole.rename_columns([c.removesuffix("_sum") for c in whole.column_names])
+    whole = pooled(leaves, *keys)
     return whole.take(pc.sort_indices(whole, [(k, "ascending") for k in keys]))
 
 
@@ -77,9 +82,8 @@ class Trie:
         self.rows += len(leaf)
 
     def settle(self) -> None:
-        self.staged = [merged(self.staged, "g", "term")]
+        self.staged = [pooled(self.staged, "g", "term")]  # a traversal, in ``leaves``, puts them in order
         self.rows = self.settled = self.staged[0].num_rows
-        bytewise.trim()
 
     def leaves(self) -> Iterator[pa.RecordBatch]:
         """All leaves in the order of (language, term); the trie starts anew."""
