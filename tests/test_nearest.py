@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import nearest
+from tidemark.operators import ann, nearest
 from tidemark.operators import search as S
 from tidemark.plans import catalog
 
@@ -27,7 +27,18 @@ def test_the_nearest_are_those_of_every_pair_ranked(spark, monkeypatch):
     assert nearest.cosines(own.where("false"), asked, 3).isEmpty() and nearest.cosines(own, asked.where("false"), 3).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["agg_mrr", "agg_recall"])
+@pytest.mark.parametrize("name", ["agg_mrr", "agg_recall", "sr_ann_recall"])
 def test_pairs_of_vectors_arent_rows_of_a_join(spark, name):
     plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "zip_with" not in plan
+
+
+def test_decoded_vectors_score_as_the_tables_of_their_codes(spark):
+    rng = np.random.default_rng(3)
+    rows, cells, books = rng.standard_normal((50, 5)), rng.standard_normal((4, 5)), rng.standard_normal((3, ann.CODES, ann.WIDTH))
+    trained = ann.Trained(cells, books)
+    cell = trained.cell(rows)
+    code, asked = trained.code(rows, cell), rng.standard_normal(5)
+    table = np.einsum("gcw,gw->gc", books, ann.grouped(asked[None])[0])
+    want = (cells[cell] @ asked) + table[np.arange(3), code].sum(axis=1)
+    assert np.allclose((cells[cell] + trained.decoded(code)[:, :5]) @ asked, want)

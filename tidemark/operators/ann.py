@@ -8,10 +8,10 @@ measured on a bounded sample of the vectors themselves.
 Lists. Every vector is kept with its cell and code, parted by cell and changed by file like all
 kept tables, so an update is found at once and a search reads the cells its queries reach.
 
-Search. The inner product with a quantised vector is that with the cell's centroid and a sum of table
-entries, one table a query. Rows of a cell are dealt to parts of at most ``PART`` rows, so a
-cell that holds a third of all vectors is many groups; each keeps its best rows for each
-query. The best of all are scored again from the original vectors.
+Search. Cells are dealt to shelves of about ``PART`` vectors; a cell that is much larger than others is
+parted, so one that holds a third of all vectors is many groups. A group meets the queries that reach one of its
+cells: a cell's quantised vectors and its queries are one product, and each query's best are scored
+again from the original vectors. So a group gives ``k`` rows a query, whatever it holds.
 """
 
 from __future__ import annotations
@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
+from tidemark.operators import nearest as N
 from tidemark.operators import search as S
 from tidemark.sources.store import Kept
 
 SAMPLE, ROUNDS, MOST_CELLS = 1 << 16, 8, 4096
 WIDTH, CODES = 2, 256
-#: Rows of a cell in one group, and candidates that are scored exactly for each result wanted.
-PART, REFINE = 20_000, 10
-#: Queries of a cell in one group.
-ASKED = 2_000
+#: Vectors in one group of cells, about, and candidates that are scored exactly for each result wanted.
+PART, REFINE = 1 << 16, 10
+#: Queries in one group at most, and that many at least if there are more groups only to keep all cores busy; queries scored at once.
+ASKED, LEAST, TILE = 1 << 14, 256, 32
 #: Vectors that the number of cells to read is measured with.
 PROBED = 200
 LISTS = "file_id long, ordinal int, code binary, vec array<double>, cell int"
@@ -71,6 +72,10 @@ class Trained:
         rest = grouped(rows - self.cells[cell])
         return np.stack([closest(rest[:, g], self.books[g]) for g in range(rest.shape[1])], axis=1).astype(np.uint8)
 
+    def decoded(self, code: np.ndarray) -> np.ndarray:
+        """What codes stand for, beside the cells' centroids."""
+        return self.books[np.arange(code.shape[1]), code].reshape(len(code), -1)
+
 
 def _sums(assign, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums (g, k, n, total) of a partition for each centroid; ``assign`` gives points (rows, groups, width) and numbers."""
@@ -177,7 +182,7 @@ class VectorIndex:
 
         rows = vectors.select(F.col("file_id").cast("long").alias("file_id"), F.col("ordinal").cast("int").alias("ordinal"), F.col("vec").cast("array<double>").alias("vec"))
         touched = rows.select("file_id") if gone is None else rows.select("file_id").unionByName(gone.select("file_id"))
-        return self.lists.update(rows.where("vec is not null and size(vec) > 0").mapInArrow(coded, LISTS).repartition("cell", F.pmod(F.xxhash64("file_id", "ordinal"), F.lit(8))), touched, key)
+        return self.lists.update(rows.where("vec is not null and size(vec) > 0").mapInArrow(coded, LISTS).hint("rebalance", "cell"), touched, key)
 
     def _reached(self, queries: DataFrame, probes: int) -> DataFrame:
         """(query_id, vec, cell, place): the cells next to each query, from 0."""
@@ -197,7 +202,7 @@ class VectorIndex:
         held = self.lists.read()
         asked = held.orderBy(F.xxhash64("file_id", "ordinal", F.lit(3))).limit(PROBED)
         asked = asked.select(F.row_number().over(S.Window.orderBy("file_id", "ordinal")).alias("query_id"), F.col("vec").alias("query_vec"))  # PROBED rows
-        true = S.top_k(S.cosine(held, asked), k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
+        true = N.cosines(held, asked, k)
         cells = true.join(held.select("file_id", "ordinal", "cell"), ["file_id", "ordinal"])
         places = cells.join(self._reached(asked, len(self.trained.cells)).select("query_id", "cell", "place"), ["query_id", "cell"])
         return int(places.agg(F.percentile("place", recall)).first()[0] or 0) + 1
@@ -206,37 +211,77 @@ class VectorIndex:
         """(query_id, file_id, ordinal, score, rank): for each of ``queries`` (query_id, query_vec) the
         ``k`` nearest that its cells hold, with exact scores; ties go to the lesser file and ordinal."""
         probes = probes or self.probes or len(self.trained.cells)
-        books, cells, most = self.trained.books, self.trained.cells, k * refine
-        reached = self._reached(queries, probes).drop("place")
+        trained, most = self.trained, k * refine
+        cells = trained.cells
+        held = self.lists.read()
         # a number for each cell at most
-        wanted = [r.cell for r in reached.select("cell").distinct().collect()]
-        held = self.lists.read(F.col("cell").isin(wanted))
-        sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-        rows = held.select("cell", "file_id", "ordinal", "code").join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("file_id", "ordinal"), F.col("parts")).cast("int"))
-        blocks = reached.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("blocks"))
-        rows = rows.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("parts", "blocks")
-        block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block")
-        asked = reached.join(sizes, "cell").join(blocks, "cell").select("cell", "query_id", "vec", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-        def best(key, own: pa.Table, questions: pa.Table) -> pa.Table:
-            found: list[list[np.ndarray]] = [[], [], [], []]
+        sizes = {r.cell: r.n for r in held.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        shelves = max(1, -(-sum(sizes.values()) // PART))
+        part = max(1, PART * shelves // len(cells))
+        parts = np.array([-(-sizes.get(c, 0) // part) for c in range(len(cells))])
+        m = queries.count()
+        blocks = max(1, -(-m // ASKED), min(-(-self.spark.sparkContext.defaultParallelism // shelves), -(-m // LEAST)))
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each query and group of vectors that holds one of its cells."""
+            for batch in batches:
+                order = np.argsort(-(matrix(batch.column(1)) @ cells.T), axis=1, kind="stable")[:, :probes]
+                row, shelf, of, own = [], [], [], []
+                for i, near in enumerate(order):
+                    near = near[parts[near] > 0]
+                    for at in np.unique(near % shelves).tolist():
+                        here = near[near % shelves == at]
+                        for p in range(parts[here].max()):
+                            row.append(i), shelf.append(at), of.append(p), own.append(here[parts[here] > p].tolist())
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(shelf, pa.int32()), pa.array(of, pa.int32()), pa.array(own, pa.list_(pa.int32()))], names=["query_id", "vec", "shelf", "part", "cells"])
+
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").cast("array<double>").alias("vec")).where("vec is not null and size(vec) > 0")
+        asked = asked.repartition(self.spark.sparkContext.defaultParallelism).mapInArrow(reach, "query_id long, vec array<double>, shelf int, part int, cells array<int>")
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        few = F.broadcast(self.spark.createDataFrame([(c, int(n)) for c, n in enumerate(parts) if n], "cell int, parts int"))
+        rows = held.join(few, "cell").withColumn("shelf", F.pmod("cell", F.lit(shelves)).cast("int")).withColumn("part", F.pmod(F.xxhash64("file_id", "ordinal"), F.col("parts")).cast("int"))
+        rows = rows.drop("parts").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def best(own: pa.Table, questions: pa.Table) -> pa.Table:
+            found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int32, np.float64)]
             if own.num_rows and questions.num_rows:
-                file, ordinal = own.column("file_id").to_numpy(), own.column("ordinal").to_numpy()
-                codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(own.num_rows, -1)
-                asking = matrix(questions.column("vec").combine_chunks())
-                ids = questions.column("query_id").to_numpy()
-                groups = np.arange(codes.shape[1])
-                for i, q in zip(ids, asking, strict=True):
-                    table = np.einsum("gcw,gw->gc", books, grouped(q[None])[0])
-                    score = q @ cells[key[0].as_py()] + table[groups, codes].sum(axis=1)
-                    first = np.argpartition(-score, most - 1)[:most] if len(score) > most else np.arange(len(score))
-                    for out, x in zip(found, (np.full(len(first), i), file[first], ordinal[first], score[first]), strict=True):
+                own = own.sort_by([("cell", "ascending"), ("file_id", "ascending"), ("ordinal", "ascending")])
+                file, ordinal, cell = (own.column(c).to_numpy() for c in ("file_id", "ordinal", "cell"))
+                vectors, codes = matrix(own.column("vec").combine_chunks()), np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(own.num_rows, -1)
+                # the quantised vectors themselves, so that a cell's scores for its queries are one product
+                coarse = cells[cell] + trained.decoded(codes)[:, : vectors.shape[1]]
+                asking, ids = matrix(questions.column("vec").combine_chunks()), questions.column("query_id").to_numpy()
+                wanted = questions.column("cells").to_pylist()
+                first, after = (dict(zip(*x, strict=True)) for x in ((lambda u, at: ((u, at), (u, np.append(at[1:], len(cell)))))(*np.unique(cell, return_index=True))))
+                order = np.argsort([w[0] for w in wanted], kind="stable")
+                for at in range(0, len(order), TILE):
+                    some = order[at : at + TILE]
+                    asks: dict[int, list[int]] = {}
+                    for j, q in enumerate(some):
+                        for c in wanted[q]:
+                            if c in first:
+                                asks.setdefault(c, []).append(j)
+                    if not asks:
+                        continue
+                    columns = np.concatenate([np.arange(first[c], after[c]) for c in sorted(asks)])
+                    score, begin = np.full((len(some), len(columns)), -np.inf), 0
+                    for c in sorted(asks):
+                        end = begin + after[c] - first[c]
+                        score[asks[c], begin:end] = asking[some[asks[c]]] @ coarse[first[c] : after[c]].T
+                        begin = end
+                    near = np.argpartition(-score, most - 1, axis=1)[:, :most] if len(columns) > most else np.tile(np.arange(len(columns)), (len(some), 1))
+                    reached = np.take_along_axis(score, near, axis=1) > -np.inf
+                    near = columns[near]
+                    exact = np.where(reached, np.round(np.einsum("qnd,qd->qn", vectors[near], asking[some]), 9), -np.inf)
+                    ranks = np.lexsort((ordinal[near], file[near], -exact), axis=1)[:, :k]
+                    exact, near = np.take_along_axis(exact, ranks, axis=1), np.take_along_axis(near, ranks, axis=1)
+                    row, column = np.nonzero(exact > -np.inf)
+                    for out, x in zip(found, (ids[some[row]], file[near[row, column]], ordinal[near[row, column]], exact[row, column]), strict=True):
                         out.append(x)
-            columns = [np.concatenate(x) if x else np.zeros(0) for x in found]
-            return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["query_id", "file_id", "ordinal", "score"])
-
-        near = rows.groupBy("cell", "part", "block").cogroup(asked.groupBy("cell", "part", "block")).applyInArrow(best, "query_id long, file_id long, ordinal int, score double")
-        near = S.top_k(near, most, F.desc("score"), F.asc("file_id"), F.asc("ordinal")).select("query_id", "file_id", "ordinal")
-        exact = near.join(held.select("file_id", "ordinal", "vec"), ["file_id", "ordinal"]).join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").cast("array<double>").alias("query_vec")), "query_id")
-        scored = exact.select("query_id", "file_id", "ordinal", V.dot(V.normalised(F.col("vec")), V.normalised(F.col("query_vec"))).alias("score"))
-        return S.top_k(scored, k, F.desc(F.round("score", 9)), F.asc("file_id"), F.asc("ordinal"))
+            query, files, places, scores = (np.concatenate(x) for x in found)
+            return pa.table({"query_id": query, "file_id": files, "ordinal": places, "score": scores})
+
+        keys = ["shelf", "part", "block"]
+        near = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, "query_id long, file_id long, ordinal int, score double")
+        return S.top_k(near, k, F.desc("score"), F.asc("file_id"), F.asc("ordinal"))
