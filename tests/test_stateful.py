@@ -49,6 +49,37 @@ def test_debounced_equals_the_simulation(spark, tmp_path):
         assert sorted(got) == sorted(wanted) and len(wanted) > 20
 
 
+class Counted:
+    """State in a dict that counts the calls to it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "getMapState": lambda *_: self, "getValueState": lambda *_: self.due, "containsKey": self.held.__contains__, "getValue": self.held.get, "updateValue": self.held.__setitem__,
+                "iterator": lambda: iter(list(self.held.items())), "clear": self.held.clear, "get": lambda: self.held.get(0), "update": lambda v: self.held.__setitem__(0, v), "exists": lambda: 0 in self.held, "registerTimer": lambda *_: None, "deleteTimer": lambda *_: None,
+            }[name](*args)
+
+        return call
+
+
+def test_calls_to_the_state_grow_with_paths_not_with_rows():
+    from pyspark.sql import Row
+
+    own = stateful.Debounce(2000)
+    state = Counted()
+    state.due = Counted()
+    own.init(state)
+    state.calls = 0
+    rows = [Row(at=i * 100_000, event_id=i, kind="changed", path=f"p{i % 3}") for i in range(1000)]
+    out = [r for part in (rows[:700], rows[700:]) for r in own.handleInputRows(("s",), iter(part), None)]
+    assert state.calls + state.due.calls < 40
+    assert sum(r.n for r in out) + sum(n for _, n, _ in state.held.values()) == 1000 and len(out) == 49 * 3
+
+
 def test_rolling_latency_equals_the_report(spark, tmp_path):
     rng = random.Random(4)
     batches = [[(EPOCH + timedelta(seconds=1000 * k + i), 1000 * k + i, rng.choice("abc"), str(rng.random() * 100), "") for i in range(n)] for k, n in enumerate((5, 150, 40))]

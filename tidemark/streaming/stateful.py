@@ -35,31 +35,42 @@ class Debounce(StatefulProcessor):
         self.pending = handle.getMapState("pending", "path string", "kind string, n bigint, first bigint")
         self.due = handle.getValueState("due", "due bigint")
 
-    def _flush(self, scope: str, due: int) -> Iterator[Row]:
-        # one row for each path of the scope
-        for (path,), (kind, n, first) in sorted(self.pending.iterator(), key=lambda x: x[0][0]):
+    def _flush(self, scope: str, due: int, own: dict, held: bool) -> Iterator[Row]:
+        # one row for each path of the scope; ``own`` goes before what the state holds
+        rows = {path: value for (path,), value in self.pending.iterator()} | own if held else own
+        for path, (kind, n, first) in sorted(rows.items(), key=lambda x: x[0]):
             yield Row(scope=scope, path=path, kind=kind, n=n, first=first, due=due)
-        self.pending.clear()
-        self.due.clear()
+        if held:
+            self.pending.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        due = self.due.get()[0] if self.due.exists() else None
+        # each call to the state is a way to the JVM and back: a path is read once at most, and what is left is written at the end
+        before = self.due.get()
+        before = before[0] if before else None
+        due, own, held = before, {}, before is not None
         for row in sorted(rows, key=lambda r: (r.at, r.event_id)):
             if due is not None and row.at >= due:
-                self.handle.deleteTimer(_timer(due))
-                yield from self._flush(key[0], due)
-                due = None
+                yield from self._flush(key[0], due, own, held)
+                due, own, held = None, {}, False
             if due is None:
                 due = row.at + self.delay_ms * 1000
-                self.due.update((due,))
-                self.handle.registerTimer(_timer(due))
-            old = self.pending.getValue((row.path,)) if self.pending.containsKey((row.path,)) else None
-            self.pending.updateValue((row.path,), (row.kind, old[1] + 1 if old else 1, old[2] if old else row.at))
+            old = own.get(row.path)
+            if old is None and held and self.pending.containsKey((row.path,)):
+                old = self.pending.getValue((row.path,))
+            own[row.path] = (row.kind, old[1] + 1 if old else 1, old[2] if old else row.at)
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(_timer(before))
+            self.due.update((due,))
+            self.handle.registerTimer(_timer(due))
+        for path, value in own.items():
+            self.pending.updateValue((path,), value)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = self.due.get()[0] if self.due.exists() else None
-        if due is not None and _timer(due) == expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._flush(key[0], due)
+        due = self.due.get()
+        if due and _timer(due[0]) == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._flush(key[0], due[0], {}, True)
+            self.due.clear()
 
     def close(self) -> None:
         pass
