@@ -230,3 +230,13 @@ def test_purge_compact_usage_and_wipe(spark, tmp_path):
     sizes = {r.name: r.bytes for r in C.usage(spark, t=folder, none=f"{tmp_path}/no").collect()}
     assert sizes["t"] > 0 and sizes["none"] == 0 and sizes["total"] == sizes["t"]
     assert C.wipe(spark, folder, f"{tmp_path}/no") == 1
+
+
+def test_keyword_search_reads_each_text_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b a c"), (2, "b"), (3, ""), (4, None), (5, "a-b a b")], "file_id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "a-b c"), (3, "zz")], "query_id int, query string")
+    found = S.bm25(rows, ["file_id"], "text", asked)
+    assert "text#" not in found._jdf.queryExecution().analyzed().toString()
+    one = sorted((r.query_id, r.file_id, round(r.score, 9)) for r in found.collect())
+    monkeypatch.setattr(S, "SOUGHT", 0)
+    assert one == sorted((r.query_id, r.file_id, round(r.score, 9)) for r in S.bm25(rows, ["file_id"], "text", asked).collect()) and len(one) == 4
