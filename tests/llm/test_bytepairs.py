@@ -82,3 +82,27 @@ def test_query(spark):
         ids = np.array(encoder.encode_ordinary(r.text or ""), "<u4")
         own = found[r.doc_id]
         assert (own.n_tokens, own.ids_sha256, own.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+
+
+def test_each_table_is_in_the_plan_once(spark):
+    """Copies of the literal tables, and what each task found most frequent, filled the driver's memory."""
+    vocabulary = Vocabulary.load(FILE)
+    docs = spark.createDataFrame([(1, "the words of the text")], "doc_id long, text string")
+    found = bytepairs.encode_texts(docs, vocabulary, PATTERN)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    # some pair's entry, and a frequent word's
+    pair = chr(vocabulary.ranks[b"t"]) + chr(vocabulary.ranks[b"h"])
+    assert plan.count(f"{bytepairs.KEY}{pair}{bytepairs.VALUE}") == 1 and plan.count(f"{bytepairs.KEY}the{bytepairs.VALUE}") <= 2
+
+
+def test_only_words_that_repeat_are_kept_and_ties_bound_them(spark):
+    encoder = Vocabulary.load(FILE).encoder()
+    words = spark.createDataFrame([(w,) for w in ["a"] * 3 + ["b"] * 2 + ["c"] * 2 + ["d"]], "word string")
+    assert [w for w, _ in bytepairs.frequent_words(words, encoder, 10)] == ["a", "b", "c"]
+    assert [w for w, _ in bytepairs.frequent_words(words, encoder, 2)] == ["a"]
+
+
+def test_words_with_the_parts_of_a_table(spark):
+    key, value, bucket = bytepairs.KEY, bytepairs.VALUE, bytepairs.BUCKET
+    texts = [f"{key}!{value}", f"!{value}\0{key}!!", f"!{bucket}!", "! !!", "! !!", f"{key}!!{value}!{key}"] * 3
+    check(spark, texts, Vocabulary.load(FILE))

@@ -4,13 +4,13 @@ Splitting. A text is split by the pattern of the vocabulary's family, in the JVM
 classes are those of the encoder that the ids have to agree with (see ``LATER_LETTERS``).
 
 Merging. A word is an array of bytes; a fold over it merges the adjacent pair of the least
-rank, the leftmost of equals, until no pair has a rank. The ranks of all tokens are one literal: an array of small maps, found by the checksum of a token's digits, so that
-a lookup costs the same for each size of vocabulary.
+rank, the leftmost of equals, until no pair has a rank. The ranks of all tokens are one literal: an array of small texts of keys and values, found by the checksum of a token's digits, so that
+a lookup costs the same for each size of vocabulary. Each expression names it once.
 In a long word all places of the least rank merge in one step, where no merge of lower
 rank can follow from them.
 
-Distinct words. All words of all texts are counted; the ``FREQUENT`` most frequent of at
-most ``SHORT`` bytes are folded once each, and their ids go into the plan as a literal too
+Distinct words. All words of all texts are counted; the ``FREQUENT`` most frequent that occur
+more than once, of at most ``SHORT`` bytes, are folded once each, and their ids go into the plan as a literal too
 (a bounded table, whatever the corpus). Any other word is folded where it stands, once for
 each text that holds it, so no text is shuffled and no word is a hot key.
 
@@ -22,14 +22,17 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FREQUENT = 1 << 16
+from tidemark.llm.scratch import Scratch
+
+FREQUENT = 1 << 18
 SHORT = 48
-#: So many of the most frequent words are looked up first, in a table that stays in the processor's cache.
+#: So many of the most frequent words are looked up first, in places of their own that stay in the processor's cache.
 HOT = 1 << 12
 
 # Letters and numbers of Unicode 16.0 that Java 17, which knows Unicode 13.0, doesn't class as such.
@@ -81,24 +84,47 @@ def _literal(values: list, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), ddl)
 
 
+#: Parts of a table's text, in no id's symbol: before a key, between key and value, between buckets.
+KEY, VALUE, BUCKET = "\ue001", "\ue002", "\ue003"
+
+
 class Table:
-    """A literal map from strings to strings: keys and values in buckets by the keys'
-    checksums, so that a lookup takes the same time at any size."""
+    """A constant map from strings to strings: one text a bucket, found by the key's checksum, so that a
+    lookup takes the same time at any size. ``missing``: what a key that isn't there gives. Keys
+    with one of the parts' characters are left out.
 
-    def __init__(self, entries: dict[str, str]):
+    ``buckets`` is a constant of the plan. Each place that names it is a copy in the driver's memory, so
+    callers bind it once (``_let``) and look up in the variable."""
+
+    def __init__(self, entries: Iterable[tuple[str, str]], missing: str = ""):
+        entries = [(k, v) for k, v in entries if not (KEY in k or VALUE in k or BUCKET in k)]
         self.n = max(1, len(entries))
-        keys: list[list] = [[] for _ in range(self.n)]
-        values: list[list] = [[] for _ in range(self.n)]
-        for k, v in entries.items():
-            at = zlib.crc32(k.encode()) % self.n
-            keys[at].append(k)
-            values[at].append(v)
-        self.keys, self.values = _literal(keys, "array<array<string>>"), _literal(values, "array<array<string>>")
-
-    def get(self, key: Column) -> Column:
-        """The key's value, or null. ``key``: a variable of a lambda, as it is used more than once."""
+        texts: list[list[str]] = [[missing] for _ in range(self.n)]
+        for k, v in entries:
+            texts[zlib.crc32(k.encode()) % self.n].append(f"{k}{VALUE}{v}")
+        self.buckets = F.split(F.lit(BUCKET.join(KEY.join([*t, ""]) for t in texts)), BUCKET)
+
+    def get(self, buckets: Column, key: Column) -> Column:
+        """The key's value. ``buckets`` and ``key``: variables of lambdas, as the key is used more than once."""
+        bucket = F.get(buckets, F.crc32(key.cast("binary")) % self.n)
+        # behind the key up to the next one; without the key, what the bucket begins with
+        behind = F.call_function("substring_index", bucket, F.concat(F.lit(KEY), key, F.lit(VALUE)), F.lit(-1))
+        return F.substring_index(behind, KEY, 1)
+
+
+class Places:
+    """A constant map from strings to strings that holds an entry only if no earlier one has its place, with four places for each entry."""
+
+    def __init__(self, entries: list[tuple[str, str]]):
+        self.n = 4 * max(1, len(entries))
+        held: dict[int, tuple[str, str]] = {}
+        for k, v in entries:
+            held.setdefault(zlib.crc32(k.encode()) % self.n, (k, v))
+        self.keys, self.values = (_literal([held[i][part] if i in held else None for i in range(self.n)], "array<string>") for part in (0, 1))
+
+    def get(self, keys: Column, values: Column, key: Column, otherwise: Column) -> Column:
         place = F.crc32(key.cast("binary")) % self.n
-        return F.get(F.get(self.values, place), F.array_position(F.get(self.keys, place), key).cast("int") - 1)
+        return F.when(F.get(keys, place) == key, F.get(values, place)).otherwise(otherwise)
 
 
 #: Above the symbols of all ids in the order of strings: no rank.
@@ -126,7 +152,8 @@ class Vocabulary:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
 
     def encoder(self):
-        """A function from a column of words to their ids: a string with the character of each id.
+        """A function that gives another a function from a column of words to their ids, a string with the character
+        of each id, and returns what that makes of it: ``encoder()(lambda encode: encode(word))``. The literal tables are bound around it.
 
         The fold's state: the string of ids so far (``ids``), and one with the rank of each pair of
         neighbours (``ranks``), whose least character is the next merge. A merge looks up the two
@@ -141,59 +168,80 @@ class Vocabulary:
                     # with all such ranks above its own, a merge to a token brings up none that comes before others of its rank
                     settled[left] &= rank > left
                     settled[right] &= rank > right
-        table, settled = Table(pairs), _literal(settled, "array<boolean>")
-        whole = Table({token.decode("latin-1"): chr(rank) for token, rank in self.ranks.items()})
+        table, settled = Table(pairs.items(), NONE), _literal(settled, "array<boolean>")
+        whole = Table((token.decode("latin-1"), chr(rank)) for token, rank in self.ranks.items())
         latin, single = "".join(map(chr, range(256))), "".join(chr(self.ranks[bytes([b])] or ord(NONE)) for b in range(256))
 
-        def rank(left: Column, right: Column) -> Column:
-            return _let(F.concat(left, right), lambda pair: F.coalesce(table.get(pair), F.lit(NONE)))
+        def bound(ranked: Column, tokens: Column):
+            def rank(left: Column, right: Column) -> Column:
+                return _let(F.concat(left, right), lambda pair: table.get(ranked, pair))
+
+            def start(ids: Column) -> Column:
+                def ranks(c: Column) -> Column:
+                    return F.array_join(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), rank), "")
 
-        def start(ids: Column) -> Column:
-            def ranks(c: Column) -> Column:
-                return F.array_join(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), rank), "")
+                return F.struct(ids.alias("ids"), _let(F.split(ids, ""), ranks).alias("ranks"))
 
-            return F.struct(ids.alias("ids"), _let(F.split(ids, ""), ranks).alias("ranks"))
+            def merge_first(ids: Column, ranks: Column, least: Column) -> Column:
+                def at(k: Column) -> Column:
+                    left = F.when(k > 1, rank(F.substring(ids, k - 1, F.lit(1)), least)).otherwise("")
+                    right = F.when(k < F.length(ranks), rank(least, F.substring(ids, k + 2, F.lit(1)))).otherwise("")
+                    after = F.concat(F.substring(ranks, F.lit(1), k - 2), left, right, F.substring(ranks, k + 2, F.length(ranks)))
+                    return F.struct(F.overlay(ids, least, k, F.lit(2)).alias("ids"), after.alias("ranks"))
 
-        def merge_first(ids: Column, ranks: Column, least: Column) -> Column:
-            def at(k: Column) -> Column:
-                left = F.when(k > 1, rank(F.substring(ids, k - 1, F.lit(1)), least)).otherwise("")
-                right = F.when(k < F.length(ranks), rank(least, F.substring(ids, k + 2, F.lit(1)))).otherwise("")
-                after = F.concat(F.substring(ranks, F.lit(1), k - 2), left, right, F.substring(ranks, k + 2, F.length(ranks)))
-                return F.struct(F.overlay(ids, least, k, F.lit(2)).alias("ids"), after.alias("ranks"))
+                return _let(F.position(least, ranks), at)
 
-            return _let(F.position(least, ranks), at)
+            def merge_all(ids: Column, ranks: Column, least: Column) -> Column:
+                flags = F.array_join(F.transform(F.split(ranks, ""), lambda r: F.when(r == least, "1").otherwise("0")), "")
+                flags = F.split(F.replace(flags, F.lit("11"), F.lit("10")), "")  # of overlapping places in a row every second
+                merged = _let(flags, lambda f: F.array_join(F.transform(F.split(ids, ""), lambda x, i: F.when(F.get(f, i) == "1", least).when(F.get(f, i - 1) == "1", "").otherwise(x)), ""))
+                return _let(merged, start)
 
-        def merge_all(ids: Column, ranks: Column, least: Column) -> Column:
-            flags = F.array_join(F.transform(F.split(ranks, ""), lambda r: F.when(r == least, "1").otherwise("0")), "")
-            flags = F.split(F.replace(flags, F.lit("11"), F.lit("10")), "")  # of overlapping places in a row every second
-            merged = _let(flags, lambda f: F.array_join(F.transform(F.split(ids, ""), lambda x, i: F.when(F.get(f, i) == "1", least).when(F.get(f, i - 1) == "1", "").otherwise(x)), ""))
-            return _let(merged, start)
+            def step(s: Column, _: Column) -> Column:
+                ids, ranks = s["ids"], s["ranks"]
 
-        def step(s: Column, _: Column) -> Column:
-            ids, ranks = s["ids"], s["ranks"]
+                def by(least: Column) -> Column:
+                    several = (F.length(ids) > SHORT) & F.get(settled, F.ascii(least))
+                    return F.when((ranks == "") | (least == NONE), F.struct(ids.alias("ids"), F.lit("").alias("ranks"))).when(several, merge_all(ids, ranks, least)).otherwise(merge_first(ids, ranks, least))
 
-            def by(least: Column) -> Column:
-                several = (F.length(ids) > SHORT) & F.get(settled, F.ascii(least))
-                return F.when((ranks == "") | (least == NONE), F.struct(ids.alias("ids"), F.lit("").alias("ranks"))).when(several, merge_all(ids, ranks, least)).otherwise(merge_first(ids, ranks, least))
+                return F.when(ranks == "", s).otherwise(_let(F.array_min(F.split(ranks, "")), by))
 
-            return F.when(ranks == "", s).otherwise(_let(F.array_min(F.split(ranks, "")), by))
+            def fold(octets: Column) -> Column:
+                ids = F.replace(F.translate(octets, latin, single), F.lit(NONE), F.lit("\0"))  # translate takes the character 0 for a deletion
+                return F.aggregate(F.sequence(F.lit(2), F.length(octets)), _let(ids, start), step)["ids"]
 
-        def fold(octets: Column) -> Column:
-            ids = F.replace(F.translate(octets, latin, single), F.lit(NONE), F.lit("\0"))  # translate takes the character 0 for a deletion
-            return F.aggregate(F.sequence(F.lit(2), F.length(octets)), _let(ids, start), step)["ids"]
+            def encode(octets: Column) -> Column:
+                return _let(whole.get(tokens, octets), lambda one: F.when(one != "", one).otherwise(fold(octets)))
 
-        def encode(octets: Column) -> Column:
-            return F.coalesce(whole.get(octets), fold(octets))
+            return lambda word: _let(F.decode(word.cast("binary"), "ISO-8859-1"), encode)
 
-        return lambda word: _let(F.decode(word.cast("binary"), "ISO-8859-1"), encode)
+        return lambda use: _let(table.buckets, lambda ranked: _let(whole.buckets, lambda tokens: use(bound(ranked, tokens))))
 
 
-def frequent_words(words: DataFrame, encode, most: int) -> dict[str, str]:
+def frequent_words(words: DataFrame, encoder, most: int) -> list[tuple[str, str]]:
     """``words``: rows (word). The ids of the ``most`` most frequent distinct words of at most
-    ``SHORT`` bytes (ties: the lesser word): a bounded table for the driver."""
-    counted = words.where(F.octet_length("word") <= SHORT).groupBy("word").count()
-    kept = counted.orderBy(F.desc("count"), "word").limit(most)
-    return {r.word: r.ids for r in kept.select("word", encode(F.col("word")).alias("ids")).collect()}
+    ``SHORT`` bytes that occur more than once, the most frequent first: a bounded table for the
+    driver. Of words that occur equally often all or none."""
+    if most <= 0:
+        return []
+    scratch = Scratch(words.sparkSession, "frequent-words")
+    counted = words.where(F.octet_length("word") <= SHORT).groupBy("word").agg(F.count("*").alias("n"))
+    counted = scratch.keep(counted.where("n > 1"), "counts")
+    # a row for each count: as many as the root of twice the number of words at most
+    least, room = 0, most
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+        room -= r.words
+        if room < 0:
+            break
+        least = r.n
+    found = []
+    if least:
+        kept = counted.where(F.col("n") >= least).repartition(4 * words.sparkSession.sparkContext.defaultParallelism)
+        found = kept.select("word", "n", encoder(lambda encode: encode(F.col("word"))).alias("ids")).toArrow().to_pydict()
+        found = [x[1:] for x in sorted(zip((-n for n in found["n"]), found["word"], found["ids"], strict=True))]
+    scratch.drop("counts")
+    scratch.release()
+    return found
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text", into: str = "ids", frequent: int = FREQUENT) -> DataFrame:
@@ -204,13 +252,24 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col
     A null or empty text has no ids; long texts and long words are encoded whole; repeated
     rows and other columns stay as they are. A column that is called ``into`` already is
     replaced. An empty table stays empty."""
-    encode = vocabulary.encoder()
-    words = docs.select(F.explode(words_of(F.col(text_col), pattern)).alias("word"))
-    known = frequent_words(words, encode, frequent)
-    hot, warm = Table(dict(list(known.items())[:HOT])), Table(dict(list(known.items())[HOT:]))
-    symbols = F.transform(words_of(F.col(text_col), pattern), lambda word: F.coalesce(hot.get(word), warm.get(word), encode(word)))
+    encoder, text = vocabulary.encoder(), F.col(text_col)
+    words = docs.select(F.explode(words_of(text, pattern)).alias("word"))
+    found = frequent_words(words, encoder, frequent)
+    hot, known = Places(found[:HOT]), Table(found)
+
+    def symbols(encode) -> Column:
+        def by(keys: Column, values: Column, buckets: Column) -> Column:
+            def cold(word: Column) -> Column:
+                return _let(known.get(buckets, word), lambda ids: F.when(ids != "", ids).otherwise(encode(word)))
+
+            return F.transform(words_of(text, pattern), lambda word: hot.get(keys, values, word, cold(word)))
+
+        # a word that holds a part of the table's own text could be taken for other keys
+        buckets = F.when(~F.coalesce(F.contains(text, F.lit(VALUE)), F.lit(False)), known.buckets)
+        return F.array_join(_let(hot.keys, lambda keys: _let(hot.values, lambda values: _let(buckets, lambda b: by(keys, values, b)))), "")
+
     # a character and its high half, 0, of each id: in UTF-16 the four bytes of the number
-    return docs.withColumn(into, F.encode(F.array_join(F.transform(F.split(F.array_join(symbols, ""), ""), lambda x: F.when(x != "", F.concat(x, F.lit("\0"))).otherwise("")), ""), "UTF-16LE"))
+    return docs.withColumn(into, F.encode(F.array_join(F.transform(F.split(encoder(symbols), ""), lambda x: F.when(x != "", F.concat(x, F.lit("\0"))).otherwise("")), ""), "UTF-16LE"))
 
 
 def count_ids(ids: Column) -> Column:
