@@ -85,3 +85,36 @@ def test_nulls_and_nothing(spark, tmp_path, made):
 def test_recall_on_the_table(spark):
     r = catalog.queries()["sr_ann_recall"](spark, "/root/testdata/sf0.01").first()
     assert r.queries == 25 and r.wanted == 250 and r.reached
+
+
+def test_sums_of_many_centroids_take_no_pass_for_each():
+    """One mask for each centroid took 32 x 256 passes over a batch in a round."""
+    rng = np.random.default_rng(3)
+    points, numbers = rng.normal(size=(6000, 16, 2)), rng.integers(0, 256, (6000, 16))
+    numbers[3000:] += 7  # later batches may have higher numbers
+    batches = [ann.pa.RecordBatch.from_arrays([ann.pa.array([[float(i)] for i in range(at, at + size)])], names=["vec"]) for at, size in ((0, 3000), (3000, 0), (3000, 3000))]
+    seen, calls, unique = iter([slice(0, 3000), slice(3000, 6000)]), [], np.unique
+
+    def assign(rows):
+        at = next(seen)
+        return points[at], numbers[at]
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ann.np, "unique", lambda *x, **y: (calls.append(1), unique(*x, **y))[1])
+        (found,) = ann._sums(assign, iter(batches))
+    assert not calls and found.num_rows == len(set(zip(*(x.ravel().tolist() for x in (np.broadcast_to(np.arange(16), numbers.shape), numbers)), strict=True)))
+    for r in found.to_pylist():
+        of = points[:, r["g"]][numbers[:, r["g"]] == r["k"]]
+        assert r["n"] == len(of) and np.allclose(r["total"], of.sum(axis=0))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_scores_are_those_of_each_list(share):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 6, 40)
+    begins, n = np.cumsum(sizes) - sizes, sizes.sum()
+    asking, vectors, asks = rng.normal(size=(7, 5)), rng.normal(size=(n, 5)), rng.random((7, 40)) < share
+    lists = np.repeat(np.arange(40), sizes)
+    columns = np.flatnonzero(asks.any(axis=0)[lists])
+    found = ann.scores(asking, vectors, columns, asks, begins, sizes)
+    assert np.allclose(found, np.where(asks[:, lists], asking @ vectors.T, -np.inf)[:, columns])

@@ -78,19 +78,23 @@ class Trained:
 
 
 def _sums(assign, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums (g, k, n, total) of a partition for each centroid; ``assign`` gives points (rows, groups, width) and numbers."""
-    sums: dict[tuple[int, int], list] = {}
+    """Partial sums (g, k, n, total) of a partition for each centroid; ``assign`` gives points (rows, groups, width) and numbers.
+    A batch is added up in as many passes as points are wide, however many centroids there are."""
+    count, sums = np.zeros((1, 0), np.int64), np.zeros((1, 0, 1))
     for batch in batches:
+        if not batch.num_rows:
+            continue
         points, numbers = assign(matrix(batch.column(0)))
-        for g in range(points.shape[1]):
-            own = points[:, g]
-            for k in np.unique(numbers[:, g]).tolist():
-                of = own[numbers[:, g] == k]
-                entry = sums.setdefault((g, k), [0, np.zeros(of.shape[1])])
-                entry[0] += len(of)
-                entry[1] += of.sum(axis=0)
-    keys = list(sums)
-    columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1].tolist() for k in keys], pa.list_(pa.float64()))]
+        _, groups, width = points.shape
+        most = max(count.shape[1], int(numbers.max()) + 1)
+        flat = (numbers + most * np.arange(groups)).ravel()
+        n = np.bincount(flat, minlength=groups * most).reshape(groups, most)
+        total = np.stack([np.bincount(flat, points[:, :, i].ravel(), groups * most) for i in range(width)], axis=-1).reshape(groups, most, width)
+        n[:, : count.shape[1]] += count
+        total[:, : count.shape[1]] += sums
+        count, sums = n, total
+    g, k = np.nonzero(count)
+    columns = [pa.array(g, pa.int32()), pa.array(k, pa.int32()), pa.array(count[g, k], pa.int64()), pa.array(list(sums[g, k]), pa.list_(pa.float64()))]
     yield pa.RecordBatch.from_arrays(columns, names=["g", "k", "n", "total"])
 
 
@@ -137,6 +141,22 @@ def train(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> Traine
     return own
 
 
+def scores(asking: np.ndarray, vectors: np.ndarray, columns: np.ndarray, asks: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Products of ``asking`` with the rows ``columns`` of ``vectors``, minus infinity where a query doesn't ask (``asks``) the list of the
+    vector. Lists are stretches of ``vectors``; ``columns`` are all rows of those that some query asks. One product of all if
+    queries ask for half of it at least, else one a list."""
+    used = np.flatnonzero(asks.any(axis=0))
+    if 2 * (asks @ sizes).sum() >= len(asking) * len(columns):
+        out = asking @ (vectors if len(columns) == len(vectors) else vectors[columns]).T
+        out[np.repeat(~asks[:, used], sizes[used], axis=1)] = -np.inf
+        return out
+    out, end = np.full((len(asking), len(columns)), -np.inf, vectors.dtype), 0
+    for i in used:
+        own, begin, end = np.flatnonzero(asks[:, i]), end, end + sizes[i]
+        out[own, begin:end] = asking[own] @ vectors[begins[i] : begins[i] + sizes[i]].T
+    return out
+
+
 class VectorIndex:
     """Vectors (file_id, ordinal, vec) below ``folder``, by cells. ``probes``: the cells a query reads,
     measured by ``build`` unless given."""
@@ -249,28 +269,25 @@ class VectorIndex:
                 own = own.sort_by([("cell", "ascending"), ("file_id", "ascending"), ("ordinal", "ascending")])
                 file, ordinal, cell = (own.column(c).to_numpy() for c in ("file_id", "ordinal", "cell"))
                 vectors, codes = matrix(own.column("vec").combine_chunks()), np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(own.num_rows, -1)
-                # the quantised vectors themselves, so that a cell's scores for its queries are one product
-                coarse = cells[cell] + trained.decoded(codes)[:, : vectors.shape[1]]
+                # the quantised vectors themselves, in single precision as they only choose what is scored exactly
+                coarse = (cells[cell] + trained.decoded(codes)[:, : vectors.shape[1]]).astype(np.float32)
                 asking, ids = matrix(questions.column("vec").combine_chunks()), questions.column("query_id").to_numpy()
                 wanted = questions.column("cells").to_pylist()
-                first, after = (dict(zip(*x, strict=True)) for x in ((lambda u, at: ((u, at), (u, np.append(at[1:], len(cell)))))(*np.unique(cell, return_index=True))))
+                single = asking.astype(np.float32)
+                here, begins, sizes = np.unique(cell, return_index=True, return_counts=True)
+                lists, place = np.repeat(np.arange(len(here)), sizes), {c: i for i, c in enumerate(here.tolist())}
                 order = np.argsort([w[0] for w in wanted], kind="stable")
                 for at in range(0, len(order), TILE):
                     some = order[at : at + TILE]
-                    asks: dict[int, list[int]] = {}
+                    asks = np.zeros((len(some), len(here)), bool)
                     for j, q in enumerate(some):
-                        for c in wanted[q]:
-                            if c in first:
-                                asks.setdefault(c, []).append(j)
-                    if not asks:
+                        asks[j, [place[c] for c in wanted[q] if c in place]] = True
+                    used = asks.any(axis=0)
+                    if not used.any():
                         continue
-                    columns = np.concatenate([np.arange(first[c], after[c]) for c in sorted(asks)])
-                    score, begin = np.full((len(some), len(columns)), -np.inf), 0
-                    for c in sorted(asks):
-                        end = begin + after[c] - first[c]
-                        score[asks[c], begin:end] = asking[some[asks[c]]] @ coarse[first[c] : after[c]].T
-                        begin = end
-                    near = np.argpartition(-score, most - 1, axis=1)[:, :most] if len(columns) > most else np.tile(np.arange(len(columns)), (len(some), 1))
+                    columns = np.flatnonzero(used[lists])
+                    score = scores(single[some], coarse, columns, asks, begins, sizes)
+                    near = np.argpartition(score, len(columns) - most, axis=1)[:, len(columns) - most :] if len(columns) > most else np.tile(np.arange(len(columns)), (len(some), 1))
                     reached = np.take_along_axis(score, near, axis=1) > -np.inf
                     near = columns[near]
                     exact = np.where(reached, np.round(np.einsum("qnd,qd->qn", vectors[near], asking[some]), 9), -np.inf)
@@ -279,8 +296,8 @@ class VectorIndex:
                     row, column = np.nonzero(exact > -np.inf)
                     for out, x in zip(found, (ids[some[row]], file[near[row, column]], ordinal[near[row, column]], exact[row, column]), strict=True):
                         out.append(x)
-            query, files, places, scores = (np.concatenate(x) for x in found)
-            return pa.table({"query_id": query, "file_id": files, "ordinal": places, "score": scores})
+            query, files, places, values = (np.concatenate(x) for x in found)
+            return pa.table({"query_id": query, "file_id": files, "ordinal": places, "score": values})
 
         keys = ["shelf", "part", "block"]
         near = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, "query_id long, file_id long, ordinal int, score double")
