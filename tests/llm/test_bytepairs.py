@@ -106,3 +106,21 @@ def test_words_with_the_parts_of_a_table(spark):
     key, value, bucket = bytepairs.KEY, bytepairs.VALUE, bytepairs.BUCKET
     texts = [f"{key}!{value}", f"!{value}\0{key}!!", f"!{bucket}!", "! !!", "! !!", f"{key}!!{value}!{key}"] * 3
     check(spark, texts, Vocabulary.load(FILE))
+
+
+def test_no_value_is_bound_by_taking_an_element(spark):
+    """Taking an element of a transformed array works out the types of all that is in its lambda, for each word and each step of a fold."""
+    docs = spark.createDataFrame([(1, "the words of the text")], "doc_id long, text string")
+    found = bytepairs.encode_texts(docs, Vocabulary.load(FILE), PATTERN, frequent=0)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") > 5 and ")[0]" not in plan
+
+
+def test_ids_at_the_ends_of_the_range(spark):
+    """The first id is the character 0, the last one is next to those that are no characters; also without any id."""
+    order = [bytes([b]) for b in range(255, -1, -1)]
+    ranks = {token: rank for rank, token in enumerate(order)} | {b"ab": bytepairs.MOST - 1, b"\xff\xff": 300}
+    check(spark, ["ab", "\0\0", "cabab", "", None, "é\0ab"], Vocabulary(ranks), frequent=0)
+    docs = spark.createDataFrame([(bytearray(b"\0" * 8),), (bytearray(),), (None,)], "ids binary")
+    back = docs.select(bytepairs.decode(F.col("ids"), Vocabulary(ranks)).alias("back")).collect()
+    assert [r.back and bytes(r.back) for r in back] == [b"\xff\xff", bytearray(), None]

@@ -75,8 +75,14 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value worked out once."""
-    return F.transform(F.array(value), then)[0]
+    """``then(value)`` with the value worked out once. The first element of a transformed array would be the same, but
+    taking an element works out the type of all that is in ``then``, each time, and copies the result."""
+    return F.aggregate(F.lit([]).cast("array<int>"), value, lambda x, _: x, then)
+
+
+def _if(condition: Column, then: Column, otherwise: Column) -> Column:
+    """As ``F.when``, which takes longer to interpret."""
+    return F.call_function("if", condition, then, otherwise)
 
 
 def _literal(values: list, ddl: str) -> Column:
@@ -111,6 +117,13 @@ class Table:
         behind = F.call_function("substring_index", bucket, F.concat(F.lit(KEY), key, F.lit(VALUE)), F.lit(-1))
         return F.substring_index(behind, KEY, 1)
 
+    def get_character(self, buckets: Column, key: Column) -> Column:
+        """The same where keys are two characters and values one, and ``missing`` is its character three times: two
+        neighbours that are no parts are a key, and the value is three characters on; from place 0, where a key that isn't
+        there is said to be, that is one of ``missing``."""
+        bucket = F.get(buckets, F.crc32(key.cast("binary")) % self.n)
+        return _let(bucket, lambda b: F.substring(b, F.position(key, b) + 3, F.lit(1)))
+
 
 class Places:
     """A constant map from strings to strings that holds an entry only if no earlier one has its place, with four places for each entry."""
@@ -124,11 +137,11 @@ class Places:
 
     def get(self, keys: Column, values: Column, key: Column, otherwise: Column) -> Column:
         place = F.crc32(key.cast("binary")) % self.n
-        return F.when(F.get(keys, place) == key, F.get(values, place)).otherwise(otherwise)
+        return _if(F.get(keys, place) == key, F.get(values, place), otherwise)
 
 
-#: Above the symbols of all ids in the order of strings: no rank.
-NONE = "\ue000"
+#: Above the symbols of all ids in the order of strings: no rank. What is at both ends of a word in the fold, in no pair.
+NONE, EDGE = "\ue000", "\ue004"
 #: Ids are characters in the fold; those from here on are no characters of their own.
 MOST = 0xD800
 
@@ -153,9 +166,10 @@ class Vocabulary:
 
     def encoder(self):
         """A function that gives another a function from a column of words to their ids, a string with the character
-        of each id, and returns what that makes of it: ``encoder()(lambda encode: encode(word))``. The literal tables are bound around it.
+        of each id and the character 0 behind it (in UTF-16 the four bytes of the number), and returns what that makes
+        of it: ``encoder()(lambda encode: encode(word))``. The literal tables are bound around it.
 
-        The fold's state: the string of ids so far (``ids``), and one with the rank of each pair of
+        The fold's state: the string of ids so far between two edges (``ids``), and one with the rank of each pair of
         neighbours (``ranks``), whose least character is the next merge. A merge looks up the two
         pairs that are new."""
         pairs: dict[str, str] = {}
@@ -168,28 +182,29 @@ class Vocabulary:
                     # with all such ranks above its own, a merge to a token brings up none that comes before others of its rank
                     settled[left] &= rank > left
                     settled[right] &= rank > right
-        table, settled = Table(pairs.items(), NONE), _literal(settled, "array<boolean>")
-        whole = Table((token.decode("latin-1"), chr(rank)) for token, rank in self.ranks.items())
+        table, settled = Table(pairs.items(), 3 * NONE), _literal(settled, "array<boolean>")
+        whole = Table((token.decode("latin-1"), chr(rank) + "\0") for token, rank in self.ranks.items())
         latin, single = "".join(map(chr, range(256))), "".join(chr(self.ranks[bytes([b])] or ord(NONE)) for b in range(256))
 
         def bound(ranked: Column, tokens: Column):
-            def rank(left: Column, right: Column) -> Column:
-                return _let(F.concat(left, right), lambda pair: table.get(ranked, pair))
+            def rank(pair: Column) -> Column:
+                return _let(pair, lambda pair: table.get_character(ranked, pair))
 
             def start(ids: Column) -> Column:
                 def ranks(c: Column) -> Column:
-                    return F.array_join(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), rank), "")
+                    return F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda x, y: rank(F.concat(x, y)))
 
-                return F.struct(ids.alias("ids"), _let(F.split(ids, ""), ranks).alias("ranks"))
+                # a character of a string is found from its start, so that long ones are parted
+                short = F.transform(F.sequence(F.lit(1), F.length(ids) - 1), lambda i: rank(F.substring(ids, i, F.lit(2))))
+                found = _if(F.length(ids) <= SHORT + 2, short, _let(F.split(ids, ""), ranks))
+                return F.struct(ids.alias("ids"), F.array_join(found, "").alias("ranks"))
 
             def merge_first(ids: Column, ranks: Column, least: Column) -> Column:
-                def at(k: Column) -> Column:
-                    left = F.when(k > 1, rank(F.substring(ids, k - 1, F.lit(1)), least)).otherwise("")
-                    right = F.when(k < F.length(ranks), rank(least, F.substring(ids, k + 2, F.lit(1)))).otherwise("")
-                    after = F.concat(F.substring(ranks, F.lit(1), k - 2), left, right, F.substring(ranks, k + 2, F.length(ranks)))
-                    return F.struct(F.overlay(ids, least, k, F.lit(2)).alias("ids"), after.alias("ranks"))
+                def after(new: Column, k: Column) -> Column:
+                    both = F.concat(rank(F.substring(new, k - 1, F.lit(2))), rank(F.substring(new, k, F.lit(2))))
+                    return F.struct(new.alias("ids"), F.overlay(ranks, both, k - 1, F.lit(3)).alias("ranks"))
 
-                return _let(F.position(least, ranks), at)
+                return _let(F.position(least, ranks), lambda k: _let(F.overlay(ids, least, k, F.lit(2)), lambda new: after(new, k)))
 
             def merge_all(ids: Column, ranks: Column, least: Column) -> Column:
                 flags = F.array_join(F.transform(F.split(ranks, ""), lambda r: F.when(r == least, "1").otherwise("0")), "")
@@ -201,17 +216,19 @@ class Vocabulary:
                 ids, ranks = s["ids"], s["ranks"]
 
                 def by(least: Column) -> Column:
-                    several = (F.length(ids) > SHORT) & F.get(settled, F.ascii(least))
-                    return F.when((ranks == "") | (least == NONE), F.struct(ids.alias("ids"), F.lit("").alias("ranks"))).when(several, merge_all(ids, ranks, least)).otherwise(merge_first(ids, ranks, least))
+                    several = (F.length(ids) > SHORT + 2) & F.get(settled, F.ascii(least))
+                    merged = _if(several, merge_all(ids, ranks, least), merge_first(ids, ranks, least))
+                    return _if(least == NONE, F.struct(ids.alias("ids"), F.lit("").alias("ranks")), merged)
 
-                return F.when(ranks == "", s).otherwise(_let(F.array_min(F.split(ranks, "")), by))
+                return _if(ranks == "", s, _let(F.array_min(F.split(ranks, "")), by))
 
             def fold(octets: Column) -> Column:
                 ids = F.replace(F.translate(octets, latin, single), F.lit(NONE), F.lit("\0"))  # translate takes the character 0 for a deletion
-                return F.aggregate(F.sequence(F.lit(2), F.length(octets)), _let(ids, start), step)["ids"]
+                folded = F.aggregate(F.sequence(F.lit(2), F.length(octets)), _let(F.concat(F.lit(EDGE), ids, F.lit(EDGE)), start), step, lambda s: s["ids"])
+                return F.array_join(F.transform(F.split(F.replace(folded, F.lit(EDGE)), ""), lambda x: F.concat(x, F.lit("\0"))), "")
 
             def encode(octets: Column) -> Column:
-                return _let(whole.get(tokens, octets), lambda one: F.when(one != "", one).otherwise(fold(octets)))
+                return _let(whole.get(tokens, octets), lambda one: _if(one != "", one, fold(octets)))
 
             return lambda word: _let(F.decode(word.cast("binary"), "ISO-8859-1"), encode)
 
@@ -260,7 +277,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col
     def symbols(encode) -> Column:
         def by(keys: Column, values: Column, buckets: Column) -> Column:
             def cold(word: Column) -> Column:
-                return _let(known.get(buckets, word), lambda ids: F.when(ids != "", ids).otherwise(encode(word)))
+                return _let(known.get(buckets, word), lambda ids: _if(ids != "", ids, encode(word)))
 
             return F.transform(words_of(text, pattern), lambda word: hot.get(keys, values, word, cold(word)))
 
@@ -268,8 +285,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col
         buckets = F.when(~F.coalesce(F.contains(text, F.lit(VALUE)), F.lit(False)), known.buckets)
         return F.array_join(_let(hot.keys, lambda keys: _let(hot.values, lambda values: _let(buckets, lambda b: by(keys, values, b)))), "")
 
-    # a character and its high half, 0, of each id: in UTF-16 the four bytes of the number
-    return docs.withColumn(into, F.encode(F.array_join(F.transform(F.split(encoder(symbols), ""), lambda x: F.when(x != "", F.concat(x, F.lit("\0"))).otherwise("")), ""), "UTF-16LE"))
+    return docs.withColumn(into, F.encode(encoder(symbols), "UTF-16LE"))
 
 
 def count_ids(ids: Column) -> Column:
@@ -281,7 +297,8 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     An id without a token adds nothing."""
     found = [""] * (max(vocabulary.ranks.values()) + 1)
     for token, rank in vocabulary.ranks.items():
-        found[rank] = token.hex()
+        found[rank] = token.decode("latin-1")
     pieces = _literal(found, "array<string>")
-    symbols = F.filter(F.split(F.decode(ids, "UTF-16LE"), ""), lambda x, i: (i % 2 == 0) & (x != ""))
-    return F.unhex(F.array_join(F.transform(symbols, lambda x: F.get(pieces, F.ascii(x))), ""))
+    # with the mark of its order of bytes before, UTF-32 has a character for each id; no ids are parted into one empty text
+    symbols = F.split(F.decode(F.concat(F.lit(b"\xff\xfe\0\0"), ids), "UTF-32"), "")
+    return F.encode(F.array_join(F.transform(symbols, lambda x: F.get(pieces, F.when(x != "", F.ascii(x)))), ""), "ISO-8859-1")
