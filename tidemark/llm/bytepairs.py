@@ -32,6 +32,8 @@ from tidemark.llm.scratch import Scratch
 
 FREQUENT = 1 << 18
 SHORT = 48
+#: Characters of a plan's text. The driver keeps that text for its pages and log, several times, with the literal tables in it.
+PLAN_TEXT = 4 << 20
 #: So many of the most frequent words are looked up first, in places of their own that stay in the processor's cache.
 HOT = 1 << 12
 
@@ -166,8 +168,7 @@ class Vocabulary:
 
     def encoder(self):
         """A function that gives another a function from a column of words to their ids, a string with the character
-        of each id and the character 0 behind it (in UTF-16 the four bytes of the number), and returns what that makes
-        of it: ``encoder()(lambda encode: encode(word))``. The literal tables are bound around it.
+        of each id, and returns what that makes of it: ``encoder()(lambda encode: encode(word))``. The literal tables are bound around it.
 
         The fold's state: the string of ids so far between two edges (``ids``), and one with the rank of each pair of
         neighbours (``ranks``), whose least character is the next merge. A merge looks up the two
@@ -183,7 +184,7 @@ class Vocabulary:
                     settled[left] &= rank > left
                     settled[right] &= rank > right
         table, settled = Table(pairs.items(), 3 * NONE), _literal(settled, "array<boolean>")
-        whole = Table((token.decode("latin-1"), chr(rank) + "\0") for token, rank in self.ranks.items())
+        whole = Table((token.decode("latin-1"), chr(rank)) for token, rank in self.ranks.items())
         latin, single = "".join(map(chr, range(256))), "".join(chr(self.ranks[bytes([b])] or ord(NONE)) for b in range(256))
 
         def bound(ranked: Column, tokens: Column):
@@ -225,7 +226,7 @@ class Vocabulary:
             def fold(octets: Column) -> Column:
                 ids = F.replace(F.translate(octets, latin, single), F.lit(NONE), F.lit("\0"))  # translate takes the character 0 for a deletion
                 folded = F.aggregate(F.sequence(F.lit(2), F.length(octets)), _let(F.concat(F.lit(EDGE), ids, F.lit(EDGE)), start), step, lambda s: s["ids"])
-                return F.array_join(F.transform(F.split(F.replace(folded, F.lit(EDGE)), ""), lambda x: F.concat(x, F.lit("\0"))), "")
+                return F.replace(folded, F.lit(EDGE))
 
             def encode(octets: Column) -> Column:
                 return _let(whole.get(tokens, octets), lambda one: _if(one != "", one, fold(octets)))
@@ -269,6 +270,10 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col
     A null or empty text has no ids; long texts and long words are encoded whole; repeated
     rows and other columns stay as they are. A column that is called ``into`` already is
     replaced. An empty table stays empty."""
+    spark, name = docs.sparkSession, "spark.sql.maxPlanStringLength"
+    now = spark.conf.get(name).rstrip("b")
+    if now.isdigit() and int(now) > PLAN_TEXT:
+        spark.conf.set(name, PLAN_TEXT)
     encoder, text = vocabulary.encoder(), F.col(text_col)
     words = docs.select(F.explode(words_of(text, pattern)).alias("word"))
     found = frequent_words(words, encoder, frequent)
@@ -285,7 +290,9 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col
         buckets = F.when(~F.coalesce(F.contains(text, F.lit(VALUE)), F.lit(False)), known.buckets)
         return F.array_join(_let(hot.keys, lambda keys: _let(hot.values, lambda values: _let(buckets, lambda b: by(keys, values, b)))), "")
 
-    return docs.withColumn(into, F.encode(encoder(symbols), "UTF-16LE"))
+    # a character and its high half, 0, of each id: in UTF-16 the four bytes of the number
+    wide = _let(encoder(symbols), lambda s: _if(s != "", F.concat(F.array_join(F.split(s, ""), "\0"), F.lit("\0")), F.lit("")))
+    return docs.withColumn(into, F.encode(wide, "UTF-16LE"))
 
 
 def count_ids(ids: Column) -> Column:
